@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import line_dedup, packing
+from strandlake.llm import line_dedup, packing, simhash
 from strandlake.session import read_table
 
 
@@ -38,5 +38,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_best_fit_packing": op2_best_fit_packing}
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+}
 SQL = {"op1_line_dedup": OP1_SQL}
