@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import line_dedup, packing, simhash
+from strandlake.llm import line_dedup, packing, piecewise, simhash
 from strandlake.session import read_table
 
 
@@ -43,9 +43,14 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piecewise.compare_with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 SQL = {"op1_line_dedup": OP1_SQL}
