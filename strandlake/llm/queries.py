@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import line_dedup, packing, piecewise, simhash
+from strandlake.llm import line_dedup, packing, piecewise, quality, simhash, toxicity
+from strandlake.llm.common import fold
 from strandlake.session import read_table
 
 
@@ -43,6 +44,22 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 5, 0)
+    model = quality.train(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.score_documents(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("quality").alias("score"), F.col("accepted").cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 3, 1)
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.TOXIC).cast("int").alias("predicted"), "offending")
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.compare_with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,6 +68,8 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_toxicity": op9_toxicity,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 SQL = {"op1_line_dedup": OP1_SQL}
