@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from strandlake.session import materialize, ship
 
-#: Words whose ids a worker remembers; it starts anew when they are so many.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers in each of two generations.
+CACHE_WORDS = 300_000
 _END = bytes(4)
+#: A digit that hardly any text holds: a pre-token of its own, it separates words that are encoded at once.
+_SEPARATOR = "\u0660"
 
 
 class WordTokenizer:
@@ -36,6 +38,7 @@ class WordTokenizer:
 
     The vocabulary's pre-tokeniser never joins characters across white space, so
     the ids of a text are those of its white-space separated words in turn.
+    Words that were not met for a generation are forgotten.
     """
 
     def __init__(self, path: str):
@@ -43,21 +46,53 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.mark = self._ids(_SEPARATOR)
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, mark = self.known, self.mark
+        texts = [w.decode("utf-8") for w in words]
+        plain = [i for i, t in enumerate(texts) if _SEPARATOR not in t and len(t) < 200]
+        # The tokens of the separator follow each other nowhere else: UTF-8 bytes of one character are not part of others.
+        ids = np.frombuffer(self._ids(f" {_SEPARATOR} ".join([texts[i] for i in plain] + [""])), np.uint32)
+        wanted = np.frombuffer(mark, np.uint32)
+        n = len(wanted)
+        ends = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - n + 1 + k] == wanted[k] for k in range(n)])) if len(ids) >= n else np.zeros(0, np.int64)
+        if len(ends) == len(plain):
+            at = 0
+            for i, end in zip(plain, ends.tolist(), strict=True):
+                known[words[i]] = ids[at:end].tobytes()
+                at = end + n
+            rest = set(range(len(words))).difference(plain)
+        else:
+            rest = range(len(words))
+        for i in rest:
+            known[words[i]] = self._ids(texts[i])
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         words = text.encode("utf-8").split()
-        known = self.known
         try:
-            return b"".join(map(known.__getitem__, words))
+            return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            new = list(set(words).difference(known))
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for word, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-                known[word] = array("I", e.ids).tobytes()
-            return b"".join(map(known.__getitem__, words))
+            new = set(words).difference(self.known)
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.older, self.known = self.known, {}
+                new = set(words)
+            older = self.older.get
+            missing = []
+            for w in new:
+                ids = older(w)
+                if ids is None:
+                    missing.append(w)
+                else:
+                    self.known[w] = ids
+            if missing:
+                self._learn(missing)
+            return b"".join(map(self.known.__getitem__, words))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import line_dedup, packing, piecewise, quality, simhash, toxicity
+from strandlake.llm import line_dedup, packing, piecewise, quality, revisits, simhash, toxicity, url_filter
 from strandlake.llm.common import fold
 from strandlake.session import read_table
 
@@ -44,6 +44,62 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = revisits.captures_of_pages(read_table(spark, sf_dir, "pages"))
+    found = revisits.resolve(records)
+    names = ["cache-control", "content-type", "date", "etag", "last-modified"]
+    merged = F.concat_ws("; ", *[F.concat(F.lit(n + "="), F.coalesce(F.col("headers")[n], F.lit("-"))) for n in names])
+    return found.select("record_id", "canonical", "response_id", "status", merged.alias("merged"))
+
+
+OP7_SQL = r"""
+WITH rec AS (
+  SELECT 2 * page_id AS record_id, 'response' AS kind, url, 2 * page_id AS ts, page_id AS p, page_id AS v FROM pages
+  UNION ALL
+  SELECT 2 * page_id + 1, 'revisit', regexp_replace(url, '[?#].*$', ''), CASE WHEN page_id % 11 = 0 THEN 2 * page_id - 1 ELSE 2 * page_id + 1001 END, page_id,
+         CASE WHEN page_id % 4 = 0 THEN page_id + 1 ELSE page_id END
+  FROM pages WHERE page_id % 3 = 0
+),
+clean AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(url, ''),
+      '#.*$', ''), '^[A-Za-z]+://', ''),
+      '(\?|&)(utm_source|utm_medium|utm_campaign|ref|fbclid|gclid)=[^&]*', '\1', 'g'),
+      '&&+', '&', 'g'), '\?&', '?', 'g'), '[?&/]+$', '') AS u
+  FROM rec
+),
+keyed AS (
+  SELECT record_id, kind, ts,
+         regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^www\.', '') || substr(u, length(regexp_extract(u, '^[^/?]*')) + 1) AS canonical,
+         CASE WHEN p % 5 <> 0 THEN '"' || CAST(v % 97 AS VARCHAR) || '"' END AS etag,
+         CASE WHEN p % 7 <> 0 THEN 'day ' || CAST(v % 31 AS VARCHAR) END AS modified
+  FROM clean
+),
+joined AS (
+  SELECT a.*, b.record_id AS response_id, b.etag AS b_etag, b.modified AS b_modified, b.ts  AS b_ts
+  FROM (SELECT * FROM keyed WHERE kind = 'revisit') a
+  ASOF LEFT JOIN (SELECT * FROM keyed WHERE kind = 'response') b ON a.canonical = b.canonical AND a.ts > b.ts
+),
+judged AS (
+  SELECT *, CASE WHEN response_id IS NULL THEN 'missing'
+                 WHEN etag IS NOT NULL AND b_etag IS NOT NULL THEN CASE WHEN etag = b_etag THEN 'resolved' ELSE 'changed' END
+                 WHEN modified IS NOT NULL AND b_modified IS NOT NULL THEN CASE WHEN modified = b_modified THEN 'resolved' ELSE 'changed' END
+                 ELSE 'unchecked' END AS status
+  FROM joined
+)
+SELECT record_id, canonical, response_id, status,
+       'cache-control=no-cache; content-type=' || CASE WHEN status IN ('resolved', 'unchecked') THEN 'text/html' ELSE 'text/plain' END
+       || '; date=second ' || CAST(record_id AS VARCHAR)
+       || '; etag=' || coalesce(etag, CASE WHEN status IN ('resolved', 'unchecked') THEN b_etag END, '-')
+       || '; last-modified=' || coalesce(modified, CASE WHEN status IN ('resolved', 'unchecked') THEN b_modified END, '-') AS merged
+FROM judged
+"""
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold("doc_id", 5, 0)
@@ -68,8 +124,10 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_url_filters": op6_url_filters,
+    "op7_warc_revisits": op7_warc_revisits,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
-SQL = {"op1_line_dedup": OP1_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op7_warc_revisits": OP7_SQL}
