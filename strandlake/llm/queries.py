@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontaminate, line_dedup, packing, piecewise, quality, revisits, simhash, toxicity, url_filter
+from strandlake.llm import decontaminate, language_model, line_dedup, packing, piecewise, quality, revisits, simhash, toxicity, url_filter
 from strandlake.llm.common import fold
 from strandlake.session import read_table
 
@@ -39,6 +39,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 7, 2)
+    out = language_model.score(docs, language_model.train(docs, ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), *language_model.RESULT)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
@@ -128,6 +135,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_decontamination": op4_decontamination,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_url_filters": op6_url_filters,
