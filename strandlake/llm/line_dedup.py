@@ -28,7 +28,6 @@ from strandlake.session import n_blocks, ship, text_size
 
 #: Line rows that a shard should hold.
 SHARD_ROWS = 200_000
-RESULT = ("n_lines", "n_dropped")
 
 
 def line_keys(text: str | None, min_chars: int) -> list[bytes | None]:
@@ -79,11 +78,11 @@ _LINES = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("h1", pa.int6
 _HITS = pa.schema([("block", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("first", pa.int64())])
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10) -> DataFrame:
-    """``docs`` with ``text`` replaced by the lines that stay, and n_lines, n_dropped (long)."""
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = 10, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """``docs`` with ``text`` replaced by the lines that stay, and the numbers of lines and of those dropped (long)."""
     spark = docs.sparkSession
     ship(spark)
-    docs = without(docs, *RESULT)
+    docs = without(docs, n_lines, n_dropped)
     rows, size = text_size(docs, text)
     blocks = n_blocks(docs, size)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows + size // 100) // SHARD_ROWS))
@@ -119,25 +118,26 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
         hit, owner = index.probe(h1, h2)
         return pa.Table.from_arrays([pa.array(block[hit]), pa.array(h1[hit].view(np.int64)), pa.array(h2[hit].view(np.int64)), pa.array(owner)], schema=_HITS)
 
-    schema = T.StructType([*base.drop("block").schema.fields, T.StructField(RESULT[0], T.LongType()), T.StructField(RESULT[1], T.LongType())])
+    schema = T.StructType([*base.drop("block").schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def keep(table: pa.Table, hits: pa.Table) -> pa.Table:
         pairs = np.stack([hits.column("h1").to_numpy(), hits.column("h2").to_numpy()], 1) if hits.num_rows else np.zeros((0, 2), np.int64)
         raw = np.ascontiguousarray(pairs).tobytes()
         owner = dict(zip((raw[i : i + 16] for i in range(0, len(raw), 16)), hits.column("first").to_pylist() if hits.num_rows else (), strict=True))
-        texts, n_lines, n_dropped = [], [], []
+        texts, lines_of, dropped = [], [], []
         for d, value in zip(ids(table), table.column(f"c{text_at}").to_pylist(), strict=True):
             keys = line_keys(value, min_chars)
             drop = [owner.get(k, d) != d for k in keys]
-            n_lines.append(len(keys))
-            n_dropped.append(sum(drop))
+            lines_of.append(len(keys))
+            dropped.append(sum(drop))
             value = value or ""
-            texts.append("\n".join(x for x, gone in zip(value.split("\n"), drop, strict=True) if not gone) if n_dropped[-1] else value)
+            texts.append("\n".join(x for x, gone in zip(value.split("\n"), drop, strict=True) if not gone) if dropped[-1] else value)
         columns = [table.column(f"c{i}") for i in range(len(names))]
         columns[text_at] = pa.array(texts, pa.string())
-        return pa.table([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.names)
+        return pa.table([*columns, pa.array(lines_of, pa.int64()), pa.array(dropped, pa.int64())], names=schema.names)
 
-    found = base.select("block", f"c{id_at}", f"c{text_at}").groupBy("block").applyInArrow(lines, "shard int, block int, h1 long, h2 long, first long, last long, documents int")
+    # The same shuffle of the documents serves both uses.
+    found = base.groupBy("block").applyInArrow(lines, "shard int, block int, h1 long, h2 long, first long, last long, documents int")
     hits = found.groupBy("shard").applyInArrow(shared, "block int, h1 long, h2 long, first long")
     out = base.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(keep, schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *RESULT)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("n_lines").alias(n_lines), F.col("n_dropped").alias(n_dropped))

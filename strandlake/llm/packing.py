@@ -14,6 +14,7 @@ are packed each on their own. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from strandlake.session import materialize, ship
 
 #: Words whose ids a worker remembers in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 _END = bytes(4)
 #: A digit that hardly any text holds: a pre-token of its own, it separates words that are encoded at once.
 _SEPARATOR = "\u0660"
@@ -48,6 +49,7 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.mark = self._ids(_SEPARATOR)
+        self.stops = {c.encode(): self._ids(c) for c in ",."}
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -82,19 +84,51 @@ class WordTokenizer:
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.older, self.known = self.known, {}
                 new = set(words)
-            older = self.older.get
-            missing = []
-            for w in new:
-                ids = older(w)
-                if ids is None:
-                    missing.append(w)
-                else:
-                    self.known[w] = ids
-            if missing:
-                self._learn(missing)
+            self._meet(new)
             return b"".join(map(self.known.__getitem__, words))
 
+    def _meet(self, words: set[bytes]) -> None:
+        """Make all of ``words`` known."""
+        known, older, stops, tokenize = self.known, self.older.get, self.stops, self.tokenizer.model.tokenize
+        others = []
+        for w in words:
+            ids = older(w)
+            if ids is None:
+                # Letters and one stop after them are apart for the pre-tokeniser, and so are their ids.
+                stop = stops.get(w[-1:], b"")
+                stem = _letters(w[:-1] if stop else w)
+                if stem is None:
+                    others.append(w)
+                    continue
+                ids = known.get(stem) or older(stem)
+                if ids is None:
+                    # Letters that normalising leaves alone go straight to the merges.
+                    ids = array("I", [t.id for t in tokenize(stem.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+                known[stem] = ids
+                ids += stop
+            known[w] = ids
+        if others:
+            self._learn(others)
+
+
+def _letters(word: bytes) -> bytes | None:
+    """The lower-cased word if it is letters only and in composed form, else None."""
+    if word.isascii():
+        return word.lower() if word.isalpha() else None
+    text = word.decode("utf-8")
+    if not text.isalpha() or "\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text):
+        return None
+    return text.lower().encode("utf-8")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as the character of its number where that prints, else as one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
 
+_BYTE_LETTERS = _byte_letters()
 _tokenizers: dict[str, WordTokenizer] = {}
 
 

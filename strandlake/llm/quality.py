@@ -189,10 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, text: str = "text",
     return QualityModel.fit(training_sample(docs, labels, label, keep, SAMPLE_DOCS, SAMPLE_CHARS, text, doc_id))
 
 
-def score_documents(docs: DataFrame, model: QualityModel, text: str = "text", accept: float = ACCEPT) -> DataFrame:
-    """``docs`` with quality (double) and accepted (boolean)."""
+def score_documents(docs: DataFrame, model: QualityModel, text: str = "text", accept: float = ACCEPT, score: str = "quality", verdict: str = "accepted") -> DataFrame:
+    """``docs`` with quality (double) and accepted (boolean), under the names ``score`` and ``verdict``."""
     ship(docs.sparkSession)
-    docs = without(docs, "quality", "accepted")
+    docs = without(docs, score, verdict)
     names, at = docs.columns, docs.columns.index(text)
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     schema = T.StructType([*inner.schema.fields, T.StructField("quality", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
@@ -204,4 +204,4 @@ def score_documents(docs: DataFrame, model: QualityModel, text: str = "text", ac
                 s = model.score(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array(s >= accept)], names=schema.names)
 
-    return inner.mapInArrow(run, schema).toDF(*names, "quality", "accepted")
+    return inner.mapInArrow(run, schema).toDF(*names, score, verdict)
