@@ -38,7 +38,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates by SimHash: that of the smallest identifier."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), words=NEAR_WORDS)
+    found = simhash.similar_documents(docs.select("doc_id", "text"), words=NEAR_WORDS, similarity=NEAR_SIMILARITY)
     gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
@@ -53,8 +53,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs.select("doc_id", "text"))
 
 
-#: Words of a shingle in the near-duplicate stage.
-NEAR_WORDS = 5
+#: Words of a shingle, and similarity of shingle sets, in the near-duplicate stage.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_classifier", quality_stage),

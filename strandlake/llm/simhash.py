@@ -7,9 +7,14 @@ every pair within the radius meets in some bucket. In a bucket the fingerprints
 lie as vertical bit planes: 64 comparisons a machine word. Distances of all rows
 to the row s places on grow in carry-save counters, plane by plane; words all of whose
 lanes have passed the radius are abandoned. Links are kept as a spanning forest.
-Buckets beyond ``chunk`` rows are split into pairs of chunks, dealt to many tasks: the
+Buckets beyond ``CHUNK`` rows are split into pairs of chunks, dealt to many tasks: the
 same comparisons, with no cap.
 
+:func:`near_duplicates` links 64-bit fingerprints within a few bits, and loses no link.
+:func:`similar_documents` is for a similarity of shingle sets, at which many more bits differ: it takes
+wider fingerprints, and buckets by tables of sampled bits, as many as it takes to bring
+a pair of just that similarity together with probability ``RECALL``.
+
 Defined cases: null, empty or blank text has fingerprint zero and is linked like any
 other. Rows with the same identifier are linked. A null identifier gets a
 component of its fingerprint's links, and counts as the largest identifier. An
@@ -18,6 +23,7 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,25 +35,32 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import NULL_ID
 from strandlake.llm.components import connected_components
+from strandlake.llm.perfect_hash import mix
 from strandlake.session import materialize, ship
 
 BITS = 64
+#: 64-bit words of a wide fingerprint; chance that a pair of just the wanted similarity meets.
+WIDE, RECALL = 4, 0.98
 #: Rows of a bucket that one task compares; larger buckets are split.
 CHUNK = 512
 #: Rows that a task's groups of buckets hold, about.
 GROUP_ROWS = 40_000
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """Unsigned: a bit is 1 if it is set in over half of the shingles' XXH64."""
+    return int(wide_fingerprint(text, words, seed, 1)[0])
+
+
+def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle; of the whole sequence where it is shorter; none without words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return 0
     n = len(tokens)
     digest = xxhash.xxh64_intdigest
     if n <= words:
-        return digest(b" ".join(tokens), seed)
+        return np.array([digest(b" ".join(tokens), seed)] if n else [], np.uint64)
     joined = b" ".join(tokens)
     start, at = [0] * n, 0
     for i, w in enumerate(tokens):
@@ -55,8 +68,16 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
         at += len(w) + 1
     ends = start[words:]
     ends.append(at)
-    hashes = np.array([digest(joined[a : b - 1], seed) for a, b in zip(start, ends, strict=False)], np.uint64)
-    return majority(hashes)
+    return np.array([digest(joined[a : b - 1], seed) for a, b in zip(start, ends, strict=False)], np.uint64)
+
+
+def wide_fingerprint(text: str | None, words: int, seed: int, size: int) -> np.ndarray:
+    """``size`` words: the first of the shingles' hashes, the others of hashes made from those."""
+    hashes = shingle_hashes(text, words, seed)
+    out = np.zeros(size, np.uint64)
+    for i in range(size if len(hashes) else 0):
+        out[i] = majority(mix(hashes + np.uint64(i) * _STEP) if i else hashes)
+    return out
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -67,16 +88,17 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str, doc_id: str, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id long, fp long: the fingerprint's 64 bits as a signed number)."""
+def fingerprints(docs: DataFrame, text: str, doc_id: str, words: int = 3, seed: int = 42, size: int = 1) -> DataFrame:
+    """(doc_id long, fp0, fp1, ... long: the fingerprint's words as signed numbers)."""
     ship(docs.sparkSession)
+    names = [f"fp{i}" for i in range(size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(x, words, seed) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([wide_fingerprint(x, words, seed, size) for x in batch.column(1).to_pylist()], np.uint64).reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fps.T)], names=["doc_id", *names])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 
 
 def bands_for(n: int, radius: int) -> int:
@@ -117,15 +139,21 @@ class _Forest:
 
 
 def link_sorted(fp: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
-    """Root of each row, where rows of a bucket (contiguous) within ``radius`` bits are linked."""
-    n = len(fp)
+    """Root of each row, where rows of a bucket (contiguous) within ``radius`` bits are linked.
+
+    ``fp``: a row of 64-bit words each. Counters are as wide as the radius needs, and start
+    so that they overflow just beyond it.
+    """
+    n, bits_in_all = len(fp), BITS * fp.shape[1]
+    width = max(1, int(radius).bit_length())
+    head_start = (1 << width) - 1 - radius
     forest = _Forest(n)
     if n < 2:
         return forest.root
     words = -(-n // 64)
-    bits = np.unpackbits(fp.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    planes = np.zeros((BITS, words + 2), np.uint64)
-    padded = np.zeros((BITS, words * 64), np.uint8)
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    planes = np.zeros((bits_in_all, words + 2), np.uint64)
+    padded = np.zeros((bits_in_all, words * 64), np.uint8)
     padded[:, :n] = bits.T
     planes[:, :words] = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -136,26 +164,22 @@ def link_sorted(fp: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
         lanes[:n] = left > s
         valid = np.packbits(lanes, bitorder="little").view(np.uint64)
         at = np.flatnonzero(valid)
-        low, high, over = (np.zeros(len(at), np.uint64) for _ in range(3))
+        counters = [np.full(len(at), _ONES if head_start >> k & 1 else 0, np.uint64) for k in range(width)]
+        over = np.zeros(len(at), np.uint64)
         q, r = divmod(s, 64)
-        for first in range(0, BITS, 8):
+        for first in range(0, bits_in_all, 8):
             here = planes[first : first + 8]
             x = here[:, at + q] >> np.uint64(r)
             if r:
                 x |= here[:, at + q + 1] << np.uint64(64 - r)
             x ^= here[:, at]
-            for plane in x:
-                if radius == 3:  # two-bit counters; the carry out of them is a distance of 4 or more
-                    carry = low & plane
-                    low ^= plane
-                    over |= high & carry
-                    high ^= carry
-                else:
-                    raise ValueError("the counters hold distances up to 3")
-            alive = over != _ONES
-            alive &= (valid[at] & ~over) != 0
+            for carry in x:
+                for k in range(width):
+                    carry, counters[k] = counters[k] & carry, counters[k] ^ carry
+                over |= carry
+            alive = (valid[at] & ~over) != 0
             if not alive.all():
-                at, low, high, over = at[alive], low[alive], high[alive], over[alive]
+                at, over, counters = at[alive], over[alive], [c[alive] for c in counters]
                 if not len(at):
                     break
         if len(at):
@@ -166,43 +190,85 @@ def link_sorted(fp: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
     return forest.root
 
 
-def links(distinct: DataFrame, n: int, radius: int = 3) -> DataFrame:
-    """Spanning links (a, b) of (fp, rep): reps of fingerprints within ``radius`` bits, through their buckets."""
-    masks = bucket_keys(bands_for(n, radius), radius)
-    spread = distinct.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])).alias("t", "key"))
-    spread = spread.select("fp", "rep", F.xxhash64("t", "key").alias("bucket"))
+def tables_for(n: int, similarity: float) -> list[list[int]]:
+    """Masks of sampled bits (by word): tables in which a pair of that similarity meets with chance ``RECALL``.
+
+    Shingle sets of equal size and Jaccard similarity j are at the angle acos(2 j / (1 + j)), of which the
+    share 1 / pi is the chance that a bit differs.
+    """
+    same = 1 - differing(similarity)
+    bits = max(10, int(math.log2(max(n, 2))) - 4)
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - same**bits))
+    random = np.random.default_rng(11)
+    out = []
+    for _ in range(tables):
+        mask = [0] * WIDE
+        for b in random.choice(BITS * WIDE, bits, replace=False).tolist():
+            mask[b // BITS] |= 1 << b % BITS
+        out.append(mask)
+    return out
+
+
+def differing(similarity: float) -> float:
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def links(distinct: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
+    """Spanning links (a, b) of (fp0.., rep): reps of fingerprints within ``radius`` bits that share bits under a mask."""
+    fps = [c for c in distinct.columns if c.startswith("fp")]
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
+    keys = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(signed(m)) for c, m in zip(fps, mask, strict=True) if m]) for t, mask in enumerate(masks)]
+    spread = distinct.select(*fps, "rep", F.explode(F.array(*keys)).alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = materialize(sizes.select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
-    rows, chunked = sizes.agg(F.count(F.lit(1)), F.sum("chunks")).first()
+    chunked = sizes.agg(F.sum("chunks")).first()[0]
     groups = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), ((chunked or 0) * 4) // GROUP_ROWS)
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    own = F.pmod(F.xxhash64(*fps), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64(F.col("bucket"), F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
-    dealt = spread.join(sizes, "bucket").withColumn("own", own).select("fp", "rep", F.explode(pairs).alias("bucket"))
+    dealt = spread.join(sizes, "bucket").withColumn("own", own).select(*fps, "rep", F.explode(pairs).alias("bucket"))
     dealt = dealt.withColumn("deal", F.pmod("bucket", F.lit(groups)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
-        fp, rep, bucket = (table.column(c).to_numpy() for c in ("fp", "rep", "bucket"))
+        rep, bucket = (table.column(c).to_numpy() for c in ("rep", "bucket"))
+        fp = np.stack([table.column(c).to_numpy() for c in fps], 1).view(np.uint64)
         order = np.argsort(bucket, kind="stable")
-        fp, rep, bucket = fp[order].copy(), rep[order], bucket[order]
-        root = link_sorted(fp.view(np.uint64), bucket, radius)
+        fp, rep, bucket = fp[order], rep[order], bucket[order]
+        root = link_sorted(fp, bucket, radius)
         linked = root != np.arange(len(root))
         return pa.table({"a": pa.array(rep[linked]), "b": pa.array(rep[root[linked]])})
 
     return dealt.groupBy("deal").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (signed 64 bits), component_id: smallest identifier that links reach."""
-    fps = materialize(fingerprints(docs, text, doc_id, words, seed), "fingerprints")
+def _components(fps: DataFrame, make_masks, radius: int) -> DataFrame:
+    """doc_id, fp0, ..., component_id."""
+    words = [c for c in fps.columns if c.startswith("fp")]
     known = fps.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    distinct = materialize(known.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
-    edges = links(distinct, distinct.count(), radius)
+    distinct = materialize(known.groupBy(*words).agg(F.min("id").alias("rep")), "distinct")
+    edges = links(distinct, make_masks(distinct.count()), radius)
     # Rows with the same identifier but other texts link their fingerprints too.
     repeated = known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if repeated:
-        by_id = known.join(distinct, "fp").groupBy("id", "rep").agg(F.lit(1).alias("one")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        by_id = known.join(distinct, words).groupBy("id", "rep").agg(F.lit(1).alias("one")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
         edges = edges.unionByName(by_id)
     found = materialize(connected_components(edges, "a", "b"), "components")
-    roots = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("root"))
-    roots = materialize(roots, "roots")
-    return fps.join(roots, "fp").select("doc_id", "fp", F.when(F.col("root") != NULL_ID, F.col("root")).alias("component_id"))
+    roots = distinct.join(found, distinct["rep"] == found["node"], "left").select(*words, F.coalesce("component", "rep").alias("root"))
+    return fps.join(materialize(roots, "roots"), words).select("doc_id", *words, F.when(F.col("root") != NULL_ID, F.col("root")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+    """doc_id, fp (signed 64 bits), component_id: smallest identifier that links within ``radius`` bits reach."""
+    fps = materialize(fingerprints(docs, text, doc_id, words, seed), "fingerprints")
+    masks = lambda n: [[m] for m in bucket_keys(bands_for(n, radius), radius)]
+    return _components(fps, masks, radius).withColumnRenamed("fp0", "fp")
+
+
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """doc_id, component_id: smallest identifier that links of about ``similarity`` or more reach.
+
+    The radius is what a pair of just that similarity has on average and three standard deviations.
+    """
+    fps = materialize(fingerprints(docs, text, doc_id, words, seed, WIDE), "fingerprints")
+    p, n = differing(similarity), BITS * WIDE
+    radius = int(n * p + 3 * math.sqrt(n * p * (1 - p)))
+    return _components(fps, lambda rows: tables_for(rows, similarity), radius).select("doc_id", "component_id")
