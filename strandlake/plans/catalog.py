@@ -1,10 +1,322 @@
-"""Registered queries and their DuckDB oracles."""
+"""Registered queries of the core engine, with their DuckDB oracles.
+
+``query(sql)`` registers a function under its name; without SQL the driver checks rows only
+and the tests compare with plain loops.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandlake.functions import expr
+from strandlake.operators import calibrate, intervals, mods, sites, validate, variants
+from strandlake.plans import oracles as o
+from strandlake.session import read_table
+from strandlake.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+ALPHABET = ["h", "m"]
+
+
+# --- D: modified bases ----------------------------------------------------
+
+
+@query(f"""WITH {o.WINNERS}
+SELECT chrm, pos, strand, mod_base, reads, valid_reads, CASE mod_base WHEN 'h' THEN n_h ELSE n_m END AS n_mod,
+       round(CASE WHEN valid_reads > 0 THEN (CASE mod_base WHEN 'h' THEN n_h ELSE n_m END) / valid_reads ELSE 0 END, 6) AS prop
+FROM (SELECT chrm, pos, strand, count(*) AS reads, sum(CASE WHEN exp(win_lp) > 0.8 THEN 1 ELSE 0 END)::BIGINT AS valid_reads,
+             sum(CASE WHEN exp(win_lp) > 0.8 AND winner = 'h' THEN 1 ELSE 0 END)::BIGINT AS n_h,
+             sum(CASE WHEN exp(win_lp) > 0.8 AND winner = 'm' THEN 1 ELSE 0 END)::BIGINT AS n_m
+      FROM winners GROUP BY ALL), (VALUES ('h'), ('m')) AS t(mod_base)""")
+def mods_binary_threshold(spark, d):
+    out = mods.binary_threshold(fx.mod_calls(spark, d), mods=ALPHABET)
+    return out.withColumn("prop", r6("prop"))
+
+
+@query(f"""WITH {o.WINNERS}, w AS (SELECT *, 1 / (1 + exp(-30.0 * (exp(win_lp) - 0.8))) AS w FROM winners)
+SELECT chrm, pos, strand, mod_base, reads, round(CASE mod_base WHEN 'h' THEN w_h ELSE w_m END / w_all, 6) AS prop
+FROM (SELECT chrm, pos, strand, count(*) AS reads, sum(w) AS w_all, sum(CASE WHEN winner = 'h' THEN w ELSE 0 END) AS w_h, sum(CASE WHEN winner = 'm' THEN w ELSE 0 END) AS w_m
+      FROM w GROUP BY ALL), (VALUES ('h'), ('m')) AS t(mod_base)""")
+def mods_expit(spark, d):
+    return mods.expit_scaled(fx.mod_calls(spark, d), mods=ALPHABET).withColumn("prop", r6("prop"))
+
+
+@query()
+def mods_em(spark, d):
+    return mods.em(fx.mod_calls(spark, d), mods=ALPHABET).withColumn("prop", r6("prop"))
+
+
+@query(f"""WITH {o.MOD_CALLS}
+SELECT chrm, pos, strand, mod_base, string_agg(printf('%.6f', score), ',' ORDER BY score) AS log_probs
+FROM (SELECT chrm, pos, strand, read_id, mod_base, max(score) AS score FROM calls GROUP BY ALL) GROUP BY ALL""")
+def mods_log_probs(spark, d):
+    return mods.log_prob_lists(fx.mod_calls(spark, d))
+
+
+@query(f"""WITH {o.LLRS} SELECT mod_base, count(*) AS n, round(avg(llr), 6) AS mean_llr, round(min(llr), 6) AS min_llr, round(max(llr), 6) AS max_llr FROM llrs GROUP BY mod_base""")
+def mods_llr_stats(spark, d):
+    s = mods.llr_summary(mods.site_llrs(fx.mod_calls(spark, d), ALPHABET))
+    return s.select("mod_base", "n", *[r6(c).alias(c) for c in ("mean_llr", "min_llr", "max_llr")])
+
+
+@query(f"""WITH {o.LLRS} SELECT mod_base, count(*) AS n, round(avg(llr), 6) AS mean_llr, round(min(llr), 6) AS min_llr, round(max(llr), 6) AS max_llr
+FROM llrs WHERE (chrm, pos, strand) IN (SELECT 'chr' || (p_partkey % 5), p_partkey, CASE WHEN p_size % 2 = 0 THEN 1 ELSE -1 END FROM part) GROUP BY mod_base""")
+def mods_llr_at_sites(spark, d):
+    s = fx.interval_sites(spark, d).select(F.concat(F.lit("chr"), F.col("contig").cast("string")).alias("chrm"), "pos", "strand")
+    calls = fx.mod_calls(spark, d).join(s.distinct(), fx.SITE, "left_semi")
+    out = mods.llr_summary(mods.site_llrs(calls, ALPHABET))
+    return out.select("mod_base", "n", *[r6(c).alias(c) for c in ("mean_llr", "min_llr", "max_llr")])
+
+
+@query(f"""WITH {o.LLRS} SELECT mod_base, CAST(0.3 AS DOUBLE) AS frac_mod, round(quantile_cont(llr, 0.3), 6) AS threshold FROM llrs WHERE mod_base = 'm' GROUP BY mod_base""")
+def mods_global_threshold(spark, d):
+    return mods.global_threshold(mods.site_llrs(fx.mod_calls(spark, d), ALPHABET), "m", fraction=0.3).withColumn("threshold", r6("threshold"))
+
+
+@query(f"""WITH {o.LLRS}, x AS (SELECT llr FROM llrs WHERE mod_base = 'm'),
+cut AS (SELECT least(abs(quantile_cont(llr, 0.08)), abs(quantile_cont(llr, 0.92))) AS b FROM x),
+f AS (SELECT sum(CASE WHEN llr <= -b THEN 1 ELSE 0 END) / greatest(sum(CASE WHEN llr <= -b THEN 1 ELSE 0 END) + sum(CASE WHEN llr >= b THEN 1 ELSE 0 END), 1) AS f FROM x, cut),
+s AS (SELECT list(llr ORDER BY llr) AS v, count(*) AS n FROM x), p AS (SELECT v, f, f * (n - 1) AS q FROM s, f)
+SELECT 'm' AS mod_base, round(f, 6) AS frac_mod, round(v[floor(q)::BIGINT + 1] + (q - floor(q)) * (v[least(floor(q)::BIGINT + 2, len(v))] - v[floor(q)::BIGINT + 1]), 6) AS threshold FROM p""")
+def mods_estimated_threshold(spark, d):
+    out = mods.global_threshold(mods.site_llrs(fx.mod_calls(spark, d), ALPHABET), "m")
+    return out.select("mod_base", r6("frac_mod").alias("frac_mod"), r6("threshold").alias("threshold"))
+
+
+@query(f"""WITH {o.LLRS},
+truth AS (SELECT 'chr' || (l_partkey % 5) AS chrm, l_partkey AS pos, CASE WHEN l_linestatus = 'F' THEN 1 ELSE -1 END AS strand, count(*) AS cov, sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END)::BIGINT AS mod_cov FROM lineitem GROUP BY ALL),
+per AS (SELECT chrm, pos, strand, list(llr ORDER BY llr) AS v, count(*) AS reads FROM llrs WHERE mod_base = 'm' GROUP BY ALL),
+j AS (SELECT t.*, coalesce(reads, 0) AS reads, v, mod_cov / cov AS share FROM truth t LEFT JOIN per USING (chrm, pos, strand)),
+s AS (SELECT *, CASE WHEN cov < 10 THEN 'low_truth' WHEN reads < 12 THEN 'low_reads' ELSE 'ok' END AS status, share * (reads - 1) AS q FROM j)
+SELECT chrm, pos, strand, reads, cov AS truth_cov, round(100 * share, 6) AS pct,
+       round(CASE WHEN status = 'ok' THEN CASE WHEN share <= 0 THEN -100.0 WHEN share >= 1 THEN 100.0
+         ELSE v[floor(q)::BIGINT + 1] + (q - floor(q)) * (v[least(floor(q)::BIGINT + 2, len(v))] - v[floor(q)::BIGINT + 1]) END END, 6) AS threshold, status
+FROM s""")
+def mods_per_site_thresholds(spark, d):
+    truth = fx.bed_methyl(spark, d).groupBy(F.col("chrom").alias("chrm"), "pos", "strand").agg(F.sum("cov").alias("cov"), F.sum("mod_cov").alias("mod_cov"))
+    out = mods.per_site_thresholds(mods.site_llrs(fx.mod_calls(spark, d), ALPHABET), truth, "m", least_truth=10, least_reads=12)
+    return out.withColumn("pct", r6("pct")).withColumn("threshold", r6("threshold"))
+
+
+@query(f"""WITH {o.MOD_CALLS}, lens AS (SELECT chrm, max(pos) + 1 AS chrm_len FROM calls GROUP BY chrm),
+off AS (SELECT chrm, coalesce(sum(2 * chrm_len) OVER (ORDER BY chrm ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM lens)
+SELECT chrm, pos, strand, o + 2 * pos + CASE WHEN strand = -1 THEN 1 ELSE 0 END AS pos_id, count(*) AS n
+FROM calls JOIN off USING (chrm) WHERE chrm = 'chr3' AND pos >= 100 AND pos < 900 GROUP BY ALL""")
+def mods_position_range(spark, d):
+    calls = fx.mod_calls(spark, d)
+    contigs = calls.groupBy("chrm").agg((F.max("pos") + 1).alias("chrm_len"))
+    coded = mods.encode_positions(mods.position_range(calls, "chr3", 100, 900), mods.contig_offsets(contigs))
+    return coded.groupBy(*fx.SITE, "pos_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {o.MOD_CALLS} SELECT chrm, pos, strand, count(*) AS rows_kept, count(DISTINCT read_id) AS reads FROM calls
+WHERE read_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY ALL""")
+def mods_read_filter(spark, d):
+    keep = read_table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("read_id"))
+    calls = fx.mod_calls(spark, d).join(keep, "read_id", "left_semi")
+    return calls.groupBy(*fx.SITE).agg(F.count(F.lit(1)).alias("rows_kept"), F.countDistinct("read_id").alias("reads"))
+
+
+@query(f"""WITH {o.MOD_CALLS} SELECT count(DISTINCT chrm) AS contigs, count(DISTINCT (chrm, pos, strand)) AS sites, count(DISTINCT read_id) AS reads, count(DISTINCT mod_base) AS mods, count(*) AS n FROM calls""")
+def mods_counts(spark, d):
+    c = fx.mod_calls(spark, d)
+    return c.agg(F.countDistinct("chrm").alias("contigs"), F.countDistinct(*fx.SITE).alias("sites"), F.countDistinct("read_id").alias("reads"), F.countDistinct("mod_base").alias("mods"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {o.MOD_CALLS}, can AS (SELECT chrm, pos, strand, read_id, round(ln(1 - sum(exp(score))), 5) AS can_lp FROM calls GROUP BY ALL)
+SELECT 'Order#' || read_id AS uuid, chrm, pos, CASE strand WHEN 1 THEN '+' ELSE '-' END AS strand, score AS mod_log_prob, can_lp AS can_log_prob,
+       CASE mod_base WHEN 'h' THEN '5hmC' ELSE '5mC' END AS mod_base FROM calls JOIN can USING (chrm, pos, strand, read_id)""")
+def mods_per_read_text(spark, d):
+    from strandlake.sources import text
+
+    calls = fx.mod_calls(spark, d)
+    reads = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("read_id"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")).alias("uuid"))
+    names = spark.createDataFrame([("h", "5hmC"), ("m", "5mC")], "mod_base string, mod_long_name string")
+    return text.per_read_mods(calls, reads, names).withColumn("can_log_prob", F.round("can_log_prob", 5))
+
+
+# --- D: variants ----------------------------------------------------------
+
+
+@query(f"""WITH {o.VAR_CALLS}, ref AS (SELECT locus, read_id, ln(1 - sum(exp(score))) AS score FROM calls GROUP BY ALL),
+s AS (SELECT locus, '0' AS a, sum(score) AS lp, count(*) AS reads FROM ref GROUP BY ALL UNION ALL SELECT locus, alt_seq, sum(score), count(*) FROM calls GROUP BY ALL),
+z AS (SELECT locus, max(reads) AS reads, max(lp) AS top FROM s GROUP BY locus),
+n AS (SELECT locus, z.reads, top + ln(sum(exp(lp - top))) AS z, max(CASE WHEN a = '0' THEN lp END) AS l0, max(CASE WHEN a = 'A' THEN lp END) AS l1, max(CASE WHEN a = 'T' THEN lp END) AS l2 FROM s JOIN z USING (locus) GROUP BY locus, z.reads, top)
+SELECT locus, reads, round(l0 - z, 4) AS lp_ref, round(l1 - z, 4) AS lp_a, round(l2 - z, 4) AS lp_t, CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END AS gt FROM n""")
+def variants_haploid(spark, d):
+    out = variants.haploid(fx.var_calls(spark, d))
+    lp = lambda i: F.round(F.get("log_probs", F.lit(i)), 4)
+    return out.select("locus", "reads", lp(0).alias("lp_ref"), lp(1).alias("lp_a"), lp(2).alias("lp_t"), "gt")
+
+
+@query(f"""WITH {o.DIPLOID}
+SELECT locus, reads, gt, round(lp00, 4) AS lp00, round(lp01, 4) AS lp01, round(lp11, 4) AS lp11, round(lp02, 4) AS lp02, round(lp12, 4) AS lp12, round(lp22, 4) AS lp22 FROM wide""")
+def variants_diploid(spark, d):
+    out = variants.diploid(fx.var_calls(spark, d))
+    names = ["lp00", "lp01", "lp11", "lp02", "lp12", "lp22"]
+    return out.select("locus", "reads", "gt", *[F.round(F.get("log_probs", F.lit(i)), 4).alias(n) for i, n in enumerate(names)])
+
+
+@query(f"""WITH {o.DIPLOID}, gl AS (SELECT locus, gt, list_transform([lp00, lp01, lp11, lp02, lp12, lp22], lambda x: greatest(round(x, 4) / ln(10), -999)) AS gl FROM wide),
+raw AS (SELECT locus, gt, gl, list_transform(gl, lambda x: round_even(-10 * x, 0)) AS raw FROM gl),
+pl AS (SELECT locus, gt, gl, list_transform(raw, lambda x: least(x - list_min(raw), 999)::INTEGER) AS pl FROM raw)
+SELECT locus, gt, array_to_string(list_transform(gl, lambda x: printf('%.2f', round_even(x * 100, 0) / 100 + 0.0)), ',') AS gl, array_to_string(pl, ',') AS pl, list_sort(pl)[2] AS gq, CASE WHEN round_even(abs(-10 * gl[1]), 0) > 0 THEN round_even(abs(-10 * gl[1]), 0)::INTEGER END AS qual FROM pl""")
+def variants_vcf_fields(spark, d):
+    out = variants.diploid(fx.var_calls(spark, d)).withColumn("log_probs", F.transform("log_probs", lambda x: F.round(x, 4)))
+    f = expr.genotype_fields(F.col("log_probs"))
+    two = F.array_join(F.transform(f["gl"], lambda x: F.format_string("%.2f", expr.round_half_even(x, 2) + 0.0)), ",")
+    return out.select("locus", "gt", two.alias("gl"), F.array_join(f["pl"], ",").alias("pl"), f["gq"].alias("gq"), f["qual"].alias("qual"))
+
+
+@query(f"""WITH {o.VAR_CALLS}, ref AS (SELECT locus, read_id, round(ln(1 - sum(exp(score))), 5) AS ref_log_prob FROM calls GROUP BY ALL)
+SELECT 'Order#' || read_id AS uuid, locus AS pos, 'C' AS ref_seq, alt_seq, score AS alt_log_prob, ref_log_prob FROM calls JOIN ref USING (locus, read_id)""")
+def variants_per_read_text(spark, d):
+    from strandlake.sources import text
+
+    calls = fx.var_calls(spark, d)
+    reads = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("read_id"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")).alias("uuid"))
+    loci = read_table(spark, d, "part").select(F.col("p_partkey").alias("locus"), F.col("p_partkey").alias("pos"), F.lit("C").alias("ref_seq"))
+    return text.per_read_variants(calls, reads, loci).withColumn("ref_log_prob", F.round("ref_log_prob", 5))
+
+
+@query("""WITH v AS (SELECT p_partkey % 5 AS contig, p_partkey AS pos, p_partkey AS id, substr('ACGTACGT', 1 + p_partkey % 4, 3) AS ref, substr('TGCATGCA', 1 + p_size % 4, 3) AS alt FROM part),
+b AS (SELECT contig, pos + k - 1 AS pos, substr(ref, k, 1) AS ref, substr(alt, k, 1) AS alt, id FROM v, (VALUES (1), (2), (3)) t(k))
+SELECT contig, pos, ref, alt, string_agg(DISTINCT id::VARCHAR, ';' ORDER BY id::VARCHAR) AS ids FROM b WHERE ref <> alt GROUP BY ALL""")
+def variants_atomize(spark, d):
+    p = read_table(spark, d, "part")
+    k = F.col("p_partkey")
+    v = p.select((k % 5).alias("contig"), k.alias("pos"), k.alias("id"), F.substring(F.lit("ACGTACGT"), (1 + k % 4).cast("int"), F.lit(3)).alias("ref"), F.array(F.substring(F.lit("TGCATGCA"), 1 + F.col("p_size") % 4, F.lit(3))).alias("alts"))
+    return variants.atomize(v)
+
+
+@query("""WITH t AS (SELECT o_orderkey % 5 AS contig, o_orderkey AS pos, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'AC' ELSE 'A' END AS ref, CASE o_orderkey % 3 WHEN 0 THEN 'G' WHEN 1 THEN 'A' ELSE 'AT' END AS alt,
+  CASE o_orderstatus WHEN 'F' THEN 'hom_ref' WHEN 'O' THEN 'het' ELSE 'hom_alt' END AS truth, CASE o_custkey % 4 WHEN 0 THEN 'hom_ref' WHEN 1 THEN 'hom_alt' ELSE 'het' END AS call FROM orders)
+SELECT CASE WHEN length(ref) = length(alt) THEN 'SNP' WHEN length(ref) > length(alt) THEN 'DEL' ELSE 'INS' END AS kind, truth, call, count(*) AS n FROM t GROUP BY ALL""")
+def variants_confusion(spark, d):
+    x = read_table(spark, d, "orders")
+    k = F.col("o_orderkey") % 3
+    base = x.select((F.col("o_orderkey") % 5).alias("contig"), F.col("o_orderkey").alias("pos"), F.when(k == 1, "AC").otherwise("A").alias("ref"), F.when(k == 0, "G").when(k == 1, "A").otherwise("AT").alias("alt"),
+                    F.when(F.col("o_orderstatus") == "F", "0/0").when(F.col("o_orderstatus") == "O", "0/1").otherwise("1/1").alias("t"), F.when(F.col("o_custkey") % 4 == 0, "0/0").when(F.col("o_custkey") % 4 == 1, "1/1").otherwise("1/0").alias("c"))
+    return variants.split_genotype_counts(base.withColumnRenamed("c", "gt"), base.withColumnRenamed("t", "gt"))
+
+
+@query("""WITH t AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'SNP' WHEN 1 THEN 'DEL' ELSE 'INS' END AS kind,
+  CASE o_orderstatus WHEN 'F' THEN 'hom_ref' WHEN 'O' THEN 'het' ELSE 'hom_alt' END AS truth, CASE o_custkey % 4 WHEN 0 THEN 'hom_ref' WHEN 1 THEN 'hom_alt' ELSE 'het' END AS call FROM orders),
+c AS (SELECT kind, class, sum((truth = class AND call = class)::INT) AS hit, sum((call = class)::INT) AS called, sum((truth = class)::INT) AS true_n FROM t, (VALUES ('hom_ref'), ('het'), ('hom_alt')) v(class) GROUP BY ALL)
+SELECT kind, class, round(hit / called, 6) AS precision, round(hit / true_n, 6) AS recall, round(2 * (hit / called) * (hit / true_n) / (hit / called + hit / true_n), 6) AS f1 FROM c""")
+def variants_confusion_scores(spark, d):
+    s = variants.confusion_scores(variants_confusion(spark, d))
+    return s.select("kind", "class", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
+
+
+# --- D: site tables -------------------------------------------------------
+
+
+@query(f"""WITH {o.BED} SELECT chrom, CAST(NULL AS INTEGER) AS strand, CASE WHEN strand = -1 THEN pos - 1 ELSE pos END AS pos, sum(cov)::BIGINT AS cov, sum(round_even(pct * cov / 100, 0)::BIGINT)::BIGINT AS mod_cov FROM bed GROUP BY ALL""")
+def sites_sum_strands(spark, d):
+    return sites.sum_records(fx.bed_methyl(spark, d), strand_offset=1)
+
+
+@query(f"""WITH {o.BED}, s AS (SELECT chrom, strand, pos, sum(cov)::BIGINT AS cov, sum(round_even(pct * cov / 100, 0)::BIGINT)::BIGINT AS mod_cov FROM bed GROUP BY ALL)
+SELECT *, round_even(1000.0 * mod_cov / cov, 0) / 10 AS pct FROM s""")
+def sites_merge(spark, d):
+    b = fx.bed_methyl(spark, d)
+    return sites.merge([b.where(F.col("sample") == s) for s in ("A", "N", "R")])
+
+
+@query(f"""WITH {o.BED}, s AS (SELECT chrom, strand, pos, sum(cov) AS cov, sum(round_even(pct * cov / 100, 0)) AS m FROM bed GROUP BY ALL)
+SELECT chrom, strand, pos, CASE WHEN 100.0 * m / cov <= 10 THEN false ELSE true END AS is_mod FROM s WHERE cov >= 3 AND (100.0 * m / cov <= 10 OR 100.0 * m / cov >= 90)""")
+def sites_ground_truth(spark, d):
+    return sites.ground_truth(sites.sum_records(fx.bed_methyl(spark, d)), least=3)
+
+
+@query(f"""WITH {o.BED} SELECT sample, count(*) AS sites, median(cov) AS median_cov, round(avg(cov), 6) AS mean_cov, round(stddev_pop(cov), 6) AS sd_cov FROM bed GROUP BY sample""")
+def sites_coverage_stats(spark, d):
+    s = sites.coverage_stats(fx.bed_methyl(spark, d), ["sample"])
+    return s.select("sample", "sites", F.col("median_cov").cast("double").alias("median_cov"), r6("mean_cov").alias("mean_cov"), r6("sd_cov").alias("sd_cov"))
+
+
+@query(f"""WITH {o.PAIRED} SELECT count(*) AS sites, round(corr(pct_a, pct_b), 6) AS r, round(corr(pct_a, pct_b) ** 2, 6) AS r2, round(sqrt(avg((pct_a - pct_b) ** 2)), 6) AS rmse FROM pairs""")
+def sites_compare(spark, d):
+    return sites.comparison(_pairs(spark, d)).select("sites", *[r6(c).alias(c) for c in ("r", "r2", "rmse")])
+
+
+@query(f"""WITH {o.PAIRED} SELECT least(floor(pct_a * 31 / 100.0), 30)::INTEGER AS bin_a, least(floor(pct_b * 31 / 100.0), 30)::INTEGER AS bin_b, count(*) AS n FROM pairs GROUP BY ALL""")
+def sites_histogram_2d(spark, d):
+    return sites.histogram_2d(_pairs(spark, d))
+
+
+def _pairs(spark, d):
+    b = fx.bed_methyl(spark, d)
+    return sites.paired(b.where("sample = 'A'"), b.where("sample = 'N'"), 2)
+
+
+@query(f"""WITH {o.BED}, h AS (SELECT cov, count(*) AS n FROM bed GROUP BY cov), c AS (SELECT cov, n, sum(n) OVER (ORDER BY cov) AS upto, sum(n) OVER () AS all_n FROM h)
+SELECT cov, n FROM c WHERE upto > 0.01 * all_n AND upto - n < 0.99 * all_n""")
+def sites_coverage_histogram(spark, d):
+    return sites.coverage_histogram(fx.bed_methyl(spark, d))
+
+
+@query(f"""WITH {o.SEQS} SELECT 'doc' || name AS chrom, p AS pos, 1 AS strand FROM seqs, unnest(range(0, length(seq) - 1)) t(p) WHERE substr(seq, p + 1, 2) = 'CG'
+UNION ALL SELECT 'doc' || name, p + 1, -1 FROM seqs, unnest(range(0, length(seq) - 1)) t(p) WHERE substr(seq, p + 1, 2) = 'CG'""")
+def sites_motif_bed(spark, d):
+    return sites.motif_sites(_contigs(spark, d), "CG", 0)
+
+
+def _contigs(spark, d):
+    return fx.sequences(spark, d).select(F.concat(F.lit("doc"), F.col("name").cast("string")).alias("chrom"), "seq")
+
+
+@query(f"""WITH {o.SEQS}, s AS (SELECT 'doc' || name AS chrom, seq, p AS pos FROM seqs, unnest(range(0, length(seq))) t(p) WHERE substr(seq, p + 1, 1) = 'C')
+SELECT chrom, pos, 1 AS strand, CASE WHEN substr(seq, pos + 1, 2) = 'CG' THEN 'CG' WHEN length(substr(seq, pos + 1, 3)) = 3 AND substr(seq, pos + 2, 1) IN ('A', 'C', 'T') AND substr(seq, pos + 3, 1) = 'G' THEN 'CHG' WHEN length(substr(seq, pos + 1, 3)) = 3 AND substr(seq, pos + 2, 1) IN ('A', 'C', 'T') AND substr(seq, pos + 3, 1) IN ('A', 'C', 'T') THEN 'CHH' END AS motif FROM s""")
+def sites_split_by_motif(spark, d):
+    c = _contigs(spark, d)
+    every_c = sites.motif_sites(c, "C", 0).where("strand = 1")
+    return sites.split_by_motif(every_c, c, [("CG", 0), ("CHG", 0), ("CHH", 0)])
+
+
+@query(f"""WITH {o.BED} SELECT chrom, pos, strand, cov, sample FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos, strand ORDER BY sample) AS rn FROM bed) WHERE rn = 1""")
+def sites_first_listed(spark, d):
+    b = fx.bed_methyl(spark, d).withColumn("key", F.concat_ws(":", "chrom", "pos", "strand"))
+    out = sites.first_listed([b.where(F.col("sample") == s) for s in ("A", "N", "R")], "key")
+    return out.select("chrom", "pos", "strand", "cov", "sample")
+
+
+@query(f"""WITH {o.MOD_CALLS}, a AS (SELECT *, 'Order#' || read_id AS uuid FROM calls)
+SELECT chrm, pos, strand, uuid, mod_base, max(score) AS score FROM (SELECT * FROM a UNION ALL SELECT * REPLACE (round(score - 0.5, 6) AS score) FROM a WHERE pos % 2 = 0) GROUP BY ALL""")
+def sites_merge_per_read(spark, d):
+    a = fx.mod_calls(spark, d).select(*fx.SITE, F.concat(F.lit("Order#"), F.col("read_id").cast("string")).alias("uuid"), "mod_base", "score")
+    b = a.where("pos % 2 = 0").withColumn("score", F.round(F.col("score") - 0.5, 6))
+    return sites.merge_per_read([a, b], fx.SITE)
+
+
+@query(f"""WITH {o.BED}, a AS (SELECT DISTINCT chrom, pos, strand FROM bed WHERE sample = 'A'), n AS (SELECT DISTINCT chrom, pos, strand FROM bed WHERE sample = 'N')
+SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM n) UNION ALL SELECT 'only_a', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM n)""")
+def sites_set_operations(spark, d):
+    key = ["chrom", "pos", "strand"]
+    b = fx.bed_methyl(spark, d)
+    x, y = b.where("sample = 'A'").select(*key), b.where("sample = 'N'").select(*key)
+    both = x.intersect(y).agg(F.lit("both").alias("part"), F.count(F.lit(1)).alias("n"))
+    return both.unionByName(x.subtract(y).agg(F.lit("only_a").alias("part"), F.count(F.lit(1)).alias("n")))
