@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from strandlake.session import materialize, ship
 
 #: Words whose ids a worker remembers in each of two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _END = bytes(4)
 #: A digit that hardly any text holds: a pre-token of its own, it separates words that are encoded at once.
 _SEPARATOR = "\u0660"
