@@ -320,3 +320,319 @@ def sites_set_operations(spark, d):
     x, y = b.where("sample = 'A'").select(*key), b.where("sample = 'N'").select(*key)
     both = x.intersect(y).agg(F.lit("both").alias("part"), F.count(F.lit(1)).alias("n"))
     return both.unionByName(x.subtract(y).agg(F.lit("only_a").alias("part"), F.count(F.lit(1)).alias("n")))
+
+
+# --- E, F: intervals ------------------------------------------------------
+
+
+@query(f"""WITH {o.INTERVALS} SELECT read_id, iv.contig, r_st, r_en, pos FROM iv JOIN st ON iv.contig = st.contig AND pos >= r_st AND pos < r_en""")
+def intervals_reads_sites(spark, d):
+    iv, st = fx.read_intervals(spark, d), fx.interval_sites(spark, d)
+    return intervals.points_in_intervals(iv.drop("strand"), st.drop("strand"), ["contig"], "r_st", "r_en", "pos")
+
+
+@query(f"""WITH {o.INTERVALS} SELECT * FROM iv WHERE NOT EXISTS (SELECT 1 FROM st WHERE iv.contig = st.contig AND iv.strand = st.strand AND pos >= r_st AND pos < r_en)""")
+def intervals_reads_without_sites(spark, d):
+    return intervals.points_in_intervals(fx.read_intervals(spark, d), fx.interval_sites(spark, d), ["contig", "strand"], "r_st", "r_en", "pos", how="left_anti")
+
+
+@query(f"""WITH {o.INTERVALS}, r AS (SELECT contig, pos FROM st)
+SELECT read_id, iv.contig, pos FROM iv JOIN r ON iv.contig = r.contig WHERE pos >= r_st AND pos < r_en AND pos - r_st > 5 AND r_en - pos > 5""")
+def intervals_edge_buffer(spark, d):
+    iv = fx.read_intervals(spark, d).drop("strand")
+    calls = intervals.points_in_intervals(iv, fx.interval_sites(spark, d).drop("strand"), ["contig"], "r_st", "r_en", "pos").select("read_id", "contig", "pos")
+    return mods.edge_buffer(calls, iv, 5)
+
+
+@query(f"""WITH {o.SPANS} SELECT a.contig, a.id, b.id AS b_id FROM sp a JOIN sp b ON a.contig = b.contig AND b.start >= a."end" AND b.start - a."end" <= 5""")
+def intervals_context_variants(spark, d):
+    v = fx.variant_spans(spark, d)
+    return intervals.band_pairs(v, ["contig"], "start", "end", 5, "id").select("contig", "id", "b_id")
+
+
+@query(f"""WITH {o.SPANS}, r AS (SELECT *, max("end") OVER (PARTITION BY contig ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM r)
+SELECT contig, island::BIGINT AS island, arg_max(id, (qual, -id)) AS id, max(qual) AS qual, count(*) AS members FROM i GROUP BY ALL""")
+def intervals_best_of_islands(spark, d):
+    return intervals.best_of_islands(fx.variant_spans(spark, d), ["contig"], "qual", "id")
+
+
+@query()
+def intervals_resolve_overlaps(spark, d):
+    return intervals.resolve_overlaps(fx.variant_spans(spark, d), ["contig"], "qual", "id")
+
+
+@query(f"""WITH {o.SPANS}, f AS (SELECT * FROM sp WHERE id % 2 = 0), r AS (SELECT * FROM sp WHERE id % 2 = 1)
+SELECT f.contig, f.id, r.id AS b_id FROM f JOIN r ON f.contig = r.contig AND f.start < r."end" AND r.start < f."end" """)
+def intervals_strand_overlaps(spark, d):
+    v = fx.variant_spans(spark, d)
+    return intervals.overlaps(v.where("id % 2 = 0"), v.where("id % 2 = 1"), ["contig"]).select("contig", "id", "b_id")
+
+
+@query(f"""WITH {o.SPANS}, f AS (SELECT * FROM sp WHERE id % 2 = 0), r AS (SELECT * FROM sp WHERE id % 7 = 1)
+SELECT contig, id, 'forward_only' AS side FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE f.contig = r.contig AND f.start < r."end" AND r.start < f."end")
+UNION ALL SELECT contig, id, 'reverse_only' FROM r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.contig = r.contig AND f.start < r."end" AND r.start < f."end")""")
+def intervals_strand_leftovers(spark, d):
+    v = fx.variant_spans(spark, d)
+    f, r = v.where("id % 2 = 0"), v.where("id % 7 = 1")
+    hits = intervals.overlaps(f, r, ["contig"])
+    a = f.join(hits.select("contig", "id"), ["contig", "id"], "left_anti").select("contig", "id", F.lit("forward_only").alias("side"))
+    b = r.join(hits.select("contig", F.col("b_id").alias("id")), ["contig", "id"], "left_anti").select("contig", "id", F.lit("reverse_only").alias("side"))
+    return a.unionByName(b)
+
+
+@query("""WITH r AS (SELECT o_orderkey AS read_id, 20 + o_custkey % 80 AS n FROM orders), p AS (SELECT read_id, k * 5 AS pos FROM r, unnest(range(0, (n + 4) // 5)) t(k) WHERE k < 400)
+SELECT read_id, pos, kind, size FROM p, (VALUES ('snp', 1), ('del', 1), ('del', 2), ('del', 3), ('del', 4), ('del', 5), ('ins', 1), ('ins', 2), ('ins', 3), ('ins', 4), ('ins', 5)) v(kind, size)""")
+def reads_candidate_positions(spark, d):
+    from strandlake.operators import reads
+
+    r = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("read_id"), (20 + F.col("o_custkey") % 80).alias("n"))
+    return reads.candidate_changes(r)
+
+
+@query("""SELECT min(read_id) AS read_id, uuid, count(*) AS copies FROM (SELECT o_orderkey AS read_id, o_custkey % 500 AS uuid FROM orders) WHERE uuid % 3 <> 0 GROUP BY uuid""")
+def reads_enumerate(spark, d):
+    from strandlake.operators import reads
+
+    r = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("read_id"), (F.col("o_custkey") % 500).alias("uuid"))
+    allow = r.select("uuid").where("uuid % 3 <> 0").distinct()
+    return reads.enumerate_reads(r, allow)
+
+
+@query("""WITH a AS (SELECT o_orderkey AS read_id, 20 + o_custkey % 80 AS m, o_custkey % 5 AS i, o_custkey % 7 AS dl, o_custkey % 11 AS s FROM orders),
+x AS (SELECT read_id, m + i + dl AS num_align, m AS num_match, dl AS num_del, i AS num_ins, 100.0 * m / (m + i + dl) AS pct_identity, 100.0 * (m + i) / (m + i + s) AS cov FROM a)
+SELECT read_id, num_align, num_match, num_del, num_ins, round(pct_identity, 6) AS pct_identity, round(cov, 6) AS read_pct_coverage FROM x WHERE pct_identity >= 90 AND cov >= 95""")
+def reads_alignment_summary(spark, d):
+    from strandlake.operators import reads
+
+    k = F.col("o_custkey")
+    parts = [((20 + k % 80), "M"), (k % 5, "I"), (k % 7, "D"), (k % 11, "S")]
+    cigar = F.concat(*[F.when(n > 0, F.concat(n.cast("string"), F.lit(op))).otherwise(F.lit("")) for n, op in parts])
+    a = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("read_id"), cigar.alias("cigar"))
+    s = reads.passing(reads.alignment_summary(a), min_identity=90, min_coverage=95)
+    return s.select("read_id", *[F.col(c).cast("long").alias(c) for c in ("num_align", "num_match", "num_del", "num_ins")], r6("pct_identity").alias("pct_identity"), r6("read_pct_coverage").alias("read_pct_coverage"))
+
+
+# --- D: validation --------------------------------------------------------
+
+_LABELLED = "l AS (SELECT doc_id, quality AS label, n_chars::DOUBLE AS score, lang FROM labels JOIN documents USING (doc_id))"
+
+
+def _labelled(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"), "lang")
+    return read_table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")).join(docs, "doc_id")
+
+
+@query(f"""WITH {_LABELLED}, s AS (SELECT lang, score, sum(label) AS dp, sum(1 - label) AS dn FROM l GROUP BY ALL),
+c AS (SELECT lang, score, sum(dp) OVER w AS tp, sum(dn) OVER w AS fp, sum(dp) OVER (PARTITION BY lang) AS p, sum(dn) OVER (PARTITION BY lang) AS n FROM s WINDOW w AS (PARTITION BY lang ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+SELECT lang, score, round(tp / (tp + fp), 6) AS precision, round(CASE WHEN p > 0 THEN tp / p END, 6) AS recall, round(CASE WHEN n > 0 THEN fp / n END, 6) AS fpr,
+       round(CASE WHEN tp = 0 THEN 0 ELSE 2 * (tp / (tp + fp)) * (tp / p) / (tp / (tp + fp) + tp / p) END, 6) AS f1 FROM c""")
+def validate_curve(spark, d):
+    c = validate.curve(_labelled(spark, d), ["lang"])
+    return c.select("lang", "score", *[r6(x).alias(x) for x in ("precision", "recall", "fpr", "f1")])
+
+
+@query(f"""WITH {_LABELLED}, s AS (SELECT lang, score, sum(label) AS dp, sum(1 - label) AS dn FROM l GROUP BY ALL),
+c AS (SELECT lang, score, sum(dp) OVER w AS tp, sum(dn) OVER w AS fp, sum(dp) OVER (PARTITION BY lang) AS p, sum(dn) OVER (PARTITION BY lang) AS n FROM s WINDOW w AS (PARTITION BY lang ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, tp / (tp + fp) AS precision, tp / p AS recall, fp / n AS fpr FROM c),
+q AS (SELECT *, CASE WHEN tp = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1, coalesce(lag(recall) OVER w, 0) AS r0, coalesce(lag(fpr) OVER w, 0) AS f0 FROM m WINDOW w AS (PARTITION BY lang ORDER BY score DESC))
+SELECT lang, max(p)::BIGINT AS positives, max(n)::BIGINT AS negatives, round(sum((recall - r0) * precision), 6) AS ap, round(sum((fpr - f0) * (recall + r0) / 2), 6) AS auc, round(max(f1), 6) AS best_f1, arg_max(score, (f1, score)) AS best_threshold FROM q GROUP BY lang""")
+def validate_summary(spark, d):
+    s = validate.summary(_labelled(spark, d), ["lang"])
+    return s.select("lang", "positives", "negatives", *[r6(x).alias(x) for x in ("ap", "auc", "best_f1")], "best_threshold")
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS sample, 20 + o_custkey % 80 AS m, o_custkey % 5 + o_custkey % 7 AS e FROM orders), x AS (SELECT *, 100.0 * m / (m + e) AS acc FROM r),
+c AS (SELECT sample, round_even(acc * 10, 0) / 10 AS a, count(*) AS n FROM x GROUP BY ALL), md AS (SELECT sample, arg_max(a, (n, -a)) AS mode_acc FROM c GROUP BY sample)
+SELECT sample, count(*) AS reads, round(median(acc), 6) AS median_acc, round(avg(acc), 6) AS mean_acc, round(100.0 * sum(m) / sum(m + e), 6) AS parsimonious_acc, sum(m + e)::BIGINT AS aligned, any_value(mode_acc) AS mode_acc FROM x JOIN md USING (sample) GROUP BY sample""")
+def validate_accuracy(spark, d):
+    k = F.col("o_custkey")
+    m, e = 20 + k % 80, k % 5 + k % 7
+    r = read_table(spark, d, "orders").select(F.col("o_orderstatus").alias("sample"), m.alias("num_match"), (m + e).alias("num_align"), (100.0 * m / (m + e)).alias("pct_identity"))
+    s = validate.accuracy_summary(r, ["sample"])
+    return s.select("sample", "reads", *[r6(x).alias(x) for x in ("median_acc", "mean_acc", "parsimonious_acc")], "aligned", "mode_acc")
+
+
+@query("""SELECT event_type || ' at ' || (user_id % 10) AS message, count(*) AS n, round(100.0 * count(*) / 1000, 6) AS pct FROM events GROUP BY 1 ORDER BY n DESC, message LIMIT 7""")
+def validate_common_errors(spark, d):
+    e = read_table(spark, d, "events").select(F.concat("event_type", F.lit(" at "), (F.col("user_id") % 10).cast("string")).alias("message"))
+    return validate.most_common_errors(e, 7, 1000).withColumn("pct", r6("pct"))
+
+
+@query(f"""WITH {_LABELLED}, n AS (SELECT lang, min(c) AS least FROM (SELECT lang, label, count(*) AS c FROM l GROUP BY ALL) GROUP BY lang)
+SELECT lang, v.label, least AS n FROM n, (VALUES (0), (1)) v(label) WHERE (lang, v.label) IN (SELECT lang, label FROM l)""")
+def validate_balanced_counts(spark, d):
+    b = validate.balanced(_labelled(spark, d), ["lang"], "label", "doc_id")
+    return b.groupBy("lang", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- calibration ----------------------------------------------------------
+
+
+def _stats(spark, d):
+    """Scores of known truth: mod_base, is_mod, llr."""
+    s = mods.site_llrs(fx.mod_calls(spark, d), ALPHABET)
+    return s.select("mod_base", (F.col("strand") == 1).alias("is_mod"), F.round("llr", 2).alias("llr"))
+
+
+@query(f"""WITH {o.LLRS}, s AS (SELECT mod_base, strand = 1 AS is_mod, round(llr, 2) AS llr FROM llrs), c AS (SELECT mod_base, is_mod, llr, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT mod_base, is_mod, sum(n) AS total FROM c GROUP BY ALL)
+SELECT mod_base, is_mod, i::INTEGER AS i, round(sum(n * exp(-power((-20 + i * 0.8 - llr) / 0.8, 2) / 2)) / (0.8 * sqrt(2 * pi())) / any_value(total), 6) AS density
+FROM c JOIN t USING (mod_base, is_mod), range(0, 51) g(i) GROUP BY ALL""")
+def calibrate_density(spark, d):
+    out = calibrate.exact_densities(_stats(spark, d), ["mod_base", "is_mod"], -20.0, 20.0, 51)
+    return out.withColumn("density", r6("density"))
+
+
+@query()
+def calibrate_fit(spark, d):
+    t = calibrate.fit(_stats(spark, d), max_llr=50.0, points=501)
+    return t.select("mod_base", r6("lo").alias("lo"), r6("hi").alias("hi"), F.size("table").alias("n"), r6(F.get("table", F.lit(0))).alias("first_value"), r6(F.element_at("table", -1)).alias("last_value"))
+
+
+@query(f"""WITH {o.LLRS}, x AS (SELECT chrm, pos, strand, read_id, mod_base, round(llr, 3) AS llr FROM llrs), g AS (SELECT *, least(greatest(ceil((llr + 8) / 0.25), 0), 64) AS i FROM x)
+SELECT mod_base, count(*) AS n, round(sum(CASE WHEN mod_base = 'm' THEN (i - 32) * 0.125 ELSE llr END), 3) AS total FROM g GROUP BY mod_base""")
+def calibrate_apply(spark, d):
+    llrs = mods.site_llrs(fx.mod_calls(spark, d), ALPHABET).withColumn("llr", F.round("llr", 3))
+    table = spark.range(1).select(F.lit("m").alias("mod_base"), F.lit(-8.0).alias("lo"), F.lit(8.0).alias("hi"), F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: (i - 32) * F.lit(0.125).cast("double")).alias("table"))
+    c = calibrate.calibrate(llrs, table)
+    return c.groupBy("mod_base").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("calibrated"), 3).alias("total"))
+
+
+@query("""WITH v AS (SELECT p_partkey, substr('ACGTACGTACGT', 1 + p_partkey % 4, 1 + p_partkey % 3) AS ref, substr('TGCATGCATGCA', 1 + p_size % 4, 1 + p_size % 3) AS alt FROM part)
+SELECT CASE WHEN length(ref) = length(alt) THEN CASE WHEN length(ref) = 1 THEN ref || '>' || alt ELSE 'N>N' END WHEN length(ref) > length(alt) THEN 'del' || (length(ref) - length(alt)) ELSE 'ins' || (length(alt) - length(ref)) END AS key, count(*) AS n FROM v GROUP BY 1""")
+def calibrate_variant_keys(spark, d):
+    k, z = F.col("p_partkey").cast("int"), F.col("p_size")
+    v = read_table(spark, d, "part").select(F.substring(F.lit("ACGT" * 3), 1 + k % 4, 1 + k % 3).alias("ref"), F.substring(F.lit("TGCA" * 3), 1 + z % 4, 1 + z % 3).alias("alt"))
+    return v.groupBy(calibrate.variant_key(F.col("ref"), F.col("alt")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- phasing --------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT p_partkey % 5 AS contig, p_partkey AS pos, 'A' AS ref, 'G' AS alt, [-(p_size % 7) * 0.5, -(p_size % 3) * 0.5, -(p_size % 5) * 0.5] AS gl,
+  CASE WHEN p_partkey % 4 <> 0 THEN [-(p_size % 4) * 0.3, -(p_partkey % 6) * 0.3] END AS g1, CASE WHEN p_partkey % 9 <> 0 THEN [-(p_partkey % 5) * 0.3, -(p_size % 6) * 0.3] END AS g2 FROM part),
+p AS (SELECT *, gl[2] > gl[1] AND gl[2] >= gl[3] AS het, CASE WHEN gl[3] > gl[1] THEN '1/1' ELSE '0/0' END AS homo, 10 ** (g1[1] + g2[1]) AS a, 10 ** (g1[1] + g2[2]) AS b, 10 ** (g1[2] + g2[1]) AS c, 10 ** (g1[2] + g2[2]) AS e FROM v)
+SELECT contig, pos, CASE WHEN NOT het OR g1 IS NULL OR g2 IS NULL THEN homo WHEN greatest(b, c) >= greatest(a, e) - 1e-12 THEN CASE WHEN b >= c - 1e-12 THEN '0|1' ELSE '1|0' END WHEN e > a THEN '1|1' ELSE '0|0' END AS gt FROM p""")
+def phase_merge_haploid(spark, d):
+    k, z = F.col("p_partkey"), F.col("p_size")
+    p = read_table(spark, d, "part").select((k % 5).alias("contig"), k.alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"), F.array(-(z % 7) * 0.5, -(z % 3) * 0.5, -(z % 5) * 0.5).alias("gl"),
+                                            F.array(-(z % 4) * 0.3, -(k % 6) * 0.3).alias("h1"), F.array(-(k % 5) * 0.3, -(z % 6) * 0.3).alias("h2"))
+    key = ["contig", "pos", "ref", "alt"]
+    h1, h2 = p.where("pos % 4 <> 0").select(*key, F.col("h1").alias("gl")), p.where("pos % 9 <> 0").select(*key, F.col("h2").alias("gl"))
+    return variants.merge_haploid_calls(p.select(*key, "gl"), h1, h2).select("contig", "pos", "gt")
+
+
+@query("""WITH v AS (SELECT p_partkey AS id, substr('ACGTACGTACGT', 1 + p_partkey % 4, 1 + p_partkey % 3) AS ref, substr('TGCATGCATGCA', 1 + p_size % 4, 1 + p_size % 3) AS alt FROM part),
+t AS (SELECT id, ref, alt, list_max([n for n in range(0, least(length(ref), length(alt)) + 1) if substr(ref, 1, n) = substr(alt, 1, n)]) AS b FROM v),
+u AS (SELECT id, ref, alt, substr(ref, b + 1) AS r, substr(alt, b + 1) AS a FROM t),
+w AS (SELECT id, ref, alt, r, a, list_max([n for n in range(0, least(length(r), length(a)) + 1) if right(r, n) = right(a, n)]) AS e FROM u)
+SELECT id, ref, alt FROM w WHERE length(r) - e > 0 AND length(a) - e > 0 AND NOT (length(r) - e = 1 AND length(a) - e = 1)""")
+def phase_complex_variants(spark, d):
+    k, z = F.col("p_partkey").cast("int"), F.col("p_size")
+    v = read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.substring(F.lit("ACGT" * 3), 1 + k % 4, 1 + k % 3).alias("ref"), F.array(F.substring(F.lit("TGCA" * 3), 1 + z % 4, 1 + z % 3)).alias("alts"))
+    return variants.complex_variants(v).select("id", "ref", F.col("alts")[0].alias("alt"))
+
+
+@query("""SELECT hp, count(*) AS reads FROM (SELECT CASE o_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS hp FROM orders) WHERE hp IS NOT NULL GROUP BY hp""")
+def phase_split_haplotypes(spark, d):
+    k = F.col("o_custkey") % 3
+    r = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("read_id"), F.when(k == 0, 1).when(k == 1, 2).alias("hp"))
+    return variants.split_haplotypes(r).groupBy("hp").agg(F.count(F.lit(1)).alias("reads"))
+
+
+# --- B: scalar functions --------------------------------------------------
+
+
+@query(f"""WITH {o.SEQS} SELECT name, sha256(reverse(translate(seq, 'ACGT', 'TGCA'))) AS revcomp_sha, sha256(translate(seq, 'C', 'T')) AS bisulfite_sha, length(seq) - length(replace(seq, 'A', '')) AS n_a FROM seqs""")
+def functions_sequence(spark, d):
+    s = fx.sequences(spark, d)
+    return s.select("name", F.sha2(expr.reverse_complement("seq"), 256).alias("revcomp_sha"), F.sha2(expr.bisulfite("seq"), 256).alias("bisulfite_sha"), (F.length("seq") - F.length(F.replace("seq", F.lit("A"), F.lit("")))).cast("long").alias("n_a"))
+
+
+@query("""WITH x AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_discount AS d, l_tax AS t FROM lineitem)
+SELECT k, n, p, d, t, round(CASE WHEN d = 0 THEN NULL ELSE -10 * log10(1 - exp(ln(d))) END, 6) AS phred, round(ln(1 - (d + t)), 6) AS canonical, round(1 / (1 + exp(-30.0 * (d * 9 - 0.8))), 6) AS weight,
+       round(-ln(1 + exp(-d) + exp(-t)), 6) AS ref_lp, round(d - (greatest(d, t) + ln(exp(d - greatest(d, t)) + exp(t - greatest(d, t)))), 6) AS log_softmax, round_even(d * 100 / 4, 0) AS quarter FROM x""")
+def functions_probability(spark, d):
+    x = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"))
+    both = F.array("d", "t")
+    return x.select("k", "n", "p", "d", "t", r6(F.when(F.col("d") > 0, expr.phred(expr.safe_ln("d")))).alias("phred"), r6(expr.log1m(F.col("d") + F.col("t"))).alias("canonical"), r6(expr.expit(F.col("d") * 9)).alias("weight"),
+                    r6(F.get(expr.llrs_to_log_probs(both), F.lit(0))).alias("ref_lp"), r6(F.get(expr.log_softmax(both), F.lit(0))).alias("log_softmax"), F.rint(F.col("d") * 100 / 4).alias("quarter"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT vec_id, v, list_median(v) AS med FROM (SELECT vec_id, v FROM e))
+SELECT vec_id, round(med, 6) AS med, round(1.4826 * list_median(list_transform(v, lambda x: abs(x - med))), 6) AS mad, len(v) - 3 AS windows, round(list_sum(v[1:4]), 6) AS first_window FROM m""")
+def functions_signal(spark, d):
+    e = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    mm, w = expr.med_mad("v"), expr.rolling_windows("v", 4)
+    return e.select("vec_id", r6(mm["med"]).alias("med"), r6(mm["mad"]).alias("mad"), F.size(w).cast("long").alias("windows"), r6(expr.array_sum(F.get(w, F.lit(0)))).alias("first_window"))
+
+
+@query("""SELECT event_id, regexp_extract(props, '"k": ([0-9]+)', 1) AS k, CASE WHEN lower(event_type) IN ('y', 'yes', 't', 'true', 'on', '1') THEN true ELSE false END AS flag,
+  printf('%.6f', event_id / 4000.0) AS seconds, 'chr' || lpad((user_id % 25)::VARCHAR, 12, '0') AS natural_key FROM events""")
+def functions_records(spark, d):
+    e = read_table(spark, d, "events")
+    info = expr.info_map(F.concat(F.lit("DB;k="), F.regexp_extract("props", r'"k": ([0-9]+)', 1)))
+    flag = F.when(F.lower("event_type").isin(expr.TRUE_WORDS), True).otherwise(False)
+    return e.select("event_id", info["k"].alias("k"), flag.alias("flag"), expr.seconds_text("event_id", F.lit(4000.0)).alias("seconds"), expr.natural_key(F.concat(F.lit("chr"), (F.col("user_id") % 25).cast("string"))).alias("natural_key"))
+
+
+@query(f"""WITH {o.SEQS}, c AS (SELECT name, substr(seq, 1, 40) AS s FROM seqs), b AS (SELECT name, s, list_transform(range(1, length(s) + 1), lambda i: substr(s, i, 1)) AS v FROM c),
+r AS (SELECT name, s, list_transform(range(0, length(s)), lambda i: CASE WHEN i = 0 OR v[i + 1] <> v[i] THEN 1 ELSE 0 END) AS st FROM b)
+SELECT name, coalesce(list_sum(st), 0)::BIGINT AS runs FROM r""")
+def functions_run_lengths(spark, d):
+    s = fx.sequences(spark, d).select("name", F.substring("seq", 1, 40).alias("s"))
+    return s.select("name", F.when(F.length("s") > 0, F.size(expr.run_lengths(F.split("s", "")))).otherwise(0).cast("long").alias("runs"))
+
+
+# --- writers --------------------------------------------------------------
+
+
+@query(f"""WITH {o.WINNERS}, a AS (SELECT chrm, pos, strand, sum(CASE WHEN exp(win_lp) > 0.8 THEN 1 ELSE 0 END)::BIGINT AS v, sum(CASE WHEN exp(win_lp) > 0.8 AND winner = 'm' THEN 1 ELSE 0 END) AS n FROM winners GROUP BY ALL)
+SELECT 'm' AS mod_base, chrm, pos, concat_ws(chr(9), chrm, pos, pos + 1, '.', least(v, 1000), CASE strand WHEN 1 THEN '+' ELSE '-' END, pos, pos + 1, '0,0,0', v, printf('%.1f', CASE WHEN v > 0 THEN round_even(1000 * (n / v), 0) / 10 ELSE 0.0 END)) AS value FROM a""")
+def writer_bed_methyl(spark, d):
+    from strandlake.sources import text
+
+    return text.bed_methyl_lines(mods.binary_threshold(fx.mod_calls(spark, d), mods=ALPHABET)).where("mod_base = 'm'")
+
+
+@query(f"""WITH {o.WINNERS}, a AS (SELECT chrm, pos, strand, sum(CASE WHEN exp(win_lp) > 0.8 THEN 1 ELSE 0 END) AS v, sum(CASE WHEN exp(win_lp) > 0.8 AND winner = 'm' THEN 1 ELSE 0 END) AS n FROM winners GROUP BY ALL)
+SELECT 'm' AS mod_base, strand, chrm, pos, (pos + 1) || ' ' || printf('%.6f', CASE WHEN v > 0 THEN n / v ELSE 0.0 END) AS value FROM a""")
+def writer_wiggle(spark, d):
+    from strandlake.sources import text
+
+    return text.wiggle_lines(mods.binary_threshold(fx.mod_calls(spark, d), mods=ALPHABET)).where("mod_base = 'm'")
+
+
+@query(f"""WITH {o.WINNERS}, a AS (SELECT chrm, pos, strand, count(*) AS r, sum(CASE WHEN exp(win_lp) > 0.8 THEN 1 ELSE 0 END)::BIGINT AS v, sum(CASE WHEN exp(win_lp) > 0.8 AND winner = 'm' THEN 1 ELSE 0 END) AS n, sum(CASE WHEN exp(win_lp) > 0.8 AND winner = 'h' THEN 1 ELSE 0 END) AS h FROM winners GROUP BY ALL)
+SELECT chrm, pos, concat_ws(chr(9), chrm, pos + 1, '.', 'C', '.', '.', '.', 'DP=' || r || ';STRD=' || CASE strand WHEN 1 THEN '+' ELSE '-' END, 'VALID_DP:h:m', v || ':' || printf('%.4f', CASE WHEN v > 0 THEN round(h / v, 4) ELSE 0.0 END) || ':' || printf('%.4f', CASE WHEN v > 0 THEN round(n / v, 4) ELSE 0.0 END)) AS value FROM a""")
+def writer_mod_vcf(spark, d):
+    from strandlake.sources import text
+
+    calls = mods.binary_threshold(fx.mod_calls(spark, d), mods=ALPHABET).withColumn("prop", F.round("prop", 4))
+    return text.mod_vcf_lines(calls)
+
+
+@query("""SELECT '@' || doc_id || chr(10) || s || chr(10) || '+' || chr(10) || repeat('!', length(s)) AS value FROM (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS s FROM documents)""")
+def writer_fastq(spark, d):
+    from strandlake.sources import text
+
+    s = fx.sequences(spark, d).select(F.col("name").cast("string").alias("read_id"), "seq", F.lit(None).cast("string").alias("qual"))
+    return text.fastq_lines(s)
+
+
+# --- J: streaming; H: kernels ---------------------------------------------
+
+
+@query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS high FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY ALL""")
+def streaming_running_counts(spark, d):
+    from strandlake.streaming import live
+
+    return live.running_counts_to_table(spark, f"{d}/events.parquet")
+
+
+@query()
+def kernels_posterior_calls(spark, d):
+    from strandlake.functions import kernels
+
+    e = read_table(spark, d, "embeddings")
+    return kernels.decode_table(e.select(F.col("vec_id").alias("read_id"), F.col("embedding").cast("array<double>").alias("values")))
