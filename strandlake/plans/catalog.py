@@ -623,7 +623,7 @@ def writer_fastq(spark, d):
 # --- J: streaming; H: kernels ---------------------------------------------
 
 
-@query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS high FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY ALL""")
+@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS high FROM (SELECT DISTINCT ON (event_id) * FROM events) GROUP BY ALL""")
 def streaming_running_counts(spark, d):
     from strandlake.streaming import live
 

@@ -23,7 +23,7 @@ SENTINEL, POLL = "final_summary_", 0.1
 def running_counts(events: DataFrame) -> DataFrame:
     """day, event_type, n, high over distinct events."""
     once = events.dropDuplicates(["event_id"])
-    return once.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") > 50).cast("long")).alias("high"))
+    return once.groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") > 50).cast("long")).alias("high"))
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def running_counts_to_table(spark: SparkSession, path: str) -> DataFrame:
     if q.exception():
         raise q.exception()
     last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.schema("day date, event_type string, n long, high long").parquet(f"{out}/{last}")
+    return spark.read.schema("day string, event_type string, n long, high long").parquet(f"{out}/{last}")
 
 
 def per_site_counts(calls: DataFrame, threshold: float = 0.8) -> DataFrame:
