@@ -42,7 +42,7 @@ UNITS = (
 _NUMBER, _NAME, _UNIT = "⟨n⟩", "⟨p⟩", "⟨u⟩"
 _DIGITS = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 _CAPITAL = r"(?<=[\p{L}\p{Nd},;] )\p{Lu}[\p{L}\p{Mn}'-]*"
-_UNIT_WORD = r"(?<=\p{Nd} ?)\b(?:" + "|".join(UNITS) + r")\b"
+_UNIT_WORD = r"(?<=\p{Nd} ?)(?:" + "|".join(UNITS) + r")\b"
 #: What separates words of a template.
 _APART = r"[^\p{L}\p{Mn}\p{Nd}⟨⟩]+"
 _APART_RAW = r"[^\p{L}\p{Mn}\p{Nd}⟨⟩.,:/'-]+"

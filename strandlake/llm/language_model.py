@@ -39,6 +39,8 @@ from strandlake.session import materialize, n_blocks, ship, text_size
 FREQUENT, ENDINGS = 384, 128
 CLASSES = FREQUENT + ENDINGS
 DIMENSIONS = 40
+#: Tokens of the corpus's own mix that every context is given on top of its own, so rare contexts stay near it.
+PRIOR_TOKENS = 50.0
 #: Distinct words a task holds before it hands counts on, and words whose class a worker remembers.
 HELD = 400_000
 #: No word holds white space.
@@ -169,7 +171,9 @@ def train(docs: DataFrame, keep: Column, text: str = "text") -> LanguageModel:
         class_tokens[r["ending"]] -= r["c"]
         class_words[r["ending"]] -= 1
     lexicon = Lexicon([r["h"] for r in top], class_tokens, class_words, n, v)
-    lexicon.log_p = BilinearModel(pair_counts(texts, lexicon)).log_probabilities()
+    pairs = pair_counts(texts, lexicon)
+    mix = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
+    lexicon.log_p = BilinearModel(pairs + PRIOR_TOKENS * mix).log_probabilities()
     return LanguageModel(counts, lexicon)
 
 

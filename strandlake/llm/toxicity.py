@@ -48,7 +48,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 def word_features(word: str) -> list[str]:
     """The form, its n-grams of three to five characters with marked edges, and stems that go on."""
     marked = f"^{word}$"
-    return [word, *{marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}, *(word[:n] + "+" for n in range(3, min(len(word), 10)))]
+    return ["=" + word, *{marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}, *(word[:n] + "+" for n in range(3, min(len(word), 10)))]
 
 
 def words_of(sentence: str) -> set[str]:
