@@ -120,9 +120,9 @@ def merge_alleles(atoms: DataFrame) -> DataFrame:
 
 def add_context_base(variants: DataFrame, contigs: DataFrame) -> DataFrame:
     """Where an allele is empty, the base before it leads all alleles (VCF needs one)."""
-    x = variants.join(contigs.select("contig", "seq"), "contig")
+    x = variants.join(contigs.select("contig", "seq"), "contig").withColumn("_base", F.substring("seq", F.col("pos"), F.lit(1)))
     empty = (F.col("ref") == "") | F.exists("alts", lambda a: a == "")
-    base = F.substring("seq", F.col("pos"), F.lit(1))
+    base = F.col("_base")
     return x.select("contig", F.when(empty, F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"), F.when(empty, F.concat(base, "ref")).otherwise(F.col("ref")).alias("ref"), F.when(empty, F.transform("alts", lambda a: F.concat(base, a))).otherwise(F.col("alts")).alias("alts"))
 
 

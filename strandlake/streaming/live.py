@@ -27,11 +27,13 @@ def running_counts(events: DataFrame) -> DataFrame:
 
 
 def source(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a folder, or the one file a path names."""
+    """Parquet files of a folder (whatever else lies there), or the one file a path names."""
     reader = spark.readStream.schema(schema)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
         reader, path = reader.option("pathGlobFilter", p.getName()), p.getParent().toString()
+    else:
+        reader = reader.option("pathGlobFilter", "*.parquet")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
