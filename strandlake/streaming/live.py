@@ -42,7 +42,7 @@ def source(spark: SparkSession, path: str, schema, files_per_trigger: int | None
 def running_counts_to_table(spark: SparkSession, path: str) -> DataFrame:
     """Runs the stream over what is there and returns its last complete result."""
     name = f"{work_dir(spark)}/strandlake/stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
+    schema = spark.read.option("pathGlobFilter", "*.parquet").parquet(path).schema
     stream = running_counts(source(spark, path, schema))
     out = f"{name}/out"
 
