@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.operators.prefix import running
+
 
 def bins_of(start: Column, end: Column, width: int) -> Column:
     """Bins that [start, end) touches."""
@@ -50,12 +52,18 @@ def band_pairs(a: DataFrame, keys: list[str], start: str, end: str, distance: in
     return x.join(y, [*keys, "_bin"]).where(near).drop("_bin")
 
 
-def islands(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Adds island: number of the run of overlapping intervals, within ``keys``."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col(start) >= reach), 1).otherwise(0)
-    return rows.withColumn("_new", fresh).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def islands(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = 100_000) -> DataFrame:
+    """Adds island: number of the run of overlapping intervals, within ``keys``.
+
+    Stretches of ``width`` are scanned apart, so a long contig is many tasks.
+    """
+    stretch = F.floor(F.col(start) / width)
+    order = [start, end]
+    reach = running(rows, keys, order, stretch, {"_reach": F.col(end)}, "max")
+    fresh = reach.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(start) >= F.col("_reach")), 1).otherwise(0).cast("long")).drop("_reach")
+    # Rows of one start and end are alike here, so the order among them does not matter, but those that open an island come first.
+    counted = running(fresh, keys, [start, F.desc("_new"), end], stretch, {"_before": F.col("_new")})
+    return counted.withColumn("island", F.col("_before") + F.col("_new")).drop("_new", "_before")
 
 
 def best_of_islands(rows: DataFrame, keys: list[str], score: str, identity: str, start: str = "start", end: str = "end") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.expr import NAN, expit, log1m
+from strandlake.operators.prefix import running, score_buckets
 
 SITE = ["chrm", "pos", "strand"]
 
@@ -214,12 +215,22 @@ def per_site_thresholds(llrs: DataFrame, truth: DataFrame, mod: str, least_truth
     truth: site, cov, mod_cov. A site that is never modified gets -100, one that always is +100, else
     the percentile of its reads' ratios at its modified share.
     """
-    per = llrs.where(F.col("mod_base") == mod).groupBy(*site).agg(F.collect_list("llr").alias("v"), F.count(F.lit(1)).alias("reads"))
-    x = truth.join(per, site, "left")
+    x = llrs.where(F.col("mod_base") == mod)
+    values = x.groupBy(*site, "llr").agg(F.count(F.lit(1)).alias("_n"))
+    reads = x.groupBy(*site).agg(F.count(F.lit(1)).alias("reads"))
     share = F.col("mod_cov") / F.col("cov")
-    threshold = F.when(share <= 0, -100.0).when(share >= 1, 100.0).otherwise(array_percentile(F.col("v"), share))
-    status = F.when(F.col("cov") < least_truth, "low_truth").when(F.coalesce("reads", F.lit(0)) < least_reads, "low_reads").otherwise("ok")
-    return x.select(*site, F.coalesce("reads", F.lit(0)).alias("reads"), F.col("cov").alias("truth_cov"), (100 * share).alias("pct"), F.when(status == "ok", threshold).alias("threshold"), status.alias("status"))
+    facts = truth.join(reads, site, "left").withColumn("reads", F.coalesce("reads", F.lit(0))).withColumn("_at", share * (F.col("reads") - 1))
+    # Values at the two ranks round the wanted one, from running counts of distinct values.
+    ranked = running(values, site, ["llr"], score_buckets(x, "llr"), {"_before": F.col("_n")}).join(facts.select(*site, "_at", "reads"), site)
+    low = F.floor("_at")
+    high = F.least(low + 1, F.col("reads") - 1)
+    here = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col("llr")))
+    found = ranked.groupBy(*site).agg(here(low).alias("_low"), here(high).alias("_high"))
+    y = facts.join(found, site, "left")
+    between = F.col("_low") + (F.col("_at") - F.floor("_at")) * (F.col("_high") - F.col("_low"))
+    threshold = F.when(share <= 0, -100.0).when(share >= 1, 100.0).otherwise(between)
+    status = F.when(F.col("cov") < least_truth, "low_truth").when(F.col("reads") < least_reads, "low_reads").otherwise("ok")
+    return y.select(*site, "reads", F.col("cov").alias("truth_cov"), (100 * share).alias("pct"), F.when(status == "ok", threshold).alias("threshold"), status.alias("status"))
 
 
 def contig_offsets(contigs: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.operators.prefix import running, score_buckets
+
 
 def clean_scores(rows: DataFrame, score: str = "score") -> DataFrame:
     """Without NaN; infinities become the largest and least finite scores."""
@@ -14,42 +16,45 @@ def clean_scores(rows: DataFrame, score: str = "score") -> DataFrame:
     return x.crossJoin(F.broadcast(b)).withColumn(score, F.greatest(F.least(score, "_hi"), "_lo")).drop("_hi", "_lo")  # one row
 
 
-def balanced(rows: DataFrame, by: list[str], label: str, identity: str) -> DataFrame:
+def balanced(rows: DataFrame, by: list[str], label: str, identity: str, buckets: int = 1024) -> DataFrame:
     """As many of each class within ``by``: the first in order of a hash of ``identity``."""
     n = rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.min("n").alias("_least"))
-    w = Window.partitionBy(*by, label).orderBy(F.xxhash64(identity), identity)
-    return rows.withColumn("_n", F.row_number().over(w)).join(n, by).where("_n <= _least").drop("_n", "_least")
+    hashed = rows.withColumn("_h", F.xxhash64(identity))
+    share = F.shiftright("_h", 64 - (buckets.bit_length() - 1))
+    placed = running(hashed, [*by, label], ["_h", identity], share, {"_n": F.lit(1)})
+    return placed.join(n, by).where("_n < _least").select(*rows.columns)
 
 
 def threshold_counts(rows: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    """by, score, tp, fp, p, n at each distinct score, scores at or above it counting as positive.
+    """by, score, tp, fp, dp, dn, p, n at each distinct score, scores at or above it counting as positive; dp and dn are its own.
 
-    Rows collapse to distinct scores first, so the running sums go over those and not over rows.
+    Rows collapse to distinct scores first, and those are summed up in buckets of the score.
     """
     steps = rows.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("dp"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("dn"))
-    down = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return steps.select(*by, score, F.sum("dp").over(down).alias("tp"), F.sum("dn").over(down).alias("fp"), F.sum("dp").over(whole).alias("p"), F.sum("dn").over(whole).alias("n"))
+    whole = steps.groupBy(*by).agg(F.sum("dp").alias("p"), F.sum("dn").alias("n"))
+    above = running(steps, by, [F.desc(score)], -score_buckets(rows, score), {"tp": F.col("dp"), "fp": F.col("dn")})
+    return above.join(whole, by).select(*by, score, (F.col("tp") + F.col("dp")).alias("tp"), (F.col("fp") + F.col("dn")).alias("fp"), "dp", "dn", "p", "n")
 
 
-def curve(rows: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    t = threshold_counts(rows, by, label, score)
+def _rates(t: DataFrame, by: list[str], score: str) -> DataFrame:
     tp, fp = F.col("tp"), F.col("fp")
     precision, recall = tp / (tp + fp), F.try_divide(tp, F.col("p"))
-    return t.select(*by, score, precision.alias("precision"), recall.alias("recall"), F.try_divide(fp, F.col("n")).alias("fpr"), F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0)).alias("f1"))
+    f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+    before = (F.coalesce(F.try_divide(tp - F.col("dp"), F.col("p")), F.lit(0.0)), F.coalesce(F.try_divide(fp - F.col("dn"), F.col("n")), F.lit(0.0)))
+    return t.select(*by, score, precision.alias("precision"), recall.alias("recall"), F.try_divide(fp, F.col("n")).alias("fpr"), f1.alias("f1"), before[0].alias("_recall"), before[1].alias("_fpr"), "p", "n")
+
+
+def curve(rows: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
+    """by, score, precision, recall, fpr, f1 at each distinct score."""
+    return _rates(threshold_counts(rows, by, label, score), by, score).select(*by, score, "precision", "recall", "fpr", "f1")
 
 
 def summary(rows: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """by, positives, negatives, ap, auc (trapezoid), best_f1, best_threshold (the first best)."""
-    t = threshold_counts(rows, by, label, score)
-    c = curve(rows, by, label, score)
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
-    before = lambda x: F.coalesce(F.lag(x).over(w), F.lit(0.0))
-    x = c.withColumn("ap_part", (F.col("recall") - before("recall")) * F.col("precision")).withColumn("auc_part", (F.col("fpr") - before("fpr")) * (F.col("recall") + before("recall")) / 2)
+    x = _rates(threshold_counts(rows, by, label, score), by, score)
+    ap, auc = (F.col("recall") - F.col("_recall")) * F.col("precision"), (F.col("fpr") - F.col("_fpr")) * (F.col("recall") + F.col("_recall")) / 2
     best = F.max_by(F.col(score), F.struct("f1", score))
-    out = x.groupBy(*by).agg(F.sum("ap_part").alias("ap"), F.sum("auc_part").alias("auc"), F.max("f1").alias("best_f1"), best.alias("best_threshold"))
-    n = t.groupBy(*by).agg(F.max("p").alias("positives"), F.max("n").alias("negatives"))
-    return n.join(out, by)
+    return x.groupBy(*by).agg(F.max("p").alias("positives"), F.max("n").alias("negatives"), F.sum(ap).alias("ap"), F.sum(auc).alias("auc"), F.max("f1").alias("best_f1"), best.alias("best_threshold"))
 
 
 def accuracy_summary(reads: DataFrame, by: list[str]) -> DataFrame:

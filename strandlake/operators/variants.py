@@ -7,36 +7,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.expr import log1m, logsumexp, trim_alleles
+from strandlake.functions.expr import log1m, log_factorial, logsumexp, trim_alleles
 
 LOCUS = ["locus"]
 
 
-def complete_reads(calls: DataFrame, locus: list[str] = LOCUS) -> tuple[DataFrame, DataFrame]:
-    """(locus, read_id, alt_seq, score) of loci at which every read scores every alternative, and dropped loci.
+def complete_reads(calls: DataFrame, locus: list[str] = LOCUS) -> DataFrame:
+    """A row a locus and read: alts (in order), scores (reference first), at loci at which every read scores every alternative.
 
-    A repeated (locus, read, alternative) keeps its largest score.
+    A repeated (locus, read, alternative) keeps its largest score. The reference gets what the alternatives leave of 1.
     """
     best = calls.groupBy(*locus, "read_id", "alt_seq").agg(F.max("score").alias("score"))
-    whole = best.groupBy(*locus).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("read_id").alias("reads"), F.countDistinct("alt_seq").alias("alts"))
-    bad = whole.where("rows <> reads * alts").select(*locus)
-    return best.join(bad, locus, "left_anti"), bad
+    reads = best.groupBy(*locus, "read_id").agg(F.array_sort(F.collect_list(F.struct("alt_seq", "score"))).alias("a"), log1m(F.sum(F.exp("score"))).alias("ref"))
+    reads = reads.select(*locus, "read_id", F.transform("a", lambda x: x["alt_seq"]).alias("alts"), F.concat(F.array("ref"), F.transform("a", lambda x: x["score"])).alias("scores"))
+    # Every read scores every alternative where all reads' lists are the same one.
+    same = reads.groupBy(*locus).agg(F.min("alts").alias("_a"), F.max("alts").alias("_b")).where("_a = _b").select(*locus)
+    return reads.join(same, locus, "left_semi")
 
 
-def with_reference(best: DataFrame, locus: list[str] = LOCUS, ref: str = "ref") -> DataFrame:
-    """Adds a row a read for the reference allele: what the alternatives leave of 1."""
-    rest = best.groupBy(*locus, "read_id").agg(log1m(F.sum(F.exp("score"))).alias("score"))
-    return best.unionByName(rest.select(*locus, "read_id", F.lit(ref).alias("alt_seq"), "score"))
+def _sums(reads: DataFrame, locus: list[str], bonus: float = 0.0) -> DataFrame:
+    """locus, rank, lp, reads, alts: each allele's summed scores."""
+    each = reads.select(*locus, "alts", F.posexplode("scores").alias("rank", "s"))
+    return each.groupBy(*locus, "rank").agg((F.sum("s") + F.count(F.lit(1)) * bonus).alias("lp"), F.count(F.lit(1)).alias("reads"), F.first("alts").alias("alts"))
 
 
 def haploid(calls: DataFrame, locus: list[str] = LOCUS) -> DataFrame:
-    """locus, reads, alleles (reference first, then alternatives in order), log_probs, probs, gt."""
-    best, _ = complete_reads(calls, locus)
-    sums = with_reference(best, locus).groupBy(*locus, "alt_seq").agg(F.sum("score").alias("lp"), F.count(F.lit(1)).alias("reads"))
-    order = F.array_sort(F.collect_list(F.struct((F.col("alt_seq") != "ref").alias("is_alt"), "alt_seq", "lp")))
-    out = sums.groupBy(*locus).agg(order.alias("a"), F.max("reads").alias("reads"))
-    lps = F.transform("a", lambda x: x["lp"])
-    return _normalised(out.select(*locus, "reads", F.transform("a", lambda x: x["alt_seq"]).alias("alleles"), lps.alias("raw")), locus)
+    """locus, reads, alleles (reference first, then alternatives in order), log_probs, gt."""
+    sums = _sums(complete_reads(calls, locus), locus)
+    out = sums.groupBy(*locus).agg(F.array_sort(F.collect_list(F.struct("rank", "lp"))).alias("a"), F.max("reads").alias("reads"), F.first("alts").alias("alts"))
+    return _normalised(out.select(*locus, "reads", F.concat(F.array(F.lit("ref")), "alts").alias("alleles"), F.transform("a", lambda x: x["lp"]).alias("raw")), locus)
 
 
 def _normalised(sites: DataFrame, locus: list[str]) -> DataFrame:
@@ -54,32 +53,27 @@ def diploid(calls: DataFrame, het_factor: float = 1.0, locus: list[str] = LOCUS)
     at one half, the first i reads' scores of the first allele and the other reads' of the second,
     reads ordered by how much less likely the first allele is.
     """
-    best, _ = complete_reads(calls, locus)
-    scores = with_reference(best, locus)
-    order = F.array_sort(F.collect_set(F.struct((F.col("alt_seq") != "ref").alias("is_alt"), "alt_seq")))
-    alleles = scores.groupBy(*locus).agg(F.transform(order, lambda x: x["alt_seq"]).alias("alleles"), F.countDistinct("read_id").alias("reads"))
-    ranks = alleles.select(*locus, F.posexplode("alleles").alias("rank", "alt_seq"))
-    ranked = scores.join(ranks, [*locus, "alt_seq"])
-    hom = ranked.groupBy(*locus, "rank").agg((F.sum("score") + F.count(F.lit(1)) * float(np.log(het_factor))).alias("lp"))
-    hom = hom.select(*locus, F.col("rank").alias("a1"), F.col("rank").alias("a2"), "lp")
-    # Pairs of alleles of one read: as many as the locus has genotypes, by a join on (locus, read).
-    left = ranked.select(*locus, "read_id", F.col("rank").alias("a1"), F.col("score").alias("s1"))
-    right = ranked.select(*locus, "read_id", F.col("rank").alias("a2"), F.col("score").alias("s2"))
-    pairs = left.join(right, [*locus, "read_id"]).where("a1 < a2")
-    by = Window.partitionBy(*locus, "a1", "a2").orderBy(F.col("s2") - F.col("s1"), "read_id")
-    run = by.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*locus, "a1", "a2")
-    x = pairs.select("*", F.row_number().over(by).alias("i"), F.sum("s1").over(run).alias("p1"), F.sum("s2").over(run).alias("p2"), F.sum("s2").over(whole).alias("t2"), F.count(F.lit(1)).over(whole).alias("n"))
-    x = x.withColumn("lb", F.sum(F.log((F.col("n") - F.col("i") + 1) / F.col("i"))).over(run) - F.col("n") * F.log(F.lit(2.0)))
-    terms = x.select(*locus, "a1", "a2", (F.col("lb") + F.col("p1") + F.col("t2") - F.col("p2")).alias("term"))
-    none = x.where("i = 1").select(*locus, "a1", "a2", (F.col("t2") - F.col("n") * F.log(F.lit(2.0))).alias("term"))
-    all_terms = terms.unionByName(none)
-    tops = all_terms.groupBy(*locus, "a1", "a2").agg(F.max("term").alias("top"))
-    het = all_terms.join(tops, [*locus, "a1", "a2"]).groupBy(*locus, "a1", "a2", "top").agg(F.sum(F.when(F.col("top") == float("-inf"), 0.0).otherwise(F.exp(F.col("term") - F.col("top")))).alias("z"))
-    het = het.select(*locus, "a1", "a2", F.when(F.col("z") > 0, F.col("top") + F.log("z")).otherwise(F.lit(float("-inf"))).alias("lp"))
-    g = hom.unionByName(het).groupBy(*locus).agg(F.array_sort(F.collect_list(F.struct("a2", "a1", "lp"))).alias("g"))
-    out = g.join(alleles, locus).select(
-        *locus, "reads", "alleles", F.transform("g", lambda x: F.concat(x["a1"].cast("string"), F.lit("/"), x["a2"].cast("string"))).alias("genotypes"), F.transform("g", lambda x: x["lp"]).alias("raw")
+    reads = complete_reads(calls, locus)
+    hom = _sums(reads, locus, float(np.log(het_factor)))
+    ranks = F.sequence(F.lit(0), F.size("scores") - 1)
+    pairs = F.flatten(F.transform(ranks, lambda b: F.transform(F.filter(ranks, lambda a: a < b), lambda a: F.struct(a.alias("a1"), b.alias("a2"), F.get("scores", a).alias("s1"), F.get("scores", b).alias("s2")))))
+    each = reads.select(*locus, "read_id", F.explode(pairs).alias("x")).select(*locus, "read_id", "x.*")
+    key = [*locus, "a1", "a2"]
+    run = Window.partitionBy(*key).orderBy(F.col("s2") - F.col("s1"), "read_id").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*key)
+    x = each.select(*key, F.count(F.lit(1)).over(run).alias("i"), F.sum("s1").over(run).alias("p1"), F.sum("s2").over(run).alias("p2"), F.sum("s2").over(whole).alias("t2"), F.count(F.lit(1)).over(whole).alias("n"))
+    coin = log_factorial("n") - log_factorial("i") - log_factorial(F.col("n") - F.col("i")) - F.col("n") * float(np.log(2.0))
+    none = F.when(F.col("i") == 1, F.col("t2") - F.col("n") * float(np.log(2.0))).otherwise(float("-inf"))
+    x = x.select(*key, (coin + F.col("p1") + F.col("t2") - F.col("p2")).alias("term"), none.alias("none"))
+    # Largest term first, then the sum relative to it; both stay within the partitioning of the window above.
+    x = x.withColumn("top", F.max(F.greatest("term", "none")).over(whole))
+    share = lambda c: F.when(F.col("top") == float("-inf"), 0.0).otherwise(F.exp(F.col(c) - F.col("top")))
+    het = x.groupBy(*key, "top").agg(F.sum(share("term") + share("none")).alias("z"))
+    het = het.select(*key, F.when(F.col("z") > 0, F.col("top") + F.log("z")).otherwise(F.lit(float("-inf"))).alias("lp"))
+    rows = hom.select(*locus, F.col("rank").alias("a1"), F.col("rank").alias("a2"), "lp", "reads", "alts").unionByName(het, allowMissingColumns=True)
+    g = rows.groupBy(*locus).agg(F.array_sort(F.collect_list(F.struct("a2", "a1", "lp"))).alias("g"), F.max("reads").alias("reads"), F.first("alts", ignorenulls=True).alias("alts"))
+    out = g.select(
+        *locus, "reads", F.concat(F.array(F.lit("ref")), "alts").alias("alleles"), F.transform("g", lambda x: F.concat(x["a1"].cast("string"), F.lit("/"), x["a2"].cast("string"))).alias("genotypes"), F.transform("g", lambda x: x["lp"]).alias("raw")
     )
     return _normalised(out, locus)
 
