@@ -288,7 +288,8 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int =
 
     out_columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * keep_ids
     id_type = pieces.schema["doc_id"].dataType.simpleString()
-    ranked = pieces.join(starts, ["length", "task"])
+    # Starts are as many as tasks times lengths: not bounded, so never broadcast.
+    ranked = pieces.join(starts.hint("merge"), ["length", "task"])
     return ranked.mapInArrow(put, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * keep_ids)
 
 

@@ -76,7 +76,7 @@ class ToxicityModel:
         return w
 
     @classmethod
-    def fit(cls, sample: list[tuple[str, int]], steps: int = 350, rate: float = 0.15, ridge: float = 1e-5, least: int = 10) -> ToxicityModel:
+    def fit(cls, sample: list[tuple[str, int]], steps: int = 500, rate: float = 0.15, ridge: float = 3e-6, least: int = 10) -> ToxicityModel:
         label = np.array([y for _, y in sample], np.float64)
         if len(set(label.tolist())) < 2:
             return cls(None, {})
