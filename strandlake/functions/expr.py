@@ -314,3 +314,27 @@ def genotype_fields(log_probs: Column) -> Column:
     best = F.aggregate(F.sequence(F.lit(0), F.size(gl) - 1), F.lit(0), lambda b, i: F.when(F.get(gl, i) > F.get(gl, b), i).otherwise(b))
     qual = F.rint(F.abs(-10 * F.get(gl, F.lit(0))))
     return F.struct(gl.alias("gl"), pl.alias("pl"), F.get(F.array_sort(pl), F.lit(1)).alias("gq"), F.when(qual > 0, qual.cast("int")).alias("qual"), best.cast("int").alias("best"))
+
+
+def trim_padding(ref, alt) -> Column:
+    """Struct (ref, alt, before): the common suffix off first, then the prefix, one base of each kept."""
+    r, a = _c(ref), _c(alt)
+    steps = lambda k: F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    shared = lambda x, y, at: F.aggregate(steps(F.least(F.length(x), F.length(y)) - 1), F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, i: F.struct((s["on"] & at(x, y, i)).alias("on"), (s["n"] + (s["on"] & at(x, y, i)).cast("int")).alias("n")), lambda s: s["n"])
+    from_end = lambda x, y, i: F.substring(x, F.length(x) - i + 1, F.lit(1)) == F.substring(y, F.length(y) - i + 1, F.lit(1))
+    from_start = lambda x, y, i: F.substring(x, i, F.lit(1)) == F.substring(y, i, F.lit(1))
+    after = shared(r, a, from_end)
+    r2, a2 = F.substring(r, F.lit(1), F.length(r) - after), F.substring(a, F.lit(1), F.length(a) - after)
+    before = shared(r2, a2, from_start)
+    return F.struct(F.substring(r2, before + 1, F.length(r2)).alias("ref"), F.substring(a2, before + 1, F.length(a2)).alias("alt"), before.alias("before"))
+
+
+def block_starts(ref_to_query: Column, moves_until: Column) -> Column:
+    """Block of each reference position: that of its query base, from the running number of blocks a base."""
+    return F.transform(ref_to_query, lambda q: F.get(moves_until, q))
+
+
+def query_starts(moves: Column) -> Column:
+    """Blocks at which bases begin, from a table of moves (1 where a block begins a base), and the number of blocks last."""
+    at = F.filter(F.transform(moves, lambda m, i: F.when(m == 1, i)), lambda i: i.isNotNull())
+    return F.concat(at, F.array(F.size(moves)))

@@ -636,3 +636,84 @@ def kernels_posterior_calls(spark, d):
 
     e = read_table(spark, d, "embeddings")
     return kernels.decode_table(e.select(F.col("vec_id").alias("read_id"), F.col("embedding").cast("array<double>").alias("values")))
+
+
+# --- further functions, tags, writers and checks --------------------------
+
+
+@query("""WITH c AS (SELECT l_orderkey AS read_id, l_linenumber * 3 + l_linenumber % 2 AS ordinal, max(l_discount) * 9 AS prob FROM lineitem GROUP BY l_orderkey, l_linenumber),
+k AS (SELECT *, ordinal - coalesce(lag(ordinal) OVER (PARTITION BY read_id ORDER BY ordinal), -1) - 1 AS skip, least(floor(prob * 256), 255)::INTEGER AS b FROM c WHERE prob >= 0.25)
+SELECT read_id, 'C+m,' || string_agg(skip::VARCHAR, ',' ORDER BY ordinal) || ';' AS mm, string_agg(b::VARCHAR, ',' ORDER BY ordinal) AS ml FROM k GROUP BY read_id""")
+def reads_mod_tags(spark, d):
+    from strandlake.operators import reads
+
+    n = F.col("l_linenumber")
+    c = read_table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_discount") * 9).alias("prob"))
+    c = c.select(F.col("l_orderkey").alias("read_id"), F.lit("C").alias("can_base"), F.lit("m").alias("mod_base"), (n * 3 + n % 2).alias("ordinal"), "prob")
+    return reads.mod_tags(c, 0.25)
+
+
+@query(f"""WITH {o.SEQS} SELECT name, coalesce(list_max(list_transform(regexp_extract_all(substr(seq, 1, 200), 'A+|C+|G+|T+'), lambda x: length(x))), 0)::INTEGER AS longest FROM seqs""")
+def functions_homopolymer(spark, d):
+    return fx.sequences(spark, d).select("name", expr.homopolymer_length(F.substring("seq", 1, 200)).alias("longest"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT vec_id, round(list_sum(list_transform(v, lambda x: (x + 3.0) * 0.5)), 6) AS posterior_sum, round(list_sum(list_transform(v, lambda x: (x + 10.0) * 1400.0 / 8192.0)), 6) AS current_sum FROM e""")
+def functions_stored_signal(spark, d):
+    e = read_table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    post, pico = expr.stored_posterior("v", F.lit(3.0), F.lit(0.5)), expr.to_picoamps("v", F.lit(10.0), F.lit(1400.0), F.lit(8192.0))
+    return e.select("vec_id", r6(expr.array_sum(post)).alias("posterior_sum"), r6(expr.array_sum(pico)).alias("current_sum"))
+
+
+@query("""WITH v AS (SELECT p_partkey AS id, substr('ACGTACGTACGT', 1 + p_partkey % 4, 1 + p_partkey % 5) AS ref, substr('ACGTTCGTACGA', 1 + p_size % 4, 1 + p_size % 6) AS alt FROM part),
+s AS (SELECT *, list_max([n for n in range(0, least(length(ref), length(alt))) if right(ref, n) = right(alt, n)]) AS e FROM v),
+t AS (SELECT id, left(ref, length(ref) - e) AS r, left(alt, length(alt) - e) AS a FROM s), u AS (SELECT *, list_max([n for n in range(0, least(length(r), length(a))) if left(r, n) = left(a, n)]) AS b FROM t)
+SELECT id, substr(r, b + 1) AS ref, substr(a, b + 1) AS alt, b::INTEGER AS before FROM u""")
+def functions_trim_padding(spark, d):
+    k, z = F.col("p_partkey").cast("int"), F.col("p_size")
+    v = read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.substring(F.lit("ACGTACGTACGT"), 1 + k % 4, 1 + k % 5).alias("ref"), F.substring(F.lit("ACGTTCGTACGA"), 1 + z % 4, 1 + z % 6).alias("alt"))
+    return v.select("id", expr.trim_padding("ref", "alt").alias("t")).select("id", "t.ref", "t.alt", "t.before")
+
+
+@query(f"""WITH {o.MOD_CALLS} SELECT 'Order#' || read_id AS uuid, mod_base, score FROM calls WHERE chrm = 'chr2' AND pos = 42 AND strand = 1""")
+def mods_at_one_site(spark, d):
+    x = fx.mod_calls(spark, d).where("chrm = 'chr2' and pos = 42 and strand = 1")
+    return x.select(F.concat(F.lit("Order#"), F.col("read_id").cast("string")).alias("uuid"), "mod_base", "score")
+
+
+@query("""SELECT user_id, count(*) AS violations FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE value < b GROUP BY user_id""")
+def sites_order_violations(spark, d):
+    e = read_table(spark, d, "events")
+    return intervals.is_sorted(e, ["user_id"], "value", "event_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("violations"))
+
+
+@query(f"""WITH {o.LLRS} SELECT mod_base, is_mod, count(*) AS n, round(avg(llr), 6) AS mean_llr FROM (SELECT mod_base, strand = -1 AS is_mod, llr FROM llrs WHERE mod_base = 'm') GROUP BY ALL""")
+def calibrate_mod_stats(spark, d):
+    from strandlake.plans.commands import generate_mod_stats
+
+    c = fx.mod_calls(spark, d)
+    # Both mods stay in the calls, so canonical chances are those of the whole alphabet; one is asked for.
+    stats = generate_mod_stats(c.where("strand = 1"), c.where("strand = -1"), exclude=["h"])
+    return stats.groupBy("mod_base", "is_mod").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("llr")).alias("mean_llr"))
+
+
+@query(f"""WITH {o.SEQS} SELECT name || chr(9) || CASE WHEN name % 2 = 0 THEN '0' ELSE '16' END || chr(9) || 'chr' || (name % 5) || chr(9) || (name + 1) || chr(9) || '60' || chr(9) || length(seq) || 'M' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || seq || chr(9) || '*' || chr(9) || 'NM:i:0' AS value FROM seqs""")
+def writer_sam(spark, d):
+    from strandlake.sources import text
+
+    n = F.col("name")
+    a = fx.sequences(spark, d).select(n.cast("string").alias("read_id"), F.concat(F.lit("chr"), (n % 5).cast("string")).alias("chrm"), n.alias("pos"), F.when(n % 2 == 0, 1).otherwise(-1).alias("strand"), F.lit(60).alias("mapq"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"), "seq", F.lit(None).cast("string").alias("qual"), F.array(F.lit("NM:i:0")).alias("tags"))
+    return text.sam_lines(a)
+
+
+@query(f"""WITH {o.DIPLOID}, gl AS (SELECT locus, reads, gt, list_transform([lp00, lp01, lp11, lp02, lp12, lp22], lambda x: greatest(round(x, 4) / ln(10), -999)) AS gl FROM wide),
+raw AS (SELECT *, list_transform(gl, lambda x: round_even(-10 * x, 0)) AS raw FROM gl), pl AS (SELECT *, list_transform(raw, lambda x: least(x - list_min(raw), 999)::INTEGER) AS pl FROM raw)
+SELECT 'chr' || (locus % 5) AS contig, locus AS pos, concat_ws(chr(9), 'chr' || (locus % 5), locus + 1, '.', 'C', 'A,T', CASE WHEN round_even(abs(-10 * gl[1]), 0) > 0 THEN round_even(abs(-10 * gl[1]), 0)::INTEGER::VARCHAR ELSE '.' END, '.', 'DP=' || reads, 'GT:DP:GQ:GL:PL',
+  concat_ws(':', ['0/0', '0/1', '1/1', '0/2', '1/2', '2/2'][gt + 1], reads, list_sort(pl)[2], array_to_string(list_transform(gl, lambda x: printf('%.2f', round_even(x * 100, 0) / 100 + 0.0)), ','), array_to_string(pl, ','))) AS value FROM pl""")
+def writer_vcf(spark, d):
+    from strandlake.sources import text
+
+    out = variants.diploid(fx.var_calls(spark, d)).withColumn("log_probs", F.transform("log_probs", lambda x: F.round(x, 4)))
+    x = out.select(F.concat(F.lit("chr"), (F.col("locus") % 5).cast("string")).alias("contig"), F.col("locus").alias("pos"), F.lit("C").alias("ref"), F.slice("alleles", 2, 2).alias("alts"), "reads", "genotypes", "log_probs", "gt")
+    return text.vcf_lines(x)

@@ -38,9 +38,11 @@ def calibrate_variants(stats: DataFrame, **options) -> DataFrame:
 
 def generate_mod_stats(can_calls: DataFrame, mod_calls: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """mod_base, is_mod, llr of mods both runs know, less those left out."""
-    names = set(mods.alphabet(can_calls)) & set(mods.alphabet(mod_calls))
+    alphabets = [mods.alphabet(c) for c in (can_calls, mod_calls)]
+    names = set(alphabets[0]) & set(alphabets[1])
     names = sorted((names & set(include) if include else names) - set(exclude or ()))
-    rows = [mods.site_llrs(c.where(F.col("mod_base").isin(names)), names).select("mod_base", F.lit(flag).alias("is_mod"), "llr") for c, flag in ((can_calls, False), (mod_calls, True))]
+    # Canonical chances are those of each run's whole alphabet; only the rows are limited.
+    rows = [mods.site_llrs(c, known).where(F.col("mod_base").isin(names)).select("mod_base", F.lit(flag).alias("is_mod"), "llr") for c, known, flag in zip((can_calls, mod_calls), alphabets, (False, True), strict=True)]
     return rows[0].unionByName(rows[1])
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import product
+
+from strandlake.functions.expr import IUPAC
 
 #: Outputs of a main run.
 OUTPUTS = ("basecalls", "mod_basecalls", "mappings", "per_read_refs", "signal_mappings", "per_read_variants", "variants", "variant_mappings", "per_read_mods", "mods", "mod_mappings")
@@ -51,8 +54,6 @@ class RunSettings:
 
 def check_motifs(motifs: list[tuple[str, int]]) -> None:
     """Raises where two motifs may claim one base, or a position lies outside its motif."""
-    from strandlake.functions.expr import IUPAC
-
     for m, at in motifs:
         if not 0 <= at < len(m) or set(m) - set(IUPAC):
             raise ValueError(f"bad motif {m}:{at}")
@@ -74,3 +75,8 @@ def split_alphabet(alphabet: str, collapsed: str) -> dict[str, list[str]]:
         if a != c:
             out[c].append(a)
     return out
+
+
+def motif_words(motif: str) -> list[str]:
+    """All concrete words of a motif."""
+    return ["".join(x) for x in product(*(IUPAC[b] for b in motif))]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.functions.expr import log1m, natural_key, strand_from_text, strand_to_text, text_to_bool
+from strandlake.functions.expr import genotype_fields, log1m, natural_key, strand_from_text, strand_to_text, text_to_bool
 
 #: Columns of the formats.
 BED_METHYL = "chrom string, start long, end long, name string, score int, strand string, thick_start long, thick_end long, rgb string, cov long, pct double"
@@ -154,3 +154,21 @@ def per_read_variants(calls: DataFrame, reads: DataFrame, loci: DataFrame) -> Da
 
 def version_sorted(df: DataFrame, column: str) -> DataFrame:
     return df.orderBy(natural_key(column), column)
+
+
+def vcf_lines(calls: DataFrame) -> DataFrame:
+    """contig, pos, value: a genotype record a locus, from contig, pos (0-based), ref, alts, reads, genotypes, log_probs, gt."""
+    f = genotype_fields(F.col("log_probs"))
+    x = calls.withColumn("_f", f)
+    gl = F.array_join(F.transform("_f.gl", lambda v: F.format_string("%.2f", F.rint(v * 100) / 100 + 0.0)), ",")
+    sample = F.concat_ws(":", F.get("genotypes", F.col("gt")), F.col("reads").cast("string"), F.col("_f.gq").cast("string"), gl, F.array_join("_f.pl", ","))
+    line = F.concat_ws("\t", "contig", (F.col("pos") + 1).cast("string"), F.lit("."), "ref", F.array_join("alts", ","), F.coalesce(F.col("_f.qual").cast("string"), F.lit(".")), F.lit("."), F.concat(F.lit("DP="), F.col("reads").cast("string")), F.lit("GT:DP:GQ:GL:PL"), sample)
+    return x.select("contig", "pos", line.alias("value"))
+
+
+def mapping_summary_lines(summary: DataFrame) -> DataFrame:
+    """Tab-separated rows of a mapping summary, columns in the fixed order; percentages with two decimals."""
+    names = [c.split()[0] for c in MAPPING_SUMMARY.split(", ")]
+    kinds = {c.split()[0]: c.split()[1] for c in MAPPING_SUMMARY.split(", ")}
+    cell = lambda n: F.coalesce(F.format_string("%.2f", F.rint(F.col(n) * 100) / 100) if kinds[n] == "double" else F.col(n).cast("string"), F.lit("NA"))
+    return summary.select(F.concat_ws("\t", *[cell(n) for n in names]).alias("value"))
