@@ -14,6 +14,8 @@ are packed each on their own. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
+import string
 import unicodedata
 import zlib
 from array import array
@@ -32,6 +34,8 @@ CACHE_WORDS = 200_000
 _END = bytes(4)
 #: A digit that hardly any text holds: a pre-token of its own, it separates words that are encoded at once.
 _SEPARATOR = "\u0660"
+_SIGNS = string.punctuation.encode()
+_MARKS = re.compile("[\u0300-\u036f]")
 
 
 class WordTokenizer:
@@ -49,7 +53,8 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.mark = self._ids(_SEPARATOR)
-        self.stops = {c.encode(): self._ids(c) for c in ",."}
+        self.merge = self.tokenizer.model.tokenize
+        self.runs: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -76,39 +81,65 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        words = text.encode("utf-8").split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            new = set(words).difference(self.known)
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.older, self.known = self.known, {}
-                new = set(words)
-            self._meet(new)
-            return b"".join(map(self.known.__getitem__, words))
-
-    def _meet(self, words: set[bytes]) -> None:
-        """Make all of ``words`` known."""
-        known, older, stops, tokenize = self.known, self.older.get, self.stops, self.tokenizer.model.tokenize
-        others = []
-        for w in words:
-            ids = older(w)
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        data = text.encode("utf-8")
+        # A-Z may go to lower case at once, unless a mark would then compose otherwise or a special token appear.
+        if b"<|" not in data and (text.isascii() or not _MARKS.search(text)):
+            data = data.lower()
+        words = data.split()
+        get = self.known.get
+        out: list = list(map(get, words))
+        others: dict[bytes, list[int]] = {}
+        at = -1
+        while True:
+            try:
+                at = out.index(None, at + 1)
+            except ValueError:
+                break
+            word = words[at]
+            ids = get(word) or self._meet(word)
             if ids is None:
-                # Letters and one stop after them are apart for the pre-tokeniser, and so are their ids.
-                stop = stops.get(w[-1:], b"")
-                stem = _letters(w[:-1] if stop else w)
-                if stem is None:
-                    others.append(w)
-                    continue
+                others.setdefault(word, []).append(at)
+                out[at] = b""
+            else:
+                out[at] = ids
+        if others:
+            self._learn(list(others))
+            for word, places in others.items():
+                for at in places:
+                    out[at] = self.known[word]
+        return b"".join(out)
+
+    def _meet(self, word: bytes) -> bytes | None:
+        """Ids of a word that is not known; None if it has to go through the whole pipeline."""
+        known, older = self.known, self.older.get
+        ids = older(word)
+        if ids is None:
+            # Letters and a run of ASCII signs after them are apart for the pre-tokeniser, and so are their ids.
+            bare = word.rstrip(_SIGNS)
+            stem = _letters(bare) if bare else b""
+            if stem is None:
+                return None
+            ids = b""
+            if stem:
                 ids = known.get(stem) or older(stem)
                 if ids is None:
                     # Letters that normalising leaves alone go straight to the merges.
-                    ids = array("I", [t.id for t in tokenize(stem.decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+                    letters = stem.decode("ascii") if stem.isascii() else stem.decode("latin-1").translate(_BYTE_LETTERS)
+                    ids = array("I", [t.id for t in self.merge(letters)]).tobytes()
                 known[stem] = ids
-                ids += stop
-            known[w] = ids
-        if others:
-            self._learn(others)
+            if len(bare) < len(word):
+                run = word[len(bare) :]
+                ids += self.runs.get(run) or self._run(run)
+        known[word] = ids
+        return ids
+
+    def _run(self, run: bytes) -> bytes:
+        if len(self.runs) > 10_000:
+            self.runs.clear()
+        ids = self.runs[run] = self._ids(run.decode("ascii"))
+        return ids
 
 
 def _letters(word: bytes) -> bytes | None:
