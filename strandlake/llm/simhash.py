@@ -12,8 +12,10 @@ same comparisons, with no cap.
 
 :func:`near_duplicates` links 64-bit fingerprints within a few bits, and loses no link.
 :func:`similar_documents` is for a similarity of shingle sets, at which many more bits differ: it takes
-wider fingerprints, and buckets by tables of sampled bits, as many as it takes to bring
-a pair of just that similarity together with probability ``RECALL``.
+wider fingerprints of the sets, and buckets by tables of sampled bits, as many as it takes to bring
+a pair of just that similarity together with probability ``RECALL``. Those are candidates: a link is
+a pair whose hashed shingle sets were compared and are that similar. Near copies are found and linked
+first by a few tables; then all other pairs of different groups are compared.
 
 Defined cases: null, empty or blank text has fingerprint zero and is linked like any
 other. Rows with the same identifier are linked. A null identifier gets a
@@ -41,6 +43,10 @@ from strandlake.session import materialize, ship
 BITS = 64
 #: 64-bit words of a wide fingerprint; chance that a pair of just the wanted similarity meets.
 WIDE, RECALL = 4, 0.98
+#: Tables by which near copies meet before all other pairs.
+FIRST_TABLES = 8
+#: Documents up to which identifiers are broadcast.
+BROADCAST_IDS = 1_000_000
 #: Rows of a bucket that one task compares; larger buckets are split.
 CHUNK = 512
 #: Rows that a task's groups of buckets hold, about.
@@ -80,6 +86,15 @@ def wide_fingerprint(text: str | None, words: int, seed: int, size: int) -> np.n
     return out
 
 
+def set_sketch(text: str | None, words: int, seed: int, size: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """The set of a text's shingle hashes, its key, and its fingerprint of ``size`` words."""
+    shingles = np.unique(shingle_hashes(text, words, seed))
+    out = np.zeros(size, np.uint64)
+    for i in range(size if len(shingles) else 0):
+        out[i] = majority(mix(shingles + np.uint64(i) * _STEP) if i else shingles)
+    return shingles, xxhash.xxh64_intdigest(shingles.tobytes(), seed), out
+
+
 def majority(hashes: np.ndarray) -> int:
     n, counts = len(hashes), np.zeros(BITS, np.int64)
     for i in range(0, n, 1 << 16):
@@ -101,6 +116,33 @@ def fingerprints(docs: DataFrame, text: str, doc_id: str, words: int = 3, seed:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 
 
+def set_fingerprints(docs: DataFrame, text: str, doc_id: str, words: int, seed: int, size: int) -> DataFrame:
+    """(doc_id long, fp0, ..., key, n): fingerprint, key and size of the shingle set."""
+    ship(docs.sparkSession)
+    names = [*(f"fp{i}" for i in range(size)), "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_sketch(x, words, seed, size) for x in batch.column(1).to_pylist()]
+            rows = np.array([[*fp.tolist(), key] for _, key, fp in found], np.uint64).reshape(-1, size + 1)
+            longs = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in rows.T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array([len(x) for x, _, _ in found], pa.int32())], names=["doc_id", *names, "n"])
+
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names), "n int"]))
+
+
+def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """(key, shingles) of ``docs`` (id, text), a row a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_sketch(x, words, seed, 0) for x in batch.column(0).to_pylist()]
+            keys = np.array([key for _, key, _ in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.view(np.int64) for x, _, _ in found], pa.list_(pa.int64()))], names=["key", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "key long, shingles array<long>")
+
+
 def bands_for(n: int, radius: int) -> int:
     """Bands so that a bucket of unrelated fingerprints holds few of ``n``; any number is exact."""
     bands = radius + 1
@@ -139,7 +181,15 @@ class _Forest:
 
 
 def link_sorted(fp: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
-    """Root of each row, where rows of a bucket (contiguous) within ``radius`` bits are linked.
+    """Root of each row, where rows of a bucket (contiguous) within ``radius`` bits are linked."""
+    forest = _Forest(len(fp))
+    for i, j in pairs_sorted(fp, bucket, radius):
+        forest.unite(i, j)
+    return forest.root
+
+
+def pairs_sorted(fp: np.ndarray, bucket: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs of a bucket (contiguous) within ``radius`` bits, by how far apart they lie.
 
     ``fp``: a row of 64-bit words each. Counters are as wide as the radius needs, and start
     so that they overflow just beyond it.
@@ -147,9 +197,8 @@ def link_sorted(fp: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
     n, bits_in_all = len(fp), BITS * fp.shape[1]
     width = max(1, int(radius).bit_length())
     head_start = (1 << width) - 1 - radius
-    forest = _Forest(n)
     if n < 2:
-        return forest.root
+        return
     words = -(-n // 64)
     bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     planes = np.zeros((bits_in_all, words + 2), np.uint64)
@@ -186,8 +235,7 @@ def link_sorted(fp: np.ndarray, bucket: np.ndarray, radius: int) -> np.ndarray:
             hit = np.unpackbits((valid[at] & ~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             lane, bit = np.nonzero(hit)
             i = at[lane] * 64 + bit
-            forest.unite(i, i + s)
-    return forest.root
+            yield i, i + s
 
 
 def tables_for(n: int, similarity: float) -> list[list[int]]:
@@ -210,22 +258,61 @@ def tables_for(n: int, similarity: float) -> list[list[int]]:
 
 
 def differing(similarity: float) -> float:
-    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    """The greatest chance that a bit of two sets' fingerprints differs: by the angle, or counted out for small sets."""
+
+    def counted(both: int, x: int, y: int) -> float:
+        ways = sum(
+            math.comb(both, k) * math.comb(x, u) * math.comb(y, v)
+            for k in range(both + 1) for u in range(x + 1) for v in range(y + 1)
+            if (2 * (k + u) > both + x) != (2 * (k + v) > both + y)
+        )
+        return ways / 2 ** (both + x + y)
+
+    small = [counted(both, x, n - both - x) for n in range(1, 13) for both in range(1, n) if both / n >= similarity for x in range(n - both + 1)]
+    return max([math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi, *small])
+
+
+def _forest_links(fp: np.ndarray, bucket: np.ndarray, radius: int, columns: dict) -> tuple[np.ndarray, np.ndarray]:
+    root = link_sorted(fp, bucket, radius)
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return linked, root[linked]
+
 
+def _candidates(similarity: float, every: bool):
+    """Pairs to verify whose sizes allow the similarity: as many as span the groups, or every one between different ``part``s."""
 
-def links(distinct: DataFrame, masks: list[list[int]], radius: int) -> DataFrame:
-    """Spanning links (a, b) of (fp0.., rep): reps of fingerprints within ``radius`` bits that share bits under a mask."""
+    def choose(fp: np.ndarray, bucket: np.ndarray, radius: int, columns: dict) -> tuple[np.ndarray, np.ndarray]:
+        n, part = columns["n"], columns.get("part")
+        forest, out = _Forest(len(fp)), [np.zeros((2, 0), np.int64)]
+        for i, j in pairs_sorted(fp, bucket, radius):
+            fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
+            fits &= part[i] != part[j] if every else forest.root[i] != forest.root[j]
+            i, j = i[fits], j[fits]
+            if not every:
+                forest.unite(i, j)
+            out.append(np.stack([i, j]))
+        return tuple(np.concatenate(out, 1))
+
+    return choose
+
+
+def links(distinct: DataFrame, masks: list[list[int]], radius: int, choose=_forest_links, more: tuple[str, ...] = ()) -> DataFrame:
+    """Spanning links (a, b) of (fp0.., rep): reps of fingerprints within ``radius`` bits that share bits under a mask.
+
+    ``choose`` may name other pairs, by the columns ``more`` too. Buckets of a single ``part`` are left out.
+    """
     fps = [c for c in distinct.columns if c.startswith("fp")]
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
     keys = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(signed(m)) for c, m in zip(fps, mask, strict=True) if m]) for t, mask in enumerate(masks)]
-    spread = distinct.select(*fps, "rep", F.explode(F.array(*keys)).alias("bucket"))
-    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    spread = distinct.select(*fps, "rep", *more, F.explode(F.array(*keys)).alias("bucket"))
+    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *([F.min("part").alias("p"), F.max("part").alias("q")] if "part" in more else [])).where("n > 1")
+    sizes = sizes.where("p < q") if "part" in more else sizes
     sizes = materialize(sizes.select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
     chunked = sizes.agg(F.sum("chunks")).first()[0]
     groups = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), ((chunked or 0) * 4) // GROUP_ROWS)
     own = F.pmod(F.xxhash64(*fps), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64(F.col("bucket"), F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
-    dealt = spread.join(sizes, "bucket").withColumn("own", own).select(*fps, "rep", F.explode(pairs).alias("bucket"))
+    dealt = spread.join(sizes, "bucket").withColumn("own", own).select(*fps, "rep", *more, F.explode(pairs).alias("bucket"))
     dealt = dealt.withColumn("deal", F.pmod("bucket", F.lit(groups)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -233,42 +320,70 @@ def links(distinct: DataFrame, masks: list[list[int]], radius: int) -> DataFrame
         fp = np.stack([table.column(c).to_numpy() for c in fps], 1).view(np.uint64)
         order = np.argsort(bucket, kind="stable")
         fp, rep, bucket = fp[order], rep[order], bucket[order]
-        root = link_sorted(fp, bucket, radius)
-        linked = root != np.arange(len(root))
-        return pa.table({"a": pa.array(rep[linked]), "b": pa.array(rep[root[linked]])})
+        i, j = choose(fp, bucket, radius, {c: table.column(c).to_numpy()[order] for c in more})
+        if choose is not _forest_links:
+            i, j = np.unique(np.sort(np.stack([rep[i], rep[j]]), axis=0), axis=1)
+            return pa.table({"a": pa.array(i), "b": pa.array(j)})
+        return pa.table({"a": pa.array(rep[i]), "b": pa.array(rep[j])})
 
     return dealt.groupBy("deal").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _components(fps: DataFrame, make_masks, radius: int) -> DataFrame:
-    """doc_id, fp0, ..., component_id."""
-    words = [c for c in fps.columns if c.startswith("fp")]
+def _components(fps: DataFrame, same: list[str], edges_of) -> DataFrame:
+    """The columns of ``fps`` and component_id; rows equal in ``same`` are one, ``edges_of`` links their least identifiers."""
     known = fps.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    distinct = materialize(known.groupBy(*words).agg(F.min("id").alias("rep")), "distinct")
-    edges = links(distinct, make_masks(distinct.count()), radius)
+    distinct = materialize(known.groupBy(*same).agg(F.min("id").alias("rep")), "distinct")
+    edges = edges_of(distinct)
     # Rows with the same identifier but other texts link their fingerprints too.
     repeated = known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     if repeated:
-        by_id = known.join(distinct, words).groupBy("id", "rep").agg(F.lit(1).alias("one")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        by_id = known.join(distinct, same).groupBy("id", "rep").agg(F.lit(1).alias("one")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
         edges = edges.unionByName(by_id)
     found = materialize(connected_components(edges, "a", "b"), "components")
-    roots = distinct.join(found, distinct["rep"] == found["node"], "left").select(*words, F.coalesce("component", "rep").alias("root"))
-    return fps.join(materialize(roots, "roots"), words).select("doc_id", *words, F.when(F.col("root") != NULL_ID, F.col("root")).alias("component_id"))
+    roots = distinct.join(found, distinct["rep"] == found["node"], "left").select(*same, F.coalesce("component", "rep").alias("root"))
+    return fps.join(materialize(roots, "roots"), same).select("doc_id", *same, F.when(F.col("root") != NULL_ID, F.col("root")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (signed 64 bits), component_id: smallest identifier that links within ``radius`` bits reach."""
     fps = materialize(fingerprints(docs, text, doc_id, words, seed), "fingerprints")
-    masks = lambda n: [[m] for m in bucket_keys(bands_for(n, radius), radius)]
-    return _components(fps, masks, radius).withColumnRenamed("fp0", "fp")
+    edges = lambda distinct: links(distinct, [[m] for m in bucket_keys(bands_for(distinct.count(), radius), radius)], radius)
+    return _components(fps, ["fp0"], edges).withColumnRenamed("fp0", "fp")
+
+
+def verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """The ``pairs`` (a, b: keys of shingle sets) whose sets' Jaccard similarity is at least ``similarity``."""
+    keys = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
+    ids = materialize(distinct.join(keys, "key", "left_semi").select(F.col("rep").alias("id")).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    wanted = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    sets = materialize(shingle_sets(wanted, words, seed).join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("n"))
+    return both.where(F.col("common") / (F.col("n") - F.col("common")) >= similarity).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """doc_id, component_id: smallest identifier that links of about ``similarity`` or more reach.
+    """doc_id, component_id: smallest identifier that links of ``similarity`` or more reach.
 
-    The radius is what a pair of just that similarity has on average and three standard deviations.
+    The radius of candidates is what a pair of just that similarity has on average and three standard deviations.
     """
-    fps = materialize(fingerprints(docs, text, doc_id, words, seed, WIDE), "fingerprints")
+    fps = materialize(set_fingerprints(docs, text, doc_id, words, seed, WIDE), "fingerprints")
+    same = [c for c in fps.columns if c != "doc_id"]
+    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
     p, n = differing(similarity), BITS * WIDE
     radius = int(n * p + 3 * math.sqrt(n * p * (1 - p)))
-    return _components(fps, lambda rows: tables_for(rows, similarity), radius).select("doc_id", "component_id")
+
+    def edges_of(distinct: DataFrame) -> DataFrame:
+        masks = tables_for(distinct.count(), similarity)
+        by_key = distinct.withColumnRenamed("rep", "id").withColumn("rep", F.col("key"))
+        near = materialize(links(by_key, masks[:FIRST_TABLES], radius // 2, _candidates(similarity, False), ("n",)), "near")
+        near = materialize(verified(near, distinct, rows, words, similarity, seed), "near-links")
+        parts = materialize(connected_components(near, "a", "b"), "parts")
+        by_part = by_key.join(parts, by_key["key"] == parts["node"], "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
+        by_part = materialize(by_part, "by-part")
+        rest = materialize(links(by_part, masks, radius, _candidates(similarity, True), ("n", "part")), "rest")
+        found = near.unionByName(verified(rest, distinct, rows, words, similarity, seed))
+        rep = distinct.select("key", "rep")
+        return found.join(rep.toDF("a", "i"), "a").join(rep.toDF("b", "j"), "b").select(F.col("i").alias("a"), F.col("j").alias("b"))
+
+    return _components(fps, same, edges_of).select("doc_id", "component_id")

@@ -102,6 +102,33 @@ def test_similar_documents_find_edited_copies(spark, docs):
     assert out == {i: i % 100 for i, _ in rows}
 
 
+def test_similar_documents_link_at_the_similarity_and_not_below(spark):
+    from tests_llm_prose import prose
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def jaccard(a, b):
+        return len(a & b) / len(a | b) if a | b else 1
+
+    rows = []
+    for i in range(24):
+        base = prose(400 + i, 220).split()
+        rows.append((i, " ".join(base)))
+        for at in range(20, 20 + 7 * (i % 12 + 1), 7):  # one to twelve edits: similarity 0.95 to 0.57
+            base[at] = f"edit{at}"
+        rows.append((100 + i, " ".join(base)))
+    rows += [(300, "over and over " * 40 + prose(950, 60)), (301, "over and over " * 40 + prose(951, 60)), (302, "one two three four five six"), (303, "one two three four five seven")]
+    rows += [(310 + i, prose(960 + i, 60 - i)) for i in range(4)] + [(None, rows[0][1] + " end"), (None, prose(970, 50))]
+    sets = [(NULL_ID if i is None else i, shingles(t)) for i, t in rows]
+    pairs = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if jaccard(x, y) >= 0.8]
+    assert any(0.6 < jaccard(x, y) < 0.8 for k, (_, x) in enumerate(sets) for _, y in sets[:k])
+    want = components(pairs, {a for a, _ in sets})
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {i: c for i, c in want.items() if i != NULL_ID}
+
+
 def test_empty_table(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.similar_documents(empty).count() == 0
