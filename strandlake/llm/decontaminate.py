@@ -7,7 +7,7 @@ windows. In documents that share enough windows with an item, the slots of every
 alignment are compared: within one alignment an item's value must always stand for
 the same value of the document, else that alignment does not count. A document
 is contaminated by an item if the windows of consistent alignments cover 0.8
-of the item's, or if they make up a run of at least ``run`` words.
+of the item's, or if consecutive windows of one of them make up a run of at least ``run`` words.
 
 Names are capitalised words after a word or a comma of the same sentence. Units are
 those of a fixed list, as whole words. Defined cases: null or empty texts have no
@@ -20,7 +20,7 @@ counted number is within ``BROADCAST_WINDOWS``, else joined by shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.session import materialize
@@ -78,22 +78,54 @@ def window_hashes(words: Column, size: int = WINDOW) -> Column:
     return F.when(n > 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def benchmark_windows(items: DataFrame, text: str, item_id: str) -> DataFrame:
+def benchmark_windows(items: DataFrame, text: str, item_id: str, run: int = RUN) -> DataFrame:
+    """A row a window: item_id, n_words, fewest (distinct windows that a run of ``run`` words may hold), item_at, h."""
     words = items.select(F.col(f"`{item_id}`").alias("item_id"), template_words(F.col(f"`{text}`")).alias("words"), F.monotonically_increasing_id().alias("copy"))
     words = words.groupBy("item_id").agg(F.max_by("words", F.size("words")).alias("words"))
-    spread = words.select("item_id", F.size("words").alias("n_words"), F.posexplode(window_hashes(F.col("words"))).alias("item_at", "h"))
-    return spread
+    hashed = words.select("item_id", F.size("words").alias("n_words"), window_hashes(F.col("words")).alias("hs"))
+    return hashed.select("item_id", "n_words", _fewest(F.col("hs"), run).alias("fewest"), F.posexplode("hs").alias("item_at", "h"))
+
+
+def _windows_of(run: int) -> int:
+    return max(1, run - WINDOW + 1)
+
+
+def _fewest(hashes: Column, run: int) -> Column:
+    n = _windows_of(run)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - n, F.lit(0)))
+    return F.array_min(F.transform(starts, lambda i: F.size(F.array_distinct(F.slice(hashes, i + 1, n)))))
+
+
+def judged(hits: DataFrame) -> DataFrame:
+    """A row an alignment (doc_id, row, item_id, along): hs, longest run of windows, changed slots.
+
+    ``hits``: a row a window met, with its ``pairs`` of slots (item_slots, doc_slots, at).
+    """
+    line = ["doc_id", "row", "item_id", "along"]
+    each = hits.repartition(*line).select(*line, "item_at", "h", F.explode_outer("pairs").alias("z"))
+    each = each.select(*line, "item_at", "h", F.col("z")["item_slots"].alias("value"), F.col("z")["doc_slots"].alias("other"), F.col("z")["at"].alias("at"))
+    pair, value = Window.partitionBy(*line, "value", "other"), Window.partitionBy(*line, "value")
+    by_place = pair.orderBy("at")
+    each = each.withColumn("place", F.dense_rank().over(by_place)).withColumn("new", (F.row_number().over(by_place) == 1) & (F.col("value") != F.col("other")))
+    each = each.withColumn("torn", F.coalesce(F.min("other").over(value) != F.max("other").over(value), F.lit(False)))
+    windows = each.groupBy(*line, "item_at", "h").agg(F.max("torn").alias("torn"), F.sum(F.col("new").cast("int")).alias("new"))
+    windows = windows.withColumn("torn", F.max("torn").over(Window.partitionBy(*line))).where(~F.col("torn"))
+    windows = windows.withColumn("island", F.col("item_at") - F.dense_rank().over(Window.partitionBy(*line).orderBy("item_at")))
+    islands = windows.groupBy(*line, "island").agg(F.count(F.lit(1)).alias("run"), F.collect_set("h").alias("hs"), F.max("torn").alias("torn"), F.sum("new").alias("new"))
+    return islands.groupBy(*line).agg(F.flatten(F.collect_list("hs")).alias("hs"), F.max("run").alias("run"), F.max("torn").alias("torn"), F.coalesce(F.sum("new"), F.lit(0)).cast("int").alias("changed"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", share: float = SHARE, run: int = RUN) -> DataFrame:
     """A row a contaminated document and item: doc_id, item_id, windows, matched, share, changed_slots."""
-    bench = materialize(benchmark_windows(items, item_text, item_id), "benchmark")
+    bench = materialize(benchmark_windows(items, item_text, item_id, run), "benchmark")
     n_bench = bench.count()
     small = n_bench <= BROADCAST_WINDOWS
     hint = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    totals = bench.groupBy("item_id").agg(F.countDistinct("h").alias("windows"), F.max("n_words").alias("n_words"))
-    enough = F.least(F.ceil(F.col("windows") * share), F.greatest(F.lit(1), F.lit(run - WINDOW + 1))).cast("long")
-    totals = materialize(totals.withColumn("enough", F.greatest(F.least("windows", enough), F.lit(1))), "items")
+    totals = bench.groupBy("item_id").agg(F.countDistinct("h").alias("windows"), F.max("n_words").alias("n_words"), F.max("fewest").alias("fewest"))
+    totals = totals.withColumn("covering", F.greatest(F.ceil(F.col("windows") * share), F.lit(1)).cast("long"))
+    # A run needs as many windows; where windows repeat, fewer distinct ones.
+    has_run = F.col("n_words") - WINDOW + 1 >= _windows_of(run)
+    totals = materialize(totals.withColumn("enough", F.when(has_run, F.least("covering", "fewest")).otherwise(F.col("covering"))), "items")
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     spread = rows.select("doc_id", template_words(F.col("text")).alias("words")).select("doc_id", F.explode(window_hashes(F.col("words"))).alias("h"))
@@ -105,23 +137,20 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     ids = first.select("doc_id").distinct()
     few = first.count() <= BROADCAST_IDS
     again = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    again = again.select("doc_id", template_words(F.col("text")).alias("words"), slot_words(F.col("text")).alias("slots"))
-    placed = again.select("doc_id", "slots", F.size("words").alias("n"), F.posexplode(window_hashes(F.col("words"))).alias("doc_at", "h"))
-    placed = placed.select("doc_id", "doc_at", "h", F.slice("slots", F.col("doc_at") + 1, WINDOW).alias("doc_slots"))
+    again = again.select("doc_id", F.monotonically_increasing_id().alias("row"), template_words(F.col("text")).alias("words"), slot_words(F.col("text")).alias("slots"))
+    placed = again.select("doc_id", "row", "slots", F.size("words").alias("n"), F.posexplode(window_hashes(F.col("words"))).alias("doc_at", "h"))
+    placed = placed.select("doc_id", "row", "doc_at", "h", F.slice("slots", F.col("doc_at") + 1, WINDOW).alias("doc_slots"))
     item_words = items.select(F.col(f"`{item_id}`").alias("item_id"), slot_words(F.col(f"`{item_text}`")).alias("item_words"))
     item_words = item_words.groupBy("item_id").agg(F.max_by("item_words", F.size("item_words")).alias("item_words"))
     places = bench.join(item_words, "item_id").select("item_id", "item_at", "h", F.slice("item_words", F.col("item_at") + 1, WINDOW).alias("item_slots"))
     hits = placed.join(hint(places), "h").withColumn("along", F.col("doc_at") - F.col("item_at"))
     hits = hits.join(F.broadcast(first.withColumnsRenamed({"doc_id": "d", "item_id": "i"})) if few else first.withColumnsRenamed({"doc_id": "d", "item_id": "i"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
-    slot_pairs = F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda z: z["item_slots"].startswith("⟨"))
-    hits = hits.select("doc_id", "item_id", "along", "item_at", "h", slot_pairs.alias("pairs"))
-    lines = hits.groupBy("doc_id", "item_id", "along").agg(F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    sources = F.transform("pairs", lambda z: z["item_slots"])
-    consistent = F.size(F.array_distinct(sources)) == F.size("pairs")
-    changed = F.size(F.filter("pairs", lambda z: z["item_slots"] != z["doc_slots"]))
-    lines = lines.where(consistent).withColumn("changed", changed)
-    covered = lines.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"), F.max("changed").alias("changed_slots"))
-    out = covered.withColumn("matched", F.size("hs").cast("long")).join(hint(totals), "item_id").where("matched >= enough")
+    places_of = F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.col("item_at") + k)
+    slot_pairs = F.filter(F.arrays_zip("item_slots", "doc_slots", F.slice(places_of, 1, F.size("item_slots")).alias("at")), lambda z: z["item_slots"].startswith("⟨"))
+    lines = judged(hits.select("doc_id", "row", "item_id", "along", "item_at", "h", slot_pairs.alias("pairs")))
+    covered = lines.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"), F.max(F.when(~F.col("torn"), F.col("run"))).alias("run"), F.max("changed").alias("changed_slots"))
+    whole = (F.col("matched") >= F.col("covering")) | (F.coalesce("run", F.lit(0)) >= _windows_of(run))
+    out = covered.withColumn("matched", F.size("hs").cast("long")).join(hint(totals), "item_id").where(whole)
     return out.select("doc_id", "item_id", F.col("windows"), "matched", (F.col("matched") / F.col("windows")).alias("share"), F.col("changed_slots"))
 
 

@@ -78,3 +78,14 @@ def test_null_ids_repeats_extra_columns_and_empty_tables(spark, docs, empty):
     assert dc.contaminated(empty, items(spark)).count() == 0
     assert dc.contaminated(docs, items(spark).limit(0)).count() == 0
     assert dc.remove_contaminated(docs, items(spark).limit(0)).count() == docs.count()
+
+
+def test_a_run_is_of_consecutive_windows(spark):
+    words = prose(77, 300).replace("\n", " ").split()
+    pieces = [" ".join(words[at : at + 5]) for at in range(250, 0, -20)]
+    scattered = " xx yy ".join(pieces)
+    run = "xx yy " + " ".join(words[100:120]) + " zz"
+    same = "go " * 40
+    df = spark.createDataFrame([(0, scattered), (1, run), (2, f"well {'go ' * 14} on"), (3, "go go go go go on")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, f"{same} {prose(901, 60)}")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated(df, bench).collect()} == {(1, 1), (2, 2)}
