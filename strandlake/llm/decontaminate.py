@@ -5,7 +5,10 @@ letters. Windows of five template words of the benchmark are hashed and joined w
 of the documents, so a question whose figures and names were changed still meets its
 windows. In documents that share enough windows with an item, the slots of every
 alignment are compared: within one alignment an item's value must always stand for
-the same value of the document, else that alignment does not count. A document
+the same value of the document: where it stands for several, the commonest counts (of equally
+common ones the same value as the item's), and windows that hold another are taken out. Where there is
+no such one, all windows of that value are, and the others of that alignment count for the
+share, not for a run. A document
 is contaminated by an item if the windows of consistent alignments cover 0.8
 of the item's, or if consecutive windows of one of them make up a run of at least ``run`` words.
 
@@ -107,9 +110,12 @@ def judged(hits: DataFrame) -> DataFrame:
     pair, value = Window.partitionBy(*line, "value", "other"), Window.partitionBy(*line, "value")
     by_place = pair.orderBy("at")
     each = each.withColumn("place", F.dense_rank().over(by_place)).withColumn("new", (F.row_number().over(by_place) == 1) & (F.col("value") != F.col("other")))
-    each = each.withColumn("torn", F.coalesce(F.min("other").over(value) != F.max("other").over(value), F.lit(False)))
-    windows = each.groupBy(*line, "item_at", "h").agg(F.max("torn").alias("torn"), F.sum(F.col("new").cast("int")).alias("new"))
-    windows = windows.withColumn("torn", F.max("torn").over(Window.partitionBy(*line))).where(~F.col("torn"))
+    each = each.withColumn("rank", F.struct(F.max("place").over(pair).alias("times"), (F.col("value") == F.col("other")).alias("same")))
+    each = each.withColumn("top", F.when(F.col("rank") == F.max("rank").over(value), F.col("other")))
+    each = each.withColumn("low", F.min("top").over(value)).withColumn("torn", F.coalesce(F.col("low") != F.max("top").over(value), F.lit(False)))
+    each = each.withColumn("off", F.coalesce(F.col("torn") | (F.col("other") != F.col("low")), F.lit(False)))
+    windows = each.groupBy(*line, "item_at", "h").agg(F.max("off").alias("off"), F.max("torn").alias("torn"), F.sum((F.col("new") & ~F.col("off")).cast("int")).alias("new"))
+    windows = windows.withColumn("torn", F.max("torn").over(Window.partitionBy(*line))).where(~F.col("off"))
     windows = windows.withColumn("island", F.col("item_at") - F.dense_rank().over(Window.partitionBy(*line).orderBy("item_at")))
     islands = windows.groupBy(*line, "island").agg(F.count(F.lit(1)).alias("run"), F.collect_set("h").alias("hs"), F.max("torn").alias("torn"), F.sum("new").alias("new"))
     return islands.groupBy(*line).agg(F.flatten(F.collect_list("hs")).alias("hs"), F.max("run").alias("run"), F.max("torn").alias("torn"), F.coalesce(F.sum("new"), F.lit(0)).cast("int").alias("changed"))

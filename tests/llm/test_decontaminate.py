@@ -89,3 +89,12 @@ def test_a_run_is_of_consecutive_windows(spark):
     df = spark.createDataFrame([(0, scattered), (1, run), (2, f"well {'go ' * 14} on"), (3, "go go go go go on")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, " ".join(words)), (2, f"{same} {prose(901, 60)}")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated(df, bench).collect()} == {(1, 1), (2, 2)}
+
+
+def test_one_changed_slot_takes_out_only_its_windows(spark):
+    assert (0, 1) in found(spark, [ITEM.replace("while Alice", "while Alicia")])
+    long = f"we met Alice there {prose(902, 120)} and then Alice went home"
+    bench = spark.createDataFrame([(1, long)], "item_id long, text string")
+    df = spark.createDataFrame([(0, long.replace("met Alice", "met Bob").replace("then Alice", "then Carol"))], "doc_id long, text string")
+    row = dc.contaminated(df, bench).first()
+    assert row is not None and 0.8 <= row["share"] < 1
