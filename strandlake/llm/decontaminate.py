@@ -12,7 +12,11 @@ share, not for a run. A document
 is contaminated by an item if the windows of consistent alignments cover 0.8
 of the item's, or if consecutive windows of one of them make up a run of at least ``run`` words.
 
-Names are capitalised words after a word or a comma of the same sentence. Units are
+Each text has two views, and either may fulfil the rule: the template, and plain lower-case words, where
+names stay words; so copies in other case or with other marks round a name are met too.
+A run of plain words does not count where the template of that document has such a run whose
+slots are left alone. White space of any kind is one space.
+Names are capitalised words after a word or a comma of the same sentence, also in quotes or brackets. Units are
 those of a fixed list, as whole words. Defined cases: null or empty texts have no
 windows. An item of fewer words than a window has one window, the whole of it, which
 meets only documents that are just those words. Rows with the same identifier count as
@@ -44,7 +48,7 @@ UNITS = (
 
 _NUMBER, _NAME, _UNIT = "⟨n⟩", "⟨p⟩", "⟨u⟩"
 _DIGITS = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-_CAPITAL = r"(?<=[\p{L}\p{Nd},;] )\p{Lu}[\p{L}\p{Mn}'-]*"
+_CAPITAL = r"(?<=[\p{L}\p{Nd},;] [\"'(\[“‘«]?)\p{Lu}[\p{L}\p{Mn}'-]*"
 _UNIT_WORD = r"(?<=\p{Nd} ?)(?:" + "|".join(UNITS) + r")\b"
 #: What separates words of a template.
 _APART = r"[^\p{L}\p{Mn}\p{Nd}⟨⟩]+"
@@ -55,11 +59,12 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, _APART), lambda w: w != "")
 
 
-def _canonical(text: Column, unit: str, name: str, number: str) -> Column:
+def _canonical(text: Column, unit: str, name: str | None, number: str) -> Column:
     """Placeholders stand apart from what is around them, whatever they hold."""
     t = F.translate(F.coalesce(text, F.lit("")), "⟨⟩", "  ")
+    t = F.regexp_replace(t, r"[\s\p{Z}]+", " ")
     t = F.regexp_replace(t, _UNIT_WORD, f" {unit} ")
-    t = F.regexp_replace(t, _CAPITAL, f" {name} ")
+    t = F.regexp_replace(t, _CAPITAL, f" {name} ") if name else t
     return F.regexp_replace(t, _DIGITS, f" {number} ")
 
 
@@ -70,7 +75,26 @@ def template_words(text: Column) -> Column:
 
 def slot_words(text: Column) -> Column:
     """The same words, where placeholders keep what they stand for, as marked text."""
-    return F.regexp_extract_all(_canonical(text, "⟨u$0⟩", "⟨p$0⟩", "⟨n$0⟩"), F.lit("(⟨[^⟩]*⟩|[\\p{L}\\p{Mn}\\p{Nd}]+)"), F.lit(1))
+    return _marked(_canonical(text, "⟨u$0⟩", "⟨p$0⟩", "⟨n$0⟩"))
+
+
+def plain_words(text: Column) -> Column:
+    """Lower-case words, where numbers and units are placeholders and names are not."""
+    return _words(_canonical(F.lower(text), _UNIT, None, _NUMBER))
+
+
+def plain_slot_words(text: Column) -> Column:
+    return _marked(_canonical(F.lower(text), "⟨u$0⟩", None, "⟨n$0⟩"))
+
+
+def views(text: Column) -> Column:
+    """Structs of view (0 template, 1 plain), words and slots."""
+    template = F.struct(F.lit(0).alias("view"), template_words(text).alias("words"), slot_words(text).alias("slots"))
+    return F.array(template, F.struct(F.lit(1).alias("view"), plain_words(text).alias("words"), plain_slot_words(text).alias("slots")))
+
+
+def _marked(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(⟨[^⟩]*⟩|[\\p{L}\\p{Mn}\\p{Nd}]+)"), F.lit(1))
 
 
 def window_hashes(words: Column, size: int = WINDOW) -> Column:
@@ -81,12 +105,12 @@ def window_hashes(words: Column, size: int = WINDOW) -> Column:
     return F.when(n > 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def benchmark_windows(items: DataFrame, text: str, item_id: str, run: int = RUN) -> DataFrame:
-    """A row a window: item_id, n_words, fewest (distinct windows that a run of ``run`` words may hold), item_at, h."""
-    words = items.select(F.col(f"`{item_id}`").alias("item_id"), template_words(F.col(f"`{text}`")).alias("words"), F.monotonically_increasing_id().alias("copy"))
-    words = words.groupBy("item_id").agg(F.max_by("words", F.size("words")).alias("words"))
-    hashed = words.select("item_id", F.size("words").alias("n_words"), window_hashes(F.col("words")).alias("hs"))
-    return hashed.select("item_id", "n_words", _fewest(F.col("hs"), run).alias("fewest"), F.posexplode("hs").alias("item_at", "h"))
+def benchmark_windows(known: DataFrame, run: int = RUN) -> DataFrame:
+    """A row a window of ``known`` (item, text): item, view, n_words, fewest (distinct windows that a run of ``run`` words may hold), item_at, h, item_slots."""
+    words = known.select("item", F.explode(views(F.col("text"))).alias("v")).select("item", "v.*")
+    hashed = words.select("item", "view", F.size("words").alias("n_words"), "slots", window_hashes(F.col("words")).alias("hs"))
+    spread = hashed.select("item", "view", "n_words", "slots", _fewest(F.col("hs"), run).alias("fewest"), F.posexplode("hs").alias("item_at", "h"))
+    return spread.withColumn("slots", F.slice("slots", F.col("item_at") + 1, WINDOW)).withColumnRenamed("slots", "item_slots")
 
 
 def _windows_of(run: int) -> int:
@@ -100,11 +124,11 @@ def _fewest(hashes: Column, run: int) -> Column:
 
 
 def judged(hits: DataFrame) -> DataFrame:
-    """A row an alignment (doc_id, row, item_id, along): hs, longest run of windows, changed slots.
+    """A row an alignment (doc_id, row, item, view, along): hs, longest run of windows, changed slots.
 
     ``hits``: a row a window met, with its ``pairs`` of slots (item_slots, doc_slots, at).
     """
-    line = ["doc_id", "row", "item_id", "along"]
+    line = ["doc_id", "row", "item", "view", "along"]
     each = hits.repartition(*line).select(*line, "item_at", "h", F.explode_outer("pairs").alias("z"))
     each = each.select(*line, "item_at", "h", F.col("z")["item_slots"].alias("value"), F.col("z")["doc_slots"].alias("other"), F.col("z")["at"].alias("at"))
     pair, value = Window.partitionBy(*line, "value", "other"), Window.partitionBy(*line, "value")
@@ -123,41 +147,50 @@ def judged(hits: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", share: float = SHARE, run: int = RUN) -> DataFrame:
     """A row a contaminated document and item: doc_id, item_id, windows, matched, share, changed_slots."""
-    bench = materialize(benchmark_windows(items, item_text, item_id, run), "benchmark")
+    known = items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{item_text}`").alias("text"))
+    known = materialize(known.groupBy("item").agg(F.max_by("text", F.size(template_words(F.col("text")))).alias("text")).withColumn("item_id", F.col("item")), "known")
+    bench = materialize(benchmark_windows(known, run), "benchmark")
     n_bench = bench.count()
     small = n_bench <= BROADCAST_WINDOWS
     hint = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    totals = bench.groupBy("item_id").agg(F.countDistinct("h").alias("windows"), F.max("n_words").alias("n_words"), F.max("fewest").alias("fewest"))
+    totals = bench.groupBy("item", "view").agg(F.countDistinct("h").alias("windows"), F.max("n_words").alias("n_words"), F.max("fewest").alias("fewest"))
     totals = totals.withColumn("covering", F.greatest(F.ceil(F.col("windows") * share), F.lit(1)).cast("long"))
     # A run needs as many windows; where windows repeat, fewer distinct ones.
     has_run = F.col("n_words") - WINDOW + 1 >= _windows_of(run)
     totals = materialize(totals.withColumn("enough", F.when(has_run, F.least("covering", "fewest")).otherwise(F.col("covering"))), "items")
 
+    # Windows without names are the same in both views.
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    spread = rows.select("doc_id", template_words(F.col("text")).alias("words")).select("doc_id", F.explode(window_hashes(F.col("words"))).alias("h"))
-    keys = bench.select("h", "item_id").distinct()
-    met = spread.join(hint(keys), "h").groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("met"))
-    first = materialize(met.join(hint(totals), "item_id").where("met >= enough").select("doc_id", "item_id"), "candidates")
+    both = rows.select("doc_id", template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain"))
+    none = F.array().cast("array<bigint>")
+    hashes = [window_hashes(F.col("words")), F.when(F.col("plain") != F.col("words"), window_hashes(F.col("plain"))).otherwise(none)]
+    spread = both.select("doc_id", F.explode(F.concat(*hashes)).alias("h"))
+    keys = bench.select("h", "item", "view").distinct()
+    met = spread.join(hint(keys), "h").groupBy("doc_id", "item", "view").agg(F.countDistinct("h").alias("met"))
+    first = materialize(met.join(hint(totals), ["item", "view"]).where("met >= enough").select("doc_id", "item").distinct(), "candidates")
 
     # Only candidates are read again, with places and slot values.
     ids = first.select("doc_id").distinct()
     few = first.count() <= BROADCAST_IDS
     again = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    again = again.select("doc_id", F.monotonically_increasing_id().alias("row"), template_words(F.col("text")).alias("words"), slot_words(F.col("text")).alias("slots"))
-    placed = again.select("doc_id", "row", "slots", F.size("words").alias("n"), F.posexplode(window_hashes(F.col("words"))).alias("doc_at", "h"))
-    placed = placed.select("doc_id", "row", "doc_at", "h", F.slice("slots", F.col("doc_at") + 1, WINDOW).alias("doc_slots"))
-    item_words = items.select(F.col(f"`{item_id}`").alias("item_id"), slot_words(F.col(f"`{item_text}`")).alias("item_words"))
-    item_words = item_words.groupBy("item_id").agg(F.max_by("item_words", F.size("item_words")).alias("item_words"))
-    places = bench.join(item_words, "item_id").select("item_id", "item_at", "h", F.slice("item_words", F.col("item_at") + 1, WINDOW).alias("item_slots"))
-    hits = placed.join(hint(places), "h").withColumn("along", F.col("doc_at") - F.col("item_at"))
-    hits = hits.join(F.broadcast(first.withColumnsRenamed({"doc_id": "d", "item_id": "i"})) if few else first.withColumnsRenamed({"doc_id": "d", "item_id": "i"}), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_semi")
+    again = again.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    again = again.select("doc_id", "row", F.explode(views(F.col("text"))).alias("v")).select("doc_id", "row", "v.*")
+    placed = again.select("doc_id", "row", "view", "slots", F.posexplode(window_hashes(F.col("words"))).alias("doc_at", "h"))
+    placed = placed.select("doc_id", "row", "view", "doc_at", "h", F.slice("slots", F.col("doc_at") + 1, WINDOW).alias("doc_slots"))
+    hits = placed.join(hint(bench), ["h", "view"]).withColumn("along", F.col("doc_at") - F.col("item_at"))
+    pairs = first.toDF("d", "i")
+    hits = hits.join(F.broadcast(pairs) if few else pairs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item") == F.col("i")), "left_semi")
     places_of = F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.col("item_at") + k)
     slot_pairs = F.filter(F.arrays_zip("item_slots", "doc_slots", F.slice(places_of, 1, F.size("item_slots")).alias("at")), lambda z: z["item_slots"].startswith("⟨"))
-    lines = judged(hits.select("doc_id", "row", "item_id", "along", "item_at", "h", slot_pairs.alias("pairs")))
-    covered = lines.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"), F.max(F.when(~F.col("torn"), F.col("run"))).alias("run"), F.max("changed").alias("changed_slots"))
+    lines = judged(hits.select("doc_id", "row", "item", "view", "along", "item_at", "h", slot_pairs.alias("pairs")))
+    left = (F.col("view") == 0) & F.col("torn") & (F.col("run") >= _windows_of(run))
+    lines = lines.withColumn("left", F.max(left).over(Window.partitionBy("doc_id", "row", "item")))
+    counts = ~F.col("torn") & ((F.col("view") == 0) | ~F.col("left"))
+    covered = lines.groupBy("doc_id", "item", "view").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"), F.max(F.when(counts, F.col("run"))).alias("run"), F.max("changed").alias("changed_slots"))
     whole = (F.col("matched") >= F.col("covering")) | (F.coalesce("run", F.lit(0)) >= _windows_of(run))
-    out = covered.withColumn("matched", F.size("hs").cast("long")).join(hint(totals), "item_id").where(whole)
-    return out.select("doc_id", "item_id", F.col("windows"), "matched", (F.col("matched") / F.col("windows")).alias("share"), F.col("changed_slots"))
+    out = covered.withColumn("matched", F.size("hs").cast("long")).join(hint(totals), ["item", "view"]).where(whole).withColumn("share", F.col("matched") / F.col("windows"))
+    best = out.groupBy("doc_id", "item").agg(F.max_by(F.struct("windows", "matched", "share", "changed_slots"), F.struct("share", -F.col("view"))).alias("x"))
+    return best.join(hint(known.select("item", "item_id")), "item").select("doc_id", "item_id", "x.*")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

@@ -98,3 +98,10 @@ def test_one_changed_slot_takes_out_only_its_windows(spark):
     df = spark.createDataFrame([(0, long.replace("met Alice", "met Bob").replace("then Alice", "then Carol"))], "doc_id long, text string")
     row = dc.contaminated(df, bench).first()
     assert row is not None and 0.8 <= row["share"] < 1
+
+
+def test_copies_in_other_case_or_spacing_are_caught(spark):
+    filler = prose(31, 80)
+    spaced = ITEM.replace(" Alice", "\n  Alice").replace(" London", ' "London"')
+    texts = [ITEM.upper(), f"{filler} {ITEM.lower()} {filler}", f"{filler} {ITEM.title()}", spaced, filler.upper()]
+    assert set(found(spark, texts)) == {(0, 1), (1, 1), (2, 1), (3, 1)}
