@@ -18,10 +18,11 @@ A run of plain words does not count where the template of that document has such
 slots are left alone. White space of any kind is one space.
 Names are capitalised words after a word or a comma of the same sentence, also in quotes or brackets. Units are
 those of a fixed list, as whole words. Defined cases: null or empty texts have no
-windows. An item of fewer words than a window has one window, the whole of it, which
-meets only documents that are just those words. Rows with the same identifier count as
-one document; a null identifier is a document of its own. Repeated items are each
-reported. Empty tables give no row. The benchmark's windows are broadcast if their
+windows. An item of fewer words than a window has one window, the whole of it; it is searched within
+documents by windows of its own length. Items of one or two words, or of placeholders only,
+meet only documents that are just those words. Rows with the same identifier count as
+one document; a null identifier is a document of its own. Rows of items are each
+reported, whatever their identifiers; a null one too. Empty tables give no row. The benchmark's windows are broadcast if their
 counted number is within ``BROADCAST_WINDOWS``, else joined by shuffle.
 """
 
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from strandlake.session import materialize
 
 WINDOW = 5
+#: Words of an item that is searched within other texts.
+SHORTEST = 3
 SHARE = 0.8
 RUN = 13
 BROADCAST_WINDOWS = 500_000
@@ -106,13 +109,18 @@ def window_hashes(words: Column, size: int = WINDOW) -> Column:
 
 
 def benchmark_windows(known: DataFrame, run: int = RUN) -> DataFrame:
-    """A row a window of ``known`` (item, text): item, view, n_words, fewest (distinct windows that a run of ``run`` words may hold), item_at, h, item_slots."""
+    """A row a window of ``known`` (item, text): item, view, n_words, within, fewest (distinct windows that a run of ``run`` words may hold), item_at, h, item_slots."""
     words = known.select("item", F.explode(views(F.col("text"))).alias("v")).select("item", "v.*")
-    hashed = words.select("item", "view", F.size("words").alias("n_words"), "slots", window_hashes(F.col("words")).alias("hs"))
-    spread = hashed.select("item", "view", "n_words", "slots", _fewest(F.col("hs"), run).alias("fewest"), F.posexplode("hs").alias("item_at", "h"))
+    hashed = words.select("item", "view", F.size("words").alias("n_words"), _within(F.col("words")).alias("within"), "slots", window_hashes(F.col("words")).alias("hs"))
+    spread = hashed.select("item", "view", "n_words", "within", "slots", _fewest(F.col("hs"), run).alias("fewest"), F.posexplode("hs").alias("item_at", "h"))
     return spread.withColumn("slots", F.slice("slots", F.col("item_at") + 1, WINDOW)).withColumnRenamed("slots", "item_slots")
 
 
+def _within(words: Column) -> Column:
+    """Whether a text shorter than a window is searched within others: by a window of its own length."""
+    return F.size(words).between(SHORTEST, WINDOW - 1) & F.exists(words, lambda w: ~w.startswith("⟨"))
+
+
 def _windows_of(run: int) -> int:
     return max(1, run - WINDOW + 1)
 
@@ -147,8 +155,7 @@ def judged(hits: DataFrame) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", share: float = SHARE, run: int = RUN) -> DataFrame:
     """A row a contaminated document and item: doc_id, item_id, windows, matched, share, changed_slots."""
-    known = items.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{item_text}`").alias("text"))
-    known = materialize(known.groupBy("item").agg(F.max_by("text", F.size(template_words(F.col("text")))).alias("text")).withColumn("item_id", F.col("item")), "known")
+    known = materialize(items.select(F.monotonically_increasing_id().alias("item"), F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text")), "known")
     bench = materialize(benchmark_windows(known, run), "benchmark")
     n_bench = bench.count()
     small = n_bench <= BROADCAST_WINDOWS
@@ -158,12 +165,13 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     # A run needs as many windows; where windows repeat, fewer distinct ones.
     has_run = F.col("n_words") - WINDOW + 1 >= _windows_of(run)
     totals = materialize(totals.withColumn("enough", F.when(has_run, F.least("covering", "fewest")).otherwise(F.col("covering"))), "items")
+    sizes = [WINDOW, *(r[0] for r in bench.where("within").select("n_words").distinct().collect())]
 
     # Windows without names are the same in both views.
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     both = rows.select("doc_id", template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain"))
     none = F.array().cast("array<bigint>")
-    hashes = [window_hashes(F.col("words")), F.when(F.col("plain") != F.col("words"), window_hashes(F.col("plain"))).otherwise(none)]
+    hashes = [h for k in sizes for h in (window_hashes(F.col("words"), k), F.when(F.col("plain") != F.col("words"), window_hashes(F.col("plain"), k)).otherwise(none))]
     spread = both.select("doc_id", F.explode(F.concat(*hashes)).alias("h"))
     keys = bench.select("h", "item", "view").distinct()
     met = spread.join(hint(keys), "h").groupBy("doc_id", "item", "view").agg(F.countDistinct("h").alias("met"))
@@ -175,9 +183,11 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     again = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     again = again.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     again = again.select("doc_id", "row", F.explode(views(F.col("text"))).alias("v")).select("doc_id", "row", "v.*")
-    placed = again.select("doc_id", "row", "view", "slots", F.posexplode(window_hashes(F.col("words"))).alias("doc_at", "h"))
-    placed = placed.select("doc_id", "row", "view", "doc_at", "h", F.slice("slots", F.col("doc_at") + 1, WINDOW).alias("doc_slots"))
+    by_size = F.explode(F.array(*[window_hashes(F.col("words"), k) for k in sizes])).alias("hs")
+    placed = again.select("doc_id", "row", "view", "slots", F.size("words").alias("n"), by_size).select("doc_id", "row", "view", "slots", "n", F.posexplode("hs").alias("doc_at", "h"))
+    placed = placed.select("doc_id", "row", "view", "n", "doc_at", "h", F.slice("slots", F.col("doc_at") + 1, WINDOW).alias("doc_slots"))
     hits = placed.join(hint(bench), ["h", "view"]).withColumn("along", F.col("doc_at") - F.col("item_at"))
+    hits = hits.where((F.col("n_words") >= WINDOW) | F.col("within") | (F.col("n") == F.col("n_words")))
     pairs = first.toDF("d", "i")
     hits = hits.join(F.broadcast(pairs) if few else pairs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item") == F.col("i")), "left_semi")
     places_of = F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.col("item_at") + k)

@@ -105,3 +105,11 @@ def test_copies_in_other_case_or_spacing_are_caught(spark):
     spaced = ITEM.replace(" Alice", "\n  Alice").replace(" London", ' "London"')
     texts = [ITEM.upper(), f"{filler} {ITEM.lower()} {filler}", f"{filler} {ITEM.title()}", spaced, filler.upper()]
     assert set(found(spark, texts)) == {(0, 1), (1, 1), (2, 1), (3, 1)}
+
+
+def test_short_items_repeated_and_null_identifiers(spark):
+    bench = spark.createDataFrame([(1, "What is 17 * 23?"), (2, prose(910, 40)), (2, prose(911, 30)), (None, prose(912, 40)), (None, prose(913, 40)), (5, "12 34 56"), (6, "two words")], "item_id long, text string")
+    texts = [f"{prose(920, 30)} What is 17 * 23? {prose(921, 30)}", prose(910, 40), prose(911, 30), prose(912, 40), prose(913, 40), f"{prose(922, 30)} 1 2 3 two words", "7 8 9", "two words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"] or 0) for r in dc.contaminated(df, bench).collect())
+    assert got == [(0, 1), (1, 2), (2, 2), (3, 0), (4, 0), (6, 5), (7, 6)]
