@@ -12,6 +12,10 @@ share, not for a run. A document
 is contaminated by an item if the windows of consistent alignments cover 0.8
 of the item's, or if consecutive windows of one of them make up a run of at least ``run`` words.
 
+Documents are first looked for by runs of letter words (three, else two or one) that an item's windows hold:
+a bound by counting says how many of them any document with enough windows must hold, so no such document is
+lost, and only the others are spared the two views. Items that hold too few such words switch this off.
+
 Each text has two views, and either may fulfil the rule: the template, and plain lower-case words, where
 names stay words; so copies in other case or with other marks round a name are met too.
 A run of plain words does not count where the template of that document has such a run whose
@@ -38,6 +42,8 @@ WINDOW = 5
 SHORTEST = 3
 SHARE = 0.8
 RUN = 13
+#: Letter words in a row by which documents are looked for first.
+GRAMS = (3, 2, 1)
 BROADCAST_WINDOWS = 500_000
 BROADCAST_IDS = 1_000_000
 
@@ -50,23 +56,26 @@ UNITS = (
 ).split()
 
 _NUMBER, _NAME, _UNIT = "⟨n⟩", "⟨p⟩", "⟨u⟩"
-_DIGITS = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
-_CAPITAL = r"(?<=[\p{L}\p{Nd},;] [\"'(\[“‘«]?)\p{Lu}[\p{L}\p{Mn}'-]*"
-_UNIT_WORD = r"(?<=\p{Nd} ?)(?:" + "|".join(UNITS) + r")\b"
+#: Patterns begin with the letter or digit they are about, so that most places of a text are left at once.
+_DIGITS = r"(\p{Nd}+(?:[.,:/]\p{Nd}+)*)"
+_CAPITAL = r"(?=\p{Lu})(?<=[\p{L}\p{Nd},;] [\"'(\[“‘«]?)(\p{Lu}[\p{L}\p{Mn}'-]*)"
+_UNIT_WORD = r"(\p{Nd} ?)(" + "|".join(UNITS) + r")\b"
+#: White space other than a space between two words.
+_SPACES = r"(?: (?=[\s\p{Z}])|[\s\p{Z}&&[^ ]])[\s\p{Z}]*"
 #: What separates words of a template.
 _APART = r"[^\p{L}\p{Mn}\p{Nd}⟨⟩]+"
-_APART_RAW = r"[^\p{L}\p{Mn}\p{Nd}⟨⟩.,:/'-]+"
+_LETTERS_APART = r"[^\p{L}\p{Mn}]+"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, _APART), lambda w: w != "")
+    return F.array_remove(F.split(text, _APART), "")
 
 
 def _canonical(text: Column, unit: str, name: str | None, number: str) -> Column:
     """Placeholders stand apart from what is around them, whatever they hold."""
-    t = F.translate(F.coalesce(text, F.lit("")), "⟨⟩", "  ")
-    t = F.regexp_replace(t, r"[\s\p{Z}]+", " ")
-    t = F.regexp_replace(t, _UNIT_WORD, f" {unit} ")
+    t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("⟨"), F.lit(" ")), F.lit("⟩"), F.lit(" "))
+    t = F.regexp_replace(t, _SPACES, " ")
+    t = F.regexp_replace(t, _UNIT_WORD, f"$1 {unit.replace('$1', '$2')} ")
     t = F.regexp_replace(t, _CAPITAL, f" {name} ") if name else t
     return F.regexp_replace(t, _DIGITS, f" {number} ")
 
@@ -78,7 +87,7 @@ def template_words(text: Column) -> Column:
 
 def slot_words(text: Column) -> Column:
     """The same words, where placeholders keep what they stand for, as marked text."""
-    return _marked(_canonical(text, "⟨u$0⟩", "⟨p$0⟩", "⟨n$0⟩"))
+    return _marked(_canonical(text, "⟨u$1⟩", "⟨p$1⟩", "⟨n$1⟩"))
 
 
 def plain_words(text: Column) -> Column:
@@ -87,7 +96,7 @@ def plain_words(text: Column) -> Column:
 
 
 def plain_slot_words(text: Column) -> Column:
-    return _marked(_canonical(F.lower(text), "⟨u$0⟩", None, "⟨n$0⟩"))
+    return _marked(_canonical(F.lower(text), "⟨u$1⟩", None, "⟨n$1⟩"))
 
 
 def views(text: Column) -> Column:
@@ -108,12 +117,55 @@ def window_hashes(words: Column, size: int = WINDOW) -> Column:
     return F.when(n > 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
+def spread_hashes(rows: DataFrame, sizes: list[int], short: bool = True) -> DataFrame:
+    """doc_id, h: a row for each hash that :func:`window_hashes` gives of ``words``, for every one of ``sizes``.
+
+    Words are zipped with those after them, so hashes are made row by row in generated code.
+    Without ``short``, texts of fewer words than a window have none of that size.
+    """
+    most = max(sizes)
+    names = [f"w{k}" for k in range(most)]
+    after = [F.col("words") if not k else F.slice("words", k + 1, F.greatest(F.size("words") - k, F.lit(0))) for k in range(most)]
+    zipped = F.arrays_zip(*[a.alias(n) for a, n in zip(after, names, strict=True)])
+    each = rows.select("doc_id", F.size("words").alias("n"), F.posexplode(zipped).alias("at", "z")).select("doc_id", "n", "at", *[F.col("z")[n].alias(n) for n in names])
+    whole = lambda k: F.col(names[k - 1]).isNotNull() | ((F.col("at") == 0) & (F.col("n") < k) & F.lit(short))
+    if len(sizes) == 1:
+        return each.where(whole(most)).select("doc_id", F.xxhash64(*names).alias("h"))
+    hashes = F.array(*[F.when(whole(k), F.xxhash64(*names[:k])) for k in sizes])
+    return each.select("doc_id", F.explode(hashes).alias("h")).where("h is not null")
+
+
+def letter_words(text: Column) -> Column:
+    """Lower-case words of letters alone: consecutive words of either view that are no placeholders are so here too."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _LETTERS_APART), "")
+
+
+def cores(bench: DataFrame, totals: DataFrame) -> DataFrame:
+    """item, view, gram, need, h: runs of ``gram`` letter words of which a document must hold ``need`` to have enough windows.
+
+    A window without such a run tells nothing here; if there are as many of those as windows that are enough,
+    shorter runs are tried. ``gram`` and ``h`` are null where single words do not do either.
+    """
+    def runs(g: int) -> Column:
+        letters = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: (k + g <= F.size("words")) & F.forall(F.slice("words", k + 1, g), lambda w: ~w.startswith("⟨")))
+        return F.struct(F.lit(g).alias("gram"), F.transform(letters, lambda k: F.xxhash64(*[F.get("words", k + i) for i in range(g)])).alias("runs"))
+
+    by = ["item", "view", "gram"]
+    held = bench.select("item", "view", "h", F.explode(F.array(*[runs(g) for g in GRAMS])).alias("x")).select("item", "view", "h", "x.*")
+    each = held.select(*by, "h", F.explode_outer("runs").alias("r")).groupBy(*by, "r").agg(F.countDistinct("h").alias("n"))
+    told = each.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("r").isNull(), F.col("n"))), F.lit(0)).alias("mute"), F.max(F.when(F.col("r").isNotNull(), F.col("n"))).alias("often"), F.collect_set("r").alias("rs"))
+    fits = (F.col("mute") < F.col("enough")) & F.col("often").isNotNull()
+    need = F.ceil((F.col("enough") - F.col("mute")) / F.col("often")).alias("need")
+    best = told.join(totals.select("item", "view", "enough"), ["item", "view"]).groupBy("item", "view").agg(F.max(F.when(fits, F.struct("gram", need, "rs"))).alias("x"))
+    return best.select("item", "view", F.col("x")["gram"].alias("gram"), F.col("x")["need"].alias("need"), F.explode_outer(F.col("x")["rs"]).alias("h"))
+
+
 def benchmark_windows(known: DataFrame, run: int = RUN) -> DataFrame:
-    """A row a window of ``known`` (item, text): item, view, n_words, within, fewest (distinct windows that a run of ``run`` words may hold), item_at, h, item_slots."""
+    """A row a window of ``known`` (item, text): item, view, n_words, within, fewest (distinct windows that a run of ``run`` words may hold), item_at, h, item_slots, words."""
     words = known.select("item", F.explode(views(F.col("text"))).alias("v")).select("item", "v.*")
-    hashed = words.select("item", "view", F.size("words").alias("n_words"), _within(F.col("words")).alias("within"), "slots", window_hashes(F.col("words")).alias("hs"))
-    spread = hashed.select("item", "view", "n_words", "within", "slots", _fewest(F.col("hs"), run).alias("fewest"), F.posexplode("hs").alias("item_at", "h"))
-    return spread.withColumn("slots", F.slice("slots", F.col("item_at") + 1, WINDOW)).withColumnRenamed("slots", "item_slots")
+    hashed = words.select("item", "view", F.size("words").alias("n_words"), _within(F.col("words")).alias("within"), "slots", "words", window_hashes(F.col("words")).alias("hs"))
+    spread = hashed.select("item", "view", "n_words", "within", "slots", "words", _fewest(F.col("hs"), run).alias("fewest"), F.posexplode("hs").alias("item_at", "h"))
+    return spread.withColumn("slots", F.slice("slots", F.col("item_at") + 1, WINDOW)).withColumn("words", F.slice("words", F.col("item_at") + 1, WINDOW)).withColumnRenamed("slots", "item_slots")
 
 
 def _within(words: Column) -> Column:
@@ -153,6 +205,13 @@ def judged(hits: DataFrame) -> DataFrame:
     return islands.groupBy(*line).agg(F.flatten(F.collect_list("hs")).alias("hs"), F.max("run").alias("run"), F.max("torn").alias("torn"), F.coalesce(F.sum("new"), F.lit(0)).cast("int").alias("changed"))
 
 
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is among ``ids``, null included."""
+    ids = ids.toDF("_id")
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, rows["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", share: float = SHARE, run: int = RUN) -> DataFrame:
     """A row a contaminated document and item: doc_id, item_id, windows, matched, share, changed_slots."""
     known = materialize(items.select(F.monotonically_increasing_id().alias("item"), F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text")), "known")
@@ -167,26 +226,34 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     totals = materialize(totals.withColumn("enough", F.when(has_run, F.least("covering", "fewest")).otherwise(F.col("covering"))), "items")
     sizes = [WINDOW, *(r[0] for r in bench.where("within").select("n_words").distinct().collect())]
 
-    # Windows without names are the same in both views.
+    # Documents without enough of some item's letter words in a row are not read into views.
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    both = rows.select("doc_id", template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain"))
-    none = F.array().cast("array<bigint>")
-    hashes = [h for k in sizes for h in (window_hashes(F.col("words"), k), F.when(F.col("plain") != F.col("words"), window_hashes(F.col("plain"), k)).otherwise(none))]
-    spread = both.select("doc_id", F.explode(F.concat(*hashes)).alias("h"))
+    core = materialize(cores(bench, totals), "cores")
+    grams = sorted((r[0] for r in core.select("gram").distinct().collect()), key=lambda g: g or 0)
+    likely = rows
+    if grams and None not in grams:
+        held = spread_hashes(rows.select("doc_id", letter_words(F.col("text")).alias("words")), grams, False).join(hint(core), "h")
+        held = held.groupBy("doc_id", "item", "view", "need").agg(F.countDistinct("h").alias("held")).where("held >= need")
+        likely = _of(rows, materialize(held.select("doc_id").distinct(), "likely"))
+
+    # Windows without names are the same in both views.
+    both = likely.select("doc_id", template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain"))
+    none = F.array().cast("array<string>")
+    each = F.explode(F.array("words", F.when(F.col("plain") != F.col("words"), F.col("plain")).otherwise(none))).alias("words")
+    spread = spread_hashes(both.select("doc_id", each), sizes)
     keys = bench.select("h", "item", "view").distinct()
     met = spread.join(hint(keys), "h").groupBy("doc_id", "item", "view").agg(F.countDistinct("h").alias("met"))
     first = materialize(met.join(hint(totals), ["item", "view"]).where("met >= enough").select("doc_id", "item").distinct(), "candidates")
 
     # Only candidates are read again, with places and slot values.
-    ids = first.select("doc_id").distinct()
     few = first.count() <= BROADCAST_IDS
-    again = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    again = _of(rows, first.select("doc_id").distinct())
     again = again.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     again = again.select("doc_id", "row", F.explode(views(F.col("text"))).alias("v")).select("doc_id", "row", "v.*")
     by_size = F.explode(F.array(*[window_hashes(F.col("words"), k) for k in sizes])).alias("hs")
     placed = again.select("doc_id", "row", "view", "slots", F.size("words").alias("n"), by_size).select("doc_id", "row", "view", "slots", "n", F.posexplode("hs").alias("doc_at", "h"))
     placed = placed.select("doc_id", "row", "view", "n", "doc_at", "h", F.slice("slots", F.col("doc_at") + 1, WINDOW).alias("doc_slots"))
-    hits = placed.join(hint(bench), ["h", "view"]).withColumn("along", F.col("doc_at") - F.col("item_at"))
+    hits = placed.join(hint(bench.drop("words")), ["h", "view"]).withColumn("along", F.col("doc_at") - F.col("item_at"))
     hits = hits.where((F.col("n_words") >= WINDOW) | F.col("within") | (F.col("n") == F.col("n_words")))
     pairs = first.toDF("d", "i")
     hits = hits.join(F.broadcast(pairs) if few else pairs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item") == F.col("i")), "left_semi")
