@@ -16,76 +16,104 @@ a table is its own next one. An empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.session import n_blocks, ship, text_size
+from strandlake.session import materialize, ship, text_size
 
 WINDOW = 7
 LENGTH = 64
 SMALLEST = 3
+#: Bytes of a text that are hashed at a time, and of a range of documents that one task sorts and streams.
+PIECE = 1 << 16
+RANGE_BYTES = 256 << 20
+#: Characters of a text that range partitioning samples, for rows that share an identifier.
+HEAD = 64
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+_WRAP = (1 << 64) - 1
 
 
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the step and of its inverse modulo 2**64, at least n of each."""
-    if len(_powers[0]) < n:
-        size = 1 << max(12, int(n).bit_length())
-        for i, base in enumerate((_STEP, _BACK)):
-            out = np.ones(size, np.uint64)
-            done, by = 1, base
-            while done < size:
-                out[done : 2 * done] = out[: min(done, size - done)] * np.uint64(by)
-                by = by * by % (1 << 64)
-                done *= 2
-            _powers[i] = out
-    return _powers
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of the base modulo 2**64."""
+    out, done, by = np.ones(n, np.uint64), 1, base
+    while done < n:
+        out[done : 2 * done] = out[: min(done, n - done)] * np.uint64(by)
+        by = by * by & _WRAP
+        done *= 2
+    return out
+
+
+_UP, _DOWN = _powers(_STEP, PIECE + WINDOW + 1), _powers(_BACK, PIECE + WINDOW + 1)
 
 
 def fingerprint(data: bytes) -> str:
+    """Texts are hashed in pieces of fixed length, so memory does not grow with them.
+
+    With S(x) the sum of (byte + 1) step**-i over the bytes before x, the hash of bytes a to b is
+    (S(b) - S(a)) step**b, for the rolling window and for chunks alike. For every block size only the
+    first boundaries, S and step**x there, and their number are kept.
+    """
     n = len(data)
     if not n:
         return f"{SMALLEST}::"
-    up, down = _tables(n + 1)
-    # Hash of bytes (a, b] is (sums[b] - sums[a]) * up[b]: rolling and chunk hashes alike.
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * down[:n], out=sums[1:])
-    rolling = sums[1:].copy()
-    if n > WINDOW:
-        rolling[WINDOW:] -= sums[1 : n + 1 - WINDOW]
-    rolling *= up[:n]
-    rolling *= _MIX
-    context = (rolling >> np.uint64(34)).astype(np.uint32)
-    size = SMALLEST
-    while size * LENGTH < n:
-        size *= 2
-    while True:
-        ends = np.flatnonzero(context % np.uint32(size) == size - 1)
-        if size == SMALLEST or len(ends) >= LENGTH // 2:
-            break
-        size //= 2
-    twice = ends[context[ends] % np.uint32(2 * size) == 2 * size - 1]
-    return f"{size}:{_signature(sums, up, ends, n)}:{_signature(sums, up, twice, n)}"
-
-
-def _signature(sums: np.ndarray, up: np.ndarray, ends: np.ndarray, n: int) -> str:
+    top = 0
+    while (SMALLEST << top) * LENGTH < n:
+        top += 1
+    kept: list[list[np.ndarray]] = [[] for _ in range(top + 2)]
+    held, counts = [0] * (top + 2), [0] * (top + 2)
+    sum_lo, lo = 0, 0
+    for at in range(0, n, PIECE):
+        back = at - max(0, at - WINDOW + 1)
+        # S at the piece's first byte, looking back one window.
+        if at:
+            sum_lo = (sum_lo + int(sums[at - back - lo]) * pow(_BACK, lo, 1 << 64)) & _WRAP  # noqa: F821
+        lo = at - back
+        block = np.frombuffer(data, np.uint8, min(at + PIECE, n) - lo, lo).astype(np.uint64) + np.uint64(1)
+        m = len(block)
+        sums = np.empty(m + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(block * _DOWN[:m], out=sums[1:])
+        rolling = sums[1:].copy()
+        if m > WINDOW:
+            rolling[WINDOW:] -= sums[1 : m + 1 - WINDOW]
+        rolling *= _UP[:m]
+        rolling *= _MIX
+        context = (rolling >> np.uint64(34)).astype(np.uint32)
+        ends = np.flatnonzero(context[back:] % np.uint32(SMALLEST) == SMALLEST - 1) + back
+        up_lo, down_lo = np.uint64(pow(_STEP, lo, 1 << 64)), np.uint64(pow(_BACK, lo, 1 << 64))
+        for k in range(top + 2):
+            if k:
+                size = SMALLEST << k
+                ends = ends[context[ends] % np.uint32(size) == size - 1]
+            if not len(ends):
+                break
+            counts[k] += len(ends)
+            if held[k] < LENGTH - 1:
+                first = ends[: LENGTH - 1 - held[k]] + 1
+                held[k] += len(first)
+                kept[k].append(np.stack([(first + lo).astype(np.uint64), sums[first] * down_lo + np.uint64(sum_lo), _UP[first] * up_lo]))
+    total = (sum_lo + int(sums[m]) * pow(_BACK, lo, 1 << 64)) & _WRAP
+    last = np.array([[n], [total], [pow(_STEP, n, 1 << 64)]], np.uint64)
+    level = top
+    while level and counts[level] < LENGTH // 2:
+        level -= 1
+    return f"{SMALLEST << level}:{_signature(kept[level], last)}:{_signature(kept[level + 1], last)}"
+
+
+def _signature(kept: list[np.ndarray], last: np.ndarray) -> str:
     """A character a chunk; what follows the last boundary that counts is one chunk."""
-    to = ends[: LENGTH - 1] + 1
-    if not len(to) or to[-1] != n:
-        to = np.append(to, n)
-    since = np.empty_like(to)
-    since[0] = 0
-    since[1:] = to[:-1]
-    h = (sums[to] - sums[since]) * up[to] * _MIX
+    to = np.concatenate([*kept, last], 1)
+    if to.shape[1] > 1 and to[0, -2] == to[0, -1]:
+        to = to[:, :-1]
+    since = np.concatenate([[np.uint64(0)], to[1, :-1]])
+    h = (to[1] - since) * to[2] * _MIX
     return _ALPHABET[(h >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
 
@@ -149,62 +177,74 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _ranges(docs: DataFrame, doc_id: str, n: int) -> tuple[np.ndarray, DataFrame]:
-    """Splits of the identifiers into n ranges of about as many rows."""
-    ids = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(-(1 << 63))).alias("id"))
-    cuts = ids.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    return np.unique(np.array(cuts, np.float64).astype(np.int64)), ids
+def _judge(doc_ids: list, texts: list[str], following: list[str]) -> list[pa.Array]:
+    """The result columns, of texts and of those that follow them."""
+    encode = lambda t: t.encode("utf-8", "surrogatepass")
+    data = [encode(t) for t in texts]
+    prints = [fingerprint(d) for d in data]
+    changed = [encode(edited(t, f)) for t, f in zip(texts, following, strict=True)]
+    new_prints = [p if c == d else fingerprint(c) for c, d, p in zip(changed, data, prints, strict=True)]
+    # Most texts follow the one before them here.
+    next_prints = [prints[i + 1] if i + 1 < len(texts) and f is texts[i + 1] else fingerprint(encode(f)) for i, f in enumerate(following)]
+    return [
+        pa.array(doc_ids, pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in changed], pa.string()),
+        pa.array(prints, pa.string()), pa.array(new_prints, pa.string()), pa.array(likeness(prints, new_prints), pa.float64()), pa.array(likeness(prints, next_prints), pa.float64()),
+    ]
+
+
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [x.split()[0] for x in _RESULT.split(", ")]
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Results of a sorted range, row by row as it streams; its first text and its last row go on as they are."""
+    part, waiting, started = None, None, False
+    text_type = [pa.string(), pa.bool_(), pa.int32()]
+
+    def edge(doc_id, text, first):
+        columns = [pa.array([doc_id], pa.int64()), *(pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array([v], t) for v, t in zip((text, first, part), text_type, strict=True))], names=[*_NAMES, "text", "first", "part"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = list(zip(batch.column(0).to_pylist(), ((t or "") for t in batch.column(1).to_pylist()), strict=True))
+        if not started:
+            part, started = batch.column(2)[0].as_py(), True
+            yield edge(None, rows[0][1], True)
+        rows = [waiting, *rows] if waiting else rows
+        waiting = rows.pop()
+        if rows:
+            texts = [t for _, t in rows]
+            found = _judge([d for d, _ in rows], texts, [*texts[1:], waiting[1]])
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays([*found, *(pa.nulls(n, t) for t in text_type)], names=[*_NAMES, "text", "first", "part"])
+    if waiting:
+        yield edge(*waiting, False)
 
 
 def compare_with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; other columns are left out.
 
-    The next document is the one with the next identifier, and after the last the
-    first. Identifiers are split into ranges; the first row of a range also goes to the
-    range before it, so one shuffle of the texts suffices and no order is global.
+    The next document is the one with the next identifier, and after the last the first. Spark deals the
+    documents to ranges of identifiers (and of the texts' heads, so rows of one identifier may fill many), sorts
+    each and streams it. Only the first text and the last row of a range are left over: a table of two
+    rows a range, whose numbers alone are put in order to join each last row with the text that follows it.
     """
     spark = docs.sparkSession
     ship(spark)
     _, size = text_size(docs, text)
-    splits, ids = _ranges(docs, doc_id, n_blocks(docs, size))
-
-    @F.pandas_udf("int")
-    def range_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splits, x.to_numpy(np.int64), "right").astype(np.int32))
-
-    firsts = ids.groupBy(range_of("id").alias("part")).agg(F.min("id").alias("id")).collect()  # a row a range
-    firsts = sorted((r["id"], r["part"]) for r in firsts)
-    first_ids = np.array([x for x, _ in firsts], np.int64)
-    before = np.array([p for _, p in firsts[-1:] + firsts[:-1]], np.int32)
-
-    @F.pandas_udf("array<int>")
-    def parts_of(x: pd.Series) -> pd.Series:
-        """The row's range, and, where the row starts it, the range before as -1 - number."""
-        v = x.to_numpy(np.int64)
-        own = np.searchsorted(splits, v, "right").astype(np.int32)
-        at = np.searchsorted(first_ids, v)
-        starts = (at < len(first_ids)) & (first_ids[np.minimum(at, len(first_ids) - 1)] == v)
-        return pd.Series([[o, -1 - before[i]] if s else [o] for o, s, i in zip(own, starts, at, strict=True)])
-
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = rows.withColumn("part", F.explode(parts_of(F.coalesce("doc_id", F.lit(-(1 << 63))))))
-    rows = rows.select("doc_id", "text", F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part")).alias("part"), (F.col("part") < 0).alias("extra"))
-
-    def run(table: pa.Table) -> pa.Table:
-        all_rows = [(-(1 << 63) if i is None else i, t or "", i, e) for i, t, e in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "extra")), strict=True)]
-        own = sorted((r for r in all_rows if not r[3]), key=lambda r: r[:2])
-        extra = [min((r for r in all_rows if r[3]), key=lambda r: r[:2])]
-        texts = [r[1] for r in own]
-        data = [t.encode("utf-8", "surrogatepass") for t in texts]
-        prints = [fingerprint(d) for d in data]
-        changed = [edited(t, f).encode("utf-8", "surrogatepass") for t, f in zip(texts, [*texts[1:], extra[0][1]], strict=True)]
-        new_prints = [p if c == d else fingerprint(c) for c, d, p in zip(changed, data, prints, strict=True)]
-        following = [*prints[1:], fingerprint(extra[0][1].encode("utf-8", "surrogatepass"))]
-        return pa.table({
-            "doc_id": pa.array([r[2] for r in own], pa.int64()), "n_chars": pa.array(list(map(len, texts)), pa.int64()),
-            "edited_sha256": pa.array([hashlib.sha256(c).hexdigest() for c in changed], pa.string()),
-            "fingerprint": pa.array(prints, pa.string()), "edited_fingerprint": pa.array(new_prints, pa.string()),
-            "near_edited": pa.array(likeness(prints, new_prints)), "near_next": pa.array(likeness(prints, following)),
-        })
-
-    return rows.groupBy("part").applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    ranged = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, HEAD)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    found = ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_stream, f"{_RESULT}, text string, first boolean, part int")
+    found = materialize(found, "ranges")
+    firsts = found.where("first").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    order = found.where("first").select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next"))  # numbers of ranges
+    lasts = found.where("not first").select("doc_id", "text", "part").join(order, "part").join(firsts, "next").select("doc_id", "text", "following")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(_judge(*(batch.column(i).to_pylist() for i in range(3))), names=_NAMES)
+
+    return found.where("part is null").select(*_NAMES).unionByName(lasts.mapInArrow(run, _RESULT))

@@ -92,3 +92,24 @@ def test_single_and_empty_tables(spark, empty):
     one = pw.compare_with_next(spark.createDataFrame([(1, "abcd efgh")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0 and one[0]["edited_sha256"] == hashlib.sha256(b"abcd efab").hexdigest()
     assert pw.compare_with_next(empty).count() == 0
+
+
+def test_fingerprints_equal_a_naive_version_also_over_pieces(monkeypatch):
+    random.seed(5)
+    texts = [bytes(random.randrange(32, 127) for _ in range(n)) for n in (1, 6, 7, 8, 50, 300, 900, 4000)] + [b"ab" * 700, b"z" * 500]
+    whole = [pw.fingerprint(t) for t in texts]
+    assert whole == [naive_fingerprint(t) for t in texts]
+    for piece in (64, 100, 512):
+        monkeypatch.setattr(pw, "PIECE", piece)
+        assert [pw.fingerprint(t) for t in texts] == whole
+
+
+def test_one_identifier_may_hold_most_rows(spark):
+    n = 30_000
+    df = spark.range(n).selectExpr("case when id % 3 = 0 then id end as doc_id", "concat('text ', cast(id % 7001 as string), ' of many words') as text", "id as part", "'x' as first")
+    got = pw.compare_with_next(df).select("doc_id", "n_chars", "edited_sha256").collect()
+    rows = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in df.collect()))
+    want = []
+    for i, (d, t) in enumerate(rows):
+        want.append((d, len(t), hashlib.sha256(pw.edited(t, rows[(i + 1) % n][1]).encode()).hexdigest()))
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
