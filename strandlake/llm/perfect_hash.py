@@ -22,30 +22,50 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class MinimalPerfectHash:
-    """Numbers n distinct (h1, h2) pairs 0..n-1. Other pairs get any number, or -1."""
+    """Numbers the n distinct of (h1, h2) pairs 0..n-1; pairs may repeat. Other pairs get any number, or -1."""
 
-    def __init__(self, h1: np.ndarray, h2: np.ndarray, gamma: float = 1.7, levels: int = 48):
-        self.n = len(h1)
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, gamma: float = 1.7, levels: int = 64):
         self.bits: list[np.ndarray] = []
-        self.sizes: list[int] = []
-        self.ranks: list[np.ndarray] = []
-        placed = 0
         for level in range(levels):
             if not len(h1):
                 break
             size = max(64, -(-int(gamma * len(h1)) // 64) * 64)
             at = self._position(h1, h2, level, size)
-            alone = np.bincount(at, minlength=size) == 1
-            packed = np.packbits(alone, bitorder="little").view(np.uint64)
-            ones = np.bitwise_count(packed).astype(np.int64)
-            self.bits.append(packed)
-            self.sizes.append(size)
-            self.ranks.append(placed + np.cumsum(ones) - ones)
-            placed += int(ones.sum())
-            rest = ~alone[at]
+            # A position is taken if all pairs that fall on it are one and the same.
+            some = np.empty(size, np.int64)
+            some[at] = np.arange(len(at))
+            other = (h1[some[at]] != h1) | (h2[some[at]] != h2)
+            taken = np.zeros(size, bool)
+            taken[at] = True
+            taken[at[other]] = False
+            self.bits.append(np.packbits(taken, bitorder="little").view(np.uint64))
+            rest = ~taken[at]
             h1, h2 = h1[rest], h2[rest]
         if len(h1):
-            raise ValueError("keys of a perfect hash must be distinct")
+            raise ValueError("pairs that no level tells apart")
+        self._rank()
+
+    def _rank(self) -> None:
+        self.sizes = [64 * len(b) for b in self.bits]
+        self.ranks, self.n = [], 0
+        for packed in self.bits:
+            ones = np.bitwise_count(packed).astype(np.int64)
+            self.ranks.append(self.n + np.cumsum(ones) - ones)
+            self.n += int(ones.sum())
+
+    def to_bytes(self) -> bytes:
+        head = np.array([len(self.bits), *map(len, self.bits)], np.int64)
+        return head.tobytes() + b"".join(b.tobytes() for b in self.bits)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> MinimalPerfectHash:
+        out = cls.__new__(cls)
+        levels = int(np.frombuffer(data, np.int64, 1)[0])
+        lengths = np.frombuffer(data, np.int64, levels, 8)
+        words = np.frombuffer(data, np.uint64, int(lengths.sum()), 8 * (1 + levels))
+        out.bits = np.split(words, np.cumsum(lengths)[:-1]) if levels else []
+        out._rank()
+        return out
 
     @staticmethod
     def _position(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> np.ndarray:

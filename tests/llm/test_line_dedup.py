@@ -56,3 +56,29 @@ def test_perfect_hash_is_minimal_and_perfect():
         assert sorted(h.lookup(a, b).tolist()) == list(range(n))
     other = h.lookup(a ^ np.uint64(1), b)
     assert other.max() < n and other.min() >= -1
+
+
+def test_rows_without_identifier_or_of_one_are_one_document(spark):
+    shared = "a line that many rows hold"
+    rows = [(None, f"{shared}\nonly here number {i}") for i in range(40)] + [(3, f"{shared}\nthree has line {i}") for i in range(20)] + [(9, "only here number 7\nthree has line 4\na line of nine only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in dedup_lines(df).collect()), key=str)
+    assert got == brute(rows)
+    nobody = [r for r in rows if r[0] is None]
+    got = dedup_lines(spark.createDataFrame(nobody, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in got) == sorted(t for _, t in nobody)
+
+
+def test_index_of_repeated_rows_and_its_written_form():
+    from strandlake.llm.line_dedup import LineIndex
+
+    r = np.random.default_rng(3)
+    a, b = r.integers(0, 2**64, 3000, np.uint64), r.integers(0, 2**64, 3000, np.uint64)
+    pick = r.integers(0, 3000, 20_000)
+    ids = r.integers(0, 50, 20_000)
+    index = LineIndex.from_arrow(LineIndex(a[pick], b[pick], ids, ids).to_arrow(0))
+    count, first = index.probe(a, b)
+    for i in range(3000):
+        own = ids[pick == i]
+        assert count[i] == min(2, len(set(own.tolist()))) and (not len(own) or first[i] == own.min())
+    assert not index.probe(a, b ^ np.uint64(1))[0].any()
