@@ -1,11 +1,13 @@
-"""Language-model scores: a log-bilinear model over word classes, and an add-one unigram base.
+"""Language-model scores: a log-bilinear model over two words of context, and an add-one unigram base.
 
 Method. Every word has a class: the most frequent words one each, all others that of
-their last characters. A log-bilinear neural model gives P(class | class before): the
-dot product of a context vector and a target vector plus a bias, trained in numpy with
-noise-contrastive estimation on the class pairs of the whole training corpus (the
-expectation over noise is taken exactly). One batched matrix product gives all its
-normalised log-probabilities. Within a class, words have add-one
+their last characters. A log-bilinear neural model gives P(class | two classes before): the embeddings of
+both, weighted by position, add up to a context vector, and its dot product with the embedding of a class, plus
+that class's bias, is the class's log-odds. It is trained in numpy with noise-contrastive estimation: minibatches of
+the runs of three classes of the whole training corpus, each against classes drawn at random from the
+smoothed unigram distribution. Runs of three are counted in Spark; their table stays distributed. In a round every
+partition of it trains a copy of the model, and the copies are averaged. Log-odds add up over positions, so the
+normalisers of all contexts are one matrix product. Within a class, words have add-one
 probabilities; one more share stands for all words that training did not meet. So
 the probabilities of all words add up to 1 for every context.
 
@@ -14,13 +16,14 @@ dealt to blocks, the distinct words of a block fetch their counts by one join, a
 a block's documents are scored together. Words are compared by 64-bit hashes.
 
 Defined cases: null or empty text is the end token alone. Repeated rows count and are scored
-each. Without training documents all counts are 0 and the model is uniform
+each; identifiers play no part, null or repeated. Without training documents all counts are 0 and the model is uniform
 over classes. An empty table gives an empty table. Result columns replace input
 columns of the same name.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,21 +31,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import block_of, without
+from strandlake.llm.common import without
 from strandlake.session import materialize, n_blocks, ship, text_size
 
-#: Classes of one frequent word each, and of the other words by their endings.
-FREQUENT, ENDINGS = 384, 128
+#: Classes of one frequent word each, and of the other words by their endings: fewer if those are not ENDING_WORDS words each.
+FREQUENT, ENDINGS, ENDING_WORDS = 256, 768, 8
 CLASSES = FREQUENT + ENDINGS
 DIMENSIONS = 40
-#: Tokens of the corpus's own mix that every context is given on top of its own, so rare contexts stay near it.
-PRIOR_TOKENS = 50.0
+#: Rounds of training, rows of a minibatch, noise classes drawn for it, and how much commoner than data noise counts.
+ROUNDS, MINIBATCH, DRAWN, NOISE = 3, 2048, 96, 25.0
+RATE = 0.1
+#: Where the squares of gradients start: it shortens the first steps of classes that were hardly met.
+CALM = 1e-6
 #: Distinct words a task holds before it hands counts on, and words whose class a worker remembers.
 HELD = 400_000
+#: Tokens whose runs a task counts at a time.
+WAITING = 2_000_000
 #: No word holds white space.
 END = b"\n"
 RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -63,37 +72,72 @@ def ending(word: bytes) -> int:
 
 
 class BilinearModel:
-    """P(class | class before), from a matrix of pair counts."""
+    """P(class | the class two before, the class before)."""
 
-    def __init__(self, pairs: np.ndarray, dimensions: int = DIMENSIONS, noise: float = 10.0, steps: int = 400, rate: float = 0.05, seed: int = 7):
-        n = len(pairs)
+    def __init__(self, share: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 7):
+        """``share``: how common each class is, where the biases start."""
         random = np.random.default_rng(seed)
-        total = max(pairs.sum(), 1.0)
-        context, target = (random.normal(0, 0.1, (n, dimensions)) for _ in range(2))
-        # Noise is the smoothed distribution of classes, which is also where the biases start.
-        share = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * n)
-        bias = np.log(share)
-        shift = np.log(noise * share)
-        data, weight = pairs / total, noise * np.outer(pairs.sum(1) / total, share)
-        parameters = [context, target, bias]
-        mean, square = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
-        for step in range(1, steps + 1):
-            context, target, bias = parameters
-            odds = context @ target.T + bias - shift
-            true = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-            pull = data * (1 - true) - weight * true
-            gradients = [pull @ target - 1e-8 * context, pull.T @ context - 1e-8 * target, pull.sum(0)]
-            for i, g in enumerate(gradients):
-                mean[i] = 0.9 * mean[i] + 0.1 * g
-                square[i] = 0.99 * square[i] + 0.01 * g * g
-                parameters[i] = parameters[i] + rate / (1 + step / 200) * (mean[i] / (1 - 0.9**step)) / (np.sqrt(square[i] / (1 - 0.99**step)) + 1e-10)
-        self.context, self.target, self.bias = parameters
-
-    def log_probabilities(self) -> np.ndarray:
-        """Row c: natural log P(class | c), normalised."""
-        s = self.context @ self.target.T + self.bias
-        s -= s.max(1, keepdims=True)
-        return s - np.log(np.exp(s).sum(1, keepdims=True))
+        n = len(share)
+        self.context, self.target = (random.normal(0, 0.1, (n, dimensions)).astype(np.float32) for _ in range(2))
+        self.position = np.repeat(np.array([[0.5], [1.0]], np.float32), dimensions, 1)
+        self.bias = np.log(share).astype(np.float32)[:, None]
+        self.squares = [np.full_like(p, CALM) for p in self.parameters()]
+        smooth = share**0.75
+        self.noise = smooth / smooth.sum()
+
+    def parameters(self) -> list[np.ndarray]:
+        return [self.context, self.target, self.position, self.bias]
+
+    def train(self, runs: np.ndarray, n: np.ndarray, random: np.random.Generator, mean: float, rate: float = RATE) -> None:
+        """One pass over ``runs`` (rows of three classes, the last the target) that occur ``n`` times, ``mean`` on average."""
+        log_noise = np.log(NOISE * self.noise).astype(np.float32)
+        upto = np.cumsum(self.noise)
+        for i in range(0, len(n), MINIBATCH):
+            far, near, target = runs[i : i + MINIBATCH].T
+            weight = (n[i : i + MINIBATCH] / (mean * len(target))).astype(np.float32)[:, None]
+            drawn = np.minimum(np.searchsorted(upto, random.random(DRAWN) * upto[-1]), len(upto) - 1)
+            a, b = self.context[far], self.context[near]
+            v = a * self.position[0] + b * self.position[1]
+            q, z = self.target[target], self.target[drawn]
+            # Chances that a target is taken for noise, and that noise is taken for data.
+            odds = (v * q).sum(1, keepdims=True) + self.bias[target] - log_noise[target, None]
+            pull = weight / (1 + np.exp(np.clip(odds, -30, 30)))
+            odds = v @ z.T + self.bias[drawn].T - log_noise[drawn]
+            push = weight * (-NOISE / DRAWN) / (1 + np.exp(-np.clip(odds, -30, 30)))
+            g = pull * q + push @ z
+            position = np.stack([(g * a).sum(0), (g * b).sum(0)])
+            # Rare classes get long steps and common ones short.
+            self._step(0, np.concatenate([far, near]), np.concatenate([g * self.position[0], g * self.position[1]]), rate)
+            self._step(1, np.concatenate([target, drawn]), np.concatenate([pull * v, push.T @ v]), rate)
+            self._step(2, np.arange(2), position, rate)
+            self._step(3, np.concatenate([target, drawn]), np.concatenate([pull, push.sum(0)[:, None]]), rate)
+
+    def _step(self, which: int, rows: np.ndarray, gradients: np.ndarray, rate: float) -> None:
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        g, rows = np.add.reduceat(gradients[order], starts, axis=0), rows[starts]
+        parameter, square = self.parameters()[which], self.squares[which]
+        square[rows] += g * g
+        parameter[rows] += rate * g / (np.sqrt(square[rows]) + np.float32(1e-8))
+
+    def to_bytes(self) -> bytes:
+        return b"".join(p.tobytes() for p in [*self.parameters(), *self.squares])
+
+    def average(self, copies: list[bytes], weights: list[float]) -> None:
+        """Takes on the weighted mean of trained copies."""
+        total = np.sum([w * np.frombuffer(c, np.float32).astype(np.float64) for c, w in zip(copies, weights, strict=True)], axis=0) / sum(weights)
+        at = 0
+        for p in [*self.parameters(), *self.squares]:
+            p[...] = total[at : at + p.size].reshape(p.shape)
+            at += p.size
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(far, near, norm): log P(w | c, d) = far[c, w] + near[d, w] - norm[c, d]."""
+        context, target = self.context.astype(np.float64), self.target.astype(np.float64)
+        far, near = (context * self.position[0]) @ target.T, (context * self.position[1]) @ target.T + self.bias[:, 0].astype(np.float64)
+        a, b = far.max(1, keepdims=True), near.max(1, keepdims=True)
+        return far, near, np.log(np.exp(far - a) @ np.exp(near - b).T) + a + b.T
 
 
 class Lexicon:
@@ -104,13 +148,23 @@ class Lexicon:
         order = np.argsort(np.array(frequent, np.int64)) if frequent else np.zeros(0, np.int64)
         self.hashes, self.numbers = np.array(frequent, np.int64)[order], order.astype(np.int64)
         self.by_hash = dict(zip(frequent, range(len(frequent)), strict=True))
+        self.endings = len(class_tokens)
         self.rest = np.log((class_tokens + class_words + 1).astype(np.float64))
-        self.log_p: np.ndarray | None = None
+        self.model: BilinearModel | None = None
+        self.far = self.near = self.norm = np.zeros((0, 0))
         self._known: dict[bytes, int] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_known": {}}
 
+    def learnt(self, model: BilinearModel) -> None:
+        self.model = model
+        self.far, self.near, self.norm = model.tables()
+
+    def log_p(self, far: np.ndarray, near: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log P(target | far, near) of classes."""
+        return self.far[far, target] + self.near[near, target] - self.norm[far, near]
+
     def classes(self, words: list[bytes]) -> list[int]:
         known = self._known
         try:
@@ -120,7 +174,7 @@ class Lexicon:
                 known.clear()
             for w in set(words).difference(known):
                 c = self.by_hash.get(word_hash(w))
-                known[w] = FREQUENT + ending(w) if c is None else c
+                known[w] = FREQUENT + ending(w) % self.endings if c is None else c
             return list(map(known.__getitem__, words))
 
     def frequent_class(self, hashes: np.ndarray) -> np.ndarray:
@@ -170,48 +224,75 @@ def train(docs: DataFrame, keep: Column, text: str = "text") -> LanguageModel:
     for r in top:
         class_tokens[r["ending"]] -= r["c"]
         class_words[r["ending"]] -= 1
+    endings = max(1, min(ENDINGS, (v - len(top)) // ENDING_WORDS))
+    class_tokens, class_words = (np.bincount(np.arange(ENDINGS) % endings, x, endings) for x in (class_tokens, class_words))
     lexicon = Lexicon([r["h"] for r in top], class_tokens, class_words, n, v)
-    pairs = pair_counts(texts, lexicon)
-    mix = (pairs.sum(0) + 0.5) / (pairs.sum() + 0.5 * CLASSES)
-    lexicon.log_p = BilinearModel(pairs + PRIOR_TOKENS * mix).log_probabilities()
+    # Add-one over words, so that training starts from the base; classes of no word have next to nothing.
+    share = np.full(CLASSES, 1e-3)
+    share[: len(top)] = [r["c"] + 1 for r in top]
+    share[FREQUENT : FREQUENT + endings] = class_tokens + class_words + 1
+    lexicon.learnt(fit(run_counts(texts, lexicon), BilinearModel(share / share.sum())))
     return LanguageModel(counts, lexicon)
 
 
-def pair_counts(texts: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """How often each class follows each class; the end token comes before a text's first."""
+def run_counts(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(run, n): how often three classes follow each other; two end tokens come before a text's first."""
     shared = texts.sparkSession.sparkContext.broadcast(lexicon)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        out = np.zeros(CLASSES * CLASSES, np.int64)
-        (end,) = lex.classes([END])
+        ends = lex.classes([END, END])
         waiting: list[int] = []
         starts: list[int] = []
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 starts.append(len(waiting))
-                waiting.extend(lex.classes(tokens(value)))
-                if len(waiting) > 1_000_000:
-                    out += _pairs(waiting, starts, end)
+                waiting += ends
+                waiting += lex.classes(tokens(value))
+                if len(waiting) > WAITING:
+                    yield _runs(waiting, starts)
                     waiting, starts = [], []
         if waiting:
-            out += _pairs(waiting, starts, end)
-        at = np.flatnonzero(out)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], names=["pair", "n"])
+            yield _runs(waiting, starts)
+
+    found = texts.mapInArrow(count, "run long, n long")
+    return found.groupBy("run").agg(F.sum("n").alias("n"))
+
+
+def _runs(sequence: list[int], starts: list[int]) -> pa.RecordBatch:
+    """Counts of runs of three in texts that begin, with two ends, at ``starts``; no run ends at those."""
+    c, at = np.array(sequence, np.int64), np.array(starts, np.int64)
+    inside = np.ones(len(c), bool)
+    inside[at] = inside[at + 1] = False
+    run, n = np.unique(((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])[inside[2:]], return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(run), pa.array(n)], names=["run", "n"])
+
+
+def fit(runs: DataFrame, model: BilinearModel, rounds: int = ROUNDS) -> BilinearModel:
+    """Trains on the table of :func:`run_counts`: a copy of the model a partition and round, averaged by the tokens each saw.
 
-    found = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    out = np.zeros(CLASSES * CLASSES)
-    table = found.toArrow()  # at most CLASSES ** 2 rows
-    out[table.column("pair").to_numpy()] = table.column("n").to_numpy()
-    return out.reshape(CLASSES, CLASSES)
+    The table has at most CLASSES ** 3 rows whatever the corpus, so partitions and copies are bounded too.
+    """
+    table = materialize(runs, "runs")
+    distinct, total = table.agg(F.count(F.lit(1)), F.sum("n")).first()
+    for number in range(rounds if distinct else 0):
+        shared, mean, rate = table.sparkSession.sparkContext.broadcast(model), total / distinct, RATE / (1 + number / 2)
 
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            copy, seen = pickle.loads(pickle.dumps(shared.value)), 0  # noqa: B023
+            random = np.random.default_rng([number, TaskContext.get().partitionId()])  # noqa: B023
+            for batch in batches:
+                run, n = (c.to_numpy() for c in batch.columns)
+                order = random.permutation(len(n))
+                run, n = run[order], n[order]
+                copy.train(np.stack([run // CLASSES**2, run // CLASSES % CLASSES, run % CLASSES], 1), n, random, mean, rate)  # noqa: B023
+                seen += int(n.sum())
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([copy.to_bytes()]), pa.array([float(seen)])], names=["model", "seen"])
 
-def _pairs(sequence: list[int], starts: list[int], end: int) -> np.ndarray:
-    """Counts of (class before, class) over texts that begin at ``starts``."""
-    after = np.array(sequence, np.int64)
-    before = np.roll(after, 1)
-    before[starts] = end
-    return np.bincount(before * CLASSES + after, minlength=CLASSES * CLASSES)
+        copies = table.select("run", "n").mapInArrow(learn, "model binary, seen double").collect()
+        model.average([r["model"] for r in copies], [r["seen"] for r in copies])
+    return model
 
 
 def score(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -221,7 +302,7 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id: str
     docs = without(docs, *RESULT)
     _, size = text_size(docs, text)
     names, at = docs.columns, docs.columns.index(text)
-    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], block_of(f"`{doc_id}`", n_blocks(docs, size)).alias("block"))
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(n_blocks(docs, size))).cast("int").alias("block"))
     shared = spark.sparkContext.broadcast(model.lexicon)
 
     def distinct(table: pa.Table) -> pa.Table:
@@ -270,15 +351,16 @@ def _score_texts(texts: list[str | None], lex: Lexicon, known: np.ndarray, count
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         c = np.where(known[at] == h, counts[at], 0)
     frequent = lex.frequent_class(h)
-    last = np.fromiter(map(ending, words), np.int64, len(words))
+    last = np.fromiter(map(ending, words), np.int64, len(words)) % lex.endings
     cls = np.where(frequent >= 0, frequent, FREQUENT + last)
     within = np.where(frequent >= 0, 0.0, np.log(c + 1.0) - lex.rest[last])
     base = np.log(c + 1.0) - np.log(lex.n + (lex.v + 1.0))
     owner = np.repeat(np.arange(len(texts)), sizes)
     seq = cls[ids]
-    before = np.empty_like(seq)
-    before[1:] = seq[:-1]
-    before[np.cumsum(sizes) - sizes] = cls[local[END]]
-    s = lex.log_p[before, seq] + within[ids]
+    near, far = np.empty_like(seq), np.empty_like(seq)
+    starts = np.cumsum(sizes) - sizes
+    near[1:], near[starts] = seq[:-1], cls[local[END]]
+    far[1:], far[starts] = near[:-1], cls[local[END]]
+    s = lex.log_p(far, near, seq) + within[ids]
     total = lambda x: np.bincount(owner, x, len(texts))
     return sizes, total((c > 0)[ids].astype(np.float64)).astype(np.int64), total(base[ids]) / np.log(10), total(s) / np.log(10)

@@ -31,48 +31,91 @@ def test_probabilities_of_all_words_add_up(spark):
     model = lm.train(docs, F.lit(True))
     lex = model.lexicon
     known = {r["h"]: r["c"] for r in model.counts.collect()}
-    p = np.exp(lex.log_p)
-    assert np.allclose(p.sum(1), 1)
+    every = np.arange(lm.CLASSES)
     words = sorted({w for r in docs.collect() for w in lm.tokens(r["text"])})
     h = np.array(sorted(known))
     c = np.array([known[x] for x in h])
-    for context in (b"the", b"cat", lm.END):
+    for context in ((b"on", b"the"), (lm.END, b"cat"), (lm.END, lm.END)):
+        far, near = lex.classes(list(context))
+        p = np.exp(lex.log_p(far, near, every))
+        assert math.isclose(p.sum(), 1, rel_tol=1e-9)
         total = 0.0
-        (before,) = lex.classes([context])
         for w in words:
             (cls,) = lex.classes([w])
             within = 1.0 if cls < lm.FREQUENT else (known[lm.word_hash(w)] + 1) / math.exp(lex.rest[cls - lm.FREQUENT])
-            total += p[before, cls] * within
+            total += p[cls] * within
         # One share of each class of endings stands for words that training did not meet; unused classes of frequent words hold none.
-        rest = sum(p[before, lm.FREQUENT + j] / math.exp(lex.rest[j]) for j in range(lm.ENDINGS))
-        unused = p[before, len(lex.by_hash) : lm.FREQUENT].sum()
+        rest = sum(p[lm.FREQUENT + j] / math.exp(lex.rest[j]) for j in range(lex.endings))
+        unused = p[len(lex.by_hash) : lm.FREQUENT].sum() + p[lm.FREQUENT + lex.endings :].sum()
         assert math.isclose(total + rest + unused, 1, rel_tol=1e-9)
     n, k, base, score = lm._score_texts(["the cat", None, "unheard words"], lex, h, c)
     assert n.tolist() == [3, 1, 3] and k.tolist() == [3, 1, 1]
-    ids = lex.classes([lm.END, b"the", b"cat", lm.END])
-    want = sum(lex.log_p[a, b] for a, b in zip(ids, ids[1:], strict=False))
-    want += sum(0 if i < lm.FREQUENT else math.log(known[lm.word_hash(w)] + 1) - lex.rest[i - lm.FREQUENT] for i, w in zip(ids[1:], (b"the", b"cat", lm.END), strict=True))
+    ids = lex.classes([lm.END, lm.END, b"the", b"cat", lm.END])
+    want = sum(lex.log_p(*x) for x in zip(ids, ids[1:], ids[2:], strict=False))
+    want += sum(0 if i < lm.FREQUENT else math.log(known[lm.word_hash(w)] + 1) - lex.rest[i - lm.FREQUENT] for i, w in zip(ids[2:], (b"the", b"cat", lm.END), strict=True))
     assert math.isclose(score[0], want / math.log(10))
 
 
-def test_pair_counts(spark):
-    texts = [("a b a",), (None,), ("",), ("b",)]
+def test_run_counts(spark):
+    texts = [("a b a",), (None,), ("",), ("b",), ("a b",)]
     docs = spark.createDataFrame(texts, "text string").withColumn("doc_id", F.monotonically_increasing_id())
-    model = lm.train(docs, F.lit(True))
-    got = lm.pair_counts(docs.select("text"), model.lexicon)
-    want = np.zeros_like(got)
+    lex = lm.train(docs, F.lit(True)).lexicon
+    want = Counter()
     for (t,) in texts:
-        ids = model.lexicon.classes([lm.END, *lm.tokens(t)])
-        for a, b in zip(ids, ids[1:], strict=False):
-            want[a, b] += 1
-    assert (got == want).all()
+        ids = lex.classes([lm.END, lm.END, *lm.tokens(t)])
+        want.update((a * lm.CLASSES + b) * lm.CLASSES + c for a, b, c in zip(ids, ids[1:], ids[2:], strict=False))
+    for df in (docs.select("text"), docs.select("text").coalesce(1)):
+        assert {r["run"]: r["n"] for r in lm.run_counts(df, lex).collect()} == want
 
 
-def test_noise_contrastive_estimates_approach_the_pair_shares():
+def test_noise_contrastive_estimates_approach_the_shares():
     r = np.random.default_rng(1)
-    pairs = r.integers(1, 200, (12, 12)).astype(float)
-    got = np.exp(lm.BilinearModel(pairs, dimensions=12, steps=1500).log_probabilities())
-    assert np.abs(got - pairs / pairs.sum(1, keepdims=True)).max() < 0.02
+    n = r.integers(1, 200, (1, 12, 12)).astype(float)
+    runs = np.stack([x.ravel() for x in np.indices(n.shape)], 1)
+    share = n.sum((0, 1)) / n.sum()
+    model = lm.BilinearModel(share, dimensions=12)
+    for k in range(2500):
+        model.train(runs, n.ravel(), np.random.default_rng(k), n.mean(), 0.3 / (1 + k / 100))
+    far, near, norm = model.tables()
+    got = np.exp(far[0][None] + near - norm[0][:, None])
+    assert np.abs(got - n[0] / n[0].sum(1, keepdims=True)).max() < 0.03
+
+
+def test_gradient_is_that_of_the_objective():
+    """One step of plain ascent from fixed noise, against differences of the objective."""
+    share = np.array([0.4, 0.3, 0.2, 0.1])
+    runs, n = np.array([[0, 1, 2], [3, 1, 0], [2, 2, 1]]), np.array([2.0, 1.0, 3.0])
+    model = lm.BilinearModel(share, dimensions=3)
+    drawn = np.minimum(np.searchsorted(np.cumsum(model.noise), np.random.default_rng(5).random(lm.DRAWN)), 3)
+
+    def objective(context, target, position, bias):
+        v = context[runs[:, 0]] * position[0] + context[runs[:, 1]] * position[1]
+        log_noise = np.log(lm.NOISE * model.noise)
+        odds = (v * target[runs[:, 2]]).sum(1) + bias[runs[:, 2], 0] - log_noise[runs[:, 2]]
+        against = v @ target[drawn].T + bias[drawn, 0] - log_noise[drawn]
+        weight = n / (n.mean() * 3)
+        return (weight * (-np.log1p(np.exp(-odds)) - lm.NOISE / lm.DRAWN * np.log1p(np.exp(against)).sum(1))).sum()
+
+    seen = {}
+    model._step = lambda which, rows, g, rate: seen.__setitem__(which, (rows, g))
+    start = [p.astype(np.float64) for p in model.parameters()]
+    model.train(runs, n, np.random.default_rng(5), n.mean())
+    for which, (rows, g) in seen.items():
+        got = np.zeros_like(start[which])
+        np.add.at(got, rows, g)
+        for at in np.ndindex(got.shape):
+            up, down = [p.copy() for p in start], [p.copy() for p in start]
+            up[which][at] += 1e-5
+            down[which][at] -= 1e-5
+            assert math.isclose(got[at], (objective(*up) - objective(*down)) / 2e-5, rel_tol=1e-3, abs_tol=1e-4)
+
+
+def test_clashing_columns_and_rows_of_one_identifier_or_none(spark):
+    rows = [(None, "the cat sat"), (None, "the dog sat"), (4, "the cat sat"), (4, "a long text " * 3000), (4, None)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4.0, "s") for i, t in rows], "doc_id long, text string, n_tokens int, n_known int, train_tokens int, base_score double, score string")
+    out = lm.score(df, lm.train(df, F.lit(True))).collect()
+    assert len(out) == 5 and sorted(r["n_tokens"] for r in out) == [1, 4, 4, 4, 9001]
+    assert {r["score"] for r in out if r["text"] == "the cat sat"}.__len__() == 1
 
 
 def test_empty_tables(docs, empty):
