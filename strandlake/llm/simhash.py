@@ -18,8 +18,8 @@ a pair whose hashed shingle sets were compared and are that similar. Near copies
 first by a few tables; then all other pairs of different groups are compared.
 
 Defined cases: null, empty or blank text has fingerprint zero and is linked like any
-other. Rows with the same identifier are linked. A null identifier gets a
-component of its fingerprint's links, and counts as the largest identifier. An
+other. Links are between fingerprints, never by identifier: rows that share one, or have none, are linked
+only if their texts are. A component is named by its smallest identifier; one of rows without any has none. An
 empty table gives an empty table.
 """
 
@@ -32,10 +32,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import NULL_ID
 from strandlake.llm.components import connected_components
 from strandlake.llm.perfect_hash import mix
 from strandlake.session import materialize, ship
@@ -52,7 +51,8 @@ CHUNK = 512
 #: Rows that a task's groups of buckets hold, about.
 GROUP_ROWS = 40_000
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_ONES_INT = 0xFFFFFFFFFFFFFFFF
+_STEP = 0x9E3779B97F4A7C15
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -80,19 +80,20 @@ def shingle_hashes(text: str | None, words: int, seed: int) -> np.ndarray:
 def wide_fingerprint(text: str | None, words: int, seed: int, size: int) -> np.ndarray:
     """``size`` words: the first of the shingles' hashes, the others of hashes made from those."""
     hashes = shingle_hashes(text, words, seed)
+    return _words_of(hashes, size)
+
+
+def _words_of(hashes: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(size, np.uint64)
     for i in range(size if len(hashes) else 0):
-        out[i] = majority(mix(hashes + np.uint64(i) * _STEP) if i else hashes)
+        out[i] = majority(mix(hashes + np.uint64(i * _STEP & _ONES_INT)) if i else hashes)
     return out
 
 
 def set_sketch(text: str | None, words: int, seed: int, size: int) -> tuple[np.ndarray, int, np.ndarray]:
     """The set of a text's shingle hashes, its key, and its fingerprint of ``size`` words."""
     shingles = np.unique(shingle_hashes(text, words, seed))
-    out = np.zeros(size, np.uint64)
-    for i in range(size if len(shingles) else 0):
-        out[i] = majority(mix(shingles + np.uint64(i) * _STEP) if i else shingles)
-    return shingles, xxhash.xxh64_intdigest(shingles.tobytes(), seed), out
+    return shingles, xxhash.xxh64_intdigest(shingles.tobytes(), seed), _words_of(shingles, size)
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -116,19 +117,25 @@ def fingerprints(docs: DataFrame, text: str, doc_id: str, words: int = 3, seed:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names)]))
 
 
+def row_hash(text: str) -> Column:
+    """Tells rows of one identifier apart."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
 def set_fingerprints(docs: DataFrame, text: str, doc_id: str, words: int, seed: int, size: int) -> DataFrame:
-    """(doc_id long, fp0, ..., key, n): fingerprint, key and size of the shingle set."""
+    """(doc_id, row, fp0, ..., key, n): a hash of the text; fingerprint, key and size of its shingle set."""
     ship(docs.sparkSession)
     names = [*(f"fp{i}" for i in range(size)), "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [set_sketch(x, words, seed, size) for x in batch.column(1).to_pylist()]
+            found = [set_sketch(x, words, seed, size) for x in batch.column(2).to_pylist()]
             rows = np.array([[*fp.tolist(), key] for _, key, fp in found], np.uint64).reshape(-1, size + 1)
             longs = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in rows.T]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *longs, pa.array([len(x) for x, _, _ in found], pa.int32())], names=["doc_id", *names, "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, pa.array([len(x) for x, _, _ in found], pa.int32())], names=["doc_id", "row", *names, "n"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names), "n int"]))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_hash(text).alias("row"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "row long", *(f"{n} long" for n in names), "n int"]))
 
 
 def shingle_sets(docs: DataFrame, words: int, seed: int) -> DataFrame:
@@ -307,9 +314,11 @@ def links(distinct: DataFrame, masks: list[list[int]], radius: int, choose=_fore
     spread = distinct.select(*fps, "rep", *more, F.explode(F.array(*keys)).alias("bucket"))
     sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *([F.min("part").alias("p"), F.max("part").alias("q")] if "part" in more else [])).where("n > 1")
     sizes = sizes.where("p < q") if "part" in more else sizes
-    sizes = materialize(sizes.select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
-    chunked = sizes.agg(F.sum("chunks")).first()[0]
-    groups = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), ((chunked or 0) * 4) // GROUP_ROWS)
+    sizes = materialize(sizes.select("bucket", "n", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
+    # A bucket's rows go to each of its chunk pairs that they are part of.
+    dealt_rows = sizes.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0] or 0
+    groups = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-dealt_rows // GROUP_ROWS))
+    sizes = sizes.select("bucket", "chunks")
     own = F.pmod(F.xxhash64(*fps), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64(F.col("bucket"), F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
     dealt = spread.join(sizes, "bucket").withColumn("own", own).select(*fps, "rep", *more, F.explode(pairs).alias("bucket"))
@@ -329,61 +338,81 @@ def links(distinct: DataFrame, masks: list[list[int]], radius: int, choose=_fore
     return dealt.groupBy("deal").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _components(fps: DataFrame, same: list[str], edges_of) -> DataFrame:
-    """The columns of ``fps`` and component_id; rows equal in ``same`` are one, ``edges_of`` links their least identifiers."""
-    known = fps.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
-    distinct = materialize(known.groupBy(*same).agg(F.min("id").alias("rep")), "distinct")
-    edges = edges_of(distinct)
-    # Rows with the same identifier but other texts link their fingerprints too.
-    repeated = known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    if repeated:
-        by_id = known.join(distinct, same).groupBy("id", "rep").agg(F.lit(1).alias("one")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        edges = edges.unionByName(by_id)
-    found = materialize(connected_components(edges, "a", "b"), "components")
-    roots = distinct.join(found, distinct["rep"] == found["node"], "left").select(*same, F.coalesce("component", "rep").alias("root"))
-    return fps.join(materialize(roots, "roots"), same).select("doc_id", *same, F.when(F.col("root") != NULL_ID, F.col("root")).alias("component_id"))
+def _components(fps: DataFrame, node: str, edges_of) -> DataFrame:
+    """``fps`` with root (least node of the component) and component_id; ``edges_of`` links rows of one ``node`` each, their rep."""
+    others = [c for c in fps.columns if c not in ("doc_id", "row", node)]
+    nodes = fps.groupBy(node).agg(*[F.first(c).alias(c) for c in others], F.min(F.struct(F.col("doc_id").isNull().alias("none"), *[c for c in ("doc_id", "row") if c in fps.columns])).alias("least"))
+    distinct = materialize(nodes.withColumn("rep", F.col(node)), "distinct")
+    found = materialize(connected_components(edges_of(distinct), "a", "b"), "components")
+    roots = distinct.join(found, distinct[node] == found["node"], "left").select(node, "least", F.coalesce("component", "rep").alias("root"))
+    named = roots.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
+    return fps.join(materialize(roots.select(node, "root").join(named, "root"), "roots"), node)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (signed 64 bits), component_id: smallest identifier that links within ``radius`` bits reach."""
     fps = materialize(fingerprints(docs, text, doc_id, words, seed), "fingerprints")
     edges = lambda distinct: links(distinct, [[m] for m in bucket_keys(bands_for(distinct.count(), radius), radius)], radius)
-    return _components(fps, ["fp0"], edges).withColumnRenamed("fp0", "fp")
+    return _components(fps, "fp0", edges).select("doc_id", F.col("fp0").alias("fp"), "component_id")
 
 
 def verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
     """The ``pairs`` (a, b: keys of shingle sets) whose sets' Jaccard similarity is at least ``similarity``."""
     keys = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
-    ids = materialize(distinct.join(keys, "key", "left_semi").select(F.col("rep").alias("id")).distinct(), "ids")
+    ids = materialize(distinct.join(keys, "key", "left_semi").select(F.col("least.doc_id").alias("i"), F.col("least.row").alias("r")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
-    wanted = rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    wanted = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"].eqNullSafe(ids["i"]) & (F.col("row") == F.col("r")), "left_semi")
     sets = materialize(shingle_sets(wanted, words, seed).join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("n"))
     return both.where(F.col("common") / (F.col("n") - F.col("common")) >= similarity).select("a", "b")
 
 
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """doc_id, component_id: smallest identifier that links of ``similarity`` or more reach.
+    """doc_id, row (hash of the text), root, component_id: smallest identifier that links of ``similarity`` or more reach.
 
     The radius of candidates is what a pair of just that similarity has on average and three standard deviations.
     """
     fps = materialize(set_fingerprints(docs, text, doc_id, words, seed, WIDE), "fingerprints")
-    same = [c for c in fps.columns if c != "doc_id"]
-    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NULL_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_hash(text).alias("row"), F.col(f"`{text}`").alias("text"))
     p, n = differing(similarity), BITS * WIDE
     radius = int(n * p + 3 * math.sqrt(n * p * (1 - p)))
 
     def edges_of(distinct: DataFrame) -> DataFrame:
         masks = tables_for(distinct.count(), similarity)
-        by_key = distinct.withColumnRenamed("rep", "id").withColumn("rep", F.col("key"))
-        near = materialize(links(by_key, masks[:FIRST_TABLES], radius // 2, _candidates(similarity, False), ("n",)), "near")
+        near = materialize(links(distinct, masks[:FIRST_TABLES], radius // 2, _candidates(similarity, False), ("n",)), "near")
         near = materialize(verified(near, distinct, rows, words, similarity, seed), "near-links")
         parts = materialize(connected_components(near, "a", "b"), "parts")
-        by_part = by_key.join(parts, by_key["key"] == parts["node"], "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
+        by_part = distinct.drop("least").join(parts, distinct["key"] == parts["node"], "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
         by_part = materialize(by_part, "by-part")
         rest = materialize(links(by_part, masks, radius, _candidates(similarity, True), ("n", "part")), "rest")
-        found = near.unionByName(verified(rest, distinct, rows, words, similarity, seed))
-        rep = distinct.select("key", "rep")
-        return found.join(rep.toDF("a", "i"), "a").join(rep.toDF("b", "j"), "b").select(F.col("i").alias("a"), F.col("j").alias("b"))
+        return near.unionByName(verified(rest, distinct, rows, words, similarity, seed))
 
-    return _components(fps, same, edges_of).select("doc_id", "component_id")
+    return _components(fps, "key", edges_of).select("doc_id", "row", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each group of similar documents: that of the smallest identifier, rows without one last.
+
+    Of rows of one identifier, that of the smallest text hash stays; of repeated rows, one.
+    """
+    found = materialize(similar_documents(docs, text, doc_id, **options), "similar")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    kept = found.groupBy("root").agg(F.min(row).alias("kept"))
+    gone = found.join(kept, "root").where(row != F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row")).distinct()
+    out = _without(docs, materialize(gone, "gone"), text, doc_id)
+    repeated = materialize(found.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_same_id"), F.col("row").alias("_same_row")), "repeated")
+    if not repeated.limit(1).count():
+        return out
+    twice = _only(out, repeated, text, doc_id)
+    once = twice.withColumn("_r", row_hash(text)).dropDuplicates([doc_id, "_r"]).drop("_r")
+    return _without(out, repeated, text, doc_id).unionByName(once)
+
+
+def _without(docs: DataFrame, rows: DataFrame, text: str, doc_id: str, how: str = "left_anti") -> DataFrame:
+    """``docs`` without (or of) the ``rows`` (identifier, row hash)."""
+    i, r = rows.columns
+    return docs.join(rows, docs[doc_id].cast("long").eqNullSafe(rows[i]) & (row_hash(text) == rows[r]), how)
+
+
+def _only(docs: DataFrame, rows: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return _without(docs, rows, text, doc_id, "left_semi")

@@ -132,3 +132,52 @@ def test_similar_documents_link_at_the_similarity_and_not_below(spark):
 def test_empty_table(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.similar_documents(empty).count() == 0
+
+
+def test_identifiers_do_not_bridge(spark):
+    from tests_llm_prose import prose
+
+    a, b = prose(801, 120), prose(802, 120)
+    rows = [(1, a), (2, b), (None, a), (None, b), (7, a), (7, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, a, 1), (2, b, 2), (7, a, 1), (7, b, 2), (None, a, 1), (None, b, 2)]
+    hashes = {r["h"]: r["text"] for r in df.select("text", simhash.row_hash("text").alias("h")).collect()}
+    for got in (simhash.near_duplicates(df), simhash.similar_documents(df)):
+        by = sorted(((r["doc_id"], r["component_id"]) for r in got.collect()), key=str)
+        assert by == sorted(((d, c) for d, _, c in want), key=str)
+    assert sorted(((r["doc_id"], hashes[r["row"]], r["component_id"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_one_of_each_keeps_every_text_once(spark):
+    from tests_llm_prose import prose
+
+    a, b, c, d = (prose(810 + i, 120) for i in range(4))
+    rows = [(7, a, 0), (7, b, 1), (1, a, 2), (9, c, 3), (9, c, 4), (9, c, 5), (None, d, 6), (None, d, 7), (None, a, 8), (None, None, 9), (None, "", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    kept = [(r["doc_id"], r["text"] or "") for r in simhash.one_of_each(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (7, b), (9, c), (None, d), (None, "")], key=str)
+    assert simhash.one_of_each(df).columns == df.columns
+
+
+def test_pairs_at_the_similarity_are_found(spark):
+    """Recall against brute force over pairs of five-word shingle sets, at least 0.9 of those 0.8 alike or more."""
+    import os
+
+    import pytest
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("no test tables")
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(path).select("doc_id", "text").collect()]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def shingles(t):
+        w = (t or "").translate(lower).encode().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [(d, shingles(t)) for d, t in rows]
+    pairs = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if (len(x & y) / len(x | y) if x | y else 1) >= 0.8]
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert pairs and sum(groups[a] == groups[b] for a, b in pairs) >= 0.9 * len(pairs)
+    want = components(pairs, [d for d, _ in rows])
+    assert all(want[a] == want[b] for a in groups for b in [groups[a]])
