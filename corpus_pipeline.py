@@ -37,10 +37,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates by SimHash: that of the smallest identifier."""
-    found = simhash.similar_documents(docs.select("doc_id", "text"), words=NEAR_WORDS, similarity=NEAR_SIMILARITY)
-    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One document of each group of near duplicates by SimHash: that of the smallest identifier; of repeated rows, one."""
+    return simhash.one_of_each(docs, words=NEAR_WORDS, similarity=NEAR_SIMILARITY)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

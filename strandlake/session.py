@@ -45,9 +45,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where unset (local tests) a fresh one is set."""
+    """The shared folder of spark.checkpoint.dir; where unset a fresh one is set under a local master, and an error on a cluster."""
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_KEY} is not set: intermediate tables need a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="strandlake-checkpoint-")
         spark.conf.set(CHECKPOINT_KEY, path)
     return path.rstrip("/")
