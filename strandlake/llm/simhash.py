@@ -303,10 +303,11 @@ def _candidates(similarity: float, every: bool):
     return choose
 
 
-def links(distinct: DataFrame, masks: list[list[int]], radius: int, choose=_forest_links, more: tuple[str, ...] = ()) -> DataFrame:
+def links(distinct: DataFrame, masks: list[list[int]], radius: int, choose=_forest_links, more: tuple[str, ...] = (), across: bool = True) -> DataFrame:
     """Spanning links (a, b) of (fp0.., rep): reps of fingerprints within ``radius`` bits that share bits under a mask.
 
     ``choose`` may name other pairs, by the columns ``more`` too. Buckets of a single ``part`` are left out.
+    Without ``across``, rows of a large bucket meet those of their own chunk only; each mask deals other chunks.
     """
     fps = [c for c in distinct.columns if c.startswith("fp")]
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m)
@@ -316,12 +317,15 @@ def links(distinct: DataFrame, masks: list[list[int]], radius: int, choose=_fore
     sizes = sizes.where("p < q") if "part" in more else sizes
     sizes = materialize(sizes.select("bucket", "n", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
     # A bucket's rows go to each of its chunk pairs that they are part of.
-    dealt_rows = sizes.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0] or 0
-    groups = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-dealt_rows // GROUP_ROWS))
+    kept, dealt_rows = sizes.agg(F.count(F.lit(1)), F.sum(F.col("n") * (F.col("chunks") if across else F.lit(1)))).first()
+    groups = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(dealt_rows or 0) // GROUP_ROWS))
     sizes = sizes.select("bucket", "chunks")
-    own = F.pmod(F.xxhash64(*fps), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64(F.col("bucket"), F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
-    dealt = spread.join(sizes, "bucket").withColumn("own", own).select(*fps, "rep", *more, F.explode(pairs).alias("bucket"))
+    own = F.pmod(F.xxhash64("bucket", *fps), F.col("chunks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("chunks") - 1) if across else F.array("own")
+    pairs = F.transform(others, lambda j: F.xxhash64(F.col("bucket"), F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
+    # Most fingerprints are alone in their buckets: those leave before any shuffle where the others' buckets are few.
+    met = spread.join(F.broadcast(sizes) if kept <= BROADCAST_IDS else sizes, "bucket")
+    dealt = met.withColumn("own", own).select(*fps, "rep", *more, F.explode(pairs).alias("bucket"))
     dealt = dealt.withColumn("deal", F.pmod("bucket", F.lit(groups)).cast("int"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -379,7 +383,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     def edges_of(distinct: DataFrame) -> DataFrame:
         masks = tables_for(distinct.count(), similarity)
-        near = materialize(links(distinct, masks[:FIRST_TABLES], radius // 2, _candidates(similarity, False), ("n",)), "near")
+        near = materialize(links(distinct, masks[:FIRST_TABLES], radius // 2, _candidates(similarity, False), ("n",), across=False), "near")
         near = materialize(verified(near, distinct, rows, words, similarity, seed), "near-links")
         parts = materialize(connected_components(near, "a", "b"), "parts")
         by_part = distinct.drop("least").join(parts, distinct["key"] == parts["node"], "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
