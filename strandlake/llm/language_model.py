@@ -46,6 +46,8 @@ DIMENSIONS = 40
 #: Rounds of training, rows of a minibatch, noise classes drawn for it, and how much commoner than data noise counts.
 ROUNDS, MINIBATCH, DRAWN, NOISE = 3, 2048, 96, 25.0
 RATE = 0.1
+#: Copies that are trained in a round at most, which bounds what the driver averages.
+TRAINERS = 32
 #: Where the squares of gradients start: it shortens the first steps of classes that were hardly met.
 CALM = 1e-6
 #: Distinct words a task holds before it hands counts on, and words whose class a worker remembers.
@@ -271,7 +273,7 @@ def _runs(sequence: list[int], starts: list[int]) -> pa.RecordBatch:
 def fit(runs: DataFrame, model: BilinearModel, rounds: int = ROUNDS) -> BilinearModel:
     """Trains on the table of :func:`run_counts`: a copy of the model a partition and round, averaged by the tokens each saw.
 
-    The table has at most CLASSES ** 3 rows whatever the corpus, so partitions and copies are bounded too.
+    The table has at most CLASSES ** 3 rows whatever the corpus; TRAINERS bounds what the driver averages.
     """
     table = materialize(runs, "runs")
     distinct, total = table.agg(F.count(F.lit(1)), F.sum("n")).first()
@@ -290,7 +292,7 @@ def fit(runs: DataFrame, model: BilinearModel, rounds: int = ROUNDS) -> Bilinear
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([copy.to_bytes()]), pa.array([float(seen)])], names=["model", "seen"])
 
-        copies = table.select("run", "n").mapInArrow(learn, "model binary, seen double").collect()
+        copies = table.select("run", "n").coalesce(TRAINERS).mapInArrow(learn, "model binary, seen double").collect()
         model.average([r["model"] for r in copies], [r["seen"] for r in copies])
     return model
 
