@@ -2,7 +2,7 @@
 
 Method. Lines are hashed to 128 bits and dealt to shards by hash. A shard builds a minimal
 perfect hash straight over its line hashes, repeats and all; it indexes compact arrays: a 32-bit fingerprint, a
-count (one, or two for two and more documents) and the first document. These arrays are written as a table, a row a
+count (one, or two for two and more documents) and the first document. These arrays are a table, a row a
 shard (:func:`line_index`). Documents then probe them: blocks of documents send the hashes of
 their lines, with their places in the block, to the shards, and the places that
 the arrays decide to drop come back. Nothing is joined by line. A very common line costs a shard
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from strandlake.llm.common import NULL_ID, SPACE, without
 from strandlake.llm.perfect_hash import MinimalPerfectHash
-from strandlake.session import materialize, n_blocks, ship, text_size
+from strandlake.session import n_blocks, ship, text_size
 
 #: Line rows that a shard should hold.
 SHARD_ROWS = 200_000
@@ -173,7 +173,6 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
 
     # The same shuffle of the documents serves both uses, as does that of the lines.
     found = base.groupBy("block").applyInArrow(lines, "shard int, block int, place int, h1 long, h2 long, first long, last long")
-    index = materialize(line_index(found), "line-index")
-    hits = found.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(probe, "block int, place int, first long")
+    hits = found.groupBy("shard").cogroup(line_index(found).groupBy("shard")).applyInArrow(probe, "block int, place int, first long")
     out = base.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(keep, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("n_lines").alias(n_lines), F.col("n_dropped").alias(n_dropped))
