@@ -92,36 +92,45 @@ class BilinearModel:
 
     def train(self, runs: np.ndarray, n: np.ndarray, random: np.random.Generator, mean: float, rate: float = RATE) -> None:
         """One pass over ``runs`` (rows of three classes, the last the target) that occur ``n`` times, ``mean`` on average."""
-        log_noise = np.log(NOISE * self.noise).astype(np.float32)
+        log_noise = np.log(NOISE * self.noise).astype(np.float32)[:, None]
         upto = np.cumsum(self.noise)
+        runs = np.ascontiguousarray(runs.T)
+        odds_of_all = np.empty((MINIBATCH, DRAWN), np.float32)
         for i in range(0, len(n), MINIBATCH):
-            far, near, target = runs[i : i + MINIBATCH].T
+            far, near, target = runs[:, i : i + MINIBATCH]
             weight = (n[i : i + MINIBATCH] / (mean * len(target))).astype(np.float32)[:, None]
             drawn = np.minimum(np.searchsorted(upto, random.random(DRAWN) * upto[-1]), len(upto) - 1)
-            a, b = self.context[far], self.context[near]
-            v = a * self.position[0] + b * self.position[1]
-            q, z = self.target[target], self.target[drawn]
+            v = (self.context * self.position[0]).take(far, 0)
+            v += (self.context * self.position[1]).take(near, 0)
+            q, z = self.target.take(target, 0), self.target.take(drawn, 0)
+            above = self.bias - log_noise
             # Chances that a target is taken for noise, and that noise is taken for data.
-            odds = (v * q).sum(1, keepdims=True) + self.bias[target] - log_noise[target, None]
+            odds = np.einsum("ij,ij->i", v, q)[:, None] + above[target]
             pull = weight / (1 + np.exp(np.clip(odds, -30, 30)))
-            odds = v @ z.T + self.bias[drawn].T - log_noise[drawn]
-            push = weight * (-NOISE / DRAWN) / (1 + np.exp(-np.clip(odds, -30, 30)))
-            g = pull * q + push @ z
-            position = np.stack([(g * a).sum(0), (g * b).sum(0)])
+            push = np.matmul(v, -z.T, out=odds_of_all[: len(target)])
+            push -= above[drawn].T
+            np.exp(np.minimum(push, 30, out=push), out=push)
+            push += 1
+            np.divide(weight * np.float32(-NOISE / DRAWN), push, out=push)
+            g = push @ z
+            g += pull * q
+            # Sums by class of context; what a position's weights are due follows from those.
+            by_far, by_near = self._class_sums(far, g), self._class_sums(near, g)
+            position = np.stack([np.einsum("ij,ij->j", by, self.context) for by in (by_far, by_near)])
+            by_target = self._class_sums(target, pull * v)
+            np.add.at(by_target, drawn, push.T @ v)
+            bias = np.bincount(target, pull[:, 0], len(self.bias)) + np.bincount(drawn, push.sum(0), len(self.bias))
             # Rare classes get long steps and common ones short.
-            self._step(0, np.concatenate([far, near]), np.concatenate([g * self.position[0], g * self.position[1]]), rate)
-            self._step(1, np.concatenate([target, drawn]), np.concatenate([pull * v, push.T @ v]), rate)
-            self._step(2, np.arange(2), position, rate)
-            self._step(3, np.concatenate([target, drawn]), np.concatenate([pull, push.sum(0)[:, None]]), rate)
-
-    def _step(self, which: int, rows: np.ndarray, gradients: np.ndarray, rate: float) -> None:
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        g, rows = np.add.reduceat(gradients[order], starts, axis=0), rows[starts]
-        parameter, square = self.parameters()[which], self.squares[which]
-        square[rows] += g * g
-        parameter[rows] += rate * g / (np.sqrt(square[rows]) + np.float32(1e-8))
+            for which, gradient in enumerate((by_far * self.position[0] + by_near * self.position[1], by_target, position, bias[:, None].astype(np.float32))):
+                parameter, square = self.parameters()[which], self.squares[which]
+                square += gradient * gradient
+                parameter += rate * gradient / (np.sqrt(square) + np.float32(1e-8))
+
+    def _class_sums(self, classes: np.ndarray, gradients: np.ndarray) -> np.ndarray:
+        """The sum of the rows of each class."""
+        n, width = self.context.shape
+        cells = (classes * width)[:, None] + np.arange(width)
+        return np.bincount(cells.ravel(), gradients.ravel(), n * width).reshape(n, width).astype(np.float32)
 
     def to_bytes(self) -> bytes:
         return b"".join(p.tobytes() for p in [*self.parameters(), *self.squares])
