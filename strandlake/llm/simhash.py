@@ -15,7 +15,8 @@ same comparisons, with no cap.
 wider fingerprints of the sets, and buckets by tables of sampled bits, as many as it takes to bring
 a pair of just that similarity together with probability ``RECALL``. Those are candidates: a link is
 a pair whose hashed shingle sets were compared and are that similar. Near copies are found and linked
-first by a few tables; then all other pairs of different groups are compared.
+first by a few tables. What candidates of different groups span makes clusters; the sets of a cluster are
+dealt to pairs of its chunks, and the pairs within the radius are compared there, so no table holds pairs.
 
 Defined cases: null, empty or blank text has fingerprint zero and is linked like any
 other. Links are between fingerprints, never by identifier: rows that share one, or have none, are linked
@@ -50,6 +51,8 @@ BROADCAST_IDS = 1_000_000
 CHUNK = 512
 #: Rows that a task's groups of buckets hold, about.
 GROUP_ROWS = 40_000
+#: Shingles of a chunk and of a task's groups, about, where sets are compared; rows below which a cluster is not split.
+CHUNK_SHINGLES, GROUP_SHINGLES, SMALL_CHUNK = 1_000_000, 4_000_000, 64
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ONES_INT = 0xFFFFFFFFFFFFFFFF
 _STEP = 0x9E3779B97F4A7C15
@@ -285,24 +288,28 @@ def _forest_links(fp: np.ndarray, bucket: np.ndarray, radius: int, columns: dict
     return linked, root[linked]
 
 
-def _candidates(similarity: float, every: bool):
-    """Pairs to verify whose sizes allow the similarity: as many as span the groups, or every one between different ``part``s."""
+def _candidates(similarity: float):
+    """As many pairs as span the groups of those whose sizes allow the similarity, of different ``part``s if there are parts."""
 
     def choose(fp: np.ndarray, bucket: np.ndarray, radius: int, columns: dict) -> tuple[np.ndarray, np.ndarray]:
-        n, part = columns["n"], columns.get("part")
+        part = columns.get("part")
         forest, out = _Forest(len(fp)), [np.zeros((2, 0), np.int64)]
         for i, j in pairs_sorted(fp, bucket, radius):
-            fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
-            fits &= part[i] != part[j] if every else forest.root[i] != forest.root[j]
+            fits = _sizes_allow(columns["n"], i, j, similarity) & (forest.root[i] != forest.root[j])
+            if part is not None:
+                fits &= part[i] != part[j]
             i, j = i[fits], j[fits]
-            if not every:
-                forest.unite(i, j)
+            forest.unite(i, j)
             out.append(np.stack([i, j]))
         return tuple(np.concatenate(out, 1))
 
     return choose
 
 
+def _sizes_allow(n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    return np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
+
+
 def links(distinct: DataFrame, masks: list[list[int]], radius: int, choose=_forest_links, more: tuple[str, ...] = (), across: bool = True) -> DataFrame:
     """Spanning links (a, b) of (fp0.., rep): reps of fingerprints within ``radius`` bits that share bits under a mask.
 
@@ -360,17 +367,101 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return _components(fps, "fp0", edges).select("doc_id", F.col("fp0").alias("fp"), "component_id")
 
 
-def verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
-    """The ``pairs`` (a, b: keys of shingle sets) whose sets' Jaccard similarity is at least ``similarity``."""
-    keys = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
+def sets_of(keys: DataFrame, distinct: DataFrame, rows: DataFrame, words: int, seed: int) -> DataFrame:
+    """(key, shingles) of the ``keys``, made again from one row of each."""
     ids = materialize(distinct.join(keys, "key", "left_semi").select(F.col("least.doc_id").alias("i"), F.col("least.row").alias("r")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     wanted = rows.join(F.broadcast(ids) if few else ids, rows["doc_id"].eqNullSafe(ids["i"]) & (F.col("row") == F.col("r")), "left_semi")
-    sets = materialize(shingle_sets(wanted, words, seed).join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    return materialize(shingle_sets(wanted, words, seed).join(keys, "key", "left_semi").dropDuplicates(["key"]), "sets")
+
+
+def verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, words: int, similarity: float, seed: int) -> DataFrame:
+    """The ``pairs`` (a, b: keys of shingle sets) whose sets' Jaccard similarity is at least ``similarity``."""
+    keys = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
+    sets = sets_of(keys, distinct, rows, words, seed)
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("n"))
     return both.where(F.col("common") / (F.col("n") - F.col("common")) >= similarity).select("a", "b")
 
 
+def set_links(members: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Spanning links (a, b) of the ``members`` (cluster, key, part, n, fp0.., shingles) of a cluster and of different parts.
+
+    All pairs within the radius are compared on their sets, in the tasks that find them, unless links found there already
+    join them. A cluster goes to pairs of its chunks: as many as spread it over the partitions, or as bound a chunk's rows and shingles.
+    """
+    fps = [c for c in members.columns if c.startswith("fp")]
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, shingles, spread = F.count(F.lit(1)), F.sum("n"), math.ceil(math.sqrt(2 * partitions))
+    chunks = F.greatest(F.ceil(rows / CHUNK), F.ceil(shingles / CHUNK_SHINGLES), F.least(F.ceil(rows / SMALL_CHUNK), F.lit(spread)))
+    sizes = materialize(members.groupBy("cluster").agg(rows.alias("rows"), shingles.alias("shingles"), chunks.cast("int").alias("chunks")), "clusters")
+    known, dealt_rows, dealt_shingles = sizes.agg(F.count(F.lit(1)), F.sum(F.col("rows") * F.col("chunks")), F.sum(F.col("shingles") * F.col("chunks"))).first()
+    groups = max(4 * partitions, -(-(dealt_rows or 0) // GROUP_ROWS), -(-(dealt_shingles or 0) // GROUP_SHINGLES))
+    sizes = sizes.select("cluster", "chunks")
+    dealt = members.join(F.broadcast(sizes) if known <= BROADCAST_IDS else sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64(F.col("cluster"), F.least(F.col("own"), j), F.greatest(F.col("own"), j)))
+    dealt = dealt.select(*fps, "key", "n", "part", "own", "shingles", F.explode(pairs).alias("bucket")).withColumn("deal", F.pmod("bucket", F.lit(groups)).cast("int"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("bucket").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        key, n, part, own, bucket = (table.column(c).to_numpy() for c in ("key", "n", "part", "own", "bucket"))
+        fp = np.stack([table.column(c).to_numpy() for c in fps], 1).view(np.uint64)
+        lists = table.column("shingles").combine_chunks()
+        held = SetIndex(lists.flatten().to_numpy(), lists.value_lengths().to_numpy())
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        two = np.repeat(np.minimum.reduceat(own, starts) != np.maximum.reduceat(own, starts), np.diff(np.r_[starts, len(bucket)]))
+        near = [np.zeros((2, 0), np.int64)]
+        for i, j in pairs_sorted(fp, bucket, radius):
+            fits = _sizes_allow(n, i, j, similarity) & (part[i] != part[j]) & ((own[i] != own[j]) | ~two[i])
+            near.append(np.stack([i[fits], j[fits]]))
+        i, j = np.concatenate(near, 1)
+        forest = _Forest(len(key))
+        same = np.argsort(part, kind="stable")
+        again = part[same[1:]] == part[same[:-1]]
+        forest.unite(same[1:][again], same[:-1][again])
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        out = [np.zeros((2, 0), np.int64)]
+        for first, last in zip(*_stretches(i), strict=True):
+            row, others = i[first], j[first:last]
+            others = others[forest.root[others] != forest.root[row]]
+            if len(others):
+                common = held.common(row)[others]
+                others = others[common / (n[row] + n[others] - common) >= similarity]
+                forest.unite(np.full(len(others), row), others)
+                out.append(np.stack([key[np.full(len(others), row)], key[others]]))
+        a, b = np.concatenate(out, 1)
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return dealt.groupBy("deal").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _stretches(sorted_values: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begin and end of each stretch of equal values."""
+    starts = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])[: len(sorted_values)]
+    return starts.tolist(), np.r_[starts[1:], len(sorted_values)].tolist() if len(starts) else []
+
+
+class SetIndex:
+    """The rows that hold each shingle of some sets, given one after another."""
+
+    def __init__(self, shingles: np.ndarray, sizes: np.ndarray):
+        self.rows = len(sizes)
+        _, ids, holders = np.unique(shingles, return_inverse=True, return_counts=True)
+        shared = holders[ids] > 1  # the others are in one set alone
+        self.ids, owner = ids[shared], np.repeat(np.arange(self.rows), sizes)[shared]
+        self.ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=self.rows))]
+        self.holders = owner[np.argsort(self.ids, kind="stable")]
+        self.begins = np.r_[0, np.cumsum(np.bincount(self.ids, minlength=len(holders)))]
+
+    def common(self, row: int) -> np.ndarray:
+        """How many shingles each set shares with that of ``row``."""
+        ids = self.ids[self.ends[row] : self.ends[row + 1]]
+        begin, size = self.begins[ids], self.begins[ids + 1] - self.begins[ids]
+        places = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.holders[places], minlength=self.rows)
+
+
 def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
     """doc_id, row (hash of the text), root, component_id: smallest identifier that links of ``similarity`` or more reach.
 
@@ -383,13 +474,17 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     def edges_of(distinct: DataFrame) -> DataFrame:
         masks = tables_for(distinct.count(), similarity)
-        near = materialize(links(distinct, masks[:FIRST_TABLES], radius // 2, _candidates(similarity, False), ("n",), across=False), "near")
+        near = materialize(links(distinct, masks[:FIRST_TABLES], radius // 2, _candidates(similarity), ("n",), across=False), "near")
         near = materialize(verified(near, distinct, rows, words, similarity, seed), "near-links")
         parts = materialize(connected_components(near, "a", "b"), "parts")
         by_part = distinct.drop("least").join(parts, distinct["key"] == parts["node"], "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
         by_part = materialize(by_part, "by-part")
-        rest = materialize(links(by_part, masks, radius, _candidates(similarity, True), ("n", "part")), "rest")
-        return near.unionByName(verified(rest, distinct, rows, words, similarity, seed))
+        rest = materialize(links(by_part, masks, radius, _candidates(similarity), ("n", "part")), "rest")
+        if not rest.limit(1).count():
+            return near
+        clusters = materialize(connected_components(rest, "a", "b").select(F.col("node").alias("key"), F.col("component").alias("cluster")), "clustered")
+        members = by_part.join(clusters, "key").join(sets_of(clusters.select("key"), distinct, rows, words, seed), "key")
+        return near.unionByName(set_links(members, radius, similarity))
 
     return _components(fps, "key", edges_of).select("doc_id", "row", "root", "component_id")
 
