@@ -181,3 +181,40 @@ def test_pairs_at_the_similarity_are_found(spark):
     assert pairs and sum(groups[a] == groups[b] for a, b in pairs) >= 0.9 * len(pairs)
     want = components(pairs, [d for d, _ in rows])
     assert all(want[a] == want[b] for a in groups for b in [groups[a]])
+
+
+def test_shared_shingles_are_counted_for_every_set():
+    random = np.random.default_rng(5)
+    sets = [np.unique(random.integers(0, 60, size)) for size in (0, 1, 30, 40, 55, 200)]
+    held = simhash.SetIndex(np.concatenate(sets), np.array([len(x) for x in sets]))
+    for i, x in enumerate(sets):
+        mine = held.common(i)
+        assert all(mine[j] == len(np.intersect1d(x, y)) or i == j for j, y in enumerate(sets))
+
+
+def test_clusters_in_many_chunks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    monkeypatch.setattr(simhash, "SMALL_CHUNK", 4)
+    random = np.random.default_rng(6)
+    base = random.choice(10**6, 40, replace=False)
+    sets, rows = [], []
+    for key in range(60):
+        own = base.copy()
+        changed = random.choice(40, int(random.integers(0, 9)), replace=False)
+        own[changed] = 10**6 + random.integers(0, 10**6, len(changed))
+        sets.append(set(own.tolist()))
+        fp = simhash._words_of(np.array(sorted(sets[-1]), np.uint64) * np.uint64(simhash._STEP), 1)
+        rows.append((7, key, key, len(sets[-1]), int(fp.view(np.int64)[0]), sorted(sets[-1])))
+    members = spark.createDataFrame(rows, "cluster long, key long, part long, n int, fp0 long, shingles array<long>")
+    found = {(r["a"], r["b"]) for r in simhash.set_links(members, 64, 0.8).collect()}
+    alike = {(a, b) for a in range(60) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert alike and {(max(p), min(p)) for p in found} <= alike
+
+    def groups(pairs):
+        root = list(range(60))
+        for _ in range(60):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert groups(found) == groups(alike)
