@@ -68,14 +68,8 @@ def motif_positions(seq, motif: str, offset: int = 0) -> Column:
 
 def homopolymer_length(seq) -> Column:
     """Longest run of one letter."""
-    letters = F.split(_c(seq), "")
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-    def step(a, x):
-        run = F.when(a["last"] == x, a["run"] + 1).otherwise(F.lit(1))
-        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
-
-    return F.when(F.length(_c(seq)) > 0, F.aggregate(letters, start, step, lambda a: a["best"])).otherwise(F.lit(0))
+    runs = F.regexp_extract_all(_c(seq), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
 
 
 def trim_alleles(ref, alt) -> Column:
@@ -208,12 +202,15 @@ def rolling_windows(values, k: int) -> Column:
 
 def run_lengths(values) -> Column:
     """Array of struct (value, n) over runs of equal neighbours."""
+    # Arrays are walked by zips: what stands inside a lambda would be made again for each element.
     v = _c(values)
-    starts = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
-    n = F.size(starts)
-    ends = F.concat(F.slice(starts, 2, F.greatest(n - 1, F.lit(0))), F.array(F.size(v)))
-    runs = F.transform(starts, lambda s, k: F.struct(F.get(v, s).alias("value"), (F.get(ends, k) - s).alias("n")))
-    return F.when(F.size(v) > 0, runs).otherwise(F.filter(F.transform(v, lambda x: F.struct(x.alias("value"), F.lit(0).alias("n"))), lambda x: F.lit(False)))
+    n = F.size(v)
+    before = F.concat(F.slice(v, 1, 1), F.slice(v, 1, F.greatest(n - 1, F.lit(0))))
+    changes = F.zip_with(v, before, lambda x, y: F.struct(x.alias("value"), (~x.eqNullSafe(y)).alias("new")))
+    starts = F.filter(F.transform(changes, lambda z, i: F.struct(z["value"].alias("value"), F.when(z["new"] | (i == 0), i).alias("at"))), lambda z: z["at"].isNotNull())
+    ends = F.concat(F.slice(F.transform(starts, lambda z: z["at"]), 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
+    runs = F.zip_with(starts, ends, lambda z, end: F.struct(z["value"].alias("value"), (end - z["at"]).alias("n")))
+    return F.when(n > 0, runs).otherwise(F.slice(runs, 1, 0))
 
 
 # --- alignments -----------------------------------------------------------

@@ -49,7 +49,7 @@ def exact_densities(llrs: DataFrame, by: list[str], low: float, high: float, poi
                     s += np.exp(-z * z / 2).sum(0)
                 yield pd.DataFrame({c: k for c, k in zip(by, key, strict=True)} | {"i": np.arange(points), "s": s / (bandwidth * np.sqrt(2 * np.pi)), "n": len(x)})
 
-    parts = llrs.where("llr is not null").select(*by, "llr").mapInPandas(run, f"{kinds}, i int, s double, n long")
+    parts = llrs.where("llr is not null and not isnan(llr)").select(*by, "llr").mapInPandas(run, f"{kinds}, i int, s double, n long")
     return parts.groupBy(*by, "i").agg((F.sum("s") / F.sum("n")).alias("density"))
 
 

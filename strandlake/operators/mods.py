@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.expr import NAN, expit, log1m
 from strandlake.operators.prefix import running, score_buckets
+from strandlake.session import materialize
 
 SITE = ["chrm", "pos", "strand"]
 
 #: Default probability threshold, and options of the mixture estimate.
 THRESHOLD = 0.8
 EM_ITERATIONS, EM_TOLERANCE, EM_LEAST = 15, 0.001, 0.001
+#: Distinct vectors of a site from which on its estimate is a series of joins and sums, and shares its rows are dealt to.
+EM_DEEP, EM_SHARES = 20_000, 64
 
 
 def alphabet(calls: DataFrame) -> list[str]:
@@ -82,43 +85,85 @@ def expit_scaled(calls: DataFrame, mods: list[str] | None = None, site: list[str
     return _spread(sites, mods, site, {"prop": "prop"})
 
 
-def em(calls: DataFrame, mods: list[str] | None = None, iterations: int = EM_ITERATIONS, tolerance: float = EM_TOLERANCE, least: float = EM_LEAST, bins: int = 4096, site: list[str] = SITE) -> DataFrame:
+def em(calls: DataFrame, mods: list[str] | None = None, iterations: int = EM_ITERATIONS, tolerance: float = EM_TOLERANCE, least: float = EM_LEAST, deep: int = EM_DEEP, site: list[str] = SITE) -> DataFrame:
     """site, reads, dropped_reads, mod_base, prop by expectation maximisation.
 
-    Reads that lack a mod are dropped and counted. A site's reads enter as counts of distinct
-    probability vectors on a grid of 1 / ``bins``, so a site of any depth is bounded by the
-    grid, not by its reads: the aggregate by (site, vector) has a partial form.
+    Reads that lack a mod are dropped and counted. Equal probability vectors of a site are counted first, by an
+    aggregate with a partial form. Sites of at most ``deep`` distinct vectors are estimated each from one array; deeper
+    ones by a join and a partial sum for each iteration, so no task holds a deep site's reads.
     """
     mods = mods or alphabet(calls)
-    reads = read_level(calls, mods, site)
-    whole = F.lit(True)
+    p = [f"p_{m}" for m in mods]
+    whole = ~F.isnan("can_lp")
     for m in mods:
         whole = whole & F.col(f"score_{m}").isNotNull()
-    whole = whole & ~F.isnan("can_lp")
-    grid = [F.round(F.exp(f"score_{m}") * bins).cast("int").alias(f"g_{m}") for m in mods]
-    counted = reads.withColumn("whole", whole).select(*site, "whole", *[F.when(F.col("whole"), g).alias(f"g_{m}") for m, g in zip(mods, grid, strict=True)])
-    counted = counted.groupBy(*site, "whole", *[f"g_{m}" for m in mods]).agg(F.count(F.lit(1)).alias("n"))
-    packed = counted.groupBy(*site).agg(
-        F.sum("n").alias("reads"), F.sum(F.when(~F.col("whole"), F.col("n")).otherwise(0)).alias("dropped_reads"),
-        F.array_sort(F.collect_list(F.when(F.col("whole"), F.struct(*[f"g_{m}" for m in mods], "n")))).alias("v"),
-    )
+    reads = read_level(calls, mods, site).withColumn("whole", whole)
+    vectors = reads.select(*site, "whole", *[F.when(F.col("whole"), F.exp(f"score_{m}")).alias(c) for m, c in zip(mods, p, strict=True)])
+    counted = materialize(vectors.groupBy(*site, "whole", *p).agg(F.count(F.lit(1)).alias("n")), "em-vectors")
+    sizes = counted.groupBy(*site).agg(F.count(F.lit(1)).alias("size"))
+    hot = materialize(sizes.where(F.col("size") > deep).select(*[F.col(c).alias(f"hot_{c}") for c in site]), "em-deep")
+    same = [F.col(c).eqNullSafe(F.col(f"hot_{c}")) for c in site]
+    some_hot = not hot.isEmpty()
+    out = _em_arrays(counted.join(hot, same, "left_anti") if some_hot else counted, mods, site, iterations, tolerance, least)
+    if some_hot:
+        out = out.unionByName(_em_joins(counted.join(hot, same, "left_semi"), mods, site, iterations, tolerance, least))
+    rows = F.arrays_zip(F.array(*[F.lit(m) for m in mods]).alias("mod_base"), F.col("props").alias("prop"))
+    return out.select(*site, "reads", "dropped_reads", F.explode(rows).alias("x")).select(*site, "reads", "dropped_reads", F.col("x")["mod_base"].alias("mod_base"), F.col("x")["prop"].alias("prop"))
+
+
+def _em_totals() -> list[Column]:
+    return [F.sum("n").alias("reads"), F.sum(F.when(~F.col("whole"), F.col("n")).otherwise(0)).alias("dropped_reads")]
+
+
+def _em_arrays(counted: DataFrame, mods: list[str], site: list[str], iterations: int, tolerance: float, least: float) -> DataFrame:
+    """site, reads, dropped_reads, props of sites whose vectors fit an array."""
+    head = [*site, "reads", "dropped_reads"]
+    packed = counted.groupBy(*site).agg(*_em_totals(), F.array_sort(F.collect_list(F.when(F.col("whole"), F.struct(*[f"p_{m}" for m in mods], "n")))).alias("v")).where("reads > dropped_reads")
+    kinds = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            props = []
-            for v in batch.column("v").to_pylist():
-                if not v:
-                    props.append([NAN] * len(mods))
-                    continue
-                a = np.array([[x[f"g_{m}"] for m in mods] for x in v], np.float64) / bins
-                p = np.concatenate([np.maximum(1 - a.sum(1, keepdims=True), 0), a], 1)
-                props.append(em_weighted(p, np.array([x["n"] for x in v], np.float64), iterations, tolerance, least)[1:].tolist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*site, "reads", "dropped_reads"]), pa.array(props, pa.list_(pa.float64()))], names=[*site, "reads", "dropped_reads", "props"])
-
-    kinds = ", ".join(f"{c} {packed.schema[c].dataType.simpleString()}" for c in [*site, "reads", "dropped_reads"])
-    out = packed.mapInArrow(run, f"{kinds}, props array<double>").where(F.col("reads") > F.col("dropped_reads"))
-    rows = F.arrays_zip(F.array(*[F.lit(m) for m in mods]).alias("mod_base"), F.col("props").alias("prop"))
-    return out.select(*site, "reads", "dropped_reads", F.explode(rows).alias("x")).select(*site, "reads", "dropped_reads", F.col("x")["mod_base"].alias("mod_base"), F.col("x")["prop"].alias("prop"))
+            lists = batch.column("v")
+            ends, fields = lists.offsets.to_numpy(), lists.values
+            a = np.stack([fields.field(f"p_{m}").to_numpy() for m in mods], 1)
+            n = fields.field("n").to_numpy().astype(np.float64)
+            probs = np.concatenate([np.maximum(1 - a.sum(1, keepdims=True), 0), a], 1)
+            props = [em_weighted(probs[i:j], n[i:j], iterations, tolerance, least)[1:].tolist() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in head), pa.array(props, pa.list_(pa.float64()))], names=[*head, "props"])
+
+    return packed.mapInArrow(run, f"{kinds}, props array<double>")
+
+
+def _em_joins(counted: DataFrame, mods: list[str], site: list[str], iterations: int, tolerance: float, least: float) -> DataFrame:
+    """As :func:`_em_arrays` for sites of any depth: a site's rows are dealt to shares, and every step is a join and two partial sums."""
+    k = len(mods) + 1
+    p = [F.col(f"p_{m}") for m in mods]
+    probs = F.array(F.greatest(1 - sum(p[1:], p[0]), F.lit(0.0)), *p)
+    share = F.pmod(F.xxhash64(*p), F.lit(EM_SHARES)).cast("int")
+    # Sites are joined by a struct of their columns as text with nulls kept apart, so null sites meet.
+    rows = materialize(counted.where("whole").select(F.to_json(F.struct(*site), {"ignoreNullFields": "false"}).alias("at"), share.alias("share"), probs.alias("p"), "n"), "em-rows")
+
+    def settled(values: list[Column]) -> Column:
+        clipped = F.array(*[F.least(F.greatest(v, F.lit(least)), F.lit(1.0)) for v in values])
+        return F.transform(clipped, lambda x: x / F.aggregate(clipped, F.lit(0.0), lambda a, b: a + b))
+
+    top = F.array_position("p", F.array_max("p"))
+    counts = rows.groupBy("at").agg(F.sum("n").alias("total"), *[F.sum(F.when(top == j + 1, F.col("n")).otherwise(0)).alias(f"w{j}") for j in range(k)])
+    mix = materialize(counts.select("at", "total", settled([F.col(f"w{j}") / F.col("total") for j in range(k)]).alias("mix"), F.lit(False).alias("done")), "em-mix")
+    for _ in range(iterations):
+        dealt = mix.where("not done").select("at", "mix", F.explode(F.sequence(F.lit(0), F.lit(EM_SHARES - 1))).alias("share"))
+        joint = F.zip_with("p", "mix", lambda x, y: x * y)
+        weighed = rows.join(dealt, ["at", "share"]).select("at", "n", joint.alias("j")).select("at", "n", "j", F.aggregate("j", F.lit(0.0), lambda a, b: a + b).alias("all"))
+        sums = weighed.groupBy("at").agg(*[F.sum(F.col("n") * F.get("j", F.lit(j)) / F.col("all")).alias(f"w{j}") for j in range(k)])
+        moved = mix.join(sums, "at", "left").withColumn("new", F.when(F.col("done"), F.col("mix")).otherwise(settled([F.col(f"w{j}") / F.col("total") for j in range(k)])))
+        far = F.array_max(F.zip_with("new", "mix", lambda x, y: F.abs(x - y)))
+        mix = materialize(moved.select("at", "total", F.col("new").alias("mix"), (F.col("done") | (far < tolerance)).alias("done")), "em-mix")
+        if mix.where("not done").isEmpty():
+            break
+    low, high = least * 1.000001, 1 - 1.000001 * (k - 1) * least
+    props = F.transform(F.slice("mix", 2, k - 1), lambda x: F.when(x <= low, 0.0).when(x >= high, 1.0).otherwise(x))
+    totals = counted.groupBy(*site).agg(*_em_totals()).withColumn("at", F.to_json(F.struct(*site), {"ignoreNullFields": "false"}))
+    return totals.join(mix, "at").select(*site, "reads", "dropped_reads", props.alias("props"))
 
 
 def em_weighted(probs: np.ndarray, n: np.ndarray, iterations: int, tolerance: float, least: float) -> np.ndarray:

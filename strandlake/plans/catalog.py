@@ -63,7 +63,19 @@ def mods_expit(spark, d):
     return mods.expit_scaled(fx.mod_calls(spark, d), mods=ALPHABET).withColumn("prop", r6("prop"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {o.MOD_CALLS},
+r AS (SELECT chrm, pos, strand, read_id, exp(max(CASE WHEN mod_base = 'h' THEN score END)) AS h, exp(max(CASE WHEN mod_base = 'm' THEN score END)) AS m FROM calls GROUP BY ALL),
+q AS (SELECT chrm, pos, strand, greatest(1 - (h + m), 0) AS c, h, m FROM r),
+l AS (SELECT chrm, pos, strand, list({{'c': c, 'h': h, 'm': m}}) AS v, count(*) AS reads, sum(CASE WHEN c >= h AND c >= m THEN 1 ELSE 0 END) / count(*) AS c,
+        sum(CASE WHEN h > c AND h >= m THEN 1 ELSE 0 END) / count(*) AS h, sum(CASE WHEN m > c AND m > h THEN 1 ELSE 0 END) / count(*) AS m FROM q GROUP BY ALL),
+s AS (SELECT chrm, pos, strand, v, reads, greatest(c, 0.001::DOUBLE) AS c, greatest(h, 0.001::DOUBLE) AS h, greatest(m, 0.001::DOUBLE) AS m FROM l),
+em AS (SELECT chrm, pos, strand, v, reads, 0 AS step, c / (c + h + m) AS mc, h / (c + h + m) AS mh, m / (c + h + m) AS mm, false AS done FROM s
+  UNION ALL SELECT chrm, pos, strand, v, reads, step + 1, c / (c + h + m), h / (c + h + m), m / (c + h + m), greatest(abs(c / (c + h + m) - mc), abs(h / (c + h + m) - mh), abs(m / (c + h + m) - mm)) < 0.001::DOUBLE
+  FROM (SELECT *, greatest(list_avg(list_transform(v, lambda x: x.c * mc / (x.c * mc + x.h * mh + x.m * mm))), 0.001::DOUBLE) AS c, greatest(list_avg(list_transform(v, lambda x: x.h * mh / (x.c * mc + x.h * mh + x.m * mm))), 0.001::DOUBLE) AS h,
+          greatest(list_avg(list_transform(v, lambda x: x.m * mm / (x.c * mc + x.h * mh + x.m * mm))), 0.001::DOUBLE) AS m FROM em WHERE step < 15 AND NOT done)),
+f AS (SELECT chrm, pos, strand, reads, arg_max(mh, step) AS h, arg_max(mm, step) AS m FROM em GROUP BY chrm, pos, strand, reads),
+u AS (SELECT chrm, pos, strand, reads, mod_base, CASE mod_base WHEN 'h' THEN h ELSE m END AS x FROM f, (VALUES ('h'), ('m')) AS t(mod_base))
+SELECT chrm, pos, strand, reads, 0::BIGINT AS dropped_reads, mod_base, round(CASE WHEN x <= 0.001::DOUBLE * 1.000001 THEN 0 WHEN x >= 1 - 1.000001 * 2 * 0.001::DOUBLE THEN 1 ELSE x END, 6) AS prop FROM u""")
 def mods_em(spark, d):
     return mods.em(fx.mod_calls(spark, d), mods=ALPHABET).withColumn("prop", r6("prop"))
 
@@ -357,7 +369,12 @@ def intervals_best_of_islands(spark, d):
     return intervals.best_of_islands(fx.variant_spans(spark, d), ["contig"], "qual", "id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {o.SPANS}, y AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY start, "end", id) AS n FROM sp),
+fold AS (SELECT contig, n, start, "end", id, qual, true AS fresh FROM y WHERE n = 1
+  UNION ALL SELECT y.contig, y.n, CASE WHEN y.start >= f."end" OR y.qual > f.qual THEN y.start ELSE f.start END, CASE WHEN y.start >= f."end" OR y.qual > f.qual THEN y."end" ELSE f."end" END,
+    CASE WHEN y.start >= f."end" OR y.qual > f.qual THEN y.id ELSE f.id END, CASE WHEN y.start >= f."end" OR y.qual > f.qual THEN y.qual ELSE f.qual END, y.start >= f."end"
+  FROM fold f JOIN y ON y.contig = f.contig AND y.n = f.n + 1)
+SELECT contig, start, "end", id, qual FROM (SELECT *, coalesce(lead(fresh) OVER (PARTITION BY contig ORDER BY n), true) AS last FROM fold) WHERE last""")
 def intervals_resolve_overlaps(spark, d):
     return intervals.resolve_overlaps(fx.variant_spans(spark, d), ["contig"], "qual", "id")
 
@@ -483,6 +500,15 @@ def calibrate_density(spark, d):
     return out.withColumn("density", r6("density"))
 
 
+@query(f"""WITH {o.LLRS}, s AS (SELECT mod_base, strand = 1 AS is_mod, round(llr, 2) AS llr FROM llrs),
+c AS (SELECT mod_base, is_mod, round_even(llr / 0.008::DOUBLE, 0) * 0.008::DOUBLE AS centre, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT mod_base, is_mod, sum(n) AS total FROM c GROUP BY ALL)
+SELECT mod_base, is_mod, i, round(sum(n * exp(-power((-20 + i * 0.8::DOUBLE - centre) / 0.8::DOUBLE, 2) / 2)) / (0.8 * sqrt(2 * pi())) / any_value(total), 6) AS density
+FROM c JOIN t USING (mod_base, is_mod), range(0, 51) g(i) WHERE i BETWEEN ceil((centre - 6.4::DOUBLE + 20) / 0.8::DOUBLE) AND floor((centre + 6.4::DOUBLE + 20) / 0.8::DOUBLE) GROUP BY mod_base, is_mod, i""")
+def calibrate_density_cells(spark, d):
+    out = calibrate.densities(_stats(spark, d), ["mod_base", "is_mod"], -20.0, 20.0, 51)
+    return out.select("mod_base", "is_mod", "i", r6("density").alias("density"))
+
+
 @query()
 def calibrate_fit(spark, d):
     t = calibrate.fit(_stats(spark, d), max_llr=50.0, points=501)
@@ -576,31 +602,34 @@ def functions_records(spark, d):
     return e.select("event_id", info["k"].alias("k"), flag.alias("flag"), expr.seconds_text("event_id", F.lit(4000.0)).alias("seconds"), expr.natural_key(F.concat(F.lit("chr"), (F.col("user_id") % 25).cast("string"))).alias("natural_key"))
 
 
-@query(f"""WITH {o.SEQS}, c AS (SELECT name, substr(seq, 1, 40) AS s FROM seqs), b AS (SELECT name, s, list_transform(range(1, length(s) + 1), lambda i: substr(s, i, 1)) AS v FROM c),
-r AS (SELECT name, s, list_transform(range(0, length(s)), lambda i: CASE WHEN i = 0 OR v[i + 1] <> v[i] THEN 1 ELSE 0 END) AS st FROM b)
-SELECT name, coalesce(list_sum(st), 0)::BIGINT AS runs FROM r""")
+@query(f"""WITH {o.SEQS} SELECT name, len(regexp_extract_all(seq, 'A+|C+|G+|T+')) AS runs FROM seqs""")
 def functions_run_lengths(spark, d):
-    s = fx.sequences(spark, d).select("name", F.substring("seq", 1, 40).alias("s"))
-    return s.select("name", F.when(F.length("s") > 0, F.size(expr.run_lengths(F.split("s", "")))).otherwise(0).cast("long").alias("runs"))
+    # The letters are a column of their own, so that they are split once a row and not once a letter.
+    s = fx.sequences(spark, d).select("name", F.when(F.length("seq") > 0, F.split("seq", "")).otherwise(F.array().cast("array<string>")).alias("letters"))
+    return s.select("name", F.size(expr.run_lengths("letters")).cast("long").alias("runs"))
 
 
 # --- writers --------------------------------------------------------------
 
 
-@query(f"""WITH {o.WINNERS}, a AS (SELECT chrm, pos, strand, sum(CASE WHEN exp(win_lp) > 0.8 THEN 1 ELSE 0 END)::BIGINT AS v, sum(CASE WHEN exp(win_lp) > 0.8 AND winner = 'm' THEN 1 ELSE 0 END) AS n FROM winners GROUP BY ALL)
-SELECT 'm' AS mod_base, chrm, pos, concat_ws(chr(9), chrm, pos, pos + 1, '.', least(v, 1000), CASE strand WHEN 1 THEN '+' ELSE '-' END, pos, pos + 1, '0,0,0', v, printf('%.1f', CASE WHEN v > 0 THEN round_even(1000 * (n / v), 0) / 10 ELSE 0.0 END)) AS value FROM a""")
+_MOD_COUNTS = """a AS (SELECT m.mod_base, chrm, pos, strand, sum(CASE WHEN exp(win_lp) > 0.8 THEN 1 ELSE 0 END)::BIGINT AS v, sum(CASE WHEN exp(win_lp) > 0.8 AND winner = m.mod_base THEN 1 ELSE 0 END) AS n
+  FROM winners CROSS JOIN (VALUES ('h'), ('m')) AS m(mod_base) GROUP BY ALL)"""
+
+
+@query(f"""WITH {o.WINNERS}, {_MOD_COUNTS}
+SELECT mod_base, chrm, pos, concat_ws(chr(9), chrm, pos, pos + 1, '.', least(v, 1000), CASE strand WHEN 1 THEN '+' ELSE '-' END, pos, pos + 1, '0,0,0', v, printf('%.1f', CASE WHEN v > 0 THEN round_even(1000 * (n / v), 0) / 10 ELSE 0.0 END)) AS value FROM a""")
 def writer_bed_methyl(spark, d):
     from strandlake.sources import text
 
-    return text.bed_methyl_lines(mods.binary_threshold(fx.mod_calls(spark, d), mods=ALPHABET)).where("mod_base = 'm'")
+    return text.bed_methyl_lines(mods.binary_threshold(fx.mod_calls(spark, d), mods=ALPHABET))
 
 
-@query(f"""WITH {o.WINNERS}, a AS (SELECT chrm, pos, strand, sum(CASE WHEN exp(win_lp) > 0.8 THEN 1 ELSE 0 END) AS v, sum(CASE WHEN exp(win_lp) > 0.8 AND winner = 'm' THEN 1 ELSE 0 END) AS n FROM winners GROUP BY ALL)
-SELECT 'm' AS mod_base, strand, chrm, pos, (pos + 1) || ' ' || printf('%.6f', CASE WHEN v > 0 THEN n / v ELSE 0.0 END) AS value FROM a""")
+@query(f"""WITH {o.WINNERS}, {_MOD_COUNTS}
+SELECT mod_base, strand, chrm, pos, (pos + 1) || ' ' || printf('%.6f', CASE WHEN v > 0 THEN n / v ELSE 0.0 END) AS value FROM a""")
 def writer_wiggle(spark, d):
     from strandlake.sources import text
 
-    return text.wiggle_lines(mods.binary_threshold(fx.mod_calls(spark, d), mods=ALPHABET)).where("mod_base = 'm'")
+    return text.wiggle_lines(mods.binary_threshold(fx.mod_calls(spark, d), mods=ALPHABET))
 
 
 @query(f"""WITH {o.WINNERS}, a AS (SELECT chrm, pos, strand, count(*) AS r, sum(CASE WHEN exp(win_lp) > 0.8 THEN 1 ELSE 0 END)::BIGINT AS v, sum(CASE WHEN exp(win_lp) > 0.8 AND winner = 'm' THEN 1 ELSE 0 END) AS n, sum(CASE WHEN exp(win_lp) > 0.8 AND winner = 'h' THEN 1 ELSE 0 END) AS h FROM winners GROUP BY ALL)
@@ -653,9 +682,9 @@ def reads_mod_tags(spark, d):
     return reads.mod_tags(c, 0.25)
 
 
-@query(f"""WITH {o.SEQS} SELECT name, coalesce(list_max(list_transform(regexp_extract_all(substr(seq, 1, 200), 'A+|C+|G+|T+'), lambda x: length(x))), 0)::INTEGER AS longest FROM seqs""")
+@query(f"""WITH {o.SEQS} SELECT name, coalesce(list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+'), lambda x: length(x))), 0)::INTEGER AS longest FROM seqs""")
 def functions_homopolymer(spark, d):
-    return fx.sequences(spark, d).select("name", expr.homopolymer_length(F.substring("seq", 1, 200)).alias("longest"))
+    return fx.sequences(spark, d).select("name", expr.homopolymer_length("seq").alias("longest"))
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)

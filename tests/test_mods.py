@@ -79,6 +79,26 @@ def test_em_matches_a_loop(spark):
     assert mods.em(calls(spark, [(1, 1, 1, "m", -1.0)]), mods=["h", "m"]).count() == 0
 
 
+def test_em_takes_scores_as_they_are_at_any_depth(spark):
+    r = np.random.default_rng(5)
+    rows, want = [], {}
+    for site in range(4):
+        p = r.dirichlet([1, 0.3, 0.1] if site % 2 else [0.1, 0.1, 3], 40)
+        scores = np.log(np.maximum(p[:, 1:], 1e-12))
+        for i, (h, m) in enumerate(scores.tolist()):
+            rows += [(site, 1, i, "h", h), (site, 1, i, "m", m)]
+        q = np.exp(scores)
+        want[site] = loop_em(np.concatenate([np.maximum(1 - q.sum(1, keepdims=True), 0), q], 1))
+    rows.append((0, 1, 99, "m", LN(0.3)))  # lacks a mod
+    rows += [(1, 1, i, "m", -1.0) for i in range(100, 105)]
+    for deep in (10_000, 42, 1):
+        out = mods.em(calls(spark, rows), mods=["h", "m"], deep=deep).collect()
+        assert len(out) == 8
+        assert {r["pos"]: (r["reads"], r["dropped_reads"]) for r in out} == {0: (41, 1), 1: (45, 5), 2: (40, 0), 3: (40, 0)}
+        for row in out:
+            assert abs(row["prop"] - want[row["pos"]][1 if row["mod_base"] == "h" else 2]) < 1e-6
+
+
 def test_position_codes_round_trip(spark):
     contigs = spark.createDataFrame([("chr10", 50), ("chr2", 30), ("chrX", 9)], "chrm string, chrm_len long")
     off = mods.contig_offsets(contigs)

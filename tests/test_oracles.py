@@ -10,6 +10,8 @@ from strandlake.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+#: Queries without SQL; tests of their operators compare with loops.
+LOOPED = {"calibrate_fit", "kernels_posterior_calls"}
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +36,7 @@ def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, DATA)
     rows = df.collect()
     if name not in catalog.SQL:
-        assert len(rows) >= 0
+        assert name in LOOPED and rows
         return
     out = duck.sql(catalog.SQL[name])
     names = sorted(df.columns)
