@@ -14,12 +14,14 @@ are packed each on their own. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import json
 import re
 import string
 import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,15 @@ _END = bytes(4)
 _SEPARATOR = "\u0660"
 _SIGNS = string.punctuation.encode()
 _MARKS = re.compile("[\u0300-\u036f]")
+#: How a vocabulary file describes the preparation of texts that :class:`WordTokenizer` shortens.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 class WordTokenizer:
@@ -43,13 +54,16 @@ class WordTokenizer:
 
     The vocabulary's pre-tokeniser never joins characters across white space, so
     the ids of a text are those of its white-space separated words in turn.
-    Words that were not met for a generation are forgotten.
+    Words that were not met for a generation are forgotten. Texts of vocabularies that
+    are prepared in any other way are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        described = json.loads(Path(path).read_text("utf-8"))
+        self.by_word = described["normalizer"] == _NORMALIZER and described["pre_tokenizer"] == _PRE_TOKENIZER and described["model"]["type"] == "BPE"
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.mark = self._ids(_SEPARATOR)
@@ -81,6 +95,8 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if not self.by_word:
+            return self._ids(text)
         if len(self.known) > CACHE_WORDS:
             self.older, self.known = self.known, {}
         data = text.encode("utf-8")

@@ -11,8 +11,10 @@ Bodies never take part in the join; :func:`resolve` names the response whose bod
 Defined cases: a null URL is a canonical URL of its own (empty). A revisit without earlier
 response is ``missing``. Captures of one instant are ordered by record identifier; a revisit takes none of its
 own instant. A response without validators, or a revisit without any, is ``unchecked``. A null
-date never precedes or follows anything: such a revisit is ``missing``. Empty tables
-give empty tables.
+date never precedes or follows anything: such a revisit is ``missing``. Repeated revisits are
+answered each; of responses of one URL and instant the largest record identifier counts (a null one
+comes first). Where records carry ``http_status``, only a response of status 200 is a full one. Other extra columns play
+no part. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 import gzip
 import io
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +36,8 @@ MERGED = ["cache-control", "content-location", "date", "etag", "expires", "last-
 #: Query keys that say where a visitor came from, not what is shown.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "ref", "fbclid", "gclid"]
 SPANS = 64
+#: Kind of records that cannot be read; bytes of blocks that a reader holds before it hands records on.
+DAMAGED, BATCH_BYTES = "damaged", 32 << 20
 
 
 def canonical_url(url: Column) -> Column:
@@ -54,7 +59,8 @@ def resolve(records: DataFrame, spans: int = SPANS) -> DataFrame:
     ``records``: record_id long, kind ('response' or 'revisit'), url string, date timestamp,
     headers map of lower-case names. ``status``: resolved, changed, unchecked or missing.
     """
-    r = records.where(F.col("kind").isin("response", "revisit")).select(
+    complete = F.coalesce(F.col("http_status") == 200, F.lit(False)) if "http_status" in records.columns else F.lit(True)
+    r = records.where((F.col("kind") == "revisit") | ((F.col("kind") == "response") & complete)).select(
         "record_id", "kind", canonical_url(F.col("url")).alias("canonical"), F.unix_micros("date").alias("at"), "headers"
     )
     low, high = r.agg(F.min("at"), F.max("at")).first()
@@ -116,9 +122,59 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
 _RECORD = re.compile(rb"WARC/1\.[01]\r\n")
 
 
+class _Members(io.RawIOBase):
+    """What a file of gzip members holds, up to its end or to where it does not decompress."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.member, self.damaged = memoryview(data), 0, None, False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        while True:
+            if self.member is None:
+                while self.at < len(self.data) and not self.data[self.at]:
+                    self.at += 1
+                if self.at == len(self.data):
+                    return 0
+                self.member = zlib.decompressobj(31)
+            given = self.member.unconsumed_tail
+            if not given:
+                given = self.data[self.at : self.at + 65536]
+                self.at += len(given)
+            try:
+                out = self.member.decompress(given, len(target))
+                self.damaged = not (out or len(given) or self.member.eof)
+            except zlib.error:
+                out, self.damaged = b"", True
+            if self.damaged:
+                self.member, self.at = None, len(self.data)
+                return 0
+            if self.member.eof:
+                self.at -= len(self.member.unused_data)
+                self.member = None
+            if out:
+                target[: len(out)] = out
+                return len(out)
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(WARC headers in lower case, block) of each record of a file, plain or compressed by record."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    """(WARC headers in lower case, block) of each record of a file, plain or compressed by record.
+
+    A record cut short or without a usable length is one of type ``damaged``, with no block; so is the rest of a
+    file that does not decompress. Records before those are given, and in plain files the ones after them too.
+    """
+    members = _Members(data) if data[:2] == b"\x1f\x8b" else None
+    whole = True
+    for head, block in _records(io.BufferedReader(members) if members else io.BytesIO(data)):
+        whole = block is not None
+        yield (head, block) if whole else ({"warc-type": DAMAGED}, b"")
+    if members and members.damaged and whole:
+        yield {"warc-type": DAMAGED}, b""
+
+
+def _records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes | None]]:
     while line := stream.readline():
         if not _RECORD.match(line):
             continue
@@ -126,7 +182,12 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
-        yield head, stream.read(int(head.get("content-length", 0)))
+        length = head.get("content-length", "")
+        if not (length.isascii() and length.isdigit()):
+            yield head, None
+            continue
+        block = stream.read(int(length))
+        yield head, block if len(block) == int(length) else None
 
 
 def write_record(kind: str, url: str, date: str, record_id: str, http: bytes, compress: bool = True) -> bytes:
@@ -139,22 +200,33 @@ _FIELDS = "warc_id string, kind string, url string, date string, http_status int
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response and revisit records of WARC files; a file is one task's unit."""
+    """Response and revisit records of WARC files, and a row of kind ``damaged`` for each record that cannot be read.
+
+    A file is one task's unit (2 GB at most, Spark's limit for a binary value); its records leave in batches of BATCH_BYTES.
+    """
     ship(spark)
 
+    types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=[f.split()[0] for f in _FIELDS.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows = []
-                for head, block in parse_warc(data):
-                    if head.get("warc-type") not in ("response", "revisit"):
+            for cell in batch.column(0):
+                rows, held = [], 0
+                for head, block in parse_warc(cell.as_py()):
+                    if head.get("warc-type") not in ("response", "revisit", DAMAGED):
                         continue
                     top, _, body = block.partition(b"\r\n\r\n")
                     first, *rest = top.decode("latin-1").split("\r\n")
                     status = first.split(" ")[1] if first.count(" ") else ""
                     pairs = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in rest) if k.strip()}
-                    rows.append((head.get("warc-record-id"), head["warc-type"], head.get("warc-target-uri"), head.get("warc-date"), int(status) if status.isdigit() else None, list(pairs.items()), body))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=[f.split()[0] for f in _FIELDS.split(", ")])
+                    rows.append((head.get("warc-record-id"), head["warc-type"], head.get("warc-target-uri"), head.get("warc-date"), int(status) if len(status) == 3 and status.isascii() and status.isdigit() else None, list(pairs.items()), body))
+                    held += len(block)
+                    if held > BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
+                yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _FIELDS)

@@ -4,7 +4,8 @@ Method. A sentence's log-odds are a bias and the weights of its distinct words;
 weight is the sum of those of its form, its character n-grams and its stems. A document is
 toxic unless all its sentences are clean (noisy-or). Weights are fitted on document
 labels by gradient ascent through the noisy-or; the sentence scores then say where
-the offence is.
+the offence is. Fitted are the FEATURES features that tell most about the labels, on at most
+SAMPLE_DOCS labelled documents of at most SAMPLE_CHARS characters; scoring reads every whole text.
 
 Defined cases: null, empty or blank text has no sentence and the score 0. Repeated rows
 are scored alike. Without labels of both kinds every score is 0. An empty table gives

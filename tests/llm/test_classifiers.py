@@ -1,8 +1,11 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from strandlake.llm import quality, toxicity, url_filter
 from strandlake.llm.common import fold
+from strandlake.llm.labelled import training_sample
 from tests_llm_prose import prose
 
 
@@ -124,3 +127,20 @@ def test_url_model_on_unseen_hosts():
     score = lambda u: m.score(*url_filter.split_url(u))
     assert min(score(f"https://{w}.example.org/en/5") for w in ("cheap-loans", "spam-farm", "casino-win", "pills-bonus")) > 0.5
     assert max(score(f"https://{w}.example.org/en/5") for w in ("thering", "blog.moonriver", "m.tiontion", "www.history-news")) < 0.5
+
+
+def test_training_rows_are_fixed_for_repeated_identifiers(spark):
+    docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 0)], "doc_id long, quality int")
+    got = [training_sample(x, labels, "quality", F.lit(True), 12, 100) for x in (docs, docs.repartition(7).orderBy(F.desc("text")))]
+    assert got[0] == got[1] and len(got[0]) == 12 and len({t for t, _ in got[0]}) == 12
+
+
+def test_url_model_on_hosts_it_did_not_learn_from():
+    table = url_filter.labelled_urls()
+    split = [zlib.crc32(url_filter.split_url(u)[0].encode()) % 2 for u, _ in table]
+    model = url_filter.UrlModel.fit([x for x, s in zip(table, split, strict=True) if s])
+    held = [(model.score(*url_filter.split_url(u)) >= url_filter.BLOCK_FROM, bool(y)) for (u, y), s in zip(table, split, strict=True) if not s]
+    right = sum(a == b for a, b in held) / len(held)
+    print("held-out accuracy", right, "of", len(held))
+    assert right > 0.8

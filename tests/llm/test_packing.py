@@ -30,6 +30,16 @@ def test_forgetting_words_changes_nothing(monkeypatch):
     assert all(np.frombuffer(words.encode(t), np.uint32).tolist() == whole.encode(t, add_special_tokens=False).ids for t in texts)
 
 
+def test_vocabularies_of_other_kinds_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = packing.resolve_vocabulary("byte_bpe_50k.json")
+    words, whole = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    assert not words.by_word and packing.WordTokenizer(packing.resolve_vocabulary("word_bpe_49k.json")).by_word
+    for text in ("", "The  Cat\nsat.", " two Words é 12!", "\t"):
+        assert np.frombuffer(words.encode(text), np.uint32).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_feasible_and_near_the_bound(seed):
     random.seed(seed)

@@ -58,6 +58,26 @@ def test_files_round_trip(spark, tmp_path):
     assert out["status"] == "resolved" and out["response_id"] == 1 and out["headers"]["content-type"] == "text/html" and out["headers"]["date"] == "later" and bytes(out["body"]).endswith(b"</html>")
 
 
+def test_damaged_files_give_their_good_records(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    good = lambda i, z: rv.write_record("response", "http://a.com/", "2024-01-01T00:00:00Z", f"<{i}>", http, z)
+    (tmp_path / "cut.warc.gz").write_bytes(good(1, True) + good(2, True)[:-30])
+    (tmp_path / "noise.warc.gz").write_bytes(good(3, True) + b"\x1f\x8bnoise" * 9)
+    (tmp_path / "length.warc").write_bytes(good(4, False) + good(5, False).replace(b"Content-Length: ", b"Content-Length: x") + good(6, False))
+    (tmp_path / "short.warc").write_bytes(good(7, False) + good(8, False)[:-6])
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = rv.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r["warc_id"] for r in rows if r["kind"] == "response") == ["<1>", "<3>", "<4>", "<6>", "<7>"]
+    assert sum(r["kind"] == rv.DAMAGED for r in rows) == 4
+
+
+def test_only_complete_responses_are_stored_ones(spark):
+    rows = [(1, "response", "u", 10, {"etag": "a"}, 200, "x"), (2, "response", "u", 20, {"etag": "a"}, 404, "x"), (3, "response", "u", 30, {"etag": "a"}, None, "x"), (4, "revisit", "u", 40, {"etag": "a"}, 304, "x"), (4, "revisit", "u", 40, {"etag": "a"}, 304, "x")]
+    df = spark.createDataFrame(rows, "record_id long, kind string, url string, sec long, headers map<string,string>, http_status int, canonical string").withColumn("date", F.timestamp_seconds("sec"))
+    assert [(r["record_id"], r["response_id"], r["status"], r["canonical"]) for r in rv.resolve(df).collect()] == [(4, 1, "resolved", "u")] * 2
+    assert [r["response_id"] for r in rv.resolve(df.drop("http_status")).collect()] == [3, 3]
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert rv.resolve(rv.captures_of_pages(pages)).count() == 0
