@@ -54,6 +54,12 @@ CALM = 1e-6
 HELD = 400_000
 #: Tokens whose runs a task counts at a time.
 WAITING = 2_000_000
+#: Runs of three classes are numbers below RUNS, a power of two; an odd factor spreads them evenly over buckets of PLACES runs.
+RUNS, PLACES = CLASSES**3, 1 << 16
+SPREAD = 0x1E3779B1
+GATHER = pow(SPREAD, -1, RUNS)
+#: Entries a task holds of one bucket before it adds them up, runs of a row of the table, rows of a batch, and runs that are shuffled together for training.
+PENDING, PIECE, PIECES, SHUFFLED = 1 << 20, 1024, 1024, 1 << 16
 #: No word holds white space.
 END = b"\n"
 RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -242,12 +248,26 @@ def train(docs: DataFrame, keep: Column, text: str = "text") -> LanguageModel:
     share = np.full(CLASSES, 1e-3)
     share[: len(top)] = [r["c"] + 1 for r in top]
     share[FREQUENT : FREQUENT + endings] = class_tokens + class_words + 1
-    lexicon.learnt(fit(run_counts(texts, lexicon), BilinearModel(share / share.sum())))
+    lexicon.learnt(fit(packed_runs(texts, lexicon), BilinearModel(share / share.sum())))
     return LanguageModel(counts, lexicon)
 
 
 def run_counts(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(run, n): how often three classes follow each other; two end tokens come before a text's first."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from (pa.RecordBatch.from_arrays([pa.array(run), pa.array(n)], names=["run", "n"]) for run, n in _unpacked(batch))
+
+    return packed_runs(texts, lexicon).mapInArrow(unpack, "run long, n long")
+
+
+def packed_runs(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The counts of :func:`run_counts`, many to a row: bucket, places (16 bits each), n (64 bits each), runs, total.
+
+    A task's counts leave by bucket as two byte strings, so the shuffle moves no row a run. Sorted by bucket
+    they are added up as they stream in, in one array of PLACES numbers whatever the corpus.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(lexicon)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,26 +286,109 @@ def run_counts(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
         if waiting:
             yield _runs(waiting, starts)
 
-    found = texts.mapInArrow(count, "run long, n long")
-    return found.groupBy("run").agg(F.sum("n").alias("n"))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, rows = _BucketSums(), []
+        for batch in batches:
+            bucket, (places, at), (n, _) = batch.column(0).to_numpy(), _flat(batch.column(1), "<u2"), _flat(batch.column(2), "<u4")
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
+                if i == j:
+                    continue
+                if bucket[i] != sums.bucket:
+                    rows += sums.finish(int(bucket[i]))
+                sums.add(places[at[i] : at[j]], n[at[i] : at[j]])
+            while len(rows) >= PIECES:
+                yield _pieces(rows[:PIECES])
+                rows = rows[PIECES:]
+        rows += sums.finish(-1)
+        for i in range(0, len(rows), PIECES):
+            yield _pieces(rows[i : i + PIECES])
+
+    found = texts.mapInArrow(count, "bucket int, places binary, n binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add_up, "bucket int, places binary, n binary, runs long, total long")
+
+
+class _BucketSums:
+    """Counts of one bucket's runs after the other."""
+
+    def __init__(self):
+        self.bucket, self.sums, self.waiting, self.held = -1, None, [], 0
+
+    def add(self, places: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.append((places, n))
+        self.held += len(n)
+        if self.held > PENDING:
+            self._settle()
+
+    def _settle(self) -> None:
+        places, n = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        sums = np.bincount(places, n, PLACES)  # whole numbers, exact below 2 ** 53
+        self.sums = sums if self.sums is None else self.sums + sums
+        self.waiting, self.held = [], 0
+
+    def finish(self, following: int) -> list[tuple]:
+        """Rows of the bucket that ends here."""
+        rows = []
+        if self.waiting:
+            self._settle()
+        if self.sums is not None:
+            places = np.flatnonzero(self.sums)
+            n = self.sums[places].astype("<i8")
+            for i in range(0, len(places), PIECE):
+                part = n[i : i + PIECE]
+                rows.append((self.bucket, places[i : i + PIECE].astype("<u2").tobytes(), part.tobytes(), len(part), int(part.sum())))
+        self.bucket, self.sums = following, None
+        return rows
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "places", "n", "runs", "total"])
+
+
+def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that a column of byte strings holds, and where each row's begin (and the last one's end)."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]] if len(column) and at[-1] > at[0] else np.zeros(0, np.uint8)
+    return data.view(kind), (at - at[0]) // np.dtype(kind).itemsize
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(run, n) of a batch's rows, about SHUFFLED at a time."""
+    if not batch.num_rows:
+        return
+    bucket, (places, at), (n, _) = batch.column(0).to_numpy().astype(np.int64), _flat(batch.column(1), "<u2"), _flat(batch.column(2), "<i8")
+    cuts = [0, *(np.flatnonzero(np.diff((at[1:] - 1) // SHUFFLED)) + 1).tolist(), len(bucket)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        code = np.repeat(bucket[i:j] * PLACES, np.diff(at[i : j + 1])) + places[at[i] : at[j]]
+        yield code * GATHER % RUNS, n[at[i] : at[j]]
 
 
 def _runs(sequence: list[int], starts: list[int]) -> pa.RecordBatch:
-    """Counts of runs of three in texts that begin, with two ends, at ``starts``; no run ends at those."""
+    """Counts by bucket of runs of three in texts that begin, with two ends, at ``starts``; no run ends at those."""
     c, at = np.array(sequence, np.int64), np.array(starts, np.int64)
     inside = np.ones(len(c), bool)
     inside[at] = inside[at + 1] = False
-    run, n = np.unique(((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])[inside[2:]], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(run), pa.array(n)], names=["run", "n"])
+    run = ((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])[inside[2:]]
+    code, n = np.unique((run * SPREAD % RUNS).astype(np.int32), return_counts=True)
+    bucket = code // PLACES
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(first, len(code))
+
+    def strings(values: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), strings((code % PLACES).astype("<u2")), strings(n.astype("<u4"))], names=["bucket", "places", "n"])
 
 
 def fit(runs: DataFrame, model: BilinearModel, rounds: int = ROUNDS) -> BilinearModel:
-    """Trains on the table of :func:`run_counts`: a copy of the model a partition and round, averaged by the tokens each saw.
+    """Trains on the table of :func:`packed_runs`: a copy of the model a partition and round, averaged by the tokens each saw.
 
-    The table has at most CLASSES ** 3 rows whatever the corpus; TRAINERS bounds what the driver averages.
+    The table has at most RUNS runs whatever the corpus; TRAINERS bounds what the driver averages.
     """
     table = materialize(runs, "runs")
-    distinct, total = table.agg(F.count(F.lit(1)), F.sum("n")).first()
+    distinct, total = table.agg(F.sum("runs"), F.sum("total")).first()
     for number in range(rounds if distinct else 0):
         shared, mean, rate = table.sparkSession.sparkContext.broadcast(model), total / distinct, RATE / (1 + number / 2)
 
@@ -293,15 +396,15 @@ def fit(runs: DataFrame, model: BilinearModel, rounds: int = ROUNDS) -> Bilinear
             copy, seen = pickle.loads(pickle.dumps(shared.value)), 0  # noqa: B023
             random = np.random.default_rng([number, TaskContext.get().partitionId()])  # noqa: B023
             for batch in batches:
-                run, n = (c.to_numpy() for c in batch.columns)
-                order = random.permutation(len(n))
-                run, n = run[order], n[order]
-                copy.train(np.stack([run // CLASSES**2, run // CLASSES % CLASSES, run % CLASSES], 1), n, random, mean, rate)  # noqa: B023
-                seen += int(n.sum())
+                for run, n in _unpacked(batch):
+                    order = random.permutation(len(n))
+                    run, n = run[order], n[order]
+                    copy.train(np.stack([run // CLASSES**2, run // CLASSES % CLASSES, run % CLASSES], 1), n, random, mean, rate)  # noqa: B023
+                    seen += int(n.sum())
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([copy.to_bytes()]), pa.array([float(seen)])], names=["model", "seen"])
 
-        copies = table.select("run", "n").coalesce(TRAINERS).mapInArrow(learn, "model binary, seen double").collect()
+        copies = table.select("bucket", "places", "n").coalesce(TRAINERS).mapInArrow(learn, "model binary, seen double").collect()
         model.average([r["model"] for r in copies], [r["seen"] for r in copies])
     return model
 
