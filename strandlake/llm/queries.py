@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontaminate, language_model, line_dedup, packing, piecewise, quality, revisits, simhash, toxicity, url_filter
+from strandlake.llm import decontaminate, filter_audit, importance, language_model, line_dedup, packing, piecewise, quality, revisits, simhash, token_counts, toxicity, url_filter
 from strandlake.llm.common import fold
 from strandlake.session import read_table
 
@@ -132,6 +132,57 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.compare_with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, read_table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM d),
+f AS (
+  SELECT doc_id, part,
+         CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS m
+  FROM w
+),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, m, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY part, m
+),
+x AS (SELECT chr(CAST(65 + i AS INTEGER)) AS a, CAST(1 << i AS INTEGER) AS b FROM range(5) r(i)),
+o AS (
+  SELECT x1.a || x2.a || x3.a || x4.a || x5.a AS filter_order, [x1.b, x2.b, x3.b, x4.b, x5.b] AS bits
+  FROM x x1 JOIN x x2 ON x2.a <> x1.a JOIN x x3 ON x3.a NOT IN (x1.a, x2.a)
+  JOIN x x4 ON x4.a NOT IN (x1.a, x2.a, x3.a) JOIN x x5 ON x5.a NOT IN (x1.a, x2.a, x3.a, x4.a)
+),
+s AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before FROM o, (SELECT CAST(i + 1 AS INTEGER) AS step FROM range(5) r(i)))
+SELECT part, filter_order, step,
+       coalesce(sum(n) FILTER (m & (own | before) = 0), 0)::BIGINT AS kept,
+       coalesce(sum(n) FILTER (m & own <> 0 AND m & before = 0), 0)::BIGINT AS removed,
+       coalesce(sum(n) FILTER (m & own <> 0 AND m & before <> 0), 0)::BIGINT AS redundant,
+       coalesce(sum(n) FILTER (m = own), 0)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (m & own <> 0 AND m & before = 0), 0)::BIGINT AS good_lost,
+       coalesce(sum(bad) FILTER (m & own <> 0 AND m & before = 0), 0)::BIGINT AS toxic_lost,
+       coalesce(sum(n * 120 // greatest(bit_count(m), 1)) FILTER (m & own <> 0), 0)::BIGINT AS shapley
+FROM c, s GROUP BY part, filter_order, step
+"""
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, read_table(spark, sf_dir, "benchmark").select("text"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -143,5 +194,8 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_toxicity": op9_toxicity,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_token_counts": op12_token_counts,
+    "op13_importance_resampling": op13_importance_resampling,
 }
-SQL = {"op1_line_dedup": OP1_SQL, "op7_warc_revisits": OP7_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op7_warc_revisits": OP7_SQL, "op11_filter_interaction_audit": OP11_SQL}
