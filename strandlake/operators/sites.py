@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.functions.expr import motif_complement, motif_positions, motif_regex, natural_key
+from strandlake.functions.expr import motif_complement, natural_key
+from strandlake.operators import tiles
 
 #: Bins of the comparison histogram over 0..100 percent.
 COMPARE_BINS = 31
@@ -78,26 +79,24 @@ def coverage_histogram(summed: DataFrame, low: float = 0.01, high: float = 0.99)
     return x.where((F.col("upto") > low * F.col("all_n")) & (F.col("upto") - F.col("n") < high * F.col("all_n"))).select("cov", "n")
 
 
-def motif_sites(contigs: DataFrame, motif: str, offset: int) -> DataFrame:
-    """chrom, pos, strand of a motif's base on both strands, from (chrom, seq)."""
-    back = motif_complement(motif)
-    forward = contigs.select("chrom", F.explode(F.transform(motif_positions("seq", motif, offset), lambda p: p.cast("long"))).alias("pos"), F.lit(1).alias("strand"))
-    reverse = contigs.select("chrom", F.explode(F.transform(motif_positions("seq", back, len(motif) - 1 - offset), lambda p: p.cast("long"))).alias("pos"), F.lit(-1).alias("strand"))
-    return forward.unionByName(reverse)
-
-
-def split_by_motif(sites: DataFrame, contigs: DataFrame, motifs: list[tuple[str, int]]) -> DataFrame:
-    """Adds motif: the first that reads at the site on its strand, else null."""
-    x = sites.join(contigs.select("chrom", "seq"), "chrom")
-    out = F.lit(None).cast("string")
-    for motif, offset in reversed(motifs):
-        n = len(motif)
-        ahead = F.substring("seq", F.col("pos") - offset + 1, F.lit(n))
-        behind = F.substring("seq", F.col("pos") - (n - 1 - offset) + 1, F.lit(n))
-        inside = F.when(F.col("strand") == 1, F.col("pos") >= offset).otherwise(F.col("pos") >= n - 1 - offset)
-        hit = inside & F.when(F.col("strand") == 1, ahead.rlike(f"^{motif_regex(motif, False)}$")).otherwise(behind.rlike(f"^{motif_regex(motif_complement(motif), False)}$"))
-        out = F.when(hit, motif).otherwise(out)
-    return x.select(*sites.columns, out.alias("motif"))
+def motif_sites(contigs: DataFrame, motif: str, offset: int, width: int = tiles.WIDTH) -> DataFrame:
+    """chrom, pos, strand of a motif's base on both strands, from whole contigs (chrom, seq) or tiles."""
+    cut = tiles.of(contigs, "chrom", width)
+    hits = lambda m, at, strand: tiles.motif_starts(cut, m, width).select(F.col("contig").alias("chrom"), (F.col("pos") + at).alias("pos"), F.lit(strand).alias("strand"))
+    return hits(motif, offset, 1).unionByName(hits(motif_complement(motif), len(motif) - 1 - offset, -1))
+
+
+def split_by_motif(sites: DataFrame, contigs: DataFrame, motifs: list[tuple[str, int]], width: int = tiles.WIDTH) -> DataFrame:
+    """Adds motif: the first that reads at the site on its strand, else null. Sites join the motifs' hits, so that no site carries letters."""
+    cut = tiles.of(contigs, "chrom", width)
+    hits = None
+    for rank, (motif, offset) in enumerate(motifs):
+        x = motif_sites(cut, motif, offset, width).withColumn("_rank", F.lit(rank))
+        hits = x if hits is None else hits.unionByName(x)
+    best = hits.groupBy("chrom", "pos", F.col("strand").alias("_strand")).agg(F.min("_rank").alias("_rank"))
+    names = F.get(F.array(*[F.lit(m) for m, _ in motifs]), F.col("_rank"))
+    known = sites.join(cut.select(F.col("contig").alias("chrom")).distinct(), "chrom", "left_semi").withColumn("_strand", F.when(F.col("strand") == 1, 1).otherwise(-1))
+    return known.join(best, ["chrom", "pos", "_strand"], "left").select(*sites.columns, names.alias("motif"))
 
 
 # --- unions of per-read tables and of calibrations ------------------------

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.expr import log1m, log_factorial, logsumexp, trim_alleles
+from strandlake.operators import tiles
 
 LOCUS = ["locus"]
 
@@ -112,12 +112,18 @@ def merge_alleles(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("contig", "pos", "ref").agg(F.array_sort(F.collect_set("alt")).alias("alts"), ids.alias("ids"))
 
 
-def add_context_base(variants: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Where an allele is empty, the base before it leads all alleles (VCF needs one)."""
-    x = variants.join(contigs.select("contig", "seq"), "contig").withColumn("_base", F.substring("seq", F.col("pos"), F.lit(1)))
-    empty = (F.col("ref") == "") | F.exists("alts", lambda a: a == "")
-    base = F.col("_base")
-    return x.select("contig", F.when(empty, F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"), F.when(empty, F.concat(base, "ref")).otherwise(F.col("ref")).alias("ref"), F.when(empty, F.transform("alts", lambda a: F.concat(base, a))).otherwise(F.col("alts")).alias("alts"))
+def add_context_base(variants: DataFrame, contigs: DataFrame, width: int = tiles.WIDTH) -> DataFrame:
+    """Where an allele is empty, the base before it leads all alleles (VCF needs one).
+
+    ``contigs``: whole ones (contig, seq) or tiles. Rows on other contigs are left out, and so are rows with an
+    empty allele at position 0, which have no base before them.
+    """
+    cut = tiles.of(contigs, width=width)
+    known = variants.join(cut.select("contig").distinct(), "contig", "left_semi").withColumn("_empty", (F.col("ref") == "") | F.exists("alts", lambda a: a == ""))
+    full = known.where(~F.col("_empty")).select("contig", "pos", "ref", "alts")
+    x = tiles.letters_at(known.where("_empty"), cut, F.col("pos") - 1, width, "inner")
+    base = F.col("letter")
+    return full.unionByName(x.select("contig", (F.col("pos") - 1).alias("pos"), F.concat(base, "ref").alias("ref"), F.transform("alts", lambda a: F.concat(base, a)).alias("alts")))
 
 
 def expand_indel(seq: str, pos: int, ref: str, alt: str) -> tuple[int, str, str] | None:
@@ -138,24 +144,33 @@ def expand_indel(seq: str, pos: int, ref: str, alt: str) -> tuple[int, str, str]
     return pos - left, before + ref + after, before + alt + after
 
 
-def expand_indels(variants: DataFrame, contigs: DataFrame) -> DataFrame:
-    """:func:`expand_indel` over rows contig, pos, ref, alt; contigs are few and long, and join by name."""
-    x = variants.join(contigs.select("contig", "seq"), "contig")
-
-    @F.pandas_udf("struct<pos:long,ref:string,alt:string>")
-    def grow(seq: pd.Series, pos: pd.Series, ref: pd.Series, alt: pd.Series) -> pd.DataFrame:
-        out = [expand_indel(*r) or (None, None, None) for r in zip(seq, pos, ref, alt, strict=True)]
-        return pd.DataFrame(out, columns=["pos", "ref", "alt"])
-
-    y = x.select("contig", grow("seq", "pos", "ref", "alt").alias("g"))
-    return y.select("contig", "g.pos", "g.ref", "g.alt").where("pos is not null")
+def expand_indels(variants: DataFrame, contigs: DataFrame, width: int = tiles.WIDTH) -> DataFrame:
+    """:func:`expand_indel` over rows contig, pos, ref, alt, on whole contigs or tiles.
 
-
-def check_reference(variants: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Rows whose reference allele is not what the contig reads."""
-    x = variants.join(contigs, "contig", "left")
-    there = F.substring("seq", F.col("pos") + 1, F.length("ref"))
-    return x.where(F.col("seq").isNull() | (there != F.col("ref"))).select(*variants.columns)
+    Indels that outgrow a tile are carried on to the next one. The letters grown over repeat the
+    indel's own, so that none are carried along.
+    """
+    cut = tiles.of(contigs, width=width)
+    key = ["contig", "pos", "ref", "alt"]
+    known = variants.select(*key).join(cut.select("contig").distinct(), "contig", "left_semi")
+    open_ = (F.col("ref") == "") != (F.col("alt") == "")
+    indels = known.where(open_)
+    before = tiles.repeat_reach(indels.distinct(), cut, True, width).withColumnRenamed("reach", "left")
+    after = tiles.repeat_reach(indels.distinct(), cut, False, width).withColumnRenamed("reach", "right")
+    x = indels.join(before, key).join(after, key).where("left is not null and right is not null")
+    unit = F.when(F.col("ref") == "", F.col("alt")).otherwise(F.col("ref"))
+    times = lambda n: F.ceil(F.col(n) / F.length(unit)).cast("int")
+    head = F.when(F.col("left") > 0, F.substring(F.repeat(unit, times("left")), (-F.col("left")).cast("int"), F.col("left").cast("int"))).otherwise("")
+    tail = F.substring(F.repeat(unit, times("right")), F.lit(1), F.col("right").cast("int"))
+    grown = x.select("contig", (F.col("pos") - F.col("left")).alias("pos"), F.concat(head, "ref", tail).alias("ref"), F.concat(head, "alt", tail).alias("alt"))
+    return known.where(~open_).unionByName(grown)
+
+
+def check_reference(variants: DataFrame, contigs: DataFrame, width: int = tiles.WIDTH) -> DataFrame:
+    """Rows whose reference allele is not what the contig (whole or in tiles) reads."""
+    bad = tiles.mismatches(variants, tiles.of(contigs, width=width), width)
+    same = [variants[c].eqNullSafe(bad[c]) for c in ("contig", "pos", "ref")]
+    return variants.join(bad, same[0] & same[1] & same[2], "left_semi")
 
 
 def split_genotype_counts(calls: DataFrame, truth: DataFrame) -> DataFrame:
