@@ -326,6 +326,26 @@ def trim_padding(ref, alt) -> Column:
     return F.struct(F.substring(r2, before + 1, F.length(r2)).alias("ref"), F.substring(a2, before + 1, F.length(a2)).alias("alt"), before.alias("before"))
 
 
+def trim_padding_all(ref, alts) -> Column:
+    """Struct (ref, alts, before): what all alleles share off, the suffix first, then the prefix, one base of each kept."""
+    r, many = _c(ref), _c(alts)
+    letter = lambda x, i: F.substring(x, i, F.lit(1))
+    steps = lambda k: F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+
+    def shared(x: Column, others: Column, same) -> Column:
+        """How many letters all alleles share from one end: up to the first that some allele has differently."""
+        shortest = F.least(F.length(x), F.array_min(F.transform(others, F.length)))
+        differ = F.filter(steps(shortest - 1), lambda i: F.exists(others, lambda y: ~same(x, y, i)))
+        return F.coalesce(F.array_min(differ) - 1, F.greatest(shortest - 1, F.lit(0)))
+
+    after = shared(r, many, lambda x, y, i: letter(x, F.length(x) - i + 1) == letter(y, F.length(y) - i + 1))
+    cut = lambda x: F.substring(x, F.lit(1), F.length(x) - after)
+    r2, many2 = cut(r), F.transform(many, cut)
+    before = shared(r2, many2, lambda x, y, i: letter(x, i) == letter(y, i))
+    rest = lambda x: F.substring(x, before + 1, F.length(x))
+    return F.struct(rest(r2).alias("ref"), F.transform(many2, rest).alias("alts"), before.alias("before"))
+
+
 def block_starts(ref_to_query: Column, moves_until: Column) -> Column:
     """Block of each reference position: that of its query base, from the running number of blocks a base."""
     return F.transform(ref_to_query, lambda q: F.get(moves_until, q))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.functions import expr
-from strandlake.operators import calibrate, intervals, mods, sites, validate, variants
+from strandlake.operators import calibrate, intervals, mods, resolve, sites, validate, variants
 from strandlake.plans import oracles as o
 from strandlake.session import read_table
 from strandlake.sources import fixtures as fx
@@ -532,6 +532,55 @@ def calibrate_variant_keys(spark, d):
     return v.groupBy(calibrate.variant_key(F.col("ref"), F.col("alt")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_STRANDS = """v AS (SELECT p_partkey AS k, p_size AS z, p_partkey % 2 AS side, p_partkey % 5 AS contig, p_partkey * 3 + (p_partkey % 2) * (p_size % 7) AS pos, 'v' || p_partkey AS id,
+    substr('ACGGGGGTACGT', 1 + p_partkey % 5, 1 + p_partkey % 6) AS ref, CASE WHEN p_partkey % 3 = 0 THEN ['A', 'TTTTT'] ELSE ['G'] END AS alts, CASE WHEN p_partkey % 7 = 0 THEN '1' WHEN p_partkey % 4 = 0 THEN '0|1' ELSE '0/1' END AS gt,
+    list_transform(range(1, 1 + CASE WHEN p_partkey % 7 = 0 THEN CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 2 END WHEN p_partkey % 3 = 0 THEN 6 ELSE 3 END), lambda i: -((p_partkey * 13 + p_size * 5 + i * 7) % 29) / 8::DOUBLE) AS gl, p_size AS dp FROM part),
+y AS (SELECT *, pos + length(ref) AS fin, -(10 ** gl[1]) AS score, row_number() OVER (PARTITION BY side, contig ORDER BY pos, pos + length(ref), ref || '|' || array_to_string(alts, ',') || '|' || id) AS n FROM v),
+fold AS (SELECT side, contig, n, k, fin, score, true AS fresh FROM y WHERE n = 1
+  UNION ALL SELECT y.side, y.contig, y.n, CASE WHEN y.pos >= f.fin OR y.score > f.score THEN y.k ELSE f.k END, CASE WHEN y.pos >= f.fin OR y.score > f.score THEN y.fin ELSE f.fin END, CASE WHEN y.pos >= f.fin OR y.score > f.score THEN y.score ELSE f.score END, y.pos >= f.fin
+  FROM fold f JOIN y ON y.side = f.side AND y.contig = f.contig AND y.n = f.n + 1),
+kept AS (SELECT k FROM (SELECT *, coalesce(lead(fresh) OVER (PARTITION BY side, contig ORDER BY n), true) AS last FROM fold) WHERE last),
+best AS (SELECT *, list_max(gl[2:]) AS top, list_position(gl[2:], list_max(gl[2:])) AS g FROM y WHERE k IN (SELECT k FROM kept) AND dp >= 5 AND 10 ** gl[1] / 10 ** list_max(gl[2:]) <= 2.0),
+two AS (SELECT *, CASE WHEN gt = '1' THEN [g, g] ELSE [[0, 1], [1, 1], [0, 2], [1, 2], [2, 2]][g] END AS al, CASE WHEN gt = '1' THEN '' ELSE substr(gt, 2, 1) END AS sep FROM best),
+alt AS (SELECT *, list_sort(list_distinct(list_filter(al, lambda a: a > 0))) AS ks, 10 ** gl[1] / (10 ** gl[1] + 10 ** top) AS p0 FROM two),
+out AS (SELECT *, list_transform([p0, 1 - p0], lambda p: greatest(log10(p), -999)) AS l, list_transform(ks, lambda a: alts[a]) AS chosen,
+    CASE WHEN p0 > 0.5 THEN CASE WHEN sep = '' THEN '0' ELSE '0' || sep || '0' END WHEN sep = '' THEN '1' ELSE coalesce(list_position(ks, al[1]), 0) || sep || coalesce(list_position(ks, al[2]), 0) END AS call FROM alt),
+rec AS (SELECT side, contig, pos, fin, id, ref, chosen AS alts, call AS gt, array_to_string(list_transform(l, lambda x: printf('%.2f', round_even(x * 100, 0) / 100 + 0.0)), ',') AS gl,
+    array_to_string(list_transform(l, lambda x: round_even(least(-10 * x + 10 * list_max(l), 999), 0)::INTEGER), ',') AS pl, list_max(list_transform(l, lambda x: round_even(least(-10 * x + 10 * list_max(l), 999), 0)::INTEGER)) AS gq, round_even(least(-10 * l[1], 999), 0)::INTEGER AS qual, dp FROM out),
+hp AS (SELECT *, list_max(list_transform(list_concat([ref], alts), lambda s: list_max(list_transform(regexp_extract_all(s, 'A+|C+|G+|T+'), lambda m: length(m))))) AS hp FROM rec)"""
+
+
+@query(f"""WITH RECURSIVE {_STRANDS},
+met AS (SELECT DISTINCT f.id AS f, r.id AS r FROM rec f JOIN rec r ON f.side = 0 AND r.side = 1 AND f.contig = r.contig AND f.pos <= r.fin AND r.pos <= f.fin)
+SELECT contig, pos, id, ref, array_to_string(alts, ',') AS alts, gt, gl, pl, gq, qual, dp, CASE WHEN side = 0 AND id NOT IN (SELECT f FROM met) THEN 1 WHEN side = 1 THEN -1 END AS strand
+FROM hp WHERE CASE WHEN side = 0 THEN id NOT IN (SELECT f FROM met) OR hp >= 4 ELSE id NOT IN (SELECT r FROM met) END""")
+def variants_resolve(spark, d):
+    k, z = F.col("p_partkey").cast("int"), F.col("p_size")
+    size = F.when(k % 7 == 0, F.when(k % 3 == 0, 3).otherwise(2)).when(k % 3 == 0, 6).otherwise(3)
+    v = read_table(spark, d, "part").select(
+        k.alias("k"), (k % 5).alias("contig"), (k * 3 + (k % 2) * (z % 7)).cast("long").alias("pos"), F.concat(F.lit("v"), k.cast("string")).alias("id"), F.substring(F.lit("ACGGGGGTACGT"), 1 + k % 5, 1 + k % 6).alias("ref"),
+        F.when(k % 3 == 0, F.array(F.lit("A"), F.lit("TTTTT"))).otherwise(F.array(F.lit("G"))).alias("alts"), F.when(k % 7 == 0, "1").when(k % 4 == 0, "0|1").otherwise("0/1").alias("gt"),
+        F.transform(F.sequence(F.lit(1), size), lambda i: -((k * 13 + z * 5 + i * 7) % 29) / F.lit(8.0)).alias("gl"), z.alias("dp"),
+    )
+    out = resolve.resolve(v.where("k % 2 = 0"), v.where("k % 2 = 1"), most_ratio=2.0, least_depth=5)
+    two = F.array_join(F.transform("gl", lambda x: F.format_string("%.2f", x)), ",")
+    return out.select("contig", "pos", "id", "ref", F.array_join("alts", ",").alias("alts"), "gt", two.alias("gl"), F.array_join("pl", ",").alias("pl"), "gq", "qual", "dp", "strand")
+
+
+@query("""WITH RECURSIVE v AS (SELECT p_partkey AS k, p_partkey % 5 AS contig, p_partkey AS pos, CASE WHEN p_partkey % 11 = 0 THEN 'ACGT' WHEN p_partkey % 3 = 0 THEN 'AC' ELSE 'A' END AS ref, CASE WHEN p_partkey % 11 = 0 THEN 'TTAA' WHEN p_partkey % 5 = 0 THEN 'AGG' ELSE 'G' END AS alt, p_size::DOUBLE AS qual FROM part),
+y AS (SELECT *, pos + length(ref) AS fin, row_number() OVER (PARTITION BY contig ORDER BY pos, pos + length(ref), k) AS n FROM v WHERE k % 11 <> 0 AND NOT (ref = 'AC' AND alt IN ('G', 'AGG'))),
+fold AS (SELECT contig, n, pos, fin, k, qual, true AS fresh FROM y WHERE n = 1
+  UNION ALL SELECT y.contig, y.n, CASE WHEN y.pos >= f.fin OR y.qual > f.qual THEN y.pos ELSE f.pos END, CASE WHEN y.pos >= f.fin OR y.qual > f.qual THEN y.fin ELSE f.fin END,
+    CASE WHEN y.pos >= f.fin OR y.qual > f.qual THEN y.k ELSE f.k END, CASE WHEN y.pos >= f.fin OR y.qual > f.qual THEN y.qual ELSE f.qual END, y.pos >= f.fin FROM fold f JOIN y ON y.contig = f.contig AND y.n = f.n + 1)
+SELECT contig, pos AS start, fin AS "end", k AS id, qual FROM (SELECT *, coalesce(lead(fresh) OVER (PARTITION BY contig ORDER BY n), true) AS last FROM fold) WHERE last""")
+def phase_whatshap_filter(spark, d):
+    from strandlake.plans import commands
+
+    k = F.col("p_partkey")
+    v = read_table(spark, d, "part").select((k % 5).alias("contig"), k.alias("pos"), k.alias("id"), F.when(k % 11 == 0, "ACGT").when(k % 3 == 0, "AC").otherwise("A").alias("ref"), F.array(F.when(k % 11 == 0, "TTAA").when(k % 5 == 0, "AGG").otherwise("G")).alias("alts"), F.col("p_size").cast("double").alias("qual"))
+    return commands.COMMANDS["phase_variants whatshap_filter"](v)
+
+
 # --- phasing --------------------------------------------------------------
 
 
