@@ -32,9 +32,9 @@ from strandlake.session import discard, materialize, ship
 
 BUCKETS = 10_000
 SEED = 42
-PIECE_CHARS = 1 << 21
+PIECE_CHARS = 1 << 19
 #: Limit of a task's DuckDB, which has no temporary folder.
-MEMORY = "1GB"
+MEMORY = "512MB"
 _GAP = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -48,11 +48,8 @@ run AS (
 ),
 feature AS (
   SELECT doc, unnest([w, p || ' ' || w, q || ' ' || p || ' ' || w]) AS f, unnest([1, 0, 0]) AS one FROM run WHERE own
-),
-bucket AS (
-  SELECT doc, zlib_crc32(f) % $buckets AS b, count(*) AS n, sum(one) AS words FROM feature WHERE f IS NOT NULL GROUP BY ALL
 )
-SELECT doc, sum(words)::BIGINT AS n_words, list(b::INTEGER ORDER BY b) AS buckets, list(n::INTEGER ORDER BY b) AS counts FROM bucket GROUP BY doc
+SELECT doc * $buckets + zlib_crc32(f) % $buckets AS key, count(*)::BIGINT AS n, sum(one)::BIGINT AS words FROM feature WHERE f IS NOT NULL GROUP BY key
 """
 
 
@@ -100,26 +97,21 @@ class FeatureCounter:
     def _table(rows: list[tuple]) -> pa.Table:
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc", "piece", "skip", "body"])
 
-    def count(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Words, buckets in order and their counts, of each text."""
-        none = np.zeros(0, np.int32)
-        words, buckets, counts = np.zeros(len(texts), np.int64), [none] * len(texts), [none] * len(texts)
+    def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text; ends of each text's part in what follows, from 0; buckets in order and their counts."""
+        parts = [np.zeros((3, 0), np.int64)]
         for table in self.pieces(texts):
             self.db.register("pieces", table)
-            found = self.db.sql(FEATURES_SQL, params={"buckets": self.buckets}).to_arrow_table().combine_chunks()
+            found = self.db.sql(FEATURES_SQL, params={"buckets": self.buckets}).to_arrow_table()
             self.db.unregister("pieces")
-            lists = [found.column(c).combine_chunks() for c in ("buckets", "counts")]
-            ends = lists[0].offsets.to_numpy()
-            b, n = (x.values.to_numpy() for x in lists)
-            for doc, w, i, j in zip(found.column("doc").to_pylist(), found.column("n_words").to_pylist(), ends.tolist(), ends[1:].tolist(), strict=False):
-                if len(buckets[doc]):
-                    total = np.bincount(buckets[doc], counts[doc], self.buckets) + np.bincount(b[i:j], n[i:j], self.buckets)
-                    buckets[doc] = np.flatnonzero(total).astype(np.int32)
-                    counts[doc] = total[buckets[doc]].astype(np.int32)
-                else:
-                    buckets[doc], counts[doc] = b[i:j], n[i:j]
-                words[doc] += w
-        return words, buckets, counts
+            parts.append(np.stack([found.column(c).to_numpy() for c in ("key", "n", "words")]))
+        rows = np.concatenate(parts, 1)
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        # Pieces of one text that fell into several tables bring a bucket several times.
+        first = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]][: rows.shape[1]])
+        key, n, words = rows[0][first], *(np.add.reduceat(x, first) if len(first) else x for x in rows[1:])
+        doc, bucket = key // self.buckets, (key % self.buckets).astype(np.int32)
+        return np.bincount(doc, words, len(texts)).astype(np.int64), np.searchsorted(doc, np.arange(len(texts) + 1)), bucket, n.astype(np.int32)
 
 
 _counters: dict[int, FeatureCounter] = {}
@@ -135,10 +127,10 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS, text: str = "text", k
         if buckets not in _counters:
             _counters[buckets] = FeatureCounter(buckets)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                words, *lists = _counters[buckets].count([x or "" for x in part.column(0).to_pylist()])
-                arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x), pa.int32())) for x in lists]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                words, ends, *lists = _counters[buckets].count([x or "" for x in part.column(0).to_pylist()])
+                arrays = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in lists]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(words), *arrays], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -194,18 +186,11 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, min_words: in
     """doc_id, n_features, weight, score, rank (null where not drawn) of each document; ``percent`` of those with ``min_words`` are drawn."""
     spark = docs.sparkSession
     counted = materialize(bucket_counts(docs, buckets, text, (doc_id,)), "features")
-    gain = spark.sparkContext.broadcast(gains(counted, bucket_counts(target, buckets, text), buckets))
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [batch.column(k) for k in (2, 3)]
-            ends = lists[0].offsets.to_numpy()
-            b, n = (x.values.to_numpy()[ends[0] : ends[-1]].astype(np.int64) for x in lists)
-            sums = [np.concatenate([[0], np.cumsum(x)])[ends - ends[0]] for x in (n, gain.value[b] * n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.diff(x)) for x in sums)], names=["doc_id", "n_words", "n_features", "weight"])
-
-    ids = counted.schema["c0"].dataType.simpleString()
-    weighed = counted.select("c0", "n_words", "buckets", "counts").mapInArrow(weigh, f"doc_id {ids}, n_words long, n_features long, weight long")
+    gain = F.from_json(F.lit(str(gains(counted, bucket_counts(target, buckets, text), buckets).tolist())), "array<bigint>")
+    # Sums stay with the row that has the counts: nothing is exploded or shuffled.
+    total = lambda each: F.aggregate(each, F.lit(0).cast("long"), lambda a, x: a + x)
+    weight = total(F.zip_with("buckets", "counts", lambda b, n: F.get(gain, b) * n))
+    weighed = counted.select(F.col("c0").alias("doc_id"), "n_words", total("counts").alias("n_features"), weight.alias("weight"))
     scored = materialize(weighed.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "scores")
     discard(counted)
     able = F.col("n_words") >= min_words
