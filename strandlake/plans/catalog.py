@@ -509,10 +509,73 @@ def calibrate_density_cells(spark, d):
     return out.select("mod_base", "is_mod", "i", r6("density").alias("density"))
 
 
-@query()
+def _kernel_sql(name: str, cells: str, grid: str, step: str, by: str) -> str:
+    """CTEs {name}_d (unimodal densities by mod_base, is_mod, i) and {name}_p (share p of the modified) on a grid with low, pt."""
+    up, down = "ROWS UNBOUNDED PRECEDING", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    return f"""{name}_y AS (SELECT g.mod_base, is_mod, i, pt, coalesce(sum(CASE WHEN i BETWEEN ceil((centre - 6.4::DOUBLE - low) / {step}) AND floor((centre + 6.4::DOUBLE - low) / {step}) THEN n * exp(-power((low + i * {step} - centre) / 0.8::DOUBLE, 2) / 2) END), 0) / (0.8 * sqrt(2 * pi())) / any_value(total) AS y
+  FROM {grid} g JOIN {cells} USING (mod_base) JOIN t USING (mod_base, is_mod) GROUP BY ALL),
+{name}_k AS (SELECT *, i < arg_max(i, (y, -i)) OVER (PARTITION BY mod_base, is_mod) AS before FROM {name}_y),
+{name}_d AS (SELECT *, CASE WHEN before THEN (max(y) OVER up + min(y) OVER down) / 2 ELSE (min(y) OVER up + max(y) OVER down) / 2 END AS d FROM {name}_k
+  WINDOW up AS (PARTITION BY mod_base, is_mod, before ORDER BY i {up}), down AS (PARTITION BY mod_base, is_mod, before ORDER BY i {down})),
+{name}_s AS (SELECT mod_base, i, pt, max(CASE WHEN is_mod THEN d END) AS a, max(CASE WHEN NOT is_mod THEN d END) AS c FROM {name}_d GROUP BY ALL),
+{name}_p AS (SELECT *, CASE WHEN a + c > 0 THEN a / (a + c) END AS p FROM {name}_s),
+{name}_m AS (SELECT *, {by} AS middle FROM {name}_p),
+{name}_q AS (SELECT *, CASE WHEN i < middle THEN CASE WHEN count(*) FILTER (p IS NULL) OVER down = 0 THEN max(p) OVER down END WHEN count(*) FILTER (p IS NULL) OVER up = 0 THEN min(p) OVER up END AS q FROM {name}_m
+  WINDOW up AS (PARTITION BY mod_base, i < middle ORDER BY i {up}), down AS (PARTITION BY mod_base, i < middle ORDER BY i {down})),
+{name}_l AS (SELECT *, CASE WHEN q <= 0 THEN 'inf'::DOUBLE WHEN q >= 1 THEN '-inf'::DOUBLE ELSE ln((1 - q) / q) END AS l FROM {name}_q)"""
+
+
+@query(f"""WITH {o.LLRS}, s AS (SELECT mod_base, strand = 1 AS is_mod, round(llr, 2) AS llr FROM llrs),
+c AS (SELECT mod_base, is_mod, round_even(llr / 0.008::DOUBLE, 0) * 0.008::DOUBLE AS centre, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT mod_base, is_mod, sum(n) AS total FROM c GROUP BY ALL),
+g AS (SELECT DISTINCT mod_base, i, -20::DOUBLE AS low, -20 + i * 0.8::DOUBLE AS pt FROM s, range(0, 51) r(i)),
+{_kernel_sql("w", "c", "g", "0.8::DOUBLE", "26")},
+mv AS (SELECT *, lead(l) OVER (PARTITION BY mod_base ORDER BY i) AS nx FROM w_l),
+pl AS (SELECT mod_base, round_even(min(pt), 0) - 1 AS lo, round_even(max(pt), 0) + 1 AS hi FROM mv WHERE l <> nx AND nx - l > 1e-6 GROUP BY mod_base),
+th AS (SELECT mod_base, coalesce(max(i) FILTER (before AND d < 5e-8), 0) AS lo, coalesce(min(i) FILTER (NOT before AND d < 5e-8) - 1, 50) AS hi FROM w_d GROUP BY mod_base),
+rg AS (SELECT mod_base, greatest(pl.lo, round_even(-20 + th.lo * 0.8::DOUBLE, 0)) AS low, least(pl.hi, round_even(-20 + th.hi * 0.8::DOUBLE, 0)) AS high FROM pl JOIN th USING (mod_base)),
+g2 AS (SELECT mod_base, i, low, high, (high - low) / 50 AS step, low + i * ((high - low) / 50) AS pt FROM rg, range(0, 51) r(i)),
+{_kernel_sql("n", "c", "g2", "g.step", "arg_min(i, (abs(p - 0.5), i)) OVER (PARTITION BY mod_base)")}
+SELECT mod_base, low AS lo, high AS hi, i::INTEGER AS i, round(l, 5) AS value FROM n_l JOIN rg USING (mod_base)""")
 def calibrate_fit(spark, d):
-    t = calibrate.fit(_stats(spark, d), max_llr=50.0, points=501)
-    return t.select("mod_base", r6("lo").alias("lo"), r6("hi").alias("hi"), F.size("table").alias("n"), r6(F.get("table", F.lit(0))).alias("first_value"), r6(F.element_at("table", -1)).alias("last_value"))
+    t = calibrate.fit(_stats(spark, d), max_llr=20.0, points=51)
+    return t.select("mod_base", "lo", "hi", F.posexplode("table").alias("i", "value")).withColumn("value", F.round("value", 5))
+
+
+def _variant_stats(spark, d):
+    """Scores of variants of known truth: each read and alternative is a change, insertion or deletion by its numbers."""
+    x = fx.var_calls(spark, d)
+    k = F.col("locus") % 20
+    bases = F.lit("ACGT")
+    one = lambda i: F.substring(bases, (1 + i % 4).cast("int"), F.lit(1))
+    ref = F.when(k < 14, one(F.col("locus"))).when(k < 17, F.concat(one(F.col("locus")), F.repeat(F.lit("G"), (k - 13).cast("int")))).otherwise(one(F.col("locus")))
+    alt = F.when(k < 14, one(F.col("locus") + 1 + F.col("locus") % 3)).when(k < 17, one(F.col("locus"))).otherwise(F.concat(one(F.col("locus")), F.repeat(F.lit("G"), (k - 16).cast("int"))))
+    llr = F.round(F.log1p(-F.exp("score")) - F.col("score"), 2)
+    return x.select("read_id", ref.alias("ref_seq"), alt.alias("alt_seq"), llr.alias("llr"), F.when(F.col("read_id") % 7 == 0, "False").otherwise("True").alias("is_ref_correct"))
+
+
+_VARIANT_STATS = f"""{o.VAR_CALLS}, vs AS (SELECT read_id, round(ln(1 - exp(score)) - score, 2) AS llr, read_id % 7 <> 0 AS ok, locus % 20 AS k, substr('ACGT', 1 + locus % 4, 1) AS r, substr('ACGT', 1 + (locus + 1 + locus % 3) % 4, 1) AS a FROM calls),
+vk AS (SELECT *, CASE WHEN k < 14 THEN r || '>' || a WHEN k < 17 THEN 'del' || (k - 13) ELSE 'ins' || (k - 16) END AS key, CASE WHEN k < 14 THEN 1 ELSE 0 END AS single FROM vs)"""
+
+
+@query(f"""WITH {_VARIANT_STATS}, n AS (SELECT key, count(*) AS n, round(sum(llr), 2) AS total, max(single) AS single FROM vk WHERE ok GROUP BY key)
+SELECT key, n, total FROM n UNION ALL SELECT 'N>N', sum(n * single)::BIGINT // 12, NULL FROM n""")
+def calibrate_variant_stats(spark, d):
+    out = calibrate.variant_stats(_variant_stats(spark, d)).groupBy("key").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("llr") * F.col("n")), 2).alias("total"))
+    return out.withColumn("total", F.when(F.col("key") != calibrate.GENERIC, F.col("total")))
+
+
+@query(f"""WITH {_VARIANT_STATS}, have AS (SELECT DISTINCT key FROM vk WHERE key <> 'A>C' UNION ALL SELECT 'N>N'),
+x AS (SELECT CASE WHEN key IN (SELECT key FROM have) THEN key ELSE 'N>N' END AS used, least(greatest(ceil((llr + 6) / 0.5), 0), 24) AS i FROM vk)
+SELECT used AS key, count(*) AS n, round(sum((i - 12) * 0.25 + CASE WHEN used = 'N>N' THEN 100 ELSE length(used) END), 2) AS total FROM x GROUP BY used""")
+def calibrate_variant_apply(spark, d):
+    stats = _variant_stats(spark, d)
+    base = F.transform(F.sequence(F.lit(0), F.lit(24)), lambda i: (i - 12) * F.lit(0.25))
+    keys = stats.select(calibrate.variant_key(F.col("ref_seq"), F.col("alt_seq")).alias("key")).distinct().where("key <> 'A>C'").unionByName(spark.range(1).select(F.lit(calibrate.GENERIC).alias("key")))
+    tables = keys.select("key", F.lit(-6.0).alias("lo"), F.lit(6.0).alias("hi"), F.transform(base, lambda v: (v + F.when(F.col("key") == "N>N", 100).otherwise(F.length("key"))).cast("double")).alias("table"))
+    # Alleles with bases that they share find the table of what is left of them.
+    long = stats.select("read_id", F.when(F.length("ref_seq") == F.length("alt_seq"), F.concat(F.lit("CA"), "ref_seq", F.lit("T"))).otherwise(F.col("ref_seq")).alias("ref_seq"), F.when(F.length("ref_seq") == F.length("alt_seq"), F.concat(F.lit("CA"), "alt_seq", F.lit("T"))).otherwise(F.col("alt_seq")).alias("alt_seq"), "llr", calibrate.variant_key(F.col("ref_seq"), F.col("alt_seq")).alias("own"))
+    out = calibrate.calibrate_variants(long, tables)
+    return out.groupBy(F.when(F.col("own") == "A>C", "N>N").otherwise(F.col("own")).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("calibrated"), 2).alias("total"))
 
 
 @query(f"""WITH {o.LLRS}, x AS (SELECT chrm, pos, strand, read_id, mod_base, round(llr, 3) AS llr FROM llrs), g AS (SELECT *, least(greatest(ceil((llr + 8) / 0.25), 0), 64) AS i FROM x)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.expr import natural_key
-from strandlake.operators import calibrate, intervals, mods, reads, sites, validate, variants
+from strandlake.operators import calibrate, intervals, mods, reads, resolve, sites, validate, variants
 from strandlake.plans.settings import check_motifs, split_alphabet
 from strandlake.sources import text
 
@@ -27,15 +27,6 @@ def aggregate_run(mod_calls: DataFrame | None = None, var_calls: DataFrame | Non
     return out
 
 
-def calibrate_variants(stats: DataFrame, **options) -> DataFrame:
-    """stats: is_ref_correct, llr, ref_seq, alt_seq. False references enter mirrored, so both sides share one fit."""
-    keyed = stats.withColumn("key", calibrate.variant_key(F.col("ref_seq"), F.col("alt_seq")))
-    generic = keyed.where(F.length("key") == 3).where(F.pmod(F.xxhash64("llr", "ref_seq", "alt_seq"), F.lit(12)) == 0).withColumn("key", F.lit("N>N"))
-    both = keyed.unionByName(generic).select("key", (~F.col("is_ref_correct")).alias("is_mod"), "llr")
-    mirrored = both.unionByName(both.select("key", (~F.col("is_mod")).alias("is_mod"), (-F.col("llr")).alias("llr")))
-    return calibrate.fit(mirrored, key="key", **options)
-
-
 def generate_mod_stats(can_calls: DataFrame, mod_calls: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """mod_base, is_mod, llr of mods both runs know, less those left out."""
     alphabets = [mods.alphabet(c) for c in (can_calls, mod_calls)]
@@ -117,7 +108,7 @@ def merge_haploid(diploid: DataFrame, hap1: DataFrame, hap2: DataFrame, force: b
 COMMANDS: dict[str, Callable | None] = {
     "aggregate run": aggregate_run,
     "calibrate modified_bases": calibrate.fit,
-    "calibrate variants": calibrate_variants,
+    "calibrate variants": calibrate.fit_variants,
     "calibrate generate_modified_base_stats": generate_mod_stats,
     "calibrate generate_mod_stats_from_msf": None,
     "calibrate generate_variant_stats": reads.candidate_changes,
@@ -144,7 +135,7 @@ COMMANDS: dict[str, Callable | None] = {
     "validate compare_modified_bases": compare_aggregated,
     "validate modified_bases calibration": validate_results,
     "variants atomize": variants.atomize,
-    "variants resolve": resolve_variants,
+    "variants resolve": resolve.resolve,
     "variants heterozygous_factor": lambda calls, truth: variants.confusion_scores(variants.split_genotype_counts(calls, truth)),
     "variants index_database": None,
 }
