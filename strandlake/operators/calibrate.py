@@ -10,7 +10,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.functions.expr import trim_alleles
 from strandlake.operators.prefix import running
 
 #: Options of a fit.
@@ -186,9 +185,11 @@ GENERIC = "N>N"
 
 
 def lookup_key(ref: Column, alt: Column, max_indel: int) -> Column:
-    """Key of the table that a read's alleles look up: what they share is cut off first, and long indels take the longest one's."""
-    short = trim_alleles(ref, alt)
-    return F.when(F.length(ref) == F.length(alt), variant_key(short["ref"], short["alt"], max_indel)).otherwise(variant_key(ref, alt, max_indel))
+    """Key of the table that a read's alleles look up: of alleles of equal length the one base that differs, and else the generic key; long indels take the longest one's."""
+    pairs = F.zip_with(F.split(ref, ""), F.split(alt, ""), lambda r, a: F.concat(r, F.lit(">"), a))
+    differ = F.filter(pairs, lambda p: F.substring(p, 1, 1) != F.substring(p, 3, 1))
+    one = F.when(F.size(differ) == 1, F.get(differ, F.lit(0))).otherwise(GENERIC)
+    return F.when(F.length(ref) == F.length(alt), one).otherwise(variant_key(ref, alt, max_indel))
 
 
 def variant_stats(stats: DataFrame, max_indel: int | None = None) -> DataFrame:

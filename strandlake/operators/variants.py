@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.expr import log1m, log_factorial, logsumexp, trim_alleles
 from strandlake.operators import tiles
+from strandlake.operators.prefix import running, score_buckets
 
 LOCUS = ["locus"]
 
@@ -25,10 +26,10 @@ def complete_reads(calls: DataFrame, locus: list[str] = LOCUS) -> DataFrame:
     return reads.join(same, locus, "left_semi")
 
 
-def _sums(reads: DataFrame, locus: list[str], bonus: float = 0.0) -> DataFrame:
-    """locus, rank, lp, reads, alts: each allele's summed scores."""
-    each = reads.select(*locus, "alts", F.posexplode("scores").alias("rank", "s"))
-    return each.groupBy(*locus, "rank").agg((F.sum("s") + F.count(F.lit(1)) * bonus).alias("lp"), F.count(F.lit(1)).alias("reads"), F.first("alts").alias("alts"))
+def _sums(reads: DataFrame, locus: list[str], bonus: Column | None = None) -> DataFrame:
+    """locus, rank, lp, reads, alts: each allele's summed scores, with ``bonus`` a read."""
+    each = reads.select(*locus, "alts", F.lit(0.0) if bonus is None else bonus.alias("_bonus"), F.posexplode("scores").alias("rank", "s")).toDF(*locus, "alts", "_bonus", "rank", "s")
+    return each.groupBy(*locus, "rank").agg((F.sum("s") + F.count(F.lit(1)) * F.max("_bonus")).alias("lp"), F.count(F.lit(1)).alias("reads"), F.first("alts").alias("alts"))
 
 
 def haploid(calls: DataFrame, locus: list[str] = LOCUS) -> DataFrame:
@@ -45,16 +46,23 @@ def _normalised(sites: DataFrame, locus: list[str]) -> DataFrame:
     return out.withColumn("gt", best.cast("int"))
 
 
-def diploid(calls: DataFrame, het_factor: float = 1.0, locus: list[str] = LOCUS) -> DataFrame:
+def diploid(calls: DataFrame, het_factor: float | tuple[float, float] = 1.0, locus: list[str] = LOCUS) -> DataFrame:
     """locus, reads, alleles, genotypes (VCF order), log_probs, gt.
 
+    ``het_factor``: one factor, or two, for single-base changes and for others; then ``calls`` need ref_seq, one a locus.
     A homozygous genotype sums its allele's scores and n ln(het_factor). A heterozygous one sums,
     in probability, over the number i of reads from its first allele: the binomial chance of i
     at one half, the first i reads' scores of the first allele and the other reads' of the second,
     reads ordered by how much less likely the first allele is.
     """
     reads = complete_reads(calls, locus)
-    hom = _sums(reads, locus, float(np.log(het_factor)))
+    if isinstance(het_factor, tuple):
+        # The factor goes by the locus's reference, which is as small as the loci, and by the alternatives that the reads carry.
+        reads = reads.join(calls.groupBy(*locus).agg(F.max("ref_seq").alias("_ref")), locus)
+        bonus = F.log(heterozygous_factor(F.col("_ref"), F.col("alts"), *het_factor))
+    else:
+        bonus = F.lit(float(np.log(het_factor)))
+    hom = _sums(reads, locus, bonus)
     ranks = F.sequence(F.lit(0), F.size("scores") - 1)
     pairs = F.flatten(F.transform(ranks, lambda b: F.transform(F.filter(ranks, lambda a: a < b), lambda a: F.struct(a.alias("a1"), b.alias("a2"), F.get("scores", a).alias("s1"), F.get("scores", b).alias("s2")))))
     each = reads.select(*locus, "read_id", F.explode(pairs).alias("x")).select(*locus, "read_id", "x.*")
@@ -79,8 +87,8 @@ def diploid(calls: DataFrame, het_factor: float = 1.0, locus: list[str] = LOCUS)
 
 
 def heterozygous_factor(ref: Column, alts: Column, snv: float = 1.0, indel: float = 1.0) -> Column:
-    """The indel factor if any alternative's length differs."""
-    return F.when(F.exists(alts, lambda a: F.length(a) != F.length(ref)), indel).otherwise(snv)
+    """The first factor where all alleles are single bases, else the second."""
+    return F.when((F.length(ref) == 1) & ~F.exists(alts, lambda a: F.length(a) != 1), float(snv)).otherwise(float(indel))
 
 
 def genotype_order(n_alleles: int, ploidy: int = 2) -> list[tuple[int, ...]]:
@@ -198,6 +206,54 @@ def confusion_scores(counts: DataFrame) -> DataFrame:
     return wide.select("kind", F.explode(F.array(*rows)).alias("x")).select("kind", "x.*")
 
 
+CLASSES = ["hom_ref", "het", "hom_alt"]
+
+
+def factor_breaks(diploid_calls: DataFrame, truth: DataFrame, locus: list[str] = LOCUS) -> DataFrame:
+    """locus, kind, truth, hom, at: where a locus's call changes with the heterozygous factor.
+
+    ``diploid_calls``: :func:`diploid` at a factor of 1, loci of one alternative; ``truth``: locus, kind, truth (hom_ref, het or hom_alt).
+    Homozygous genotypes gain n ln(factor), so that a locus is het for factors up to (not with) exp(at) and hom, its likelier homozygous genotype, beyond.
+    At the break itself the reference wins over het, and het over the alternative.
+    """
+    two = diploid_calls.where(F.size("log_probs") == 3)
+    g = lambda i: F.get("log_probs", F.lit(i))
+    hom = F.when(g(0) >= g(2), "hom_ref").otherwise("hom_alt")
+    at = (g(1) - F.greatest(g(0), g(2))) / F.col("reads")
+    return two.select(*locus, hom.alias("hom"), at.alias("at")).join(truth.select(*locus, "kind", "truth"), locus)
+
+
+def factor_sweep(breaks: DataFrame, digits: int = 9) -> DataFrame:
+    """kind, factor, f1_hom_ref, f1_het, f1_hom_alt, mean_f1 for factors just above each break, by running counts over the breaks.
+
+    ``factor`` is the break (to ``digits`` digits of its logarithm); the row holds up to the next one, and a row of factor 0 comes first. F1 of a class without truth
+    or calls is null, as is 0/0 of precision and recall; the mean leaves nulls out.
+    """
+    points = breaks.groupBy("kind", F.round("at", digits).alias("at")).agg(*[F.sum(F.when((F.col("truth") == t) & (F.col("hom") == h), 1).otherwise(0)).alias(f"{t}__{h}") for t in CLASSES for h in ("hom_ref", "hom_alt")])
+    # A locus without a het chance is homozygous whatever the factor: it is at minus infinity, and so before all others.
+    start = breaks.select("kind").distinct().select("kind", F.lit(float("-inf")).alias("at"), *[F.lit(0).cast("long").alias(c) for c in points.columns[2:]])
+    points = points.unionByName(start).groupBy("kind", "at").agg(*[F.sum(c).alias(c) for c in points.columns[2:]])
+    names = points.columns[2:]
+    finite = points.where(F.col("at") > float("-inf"))
+    run = running(points, ["kind"], ["at"], score_buckets(finite, "at"), {f"_{c}": F.col(c) for c in names})
+    totals = breaks.groupBy("kind").agg(*[F.sum(F.when(F.col("truth") == t, 1).otherwise(0)).alias(f"n_{t}") for t in CLASSES])
+    x = run.join(F.broadcast(totals), "kind")
+    done = {(t, h): F.col(f"_{t}__{h}") + F.col(f"{t}__{h}") for t in CLASSES for h in ("hom_ref", "hom_alt")}
+    calls = done | {(t, "het"): F.col(f"n_{t}") - done[t, "hom_ref"] - done[t, "hom_alt"] for t in CLASSES}
+    f1 = {}
+    for c in CLASSES:
+        hit, called = calls[c, c], sum(calls[t, c] for t in CLASSES)
+        f1[c] = F.when((called > 0) & (F.col(f"n_{c}") > 0) & (hit > 0), 2 * hit / (called + F.col(f"n_{c}")))
+    scored = x.select("kind", F.exp("at").alias("factor"), *[v.alias(f"f1_{c}") for c, v in f1.items()])
+    some = F.filter(F.array(*[f"f1_{c}" for c in CLASSES]), lambda v: v.isNotNull())
+    return scored.withColumn("mean_f1", F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, v: a + v) / F.size(some)))
+
+
+def best_factors(sweep: DataFrame) -> DataFrame:
+    """kind, factor, mean_f1: the smallest break from which the mean F1 is greatest."""
+    return sweep.groupBy("kind").agg(F.max_by(F.struct("factor", "mean_f1"), F.struct("mean_f1", (-F.col("factor")).alias("_less"))).alias("b")).select("kind", "b.factor", "b.mean_f1")
+
+
 # --- haplotypes -----------------------------------------------------------
 
 

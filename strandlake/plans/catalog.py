@@ -191,6 +191,39 @@ def variants_diploid(spark, d):
     return out.select("locus", "reads", "gt", *[F.round(F.get("log_probs", F.lit(i)), 4).alias(n) for i, n in enumerate(names)])
 
 
+_FACTORS = o.DIPLOID.replace("sum(score) AS lp, count(*) AS n FROM sc", "sum(score) + count(*) * ln(max(CASE WHEN locus % 3 = 0 THEN 0.78::DOUBLE ELSE 0.85::DOUBLE END)) AS lp, count(*) AS n FROM sc")
+
+
+@query(f"""WITH {_FACTORS}
+SELECT locus, reads, gt, round(lp00, 4) AS lp00, round(lp01, 4) AS lp01, round(lp11, 4) AS lp11, round(lp02, 4) AS lp02, round(lp12, 4) AS lp12, round(lp22, 4) AS lp22 FROM wide""")
+def variants_two_factors(spark, d):
+    """Every third locus replaces two bases, so that the factor of longer changes holds there."""
+    calls = fx.var_calls(spark, d).withColumn("ref_seq", F.when(F.col("locus") % 3 == 0, "CG").otherwise("C"))
+    out = variants.diploid(calls, (0.85, 0.78))
+    names = ["lp00", "lp01", "lp11", "lp02", "lp12", "lp22"]
+    return out.select("locus", "reads", "gt", *[F.round(F.get("log_probs", F.lit(i)), 4).alias(n) for i, n in enumerate(names)])
+
+
+_ONE_ALT = o.DIPLOID.replace("AS score FROM vw\n          UNION ALL SELECT locus, read_id, 'T', round(ln(greatest(5 * t, 1e-6)), 6) FROM vw", "AS score FROM vw")
+_BREAKS = f"""{_ONE_ALT}, b AS (SELECT locus, CASE locus % 3 WHEN 0 THEN 'SNP' WHEN 1 THEN 'DEL' ELSE 'INS' END AS kind, CASE (locus * 7 % 11) % 3 WHEN 0 THEN 'hom_ref' WHEN 1 THEN 'het' ELSE 'hom_alt' END AS truth,
+    CASE WHEN lp00 >= lp11 THEN 'hom_ref' ELSE 'hom_alt' END AS hom, (lp01 - greatest(lp00, lp11)) / reads AS pt FROM wide)"""
+
+
+@query(f"""WITH {_BREAKS}, r AS (SELECT kind, truth, hom, round(pt, 4) AS pt FROM b),
+p AS (SELECT DISTINCT kind, pt FROM r UNION SELECT DISTINCT kind, '-inf'::DOUBLE FROM r),
+n AS (SELECT p.kind, p.pt, r.truth, CASE WHEN r.pt <= p.pt THEN r.hom ELSE 'het' END AS call FROM p JOIN r ON p.kind = r.kind),
+f AS (SELECT kind, pt, c, 2.0 * count(*) FILTER (truth = c AND call = c) / (count(*) FILTER (truth = c) + count(*) FILTER (call = c)) AS f1, count(*) FILTER (truth = c AND call = c) AS hit FROM n, (VALUES ('hom_ref'), ('het'), ('hom_alt')) t(c) GROUP BY ALL)
+SELECT kind, round(CASE WHEN pt = '-inf'::DOUBLE THEN 0 ELSE exp(pt) END, 6) AS factor, round(max(CASE WHEN c = 'hom_ref' AND hit > 0 THEN f1 END), 6) AS f1_hom_ref, round(max(CASE WHEN c = 'het' AND hit > 0 THEN f1 END), 6) AS f1_het,
+  round(max(CASE WHEN c = 'hom_alt' AND hit > 0 THEN f1 END), 6) AS f1_hom_alt, round(avg(CASE WHEN hit > 0 THEN f1 END), 6) AS mean_f1 FROM f GROUP BY kind, pt""")
+def variants_factor_sweep(spark, d):
+    calls = variants.diploid(fx.var_calls(spark, d).where("alt_seq = 'A'"))
+    k = F.col("p_partkey")
+    state = ((k * 7) % 11) % 3
+    truth = read_table(spark, d, "part").select(k.alias("locus"), F.when(k % 3 == 0, "SNP").when(k % 3 == 1, "DEL").otherwise("INS").alias("kind"), F.when(state == 0, "hom_ref").when(state == 1, "het").otherwise("hom_alt").alias("truth"))
+    out = variants.factor_sweep(variants.factor_breaks(calls, truth), 4)
+    return out.select("kind", *[r6(c).alias(c) for c in ("factor", "f1_hom_ref", "f1_het", "f1_hom_alt", "mean_f1")])
+
+
 @query(f"""WITH {o.DIPLOID}, gl AS (SELECT locus, gt, list_transform([lp00, lp01, lp11, lp02, lp12, lp22], lambda x: greatest(round(x, 4) / ln(10), -999)) AS gl FROM wide),
 raw AS (SELECT locus, gt, gl, list_transform(gl, lambda x: round_even(-10 * x, 0)) AS raw FROM gl),
 pl AS (SELECT locus, gt, gl, list_transform(raw, lambda x: least(x - list_min(raw), 999)::INTEGER) AS pl FROM raw)
@@ -621,7 +654,7 @@ def variants_resolve(spark, d):
     k, z = F.col("p_partkey").cast("int"), F.col("p_size")
     size = F.when(k % 7 == 0, F.when(k % 3 == 0, 3).otherwise(2)).when(k % 3 == 0, 6).otherwise(3)
     v = read_table(spark, d, "part").select(
-        k.alias("k"), (k % 5).alias("contig"), (k * 3 + (k % 2) * (z % 7)).cast("long").alias("pos"), F.concat(F.lit("v"), k.cast("string")).alias("id"), F.substring(F.lit("ACGGGGGTACGT"), 1 + k % 5, 1 + k % 6).alias("ref"),
+        k.alias("k"), (k % 5).cast("long").alias("contig"), (k * 3 + (k % 2) * (z % 7)).cast("long").alias("pos"), F.concat(F.lit("v"), k.cast("string")).alias("id"), F.substring(F.lit("ACGGGGGTACGT"), 1 + k % 5, 1 + k % 6).alias("ref"),
         F.when(k % 3 == 0, F.array(F.lit("A"), F.lit("TTTTT"))).otherwise(F.array(F.lit("G"))).alias("alts"), F.when(k % 7 == 0, "1").when(k % 4 == 0, "0|1").otherwise("0/1").alias("gt"),
         F.transform(F.sequence(F.lit(1), size), lambda i: -((k * 13 + z * 5 + i * 7) % 29) / F.lit(8.0)).alias("gl"), z.alias("dp"),
     )

@@ -17,7 +17,7 @@ from strandlake.plans.settings import check_motifs, split_alphabet
 from strandlake.sources import text
 
 
-def aggregate_run(mod_calls: DataFrame | None = None, var_calls: DataFrame | None = None, method: str = "binary_threshold", haploid: bool = False, het_factor: float = 1.0, read_ids: DataFrame | None = None, valid_sites: DataFrame | None = None, **options) -> dict[str, DataFrame]:
+def aggregate_run(mod_calls: DataFrame | None = None, var_calls: DataFrame | None = None, method: str = "binary_threshold", haploid: bool = False, het_factor: float | tuple[float, float] = 1.0, read_ids: DataFrame | None = None, valid_sites: DataFrame | None = None, **options) -> dict[str, DataFrame]:
     out = {}
     if mod_calls is not None:
         out["mods"] = mods.aggregate(mod_calls, method, read_ids, valid_sites, **options)
@@ -105,6 +105,15 @@ def merge_haploid(diploid: DataFrame, hap1: DataFrame, hap2: DataFrame, force: b
     return variants.merge_haploid_calls(diploid, hap1, hap2)
 
 
+def heterozygous_factor(calls: DataFrame, truth: DataFrame, diploid_calls: DataFrame | None = None, kinds: DataFrame | None = None) -> DataFrame | dict[str, DataFrame]:
+    """Scores of called genotypes by class; with diploid calls made at a factor of 1 and the loci's kinds and truth, also the sweep over all factors and its best ones."""
+    scores = variants.confusion_scores(variants.split_genotype_counts(calls, truth))
+    if diploid_calls is None:
+        return scores
+    sweep = variants.factor_sweep(variants.factor_breaks(diploid_calls, kinds))
+    return {"scores": scores, "sweep": sweep, "best": variants.best_factors(sweep)}
+
+
 COMMANDS: dict[str, Callable | None] = {
     "aggregate run": aggregate_run,
     "calibrate modified_bases": calibrate.fit,
@@ -136,6 +145,6 @@ COMMANDS: dict[str, Callable | None] = {
     "validate modified_bases calibration": validate_results,
     "variants atomize": variants.atomize,
     "variants resolve": resolve.resolve,
-    "variants heterozygous_factor": lambda calls, truth: variants.confusion_scores(variants.split_genotype_counts(calls, truth)),
+    "variants heterozygous_factor": heterozygous_factor,
     "variants index_database": None,
 }
