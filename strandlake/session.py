@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _shipped: set[str] = set()
+#: Working folder by application, where none is set.
+_own_folder: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", app: str = "strandlake") -> SparkSession:
@@ -45,14 +47,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where unset a fresh one is set under a local master, and an error on a cluster."""
+    """The shared folder of spark.checkpoint.dir; where unset, a fresh one a session under a local master, and an error on a cluster."""
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"{CHECKPOINT_KEY} is not set: intermediate tables need a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="strandlake-checkpoint-")
-        spark.conf.set(CHECKPOINT_KEY, path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"{CHECKPOINT_KEY} is not set: intermediate tables need a folder that all executors share")
+    # Spark does not let the setting be changed in a running session, so the folder is remembered here.
+    if app not in _own_folder:
+        _own_folder[app] = "file://" + tempfile.mkdtemp(prefix="strandlake-checkpoint-")
+    return _own_folder[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -73,6 +78,27 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: it is written beside its place and moved there; an error if it is there already."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    target, beside = fs_path(path), fs_path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(beside, False)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    if fs.exists(target) or not fs.rename(beside, target):
+        fs.delete(beside, False)
+        raise FileExistsError(path)
+
+
+def read_texts(spark: SparkSession, folder: str, suffix: str = ".json") -> list[str]:
+    """The small files of a folder by name; none if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*{suffix}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    names = sorted(f.getPath().toString() for f in found) if found else []
+    return [spark.read.text(n, wholetext=True).first()[0] for n in names]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
