@@ -6,6 +6,7 @@ and the tests compare with plain loops.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from strandlake.functions import expr
 from strandlake.operators import calibrate, intervals, mods, resolve, sites, validate, variants
 from strandlake.plans import oracles as o
-from strandlake.session import read_table
+from strandlake.session import read_table, work_dir
 from strandlake.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -804,6 +805,38 @@ def streaming_running_counts(spark, d):
     return live.running_counts_to_table(spark, f"{d}/events.parquet")
 
 
+@query("""SELECT CASE WHEN o_totalprice < 20000 THEN 'short' WHEN o_orderpriority LIKE '5%' THEN 'no mapping' WHEN o_orderstatus = 'P' THEN 'unfinished' ELSE 'good' END AS reason, count(*) AS n FROM orders GROUP BY 1""")
+def reporting_reasons(spark, d):
+    from strandlake.streaming import reporting
+
+    rules = {"short": F.col("o_totalprice") >= 20000, "no mapping": ~F.col("o_orderpriority").startswith("5"), "unfinished": F.col("o_orderstatus") != "P"}
+    return reporting.reason_counts(reporting.mark(read_table(spark, d, "orders"), rules))
+
+
+def _mod_store(spark, d, rows, name):
+    from strandlake.sources import store
+
+    contigs = fx.mod_calls(spark, d).groupBy("chrm").agg((F.max("pos") + 1).alias("chrm_len"))
+    bases = spark.createDataFrame([("m", "C", "5mC"), ("h", "C", "5hmC")], "mod_base string, can_base string, long_name string")
+    made = store.create(spark, f"{work_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}", "mods", contigs, bases)
+    return store.add(made, rows.withColumn("read_id", F.col("read_id").cast("string")))
+
+
+@query(f"""WITH {o.MOD_CALLS} SELECT chrm, pos, strand, read_id::VARCHAR AS read_id, mod_base, score FROM calls WHERE chrm = 'chr1' AND pos >= 100 AND pos < 700""")
+def store_region(spark, d):
+    return _mod_store(spark, d, fx.mod_calls(spark, d), "store").within("chr1", 100, 700)
+
+
+@query(f"""WITH {o.MOD_CALLS} SELECT chrm, pos, strand, count(*) AS n, count(DISTINCT read_id) AS reads FROM calls GROUP BY ALL""")
+def store_merged_sites(spark, d):
+    """Two runs that share a third of their reads, merged."""
+    from strandlake.sources import store
+
+    calls = fx.mod_calls(spark, d)
+    parts = [_mod_store(spark, d, calls.where(F.col("read_id") % 3 != k), "run") for k in (0, 1)]
+    return store.merge(parts, f"{work_dir(spark)}/strandlake/merged-{uuid.uuid4().hex}").sites()
+
+
 @query()
 def kernels_posterior_calls(spark, d):
     from strandlake.functions import kernels

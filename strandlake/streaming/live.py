@@ -7,6 +7,7 @@ additive, so a running aggregate equals the batch one. A file whose name starts
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
@@ -14,15 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strandlake.session import work_dir
+from strandlake.session import read_texts, work_dir, write_text
 
 #: Name of the file that ends a run, and seconds between looks.
 SENTINEL, POLL = "final_summary_", 0.1
 
 
-def running_counts(events: DataFrame) -> DataFrame:
-    """day, event_type, n, high over distinct events."""
-    once = events.dropDuplicates(["event_id"])
+def distinct(rows: DataFrame, identity: list[str], at: str | None = None, delay: str | None = None) -> DataFrame:
+    """Rows once by ``identity``. With a ``delay`` a live run forgets identities that lie further behind the latest time in ``at``: its
+    state is as large as what comes within the delay, a repeat within it is dropped, and rows older than it are late and dropped too.
+    """
+    return rows.dropDuplicates(identity) if delay is None else rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(identity)
+
+
+def running_counts(events: DataFrame, delay: str | None = None) -> DataFrame:
+    """day, event_type, n, high over distinct events; with a ``delay`` in bounded state."""
+    once = distinct(events, ["event_id"], "ts", delay)
     return once.groupBy(F.to_date("ts").cast("string").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") > 50).cast("long")).alias("high"))
 
 
@@ -57,10 +65,10 @@ def running_counts_to_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("day string, event_type string, n long, high long").parquet(f"{out}/{last}")
 
 
-def per_site_counts(calls: DataFrame, threshold: float = 0.8) -> DataFrame:
+def per_site_counts(calls: DataFrame, threshold: float = 0.8, at: str | None = None, delay: str | None = None) -> DataFrame:
     """Running form of the thresholded site counts over a stream of read-level winners: chrm, pos, strand, winner, win_lp."""
     sure = F.exp("win_lp") > threshold
-    return calls.dropDuplicates(["chrm", "pos", "strand", "read_id"]).groupBy("chrm", "pos", "strand").agg(F.count(F.lit(1)).alias("reads"), F.sum(sure.cast("long")).alias("valid_reads"), F.sum((sure & (F.col("winner") != "can")).cast("long")).alias("n_mod"))
+    return distinct(calls, ["chrm", "pos", "strand", "read_id"], at, delay).groupBy("chrm", "pos", "strand").agg(F.count(F.lit(1)).alias("reads"), F.sum(sure.cast("long")).alias("valid_reads"), F.sum((sure & (F.col("winner") != "can")).cast("long")).alias("n_mod"))
 
 
 def until_sentinel(spark: SparkSession, folder: str, start, poll: float = POLL, most_seconds: float | None = None) -> None:
@@ -82,16 +90,32 @@ def until_sentinel(spark: SparkSession, folder: str, start, poll: float = POLL,
     del found
 
 
-def limited(writer, most: int, identity: str = "read_id"):
-    """A foreachBatch function that hands at most ``most`` rows over all batches to ``writer``, in order of identity within one."""
-    left = [most]
+def limited(writer, most: int, identity: str = "read_id", state: str | None = None):
+    """A foreachBatch function that hands at most ``most`` rows over all batches to ``writer``, in order of identity within one.
+
+    ``state``: a folder in the shared store that keeps how many rows each batch gave, best within the stream's
+    checkpoint. A run that starts again goes on from there, and a batch that is run again gives what it gave. Without it the count is this run's.
+    """
+    given: dict[int, int] = {}
+
+    def before(spark: SparkSession, number: int) -> int:
+        if state is None:
+            return sum(n for k, n in given.items() if k < number)
+        told = [json.loads(x) for x in read_texts(spark, state)]
+        given.update({t["batch"]: t["rows"] for t in told})
+        return sum(t["rows"] for t in told if t["batch"] < number)
 
     def take(batch: DataFrame, number: int) -> None:
-        if left[0] > 0:
-            part = batch.orderBy(identity).limit(left[0])
-            part = part.persist()
-            left[0] -= part.count()
-            writer(part, number)
-            part.unpersist()
+        spark = batch.sparkSession
+        left = most - before(spark, number)
+        if left <= 0:
+            return
+        part = batch.orderBy(identity).limit(left).persist()
+        n = part.count()
+        writer(part, number)
+        if state is not None and number not in given:
+            write_text(spark, f"{state}/{number:012d}.json", json.dumps({"batch": number, "rows": n}))
+        given[number] = n
+        part.unpersist()
 
     return take
