@@ -20,7 +20,6 @@ no part. Empty tables give empty tables.
 from __future__ import annotations
 
 import gzip
-import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -119,75 +118,125 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     return full.unionByName(again)
 
 
-_RECORD = re.compile(rb"WARC/1\.[01]\r\n")
-
-
-class _Members(io.RawIOBase):
-    """What a file of gzip members holds, up to its end or to where it does not decompress."""
-
-    def __init__(self, data: bytes):
-        self.data, self.at, self.member, self.damaged = memoryview(data), 0, None, False
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, target) -> int:
+#: A record's first line, a header's end, and what has to follow a block: an empty line, then a record or the end.
+_RECORD = re.compile(rb"WARC/1\.[01]\r?\n")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_AFTER = re.compile(rb"\r?\n\r?\n\s*(?:WARC/1\.|\Z)")
+#: Most bytes of a header, and of a block, which has to fit a value of a row.
+HEAD_BYTES, BLOCK_BYTES = 1 << 20, (1 << 31) - 1
+_MAGIC = b"\x1f\x8b\x08"
+
+
+class _Source:
+    """Bytes of a plain file or of one gzip member, made as they are asked for. ``held`` begins at the place reached."""
+
+    def __init__(self, data: memoryview, at: int, packed: bool):
+        self.data, self.at, self.held = data, at, bytearray()
+        self.unpack = zlib.decompressobj(31) if packed else None
+        self.rest, self.ended, self.torn = b"", False, False
+
+    def fill(self, n: int) -> bool:
+        """Whether ``n`` bytes are held; less only at the end."""
+        while len(self.held) < n and not self.ended:
+            self._more(n - len(self.held))
+        return len(self.held) >= n
+
+    def _more(self, n: int) -> None:
+        if self.unpack is None:
+            part = self.data[self.at : self.at + max(n, 1 << 16)]
+            self.held += part
+            self.at += len(part)
+            self.ended = self.at >= len(self.data)
+            return
+        given = self.rest or bytes(self.data[self.at : self.at + (1 << 16)])
+        if not self.rest:
+            self.at += len(given)
+        try:
+            out = self.unpack.decompress(given, max(n, 1 << 16))
+        except zlib.error:
+            self.ended = self.torn = True
+            return
+        self.held += out
+        self.rest = self.unpack.unconsumed_tail
+        if self.unpack.eof:
+            self.ended, self.at = True, self.at - len(self.unpack.unused_data)
+        elif not out and not self.rest and self.at >= len(self.data):
+            self.ended = self.torn = True
+
+    def find_record(self) -> bool:
+        """Go to the next first line of a record; all is passed over if there is none."""
         while True:
-            if self.member is None:
-                while self.at < len(self.data) and not self.data[self.at]:
-                    self.at += 1
-                if self.at == len(self.data):
-                    return 0
-                self.member = zlib.decompressobj(31)
-            given = self.member.unconsumed_tail
-            if not given:
-                given = self.data[self.at : self.at + 65536]
-                self.at += len(given)
-            try:
-                out = self.member.decompress(given, len(target))
-                self.damaged = not (out or len(given) or self.member.eof)
-            except zlib.error:
-                out, self.damaged = b"", True
-            if self.damaged:
-                self.member, self.at = None, len(self.data)
-                return 0
-            if self.member.eof:
-                self.at -= len(self.member.unused_data)
-                self.member = None
-            if out:
-                target[: len(out)] = out
-                return len(out)
+            found = _RECORD.search(self.held)
+            if found:
+                del self.held[: found.start()]
+                return True
+            del self.held[:-16]
+            if not self.fill(len(self.held) + (1 << 16)) and not _RECORD.search(self.held):
+                self.held.clear()
+                return False
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(WARC headers in lower case, block) of each record of a file, plain or compressed by record.
 
-    A record cut short or without a usable length is one of type ``damaged``, with no block; so is the rest of a
-    file that does not decompress. Records before those are given, and in plain files the ones after them too.
+    A length is good if what it takes is there, in its member if compressed, and an empty line and then another record or the end
+    follow (so one that ends just where a later record's block ends is taken for good). A record without such a length is one of type ``damaged``, with no block, and reading goes on at the next record's first line, so that
+    no neighbour is lost. A member that does not decompress gives one of them as well; reading goes on at the next one.
     """
-    members = _Members(data) if data[:2] == b"\x1f\x8b" else None
-    whole = True
-    for head, block in _records(io.BufferedReader(members) if members else io.BytesIO(data)):
-        whole = block is not None
-        yield (head, block) if whole else ({"warc-type": DAMAGED}, b"")
-    if members and members.damaged and whole:
-        yield {"warc-type": DAMAGED}, b""
-
-
-def _records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    while line := stream.readline():
-        if not _RECORD.match(line):
-            continue
-        head = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            head[name.strip().lower()] = value.strip()
-        length = head.get("content-length", "")
-        if not (length.isascii() and length.isdigit()):
-            yield head, None
+    view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        for head, block in _records(_Source(view, 0, False)):
+            yield (head, block) if block is not None else ({"warc-type": DAMAGED}, b"")
+        return
+    at, torn = 0, False
+    while at < len(data):
+        if data[at : at + 3] != _MAGIC:
+            # Padding of zeros is no damage.
+            nxt = data.find(_MAGIC, at)
+            stop = nxt if nxt >= 0 else len(data)
+            if data[at:stop].strip(b"\0") and not torn:
+                yield {"warc-type": DAMAGED}, b""
+                torn = True
+            at = stop
             continue
-        block = stream.read(int(length))
-        yield head, block if len(block) == int(length) else None
+        source, bad = _Source(view, at, True), False
+        for head, block in _records(source):
+            bad = block is None
+            yield ({"warc-type": DAMAGED}, b"") if bad else (head, block)
+            torn = False
+        if source.torn:
+            if not bad and not torn:
+                yield {"warc-type": DAMAGED}, b""
+            torn, at = True, (nxt if (nxt := data.find(_MAGIC, at + 1)) >= 0 else len(data))
+        else:
+            torn, at = False, source.at
+
+
+def _records(source: _Source) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    while source.find_record():
+        first = source.held.index(b"\n") + 1
+        end, asked = None, 1 << 12
+        while end is None and len(source.held) < HEAD_BYTES:
+            whole = source.fill(asked)
+            end, asked = _HEAD_END.search(source.held), asked * 4
+            if not whole:
+                break
+        head, block = {}, None
+        if end:
+            for line in source.held[first : end.start()].split(b"\n"):
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                head[name.strip().lower()] = value.strip()
+            length = head.get("content-length", "")
+            if length.isascii() and length.isdigit() and len(length) <= 10 and int(length) <= BLOCK_BYTES:
+                begin, stop = end.end(), end.end() + int(length)
+                if source.fill(stop):
+                    source.fill(stop + 64)
+                    if _AFTER.match(bytes(source.held[stop : stop + 64])):
+                        block = bytes(source.held[begin:stop])
+                        del source.held[:stop]
+        if block is None:
+            del source.held[:first]
+        yield head, block
 
 
 def write_record(kind: str, url: str, date: str, record_id: str, http: bytes, compress: bool = True) -> bytes:

@@ -1,4 +1,6 @@
+import gzip
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -71,6 +73,38 @@ def test_damaged_files_give_their_good_records(spark, tmp_path):
     assert sum(r["kind"] == rv.DAMAGED for r in rows) == 4
 
 
+def test_bad_lengths_cost_their_own_record_only(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody with WARC words"
+    good = lambda i: rv.write_record("response", "http://a.com/", "2024-01-01T00:00:00Z", f"<{i}>", http, False)
+    size = b"Content-Length: " + str(len(http)).encode()
+    for n, wrong in enumerate([len(http) + 40, len(http) + len(good(2)) + 7, len(http) + 4, len(http) - 3, 0, 10**6, 10**13, 10**20, -1]):
+        bad = good(2).replace(size, b"Content-Length: " + str(wrong).encode())
+        records = [good(1), bad, good(3), good(4)]
+        (tmp_path / f"p{n}.warc").write_bytes(b"".join(records))
+        (tmp_path / f"z{n}.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+        (tmp_path / f"one{n}.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+        (tmp_path / f"last{n}.warc").write_bytes(b"".join([good(1), good(3), good(4), bad]))
+    rows = rv.read_warc(spark, str(tmp_path)).collect()
+    files = 4 * 9
+    assert Counter(r["warc_id"] for r in rows if r["kind"] == "response") == {"<1>": files, "<3>": files, "<4>": files}
+    assert sum(r["kind"] == rv.DAMAGED for r in rows) == files
+    assert {bytes(r["body"]) for r in rows if r["kind"] == "response"} == {b"body with WARC words"}
+
+
+def test_members_that_do_not_decompress_lie_between_good_ones():
+    good = lambda i: rv.write_record("response", "u", "d", f"<{i}>", b"HTTP/1.1 200 OK\r\n\r\n" + bytes(range(256)) * 9)
+    broken = bytearray(good(2))
+    broken[len(broken) // 2] ^= 0xFF
+    for middle in (bytes(broken), good(2)[:-20], b"\x1f\x8b\x08" + b"x" * 50, b"noise", bytes(broken) * 2):
+        ids = [h.get("warc-record-id", h["warc-type"]) for h, _ in rv.parse_warc(good(1) + middle + good(3) + b"\0" * 64)]
+        assert ids[0] == "<1>" and ids[-1] == "<3>" and ids.count(rv.DAMAGED) in (0, 1) and set(ids) <= {"<1>", "<2>", "<3>", rv.DAMAGED}, ids
+        assert rv.DAMAGED in ids
+    # A block that reads like records is a block.
+    inner = b"HTTP/1.1 200 OK\r\n\r\n" + rv.write_record("response", "v", "d", "<inner>", b"x", False)
+    whole = rv.write_record("response", "u", "d", "<outer>", inner, False) + rv.write_record("response", "u", "d", "<next>", b"y", False)
+    assert [(h["warc-record-id"], len(b)) for h, b in rv.parse_warc(whole)] == [("<outer>", len(inner)), ("<next>", 1)]
+
+
 def test_only_complete_responses_are_stored_ones(spark):
     rows = [(1, "response", "u", 10, {"etag": "a"}, 200, "x"), (2, "response", "u", 20, {"etag": "a"}, 404, "x"), (3, "response", "u", 30, {"etag": "a"}, None, "x"), (4, "revisit", "u", 40, {"etag": "a"}, 304, "x"), (4, "revisit", "u", 40, {"etag": "a"}, 304, "x")]
     df = spark.createDataFrame(rows, "record_id long, kind string, url string, sec long, headers map<string,string>, http_status int, canonical string").withColumn("date", F.timestamp_seconds("sec"))
