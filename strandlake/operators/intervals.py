@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.operators.prefix import running
+from strandlake.operators.prefix import running, with_previous
 from strandlake.session import ship
 
 #: How much wider a level's bins are than those of the level below.
@@ -256,6 +256,5 @@ def resolve_overlaps(rows: DataFrame, keys: list[str], score: str, identity: str
 
 
 def is_sorted(rows: DataFrame, keys: list[str], by: str, order: str) -> DataFrame:
-    """Violations: rows whose ``by`` is below the one before in the input's own ``order`` column."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_before", F.lag(by).over(w)).where(F.col(by) < F.col("_before")).drop("_before")
+    """Violations: rows whose ``by`` is below the one before in the input's own ``order`` column. A key is as many tasks as the order has buckets."""
+    return with_previous(rows, keys, order, by, "_before").where(F.col(by) < F.col("_before")).drop("_before")

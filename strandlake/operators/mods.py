@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.expr import NAN, expit, log1m
-from strandlake.operators.prefix import running, score_buckets
+from strandlake.operators.prefix import exact_quantiles, running, score_buckets
 from strandlake.session import materialize
 
 SITE = ["chrm", "pos", "strand"]
@@ -237,12 +237,13 @@ def global_threshold(llrs: DataFrame, mod: str, extreme: float = 8.0, fraction:
     """
     x = llrs.where(F.col("mod_base") == mod)
     if fraction is None:
-        bound = F.least(F.abs(F.percentile("llr", extreme / 100)), F.abs(F.percentile("llr", 1 - extreme / 100)))
-        cut = x.agg(bound.alias("b")).first()["b"] or 0.0
+        # Two exact order statistics of the whole table, by running counts; a value each comes to the driver.
+        bounds = [r["value"] for f in (extreme / 100, 1 - extreme / 100) for r in exact_quantiles(x, ["mod_base"], "llr", f).collect()]
+        cut = min(map(abs, bounds), default=0.0)
         low, high = F.sum((F.col("llr") <= -cut).cast("long")), F.sum((F.col("llr") >= cut).cast("long"))
         row = x.agg((low / F.greatest(low + high, F.lit(1))).alias("f")).first()
         fraction = float(row["f"] or 0.0)
-    return x.groupBy("mod_base").agg(F.lit(fraction).alias("frac_mod"), F.percentile("llr", fraction).alias("threshold"))
+    return exact_quantiles(x, ["mod_base"], "llr", fraction).select("mod_base", F.lit(fraction).alias("frac_mod"), F.col("value").alias("threshold"))
 
 
 def array_percentile(values: Column, p: Column) -> Column:

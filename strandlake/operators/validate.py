@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.operators.prefix import running, score_buckets
+from strandlake.operators.prefix import exact_quantiles, running, score_buckets
 
 
 def clean_scores(rows: DataFrame, score: str = "score") -> DataFrame:
@@ -66,9 +66,10 @@ def accuracy_summary(reads: DataFrame, by: list[str]) -> DataFrame:
     counts = reads.groupBy(*by, one.alias("acc")).agg(F.count(F.lit(1)).alias("n"))
     mode = counts.groupBy(*by).agg(F.max_by("acc", F.struct("n", -F.col("acc"))).alias("mode_acc"))
     out = reads.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("reads"), F.median("pct_identity").alias("median_acc"), F.avg("pct_identity").alias("mean_acc"), (100.0 * F.sum("num_match") / F.sum("num_align")).alias("parsimonious_acc"), F.sum("num_align").alias("aligned")
+        F.count(F.lit(1)).alias("reads"), F.avg("pct_identity").alias("mean_acc"), (100.0 * F.sum("num_match") / F.sum("num_align")).alias("parsimonious_acc"), F.sum("num_align").alias("aligned")
     )
-    return out.join(mode, by)
+    median = exact_quantiles(reads, by, "pct_identity", 0.5).select(*by, F.col("value").alias("median_acc"))
+    return out.join(median, by, "left").join(mode, by)
 
 
 def most_common_errors(errors: DataFrame, k: int, total: int) -> DataFrame:
