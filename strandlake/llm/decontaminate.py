@@ -14,17 +14,18 @@ of the item's, or if consecutive windows of one of them make up a run of at leas
 
 Documents are first looked for by runs of letter words (three, else two or one) that an item's windows hold:
 a bound by counting says how many of them any document with enough windows must hold, so no such document is
-lost, and only the others are spared the two views. Items that hold too few such words switch this off.
+lost, and only the others are spared the two views. Items that hold too few such words have enough windows of placeholders alone;
+for them documents are looked for that hold as many numbers, capitalised words or units in a row.
 
 Each text has two views, and either may fulfil the rule: the template, and plain lower-case words, where
 names stay words; so copies in other case or with other marks round a name are met too.
 A run of plain words does not count where the template of that document has such a run whose
-slots are left alone. White space of any kind is one space.
+slots are left alone. Whatever conflicts elsewhere, a run of at least ``TORN_RUN`` words whose slots all hold the item's own values counts in either view. White space of any kind is one space.
 Names are capitalised words after a word or a comma of the same sentence, also in quotes or brackets. Units are
 those of a fixed list, as whole words. Defined cases: null or empty texts have no
 windows. An item of fewer words than a window has one window, the whole of it; it is searched within
-documents by windows of its own length. Items of one or two words, or of placeholders only,
-meet only documents that are just those words. Rows with the same identifier count as
+documents by windows of its own length. Items of less than ``shortest`` words, or of placeholders only,
+meet only documents that are just those words, unless ``everywhere`` is asked for: then each item is searched within all texts, however short. Rows with the same identifier count as
 one document; a null identifier is a document of its own. Rows of items are each
 reported, whatever their identifiers; a null one too. Empty tables give no row. The benchmark's windows are broadcast if their
 counted number is within ``BROADCAST_WINDOWS``, else joined by shuffle.
@@ -42,6 +43,8 @@ WINDOW = 5
 SHORTEST = 3
 SHARE = 0.8
 RUN = 13
+#: Words of a verbatim run in an alignment whose slots conflict elsewhere: more than a run needs, for such an alignment tells against a copy.
+TORN_RUN = 20
 #: Letter words in a row by which documents are looked for first.
 GRAMS = (3, 2, 1)
 BROADCAST_WINDOWS = 500_000
@@ -160,17 +163,25 @@ def cores(bench: DataFrame, totals: DataFrame) -> DataFrame:
     return best.select("item", "view", F.col("x")["gram"].alias("gram"), F.col("x")["need"].alias("need"), F.explode_outer(F.col("x")["rs"]).alias("h"))
 
 
-def benchmark_windows(known: DataFrame, run: int = RUN) -> DataFrame:
+def benchmark_windows(known: DataFrame, run: int = RUN, shortest: int = SHORTEST, everywhere: bool = False) -> DataFrame:
     """A row a window of ``known`` (item, text): item, view, n_words, within, fewest (distinct windows that a run of ``run`` words may hold), item_at, h, item_slots, words."""
     words = known.select("item", F.explode(views(F.col("text"))).alias("v")).select("item", "v.*")
-    hashed = words.select("item", "view", F.size("words").alias("n_words"), _within(F.col("words")).alias("within"), "slots", "words", window_hashes(F.col("words")).alias("hs"))
+    hashed = words.select("item", "view", F.size("words").alias("n_words"), _within(F.col("words"), shortest, everywhere).alias("within"), "slots", "words", window_hashes(F.col("words")).alias("hs"))
     spread = hashed.select("item", "view", "n_words", "within", "slots", "words", _fewest(F.col("hs"), run).alias("fewest"), F.posexplode("hs").alias("item_at", "h"))
     return spread.withColumn("slots", F.slice("slots", F.col("item_at") + 1, WINDOW)).withColumn("words", F.slice("words", F.col("item_at") + 1, WINDOW)).withColumnRenamed("slots", "item_slots")
 
 
-def _within(words: Column) -> Column:
+def _within(words: Column, shortest: int, everywhere: bool) -> Column:
     """Whether a text shorter than a window is searched within others: by a window of its own length."""
-    return F.size(words).between(SHORTEST, WINDOW - 1) & F.exists(words, lambda w: ~w.startswith("⟨"))
+    if everywhere:
+        return F.size(words).between(1, WINDOW - 1)
+    return F.size(words).between(shortest, WINDOW - 1) & F.exists(words, lambda w: ~w.startswith("⟨"))
+
+
+def placeholders_in_a_row(text: Column, n: int) -> Column:
+    """Whether a text may hold ``n`` placeholders in a row, in either view: as many numbers, words with a capital, or units follow each other."""
+    token = r"(?:\p{Nd}++(?:[.,:/]\p{Nd}++)*+|\p{Lu}[\p{L}\p{Mn}'-]*+|(?i:" + "|".join(UNITS) + r")(?![\p{L}\p{Mn}]))"
+    return F.coalesce(text, F.lit("")).rlike(r"(?:" + token + r"[^\p{L}\p{Mn}\p{Nd}]*+){" + str(n) + "}")
 
 
 def _windows_of(run: int) -> int:
@@ -184,7 +195,7 @@ def _fewest(hashes: Column, run: int) -> Column:
 
 
 def judged(hits: DataFrame) -> DataFrame:
-    """A row an alignment (doc_id, row, item, view, along): hs, longest run of windows, changed slots.
+    """A row an alignment (doc_id, row, item, view, along): hs, longest run of windows, that of windows whose slots are the item's own, changed slots.
 
     ``hits``: a row a window met, with its ``pairs`` of slots (item_slots, doc_slots, at).
     """
@@ -198,11 +209,17 @@ def judged(hits: DataFrame) -> DataFrame:
     each = each.withColumn("top", F.when(F.col("rank") == F.max("rank").over(value), F.col("other")))
     each = each.withColumn("low", F.min("top").over(value)).withColumn("torn", F.coalesce(F.col("low") != F.max("top").over(value), F.lit(False)))
     each = each.withColumn("off", F.coalesce(F.col("torn") | (F.col("other") != F.col("low")), F.lit(False)))
-    windows = each.groupBy(*line, "item_at", "h").agg(F.max("off").alias("off"), F.max("torn").alias("torn"), F.sum((F.col("new") & ~F.col("off")).cast("int")).alias("new"))
+    windows = each.groupBy(*line, "item_at", "h").agg(F.max("off").alias("off"), F.max("torn").alias("torn"), F.sum((F.col("new") & ~F.col("off")).cast("int")).alias("new"), F.coalesce(F.max(F.col("value") != F.col("other")), F.lit(False)).alias("differs"))
+    own = windows.where(~F.col("differs")).withColumn("island", F.col("item_at") - F.dense_rank().over(Window.partitionBy(*line).orderBy("item_at")))
+    own = own.groupBy(*line, "island").agg(F.countDistinct("item_at").alias("own_run")).groupBy(*line).agg(F.max("own_run").alias("own_run"))
     windows = windows.withColumn("torn", F.max("torn").over(Window.partitionBy(*line))).where(~F.col("off"))
     windows = windows.withColumn("island", F.col("item_at") - F.dense_rank().over(Window.partitionBy(*line).orderBy("item_at")))
     islands = windows.groupBy(*line, "island").agg(F.count(F.lit(1)).alias("run"), F.collect_set("h").alias("hs"), F.max("torn").alias("torn"), F.sum("new").alias("new"))
-    return islands.groupBy(*line).agg(F.flatten(F.collect_list("hs")).alias("hs"), F.max("run").alias("run"), F.max("torn").alias("torn"), F.coalesce(F.sum("new"), F.lit(0)).cast("int").alias("changed"))
+    out = islands.groupBy(*line).agg(F.flatten(F.collect_list("hs")).alias("hs"), F.max("run").alias("run"), F.max("torn").alias("torn"), F.coalesce(F.sum("new"), F.lit(0)).cast("int").alias("changed"))
+    same = out["doc_id"].eqNullSafe(own["doc_id"])
+    for c in line[1:]:
+        same = same & (out[c] == own[c])
+    return out.join(own, same, "left").select(*[out[c] for c in out.columns], F.coalesce("own_run", F.lit(0)).alias("own_run"))
 
 
 def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -212,10 +229,13 @@ def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, rows["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", share: float = SHARE, run: int = RUN) -> DataFrame:
-    """A row a contaminated document and item: doc_id, item_id, windows, matched, share, changed_slots."""
+def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", share: float = SHARE, run: int = RUN, shortest: int = SHORTEST, everywhere: bool = False) -> DataFrame:
+    """A row a contaminated document and item: doc_id, item_id, windows, matched, share, changed_slots.
+
+    ``everywhere`` searches items of any length, also of figures alone, within all texts; it costs a row a word, and many texts hold a short item by chance.
+    """
     known = materialize(items.select(F.monotonically_increasing_id().alias("item"), F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text")), "known")
-    bench = materialize(benchmark_windows(known, run), "benchmark")
+    bench = materialize(benchmark_windows(known, run, shortest, everywhere), "benchmark")
     n_bench = bench.count()
     small = n_bench <= BROADCAST_WINDOWS
     hint = (lambda df: F.broadcast(df)) if small else (lambda df: df)
@@ -229,12 +249,18 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     # Documents without enough of some item's letter words in a row are not read into views.
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     core = materialize(cores(bench, totals), "cores")
-    grams = sorted((r[0] for r in core.select("gram").distinct().collect()), key=lambda g: g or 0)
-    likely = rows
-    if grams and None not in grams:
-        held = spread_hashes(rows.select("doc_id", letter_words(F.col("text")).alias("words")), grams, False).join(hint(core), "h")
+    grams = sorted(r[0] for r in core.where("gram is not null").select("gram").distinct().collect())
+    mute = core.where("gram is null").select("item").distinct()
+    fewest = mute.join(bench, "item").agg(F.min(F.least("n_words", F.lit(WINDOW)))).first()[0]
+    found = [rows.where(placeholders_in_a_row(F.col("text"), fewest)).select("doc_id")] if fewest else []
+    if grams:
+        held = spread_hashes(rows.select("doc_id", letter_words(F.col("text")).alias("words")), grams, False).join(hint(core.where("gram is not null")), "h")
         held = held.groupBy("doc_id", "item", "view", "need").agg(F.countDistinct("h").alias("held")).where("held >= need")
-        likely = _of(rows, materialize(held.select("doc_id").distinct(), "likely"))
+        found.append(held.select("doc_id"))
+    likely = rows
+    if found:
+        ids = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        likely = _of(rows, materialize(ids.distinct(), "likely"))
 
     # Windows without names are the same in both views.
     both = likely.select("doc_id", template_words(F.col("text")).alias("words"), plain_words(F.col("text")).alias("plain"))
@@ -263,8 +289,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     left = (F.col("view") == 0) & F.col("torn") & (F.col("run") >= _windows_of(run))
     lines = lines.withColumn("left", F.max(left).over(Window.partitionBy("doc_id", "row", "item")))
     counts = ~F.col("torn") & ((F.col("view") == 0) | ~F.col("left"))
-    covered = lines.groupBy("doc_id", "item", "view").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"), F.max(F.when(counts, F.col("run"))).alias("run"), F.max("changed").alias("changed_slots"))
-    whole = (F.col("matched") >= F.col("covering")) | (F.coalesce("run", F.lit(0)) >= _windows_of(run))
+    covered = lines.groupBy("doc_id", "item", "view").agg(F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"), F.max(F.when(counts, F.col("run"))).alias("run"), F.max("own_run").alias("own_run"), F.max("changed").alias("changed_slots"))
+    whole = (F.col("matched") >= F.col("covering")) | (F.coalesce("run", F.lit(0)) >= _windows_of(run)) | (F.col("own_run") >= _windows_of(max(run, TORN_RUN)))
     out = covered.withColumn("matched", F.size("hs").cast("long")).join(hint(totals), ["item", "view"]).where(whole).withColumn("share", F.col("matched") / F.col("windows"))
     best = out.groupBy("doc_id", "item").agg(F.max_by(F.struct("windows", "matched", "share", "changed_slots"), F.struct("share", -F.col("view"))).alias("x"))
     return best.join(hint(known.select("item", "item_id")), "item").select("doc_id", "item_id", "x.*")

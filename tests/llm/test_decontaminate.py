@@ -113,3 +113,36 @@ def test_short_items_repeated_and_null_identifiers(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted((r["doc_id"], r["item_id"] or 0) for r in dc.contaminated(df, bench).collect())
     assert got == [(0, 1), (1, 2), (2, 2), (3, 0), (4, 0), (6, 5), (7, 6)]
+
+
+def test_a_long_verbatim_run_counts_where_slots_conflict_elsewhere(spark):
+    body = " ".join(w for w in prose(930, 120).replace("\n", " ").split() if not any(c.isdigit() for c in w) and w.isalpha() and w.islower())[:170]
+    item = f"there were 5 of them {body} and then 5 more {prose(931, 90)}"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    passage = f"there were 7 of them {body} and then 9 more"
+    assert len(body.split()) >= 20
+    df = spark.createDataFrame([(0, f"{prose(932, 30)} {passage} {prose(933, 30)}"), (1, prose(934, 60))], "doc_id long, text string")
+    assert [r["doc_id"] for r in dc.contaminated(df, bench).collect()] == [0]
+
+
+def test_short_items_are_searched_everywhere_on_demand(spark):
+    bench = spark.createDataFrame([(1, "zebra crossings"), (2, "12 34 56"), (3, "quagga")], "item_id long, text string")
+    texts = [f"{prose(940, 20)} Zebra crossings {prose(941, 20)}", "he said 7, 8, 9 to her", "a quagga here", "zebra and crossings", "zebra crossings", "one 5 two 6"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.contaminated(df, bench).collect()) == [(4, 1)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.contaminated(df, bench, everywhere=True).collect()) == [(0, 1), (1, 2), (2, 3), (4, 1)]
+
+
+def test_documents_that_are_looked_for_first_are_all_that_count(spark, monkeypatch):
+    bench = [(1, ITEM), (2, prose(950, 40)), (3, "12 34 56"), (4, "5 km, 7 kg; Paris 8 Rome 9 London 3 h"), (5, "2 + 2"), (6, "Anna Maria Otto Carl Dora Emil 7")]
+    texts = [f"{prose(i, 20)} {t} {prose(i + 1, 20)}" for i, (_, t) in enumerate(bench)] + [t for _, t in bench] + [prose(960 + i, 50) for i in range(5)]
+    texts += ["so 6 km, 1 kg; Oslo 3 Bern 2 Athens 4 h it is", "we saw 6 km, 1 kg; oslo 3 bern 2", "1 2 3", "1 KM 2", "9 + 9", None, "", "he met, Bert Clara Doris Eve Fred Gina 9"]
+    df, items_ = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    with_search = sorted((r["doc_id"], r["item_id"]) for r in dc.contaminated(df, items_).collect())
+    monkeypatch.setattr(dc, "placeholders_in_a_row", lambda text, n: F.lit(True))
+    assert sorted((r["doc_id"], r["item_id"]) for r in dc.contaminated(df, items_).collect()) == with_search and len(with_search) >= 9
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame([(0, f"{prose(970, 20000)} {ITEM} {prose(971, 20000)}"), (1, "x" * 300_000), (2, "7 " * 50_000)], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in dc.contaminated(df, items(spark)).collect()] == [(0, 1)]
