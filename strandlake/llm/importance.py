@@ -1,7 +1,8 @@
 """Target-distribution importance resampling of documents by hashed n-gram features.
 
 Method: a DuckDB in each task. Its SQL unnests the words of whole texts, windows runs of one to three of
-them, hashes each run by a registered zlib CRC function, and counts the buckets of each document. These counts go to Parquet
+them, hashes each run by registered zlib CRC functions, and counts the buckets of each document. A word is hashed once, and the CRC of a run
+follows from those of its words, as zlib's own combination has it, so that no run is built as text. These counts go to Parquet
 in the shared folder; Spark merges them over documents and over the target, takes the gain of each bucket from the two
 counts, sums gains over the counts of each document and adds Gumbel noise, so that the highest scores are a sample
 without replacement in proportion to the importance.
@@ -43,13 +44,12 @@ WITH word AS (
   SELECT piece, doc, skip, unnest(x) AS w, unnest(range(len(x))) AS i
   FROM (SELECT piece, doc, skip, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS x FROM pieces)
 ),
-run AS (
-  SELECT doc, i >= skip AS own, w, lag(w, 1) OVER v AS p, lag(w, 2) OVER v AS q FROM word WINDOW v AS (PARTITION BY piece ORDER BY i)
-),
-feature AS (
-  SELECT doc, unnest([w, p || ' ' || w, q || ' ' || p || ' ' || w]) AS f, unnest([1, 0, 0]) AS one FROM run WHERE own
-)
-SELECT doc * $buckets + zlib_crc32(f) % $buckets AS key, count(*)::BIGINT AS n, sum(one)::BIGINT AS words FROM feature WHERE f IS NOT NULL GROUP BY key
+hashed AS (SELECT piece, doc, i, i >= skip AS own, zlib_crc32(w) AS one, strlen(w) AS n FROM word),
+spaced AS (SELECT *, crc32_append(zlib_crc32(' '), one, n) AS rest, n + 1 AS m FROM hashed),
+pair AS (SELECT *, crc32_append(lag(one) OVER v, rest, m) AS two FROM spaced WINDOW v AS (PARTITION BY piece ORDER BY i)),
+triple AS (SELECT *, crc32_append(lag(two) OVER v, rest, m) AS three FROM pair WINDOW v AS (PARTITION BY piece ORDER BY i)),
+feature AS (SELECT doc, unnest([one, two, three]) AS crc, unnest([1, 0, 0]) AS word FROM triple WHERE own)
+SELECT doc * $buckets + crc % $buckets AS key, count(*)::BIGINT AS n, sum(word)::BIGINT AS words FROM feature WHERE crc IS NOT NULL GROUP BY key
 """
 
 
@@ -62,6 +62,40 @@ def _crc32(column: pa.Array) -> pa.Array:
     return pa.array(np.fromiter((crc(view[a:b]) for a, b in zip(at, at[1:], strict=False)), np.uint32, len(column)))
 
 
+def _zeros() -> list[np.ndarray]:
+    """For 2**k zero bytes after what a CRC is of, k = 0, 1, ...: the new CRC by each byte of the old one, which adds up by XOR."""
+    byte = np.arange(256, dtype=np.uint32)
+    table = byte.copy()
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    values = byte[None, :] << (8 * np.arange(4, dtype=np.uint32)[:, None])
+    out = [table[values & 0xFF] ^ (values >> 8)]
+    while len(out) < 32:
+        out.append(_shift(out[-1], out[-1]))
+    return out
+
+
+def _shift(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return table[0][crc & 0xFF] ^ table[1][(crc >> 8) & 0xFF] ^ table[2][(crc >> 16) & 0xFF] ^ table[3][crc >> 24]
+
+
+_ZEROS = _zeros()
+
+
+def append(before: np.ndarray, crc: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """CRCs of bytes whose first part has the CRC ``before`` and whose rest, of ``size`` bytes, has ``crc``: what zlib gives for both in a row."""
+    out = before.astype(np.uint32)
+    for k in range(int(size.max(initial=0)).bit_length()):
+        out = np.where(size >> k & 1, _shift(_ZEROS[k], out), out)
+    return out ^ crc
+
+
+def _append(before: pa.Array, crc: pa.Array, size: pa.Array) -> pa.Array:
+    known = before.is_valid().to_numpy(zero_copy_only=False)
+    column = lambda x: x.fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.array(append(column(before), column(crc), column(size)), mask=~known)
+
+
 class FeatureCounter:
     """A DuckDB of one thread that counts the buckets of texts."""
 
@@ -71,6 +105,7 @@ class FeatureCounter:
         self.buckets = buckets
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.db.create_function("zlib_crc32", _crc32, ["VARCHAR"], "UINTEGER", type="arrow")
+        self.db.create_function("crc32_append", _append, ["UINTEGER", "UINTEGER", "BIGINT"], "UINTEGER", type="arrow", null_handling="special")
 
     def pieces(self, texts: list[str]) -> Iterator[pa.Table]:
         """Rows doc, piece, skip (words that the piece before has had), body; about PIECE_CHARS characters a table."""

@@ -66,6 +66,16 @@ def test_long_texts_in_pieces(spark, monkeypatch):
         assert words[i] == len(words_of(t)) and dict(zip(buckets[own].tolist(), counts[own].tolist(), strict=True)) == dict(counts_of(t))
 
 
+def test_crc_of_appended_bytes_is_that_of_zlib():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    parts = [(r.bytes(int(a)), r.bytes(int(b))) for a, b in zip(r.integers(0, 40, 300), [*r.integers(0, 80, 298), 5000, 70_001], strict=True)]
+    got = importance.append(*(np.array(x) for x in zip(*[(zlib.crc32(a), zlib.crc32(b), len(b)) for a, b in parts], strict=True)))
+    assert got.tolist() == [zlib.crc32(a + b) for a, b in parts]
+    assert importance.append(*(np.zeros(0, np.int64),) * 3).tolist() == []
+
+
 def test_ties_go_to_the_smaller_identifier(spark):
     rows = [(d, prose(5, 40)) for d in (7, 7, None, None)] + [(i, prose(i, 25)) for i in range(20, 60)]
     df, target = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(prose(5, 40),)], "text string")
