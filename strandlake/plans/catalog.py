@@ -778,6 +778,28 @@ def writer_wiggle(spark, d):
     return text.wiggle_lines(mods.binary_threshold(fx.mod_calls(spark, d), mods=ALPHABET))
 
 
+@query(f"""WITH {o.WINNERS}, {_MOD_COUNTS}, w AS (SELECT mod_base || '.' || CASE strand WHEN 1 THEN 'fwd_strand' ELSE 'rev_strand' END AS file, chrm, pos, (pos + 1) || ' ' || printf('%.6f', CASE WHEN v > 0 THEN n / v ELSE 0.0 END) AS value FROM a)
+SELECT file, 1 AS part, chrm, pos, value FROM w UNION ALL SELECT DISTINCT file, 1, chrm, -1, 'variableStep chrom=' || chrm || ' span=1' FROM w
+UNION ALL SELECT DISTINCT file, 0, '', -1, 'track type=wiggle_0 name="' || file || '" description="' || file || '"' FROM w""")
+def writer_wiggle_files(spark, d):
+    from strandlake.sources import text
+
+    return text.wiggle_files(mods.binary_threshold(fx.mod_calls(spark, d), mods=ALPHABET))
+
+
+@query(f"""WITH {o.SEQS}, s AS (SELECT *, 'chr' || (name % 5) AS chrm FROM seqs)
+SELECT 2 AS part, name % 5 AS number, chrm, name AS pos, name || chr(9) || (CASE WHEN name % 2 = 0 THEN 0 ELSE 16 END + CASE WHEN name % 3 = 0 THEN 2048 ELSE 0 END) || chr(9) || chrm || chr(9) || (name + 1) || chr(9) || '60' || chr(9) || length(seq) || 'M' || chr(9) || '*' || chr(9) || '0' || chr(9) || '0' || chr(9) || seq || chr(9) || '*' AS value FROM s
+UNION ALL SELECT 1, any_value(name % 5), chrm, -1, '@SQ' || chr(9) || 'SN:' || chrm || chr(9) || 'LN:' || (max(name + length(seq)) + 1) FROM s GROUP BY chrm
+UNION ALL SELECT 0, -1, '', -1, '@HD' || chr(9) || 'VN:1.6' || chr(9) || 'SO:coordinate'""")
+def writer_sam_file(spark, d):
+    from strandlake.sources import text
+
+    n = F.col("name")
+    a = fx.sequences(spark, d).select(n.cast("string").alias("read_id"), F.concat(F.lit("chr"), (n % 5).cast("string")).alias("chrm"), n.alias("pos"), F.when(n % 2 == 0, 1).otherwise(-1).alias("strand"), F.lit(60).alias("mapq"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"), "seq", F.lit(None).cast("string").alias("qual"), F.array().cast("array<string>").alias("tags"), F.when(n % 3 == 0, 1).otherwise(0).alias("map_num"))
+    contigs = a.groupBy("chrm").agg((F.max(F.col("pos") + F.length("seq")) + 1).alias("chrm_len"), F.min(F.col("pos") % 5).alias("number"))
+    return text.sam_file(a, contigs)
+
+
 @query(f"""WITH {o.WINNERS}, a AS (SELECT chrm, pos, strand, count(*) AS r, sum(CASE WHEN exp(win_lp) > 0.8 THEN 1 ELSE 0 END)::BIGINT AS v, sum(CASE WHEN exp(win_lp) > 0.8 AND winner = 'm' THEN 1 ELSE 0 END) AS n, sum(CASE WHEN exp(win_lp) > 0.8 AND winner = 'h' THEN 1 ELSE 0 END) AS h FROM winners GROUP BY ALL)
 SELECT chrm, pos, concat_ws(chr(9), chrm, pos + 1, '.', 'C', '.', '.', '.', 'DP=' || r || ';STRD=' || CASE strand WHEN 1 THEN '+' ELSE '-' END, 'VALID_DP:h:m', v || ':' || printf('%.4f', CASE WHEN v > 0 THEN round(h / v, 4) ELSE 0.0 END) || ':' || printf('%.4f', CASE WHEN v > 0 THEN round(n / v, 4) ELSE 0.0 END)) AS value FROM a""")
 def writer_mod_vcf(spark, d):

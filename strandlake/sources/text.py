@@ -128,13 +128,14 @@ def fasta_lines(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat(F.lit(">"), "read_id", F.lit("\n"), "seq").alias("value"))
 
 
-def sam_lines(alignments: DataFrame) -> DataFrame:
-    """Text alignments: read_id, chrm, pos (0-based), strand, mapq, cigar, seq, qual, tags (array of text)."""
+def sam_lines(alignments: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Text alignments: read_id, chrm, pos (0-based), strand, mapq, cigar, seq, qual, tags (array of text); where there is a map_num, mappings after the first are supplementary. ``keep``: columns beside value."""
     dna = F.translate("seq", "U", "T")
-    flag = F.when(F.col("strand") == -1, 16).otherwise(0).cast("string")
+    flag = F.when(F.col("strand") == -1, 16).otherwise(0)
+    flag = (flag + F.when(F.col("map_num") > 0, 2048).otherwise(0) if "map_num" in alignments.columns else flag).cast("string")
     tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), "\t")
     core = F.concat_ws("\t", "read_id", flag, "chrm", (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), "cigar", F.lit("*"), F.lit("0"), F.lit("0"), dna, F.coalesce("qual", F.lit("*")))
-    return alignments.select(F.when(tags == "", core).otherwise(F.concat(core, F.lit("\t"), tags)).alias("value"))
+    return alignments.select(*keep, F.when(tags == "", core).otherwise(F.concat(core, F.lit("\t"), tags)).alias("value"))
 
 
 def per_read_mods(calls: DataFrame, reads: DataFrame, names: DataFrame) -> DataFrame:
@@ -172,3 +173,58 @@ def mapping_summary_lines(summary: DataFrame) -> DataFrame:
     kinds = {c.split()[0]: c.split()[1] for c in MAPPING_SUMMARY.split(", ")}
     cell = lambda n: F.coalesce(F.format_string("%.2f", F.rint(F.col(n) * 100) / 100) if kinds[n] == "double" else F.col(n).cast("string"), F.lit("NA"))
     return summary.select(F.concat_ws("\t", *[cell(n) for n in names]).alias("value"))
+
+
+# --- whole files ----------------------------------------------------------
+
+
+def wiggle_files(calls: DataFrame) -> DataFrame:
+    """file, part, chrm, pos, value: the lines of a file for each modified base and strand.
+
+    In order of part, natural order of chrm, and pos they are the file: a track line (part 0), and by contig a line that opens it (pos -1) and its values.
+    """
+    strand = F.when(F.col("strand") == 1, "fwd_strand").otherwise("rev_strand")
+    lines = wiggle_lines(calls).withColumn("file", F.concat_ws(".", "mod_base", strand)).withColumn("part", F.lit(1))
+    fields = ["file", "part", "chrm", "pos", "value"]
+    opens = lines.select("file", "part", "chrm").distinct().select("file", "part", "chrm", F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("variableStep chrom="), "chrm", F.lit(" span=1")).alias("value"))
+    name = F.concat(F.lit('"'), "file", F.lit('"'))
+    track = lines.select("file").distinct().select("file", F.lit(0).alias("part"), F.lit("").alias("chrm"), F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("track type=wiggle_0 name="), name, F.lit(" description="), name).alias("value"))
+    return lines.select(fields).unionByName(opens).unionByName(track)
+
+
+def sam_file(alignments: DataFrame, contigs: DataFrame) -> DataFrame:
+    """part, number, chrm, pos, value: header lines, contigs in the order of their table's ``number``, and alignments by position.
+
+    ``contigs``: chrm, chrm_len, number. In order of part, number, pos and value the lines are a file sorted by coordinate.
+    """
+    rows = alignments.join(contigs.select("chrm", "number"), "chrm")
+    lines = sam_lines(rows, ("number", "chrm", "pos"))
+    head = contigs.select(F.lit(1).alias("part"), "number", "chrm", F.lit(-1).cast("long").alias("pos"), F.concat(F.lit("@SQ\tSN:"), "chrm", F.lit("\tLN:"), F.col("chrm_len").cast("string")).alias("value"))
+    first = contigs.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(-1).cast("long").alias("number"), F.lit("").alias("chrm"), F.lit(-1).cast("long").alias("pos"), F.lit("@HD\tVN:1.6\tSO:coordinate").alias("value"))
+    fields = ["part", "number", "chrm", "pos", "value"]
+    return lines.withColumn("part", F.lit(2)).select(fields).unionByName(head.select(fields)).unionByName(first.select(fields))
+
+
+def vcf_file(lines: DataFrame, contigs: list[tuple[str, int]], sample: str = "SAMPLE") -> DataFrame:
+    """part, number, contig, pos, value: header lines by number, then the records of :func:`vcf_lines` by contig and position."""
+    spark = lines.sparkSession
+    head = spark.createDataFrame([(0, i, "", -1, x) for i, x in enumerate(vcf_header(contigs, sample))], "part int, number long, contig string, pos long, value string")
+    body = lines.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("number"), F.col("contig").cast("string").alias("contig"), F.col("pos").cast("long").alias("pos"), "value")
+    return head.unionByName(body)
+
+
+def read_references(reads: DataFrame) -> DataFrame:
+    """A record a row of value: the reference that a read's first mapping covers. ``reads``: read_id, map_num, ref_seq; filtered before."""
+    return reads.where("map_num = 0").select(F.concat(F.lit(">"), "read_id", F.lit("\n"), "ref_seq").alias("value"))
+
+
+def write_ordered(lines: DataFrame, order: list, path: str, by: str | None = None) -> None:
+    """Text files whose parts, one after another by name, are the lines in order; with ``by``, a folder for each of its values."""
+    out = lines.repartitionByRange(*([by] if by else []), *order).sortWithinPartitions(*([by] if by else []), *order)
+    writer = out.select(*([by] if by else []), "value").write
+    (writer.partitionBy(by) if by else writer).text(path)
+
+
+def in_file_order(chrm: str = "chrm") -> list:
+    """The order of :func:`wiggle_files`."""
+    return ["part", natural_key(chrm), chrm, "pos"]
