@@ -58,7 +58,8 @@ def diploid(calls: DataFrame, het_factor: float | tuple[float, float] = 1.0, loc
     reads = complete_reads(calls, locus)
     if isinstance(het_factor, tuple):
         # The factor goes by the locus's reference, which is as small as the loci, and by the alternatives that the reads carry.
-        reads = reads.join(calls.groupBy(*locus).agg(F.max("ref_seq").alias("_ref")), locus)
+        known = "ref_seq" in locus
+        reads = reads.withColumn("_ref", F.col("ref_seq")) if known else reads.join(calls.groupBy(*locus).agg(F.max("ref_seq").alias("_ref")), locus)
         bonus = F.log(heterozygous_factor(F.col("_ref"), F.col("alts"), *het_factor))
     else:
         bonus = F.lit(float(np.log(het_factor)))
