@@ -827,6 +827,40 @@ def streaming_running_counts(spark, d):
     return live.running_counts_to_table(spark, f"{d}/events.parquet")
 
 
+_GOOD_READS = """al AS (SELECT o_orderkey AS read_id, 20 + o_custkey % 80 AS m, o_custkey % 7 AS i FROM orders),
+marked AS (SELECT *, CASE WHEN m < 30 THEN 'reference too short' WHEN 100.0 * m / (m + i) < 93 THEN 'identity' END AS reason FROM al),
+good AS (SELECT read_id FROM marked WHERE reason IS NULL)"""
+
+
+def _alignments(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    cigar = F.concat((20 + c % 80).cast("string"), F.lit("M"), F.when(c % 7 > 0, F.concat((c % 7).cast("string"), F.lit("I"))).otherwise(""))
+    return read_table(spark, d, "orders").select(k.cast("string").alias("read_id"), F.concat(F.lit("chr"), (k % 5).cast("string")).alias("chrm"), ((k * 37) % 2000).alias("pos"), F.when(c % 2 == 0, 1).otherwise(-1).alias("strand"), F.lit(60).alias("mapq"), cigar.alias("cigar"), F.lit(0).alias("map_num"))
+
+
+def _main_run(spark, d):
+    """A main run into a fresh folder: its name and its counts."""
+    from strandlake.plans import main_run
+    from strandlake.plans.settings import RunSettings
+
+    out = f"{work_dir(spark)}/strandlake/run-{uuid.uuid4().hex}"
+    settings = RunSettings(outputs=("mods",), ref_length_range=(30, None), percent_identity=93.0)
+    return out, main_run.run(settings, out, _alignments(spark, d), fx.mod_calls(spark, d).withColumn("read_id", F.col("read_id").cast("string")))
+
+
+@query(f"""WITH {_GOOD_READS}, {o.WINNERS.replace("FROM lineitem", "FROM lineitem JOIN good ON l_orderkey = good.read_id")}, {_MOD_COUNTS}
+SELECT mod_base, concat_ws(chr(9), chrm, pos, pos + 1, '.', least(v, 1000), CASE strand WHEN 1 THEN '+' ELSE '-' END, pos, pos + 1, '0,0,0', v, printf('%.1f', CASE WHEN v > 0 THEN round_even(1000 * (n / v), 0) / 10 ELSE 0.0 END)) AS value FROM a""")
+def main_run_bed_methyl(spark, d):
+    out, _ = _main_run(spark, d)
+    return spark.read.text(f"{out}/mods/bedmethyl").select("mod_base", "value")
+
+
+@query(f"""WITH {_GOOD_READS} SELECT read_id::VARCHAR AS read_id, reason FROM marked WHERE reason IS NOT NULL""")
+def main_run_rejected(spark, d):
+    out, _ = _main_run(spark, d)
+    return spark.read.parquet(f"{out}/rejected").select("read_id", "reason")
+
+
 @query("""SELECT CASE WHEN o_totalprice < 20000 THEN 'short' WHEN o_orderpriority LIKE '5%' THEN 'no mapping' WHEN o_orderstatus = 'P' THEN 'unfinished' ELSE 'good' END AS reason, count(*) AS n FROM orders GROUP BY 1""")
 def reporting_reasons(spark, d):
     from strandlake.streaming import reporting
