@@ -247,6 +247,18 @@ def variants_per_read_text(spark, d):
     return text.per_read_variants(calls, reads, loci).withColumn("ref_log_prob", F.round("ref_log_prob", 5))
 
 
+@query(f"""WITH {o.VAR_CALLS}, ref AS (SELECT locus, read_id, round(ln(1 - sum(exp(score))), 5) AS ref_log_prob FROM calls GROUP BY ALL)
+SELECT 'Order#' || read_id AS uuid, 'chr' || (locus % 5) AS chrm, CASE WHEN o_custkey % 2 = 0 THEN '+' ELSE '-' END AS strand, locus AS pos, 'C' AS ref_seq, alt_seq, score AS alt_log_prob, ref_log_prob
+FROM calls JOIN ref USING (locus, read_id) JOIN orders ON o_orderkey = read_id""")
+def variants_per_read_strands(spark, d):
+    from strandlake.sources import text
+
+    reads = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("read_id"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")).alias("uuid"), F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(-1).alias("strand"))
+    k = F.col("p_partkey")
+    loci = read_table(spark, d, "part").select(k.alias("locus"), F.concat(F.lit("chr"), (k % 5).cast("string")).alias("chrm"), k.alias("pos"), F.lit("C").alias("ref_seq"))
+    return text.per_read_variants(fx.var_calls(spark, d), reads, loci).withColumn("ref_log_prob", F.round("ref_log_prob", 5))
+
+
 @query("""WITH v AS (SELECT p_partkey % 5 AS contig, p_partkey AS pos, p_partkey AS id, substr('ACGTACGT', 1 + p_partkey % 4, 3) AS ref, substr('TGCATGCA', 1 + p_size % 4, 3) AS alt FROM part),
 b AS (SELECT contig, pos + k - 1 AS pos, substr(ref, k, 1) AS ref, substr(alt, k, 1) AS alt, id FROM v, (VALUES (1), (2), (3)) t(k))
 SELECT contig, pos, ref, alt, string_agg(DISTINCT id::VARCHAR, ';' ORDER BY id::VARCHAR) AS ids FROM b WHERE ref <> alt GROUP BY ALL""")

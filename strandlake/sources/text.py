@@ -147,10 +147,12 @@ def per_read_mods(calls: DataFrame, reads: DataFrame, names: DataFrame) -> DataF
 
 
 def per_read_variants(calls: DataFrame, reads: DataFrame, loci: DataFrame) -> DataFrame:
-    """uuid, pos, ref_seq, alt_seq, alt_log_prob, ref_log_prob."""
+    """uuid, chrm, strand (text), pos, ref_seq, alt_seq, alt_log_prob, ref_log_prob; chrm where ``loci`` and strand where ``reads`` have it."""
     ref = calls.groupBy("locus", "read_id").agg(log1m(F.sum(F.exp("score"))).alias("ref_log_prob"), F.collect_list(F.struct("alt_seq", "score")).alias("a"))
     x = ref.select("*", F.explode("a").alias("x")).join(reads, "read_id").join(loci, "locus")
-    return x.select("uuid", "pos", "ref_seq", F.col("x.alt_seq").alias("alt_seq"), F.col("x.score").alias("alt_log_prob"), "ref_log_prob")
+    chrm = ["chrm"] if "chrm" in loci.columns else []
+    strand = [strand_to_text("strand").alias("strand")] if "strand" in reads.columns else []
+    return x.select("uuid", *chrm, *strand, "pos", "ref_seq", F.col("x.alt_seq").alias("alt_seq"), F.col("x.score").alias("alt_log_prob"), "ref_log_prob")
 
 
 def version_sorted(df: DataFrame, column: str) -> DataFrame:
