@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, line_dedup, packing, quality, simhash
 from strandlake.llm.common import fold
-from strandlake.session import materialize, read_table
+from strandlake.session import discard, materialize, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +66,9 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # What a stage has read is not read again; a table of the caller is left alone.
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
