@@ -45,10 +45,9 @@ WITH word AS (
   FROM (SELECT piece, doc, skip, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS x FROM pieces)
 ),
 hashed AS (SELECT piece, doc, i, i >= skip AS own, zlib_crc32(w) AS one, strlen(w) AS n FROM word),
-spaced AS (SELECT *, crc32_append(zlib_crc32(' '), one, n) AS rest, n + 1 AS m FROM hashed),
-pair AS (SELECT *, crc32_append(lag(one) OVER v, rest, m) AS two FROM spaced WINDOW v AS (PARTITION BY piece ORDER BY i)),
-triple AS (SELECT *, crc32_append(lag(two) OVER v, rest, m) AS three FROM pair WINDOW v AS (PARTITION BY piece ORDER BY i)),
-feature AS (SELECT doc, unnest([one, two, three]) AS crc, unnest([1, 0, 0]) AS word FROM triple WHERE own)
+near AS (SELECT doc, own, one, n, lag(one, 1) OVER v AS p, lag(n, 1) OVER v AS pn, lag(one, 2) OVER v AS q FROM hashed WINDOW v AS (PARTITION BY piece ORDER BY i)),
+runs AS (SELECT doc, crc32_runs(one, n, p, pn, q) AS crcs FROM near WHERE own),
+feature AS (SELECT doc, unnest(crcs) AS crc, unnest([1, 0, 0]) AS word FROM runs)
 SELECT doc * $buckets + crc % $buckets AS key, count(*)::BIGINT AS n, sum(word)::BIGINT AS words FROM feature WHERE crc IS NOT NULL GROUP BY key
 """
 
@@ -82,18 +81,37 @@ def _shift(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
 _ZEROS = _zeros()
 
 
+def _by_size() -> np.ndarray:
+    """The same for 0 to 63 zero bytes, by their number."""
+    byte = np.arange(256, dtype=np.uint32)
+    rows = [byte[None, :] << (8 * np.arange(4, dtype=np.uint32)[:, None])]
+    while len(rows) < 64:
+        rows.append(_shift(_ZEROS[0], rows[-1]))
+    return np.stack(rows)
+
+
+_BY_SIZE = _by_size().reshape(-1)
+
+
 def append(before: np.ndarray, crc: np.ndarray, size: np.ndarray) -> np.ndarray:
     """CRCs of bytes whose first part has the CRC ``before`` and whose rest, of ``size`` bytes, has ``crc``: what zlib gives for both in a row."""
-    out = before.astype(np.uint32)
-    for k in range(int(size.max(initial=0)).bit_length()):
+    out, at = before.astype(np.uint32), (size & 63) << 10
+    out = _BY_SIZE[at + (out & 0xFF)] ^ _BY_SIZE[at + 256 + (out >> 8 & 0xFF)] ^ _BY_SIZE[at + 512 + (out >> 16 & 0xFF)] ^ _BY_SIZE[at + 768 + (out >> 24)]
+    for k in range(6, int(size.max(initial=0)).bit_length()):
         out = np.where(size >> k & 1, _shift(_ZEROS[k], out), out)
     return out ^ crc
 
 
-def _append(before: pa.Array, crc: pa.Array, size: pa.Array) -> pa.Array:
-    known = before.is_valid().to_numpy(zero_copy_only=False)
-    column = lambda x: x.fill_null(0).to_numpy(zero_copy_only=False)
-    return pa.array(append(column(before), column(crc), column(size)), mask=~known)
+def _runs(one: pa.Array, n: pa.Array, p: pa.Array, pn: pa.Array, q: pa.Array) -> pa.Array:
+    """CRCs of a word, of it after a space and the word before, and of the two before; null where there are none."""
+    known = np.stack([np.ones(len(one), bool), *(x.is_valid().to_numpy(zero_copy_only=False) for x in (p, q))], 1)
+    one, n, p, pn, q = (x.fill_null(0).to_numpy(zero_copy_only=False) for x in (one, n, p, pn, q))
+    space = np.full(len(one), zlib.crc32(b" "), np.uint32)
+    rest = append(space, one, n)
+    two = append(p, rest, n + 1)
+    three = append(append(q, append(space, p, pn), pn + 1), rest, n + 1)
+    values = pa.array(np.stack([one, two, three], 1).astype(np.uint32).reshape(-1), mask=~known.reshape(-1))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * len(one) + 1, 3, dtype=np.int32)), values)
 
 
 class FeatureCounter:
@@ -105,7 +123,7 @@ class FeatureCounter:
         self.buckets = buckets
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         self.db.create_function("zlib_crc32", _crc32, ["VARCHAR"], "UINTEGER", type="arrow")
-        self.db.create_function("crc32_append", _append, ["UINTEGER", "UINTEGER", "BIGINT"], "UINTEGER", type="arrow", null_handling="special")
+        self.db.create_function("crc32_runs", _runs, ["UINTEGER", "BIGINT", "UINTEGER", "BIGINT", "UINTEGER"], "UINTEGER[]", type="arrow", null_handling="special")
 
     def pieces(self, texts: list[str]) -> Iterator[pa.Table]:
         """Rows doc, piece, skip (words that the piece before has had), body; about PIECE_CHARS characters a table."""
