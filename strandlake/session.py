@@ -109,6 +109,20 @@ def text_size(df: DataFrame, column: str = "text") -> tuple[int, int]:
     return rows, size or 0
 
 
+#: Rows of a partition where rows are dealt out before they are grouped; each operator of the stage may hold them once.
+SHARE_ROWS = 250_000
+
+
+def deal(df: DataFrame, *keys: str, rows: int | None = None, share: int = SHARE_ROWS) -> DataFrame:
+    """``df`` with rows of equal ``keys`` together, in as many partitions as leave about ``share`` of ``rows`` to each.
+
+    Groupings and windows by these keys, with others or not, need no further exchange, so a task's memory stays the same whatever
+    the size of the table, of its files' splits, or of what Spark puts together after a shuffle. Rows are counted where not given: for tables that are read.
+    """
+    n = df.count() if rows is None else rows
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // share)), *keys)
+
+
 def n_blocks(df: DataFrame, size: int, block_bytes: int = 8 << 20) -> int:
     """Blocks of about ``block_bytes``, and several to a shuffle partition, so that tasks even out."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,17 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.session import read_table
+from strandlake.session import deal, read_table
 
 SITE = ["chrm", "pos", "strand"]
 
 
 def mod_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a site and read: p_m and p_h, whose sum stays below 1."""
-    li = read_table(spark, sf_dir, "lineitem")
-    return li.groupBy(
-        F.concat(F.lit("chr"), (F.col("l_partkey") % 5).cast("string")).alias("chrm"), F.col("l_partkey").alias("pos"), F.when(F.col("l_linestatus") == "F", 1).otherwise(-1).alias("strand"), F.col("l_orderkey").alias("read_id")
-    ).agg((9 * F.max("l_discount")).alias("p_m"), F.max("l_tax").alias("p_h"))
+    li = read_table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("chr"), (F.col("l_partkey") % 5).cast("string")).alias("chrm"), F.col("l_partkey").alias("pos"), F.when(F.col("l_linestatus") == "F", 1).otherwise(-1).alias("strand"), F.col("l_orderkey").alias("read_id"), "l_discount", "l_tax"
+    )
+    # Hardly a row repeats another's site and read, so rows are dealt out first: grouped where they lie, a split of the file would be held whole.
+    return deal(li, *SITE, "read_id").groupBy(*SITE, "read_id").agg((9 * F.max("l_discount")).alias("p_m"), F.max("l_tax").alias("p_h"))
 
 
 def mod_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +29,16 @@ def mod_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(*SITE, "read_id", F.explode(pairs).alias("x")).select(*SITE, "read_id", "x.mod_base", "x.score")
 
 
+def mod_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chrm, chrm_len of :func:`mod_calls`, straight from the table: which reads there are does not matter."""
+    key = F.col("l_partkey")
+    return read_table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("chr"), (key % 5).cast("string")).alias("chrm")).agg((F.max("l_partkey") + 1).alias("chrm_len"))
+
+
 def var_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long form: locus, read_id, alt_seq (A or T), score, for a reference base C."""
-    li = read_table(spark, sf_dir, "lineitem")
-    wide = li.groupBy(F.col("l_partkey").alias("locus"), F.col("l_orderkey").alias("read_id")).agg(F.max("l_discount").alias("d"), F.max("l_tax").alias("t"))
+    li = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("locus"), F.col("l_orderkey").alias("read_id"), "l_discount", "l_tax")
+    wide = deal(li, "locus", "read_id").groupBy("locus", "read_id").agg(F.max("l_discount").alias("d"), F.max("l_tax").alias("t"))
     score = lambda p: F.round(F.log(F.greatest(p, F.lit(1e-6))), 6)
     pairs = F.array(F.struct(F.lit("A").alias("alt_seq"), score(4 * F.col("d")).alias("score")), F.struct(F.lit("T").alias("alt_seq"), score(5 * F.col("t")).alias("score")))
     return wide.select("locus", "read_id", F.explode(pairs).alias("x")).select("locus", "read_id", "x.alt_seq", "x.score")

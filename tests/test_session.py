@@ -3,8 +3,9 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
-from strandlake.session import discard, materialize, read_texts, write_text
+from strandlake.session import deal, discard, materialize, read_texts, write_text
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 ALONE = """
@@ -42,3 +43,26 @@ def test_discard_removes_the_table(spark):
     assert os.path.isdir(path)
     discard(a)
     assert not os.path.isdir(path)
+
+
+def test_dealt_rows_need_no_exchange_and_no_task_takes_many(spark):
+    x = spark.range(4000).selectExpr("id % 1000 as a", "id as b")
+    dealt = deal(x, "a", share=50)
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert dealt.rdd.getNumPartitions() == 80 and sum(sizes) == 4000 and max(sizes) < 200
+    assert dealt.groupBy(F.spark_partition_id().alias("p"), "a").count().groupBy("a").count().where("count > 1").isEmpty()
+    assert deal(x.limit(0), "a").count() == 0 and deal(x, "a", rows=10).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    plan = dealt.groupBy("a", "b").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["mod_calls", "var_calls"])
+def test_calls_are_grouped_in_shares_of_a_bounded_size(spark, tmp_path, monkeypatch, name):
+    """A file that one task would read whole is grouped in as many shares as its rows ask for."""
+    from strandlake.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "deal", lambda df, *keys: deal(df, *keys, share=100))
+    spark.range(3000).selectExpr("id as l_orderkey", "id % 7 as l_partkey", "'F' as l_linestatus", "0.05D as l_discount", "0.01D as l_tax").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = getattr(fixtures, name)(spark, str(tmp_path))
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 6000 and len(sizes) == 30 and max(sizes) < 400
