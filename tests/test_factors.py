@@ -69,3 +69,16 @@ def test_command_gives_scores_sweep_and_best(spark):
     t = spark.createDataFrame([("c", i, "A", "G", "0/1") for i in range(3)], "contig string, pos long, ref string, alt string, gt string")
     out = commands.COMMANDS["variants heterozygous_factor"](t, t, variants.diploid(calls), known)
     assert set(out) == {"scores", "sweep", "best"} and out["best"].count() == 2
+
+
+def test_breaks_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    breaks = spark.range(30).selectExpr("'SNP' as kind", "element_at(array('hom_ref', 'het', 'hom_alt'), cast(id % 3 as int) + 1) as truth", "'hom_ref' as hom", "id / 10 as at").mapInArrow(count, "kind string, truth string, hom string, at double")
+    assert variants.factor_sweep(breaks).count() == 31
+    assert seen.value == 30

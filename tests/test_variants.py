@@ -133,3 +133,21 @@ def test_interval_operators_match_loops(spark):
     chain = spark.createDataFrame([("c", 0, 10, 1, 1.0), ("c", 8, 20, 2, 5.0), ("c", 18, 30, 3, 3.0), ("c", 30, 40, 4, 0.0)], df.schema)
     best = {r["id"]: r["members"] for r in intervals.best_of_islands(chain, ["contig"], "qual", "id").collect()}
     assert best == {2: 3, 4: 1}
+
+
+def test_haploid_joins_nothing_and_leaves_incomplete_loci_out(spark):
+    rows = [(1, 1, "A", -1.0), (1, 1, "T", -2.0), (1, 2, "A", -1.5), (1, 2, "T", -1.5), (2, 1, "A", -1.0), (2, 1, "T", -2.0), (2, 2, "A", -1.0), (None, 1, "A", -1.0)]
+    out = variants.haploid(spark.createDataFrame(rows, "locus long, read_id long, alt_seq string, score double"))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    (r,) = out.collect()
+    assert (r["locus"], r["reads"], r["alleles"]) == (1, 2, ["ref", "A", "T"])
+
+
+def test_reads_of_loci_are_dealt_by_pairs_of_alleles(spark, monkeypatch):
+    """Reads of 40 loci with three alternatives, six pairs of alleles each, go to as many shares as those ask for."""
+    from strandlake.session import deal
+
+    monkeypatch.setattr(variants, "deal", lambda df, *keys, rows: deal(df, *keys, rows=rows, share=10))
+    calls = spark.range(600).selectExpr("id % 40 as locus", "id div 120 as read_id", "element_at(array('A', 'G', 'T'), cast(id div 40 % 3 as int) + 1) as alt_seq", "-2.0D as score").coalesce(1)
+    reads = variants.complete_reads(calls)
+    assert reads.count() == 200 and reads.rdd.getNumPartitions() == 120
