@@ -884,7 +884,7 @@ def reporting_reasons(spark, d):
 def _mod_store(spark, d, rows, name):
     from strandlake.sources import store
 
-    contigs = fx.mod_calls(spark, d).groupBy("chrm").agg((F.max("pos") + 1).alias("chrm_len"))
+    contigs = fx.mod_contigs(spark, d)
     bases = spark.createDataFrame([("m", "C", "5mC"), ("h", "C", "5hmC")], "mod_base string, can_base string, long_name string")
     made = store.create(spark, f"{work_dir(spark)}/strandlake/{name}-{uuid.uuid4().hex}", "mods", contigs, bases)
     return store.add(made, rows.withColumn("read_id", F.col("read_id").cast("string")))

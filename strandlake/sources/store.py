@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.session import read_texts, write_text
+from strandlake.session import deal, discard, materialize, read_texts, write_text
 
 #: Version of the layout.
 FORMAT = 1
@@ -80,7 +80,12 @@ class Store:
 
     def sites(self) -> DataFrame:
         """Distinct places with their numbers of rows and reads."""
-        return self.calls.groupBy(*KINDS[self.kind][1]).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("read_id").alias("reads"))
+        by = KINDS[self.kind][1]
+        return self.by_read().groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("read_id").alias("reads"))
+
+    def by_read(self) -> DataFrame:
+        """All committed rows, dealt out by place and read: what is grouped by these takes tasks of a bounded size, and a deep place many of them."""
+        return deal(self.calls, *KINDS[self.kind][1], "read_id", rows=sum(m["rows"] for m in self.manifests))
 
     def reads(self) -> DataFrame:
         """read_id and a 64-bit key of it, which needs no order of reads."""
@@ -152,12 +157,15 @@ def add(store: Store, rows: DataFrame) -> Store:
     lacking = [f.name for f in schema if f.name not in rows.columns]
     if lacking:
         raise StoreError(f"rows lack {lacking}")
-    cast = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    # Rows are read three times: checked, sampled for their ranges, sorted. What they come from is worked out once.
+    cast = materialize(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]), "store-rows")
     wrong = misfits(store, cast).groupBy("reason").count().collect()
     if wrong:
+        discard(cast)
         raise StoreError("rows that do not belong here: " + ", ".join(f"{r['count']} {r['reason']}" for r in sorted(wrong)))
     name = uuid.uuid4().hex
     cast.repartitionByRange(*by).sortWithinPartitions(*by, "read_id").write.parquet(f"{store.path}/data/{name}")
+    discard(cast)
     n = store.spark.read.parquet(f"{store.path}/data/{name}").count()
     commit(store.spark, store.path, len(store.manifests), store.kind, schema, name, n)
     return open_store(store.spark, store.path, store.kind)
@@ -186,4 +194,5 @@ def merge(stores: list[Store], path: str) -> Store:
         rows = rows.unionByName(s.calls)
     key = [c for c in rows.columns if c != "score"]
     out = create(first.spark, path, first.kind, lengths, bases)
-    return add(out, rows.groupBy(*key).agg(F.max("score").alias("score")))
+    dealt = deal(rows, *KINDS[first.kind][1], "read_id", rows=sum(m["rows"] for s in stores for m in s.manifests))
+    return add(out, dealt.groupBy(*key).agg(F.max("score").alias("score")))

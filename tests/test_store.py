@@ -94,3 +94,17 @@ def test_variants_have_a_store_too(spark, parts, tmp_path):
         store.create(spark, str(tmp_path / "w"), "variants", *parts)
     with pytest.raises(store.StoreError):
         store.create(spark, str(tmp_path / "w"), "reads", parts[0])
+
+
+def test_added_rows_are_worked_out_once(spark, parts, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    made = mods(spark, str(tmp_path / "s"), parts)
+    rows = spark.range(20).selectExpr("'chr1' as chrm", "id % 5 as pos", "1 as strand", "cast(id as string) as read_id", "'m' as mod_base", "-1.0D as score")
+    full = store.add(made, rows.mapInArrow(count, rows.schema))
+    assert seen.value == 20 and full.calls.count() == 20
