@@ -235,15 +235,16 @@ def global_threshold(llrs: DataFrame, mod: str, extreme: float = 8.0, fraction:
     Without a given fraction it is estimated from the share of scores beyond the extreme percentile
     on each side: those as low as modified reads' mirror those as high as canonical ones'.
     """
-    x = llrs.where(F.col("mod_base") == mod)
+    # What follows goes over the scores several times: they are counted once, and their counts are read.
+    x = materialize(llrs.where(F.col("mod_base") == mod).groupBy("mod_base", "llr").agg(F.count(F.lit(1)).alias("n")), "llr-counts")
     if fraction is None:
         # Two exact order statistics of the whole table, by running counts; a value each comes to the driver.
-        bounds = [r["value"] for f in (extreme / 100, 1 - extreme / 100) for r in exact_quantiles(x, ["mod_base"], "llr", f).collect()]
+        bounds = [r["value"] for f in (extreme / 100, 1 - extreme / 100) for r in exact_quantiles(x, ["mod_base"], "llr", f, "n").collect()]
         cut = min(map(abs, bounds), default=0.0)
-        low, high = F.sum((F.col("llr") <= -cut).cast("long")), F.sum((F.col("llr") >= cut).cast("long"))
+        low, high = F.sum(F.when(F.col("llr") <= -cut, F.col("n")).otherwise(0)), F.sum(F.when(F.col("llr") >= cut, F.col("n")).otherwise(0))
         row = x.agg((low / F.greatest(low + high, F.lit(1))).alias("f")).first()
         fraction = float(row["f"] or 0.0)
-    return exact_quantiles(x, ["mod_base"], "llr", fraction).select("mod_base", F.lit(fraction).alias("frac_mod"), F.col("value").alias("threshold"))
+    return exact_quantiles(x, ["mod_base"], "llr", fraction, "n").select("mod_base", F.lit(fraction).alias("frac_mod"), F.col("value").alias("threshold"))
 
 
 def array_percentile(values: Column, p: Column) -> Column:

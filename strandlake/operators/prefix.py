@@ -38,15 +38,15 @@ def running(df: DataFrame, keys: list[str], order: list[Column | str], bucket: C
     return joined.select(*df.columns, *[add(n).alias(n) for n in names])
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], column: str, fraction: Column | float) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], column: str, fraction: Column | float, weight: str | None = None) -> DataFrame:
     """keys, n, value: the exact quantile of ``column`` by key, interpolated between the two values round the rank (n - 1) * fraction.
 
     Values are counted first and their counts run up bucket by bucket, so that no buffer or task holds a key's values. ``fraction`` may depend on
-    the keys. Null and NaN are left out; a key without values has no row.
+    the keys. Null and NaN are left out; a key without values has no row. ``weight``: a column of whole numbers, how often a row's value counts.
     """
     x = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).withColumn("_all", F.lit(0))
     by = [*keys, "_all"]
-    counts = x.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
+    counts = x.groupBy(*by, column).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     total = counts.groupBy(*by).agg(F.sum("_n").alias("n"))
     ranked = running(counts, by, [column], score_buckets(counts, column), {"_before": F.col("_n")}).join(total, by)
     rank = (fraction if isinstance(fraction, Column) else F.lit(float(fraction))) * (F.col("n") - 1)

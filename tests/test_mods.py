@@ -139,3 +139,26 @@ def test_methods_and_read_filter(spark):
         rows = mods.aggregate(c, method, reads=some, mods=["h", "m"]).collect()
         assert {r["reads"] for r in rows} == {2}
     assert mods.binary_threshold(c.limit(0), mods=["h", "m"]).count() == 0
+
+
+@pytest.mark.parametrize("fraction", [None, 0.3])
+def test_global_threshold_goes_over_the_scores_once(spark, fraction):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rng = np.random.default_rng(5)
+    # Repeated scores, both zeros, none, and NaN, which counts as high where the fraction is estimated.
+    scores = [*np.round(rng.normal(0, 3, 400), 1).tolist(), *rng.normal(-2, 1, 200).tolist(), 0.0, -0.0, None, float("nan"), float("nan")]
+    rows = [(m, x) for m in "hm" for x in scores]
+    llrs = spark.createDataFrame(rows, "mod_base string, llr double").mapInArrow(count, "mod_base string, llr double")
+    got = mods.global_threshold(llrs, "m", fraction=fraction).collect()
+    x = np.array([s for s in scores if s is not None and s == s])
+    cut = min(abs(np.quantile(x, 0.08)), abs(np.quantile(x, 0.92)))
+    low, high = (x <= -cut).sum(), (x >= cut).sum() + 2
+    f = fraction or low / (low + high)
+    assert len(got) == 1 and got[0]["mod_base"] == "m" and got[0]["frac_mod"] == pytest.approx(f, abs=1e-12) and got[0]["threshold"] == pytest.approx(np.quantile(x, f), abs=1e-12)
+    assert seen.value == len(rows)

@@ -66,3 +66,22 @@ def test_calls_are_grouped_in_shares_of_a_bounded_size(spark, tmp_path, monkeypa
     out = getattr(fixtures, name)(spark, str(tmp_path))
     sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 6000 and len(sizes) == 30 and max(sizes) < 400
+
+
+@pytest.mark.parametrize("name", ["mods_estimated_threshold", "mods_global_threshold"])
+def test_queries_group_sites_and_reads_in_shares(spark, tmp_path, monkeypatch, name):
+    """The query's stage of groupings by site and read has a task for each hundred rows here, though one task reads the file."""
+    from strandlake.plans import catalog
+    from strandlake.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "deal", lambda df, *keys: deal(df, *keys, share=100), raising=False)
+    spark.range(3000).selectExpr("id as l_orderkey", "id % 7 as l_partkey", "if(id % 2 = 0, 'F', 'O') as l_linestatus", "0.01D * (id % 11) as l_discount", "0.01D * (id % 9) as l_tax").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    group = f"{name}-{tmp_path}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        assert catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert 30 in {s.numTasks for s in stages if s}
