@@ -68,7 +68,7 @@ def test_calls_are_grouped_in_shares_of_a_bounded_size(spark, tmp_path, monkeypa
     assert sum(sizes) == 6000 and len(sizes) == 30 and max(sizes) < 400
 
 
-@pytest.mark.parametrize("name", ["writer_bed_methyl", "writer_mod_vcf", "writer_wiggle", "writer_wiggle_files", "mods_estimated_threshold", "mods_global_threshold"])
+@pytest.mark.parametrize("name", ["writer_bed_methyl", "writer_mod_vcf", "writer_wiggle", "writer_wiggle_files", "calibrate_density", "mods_estimated_threshold", "mods_global_threshold", "mods_llr_stats", "calibrate_density_cells"])
 def test_queries_group_sites_and_reads_in_shares(spark, tmp_path, monkeypatch, name):
     """The query's stage of groupings by site and read has a task for each hundred rows here, though one task reads the file."""
     from strandlake.plans import catalog
