@@ -116,8 +116,9 @@ SHARE_ROWS = 250_000
 def deal(df: DataFrame, *keys: str, rows: int | None = None, share: int = SHARE_ROWS) -> DataFrame:
     """``df`` with rows of equal ``keys`` together, in as many partitions as leave about ``share`` of ``rows`` to each.
 
-    Groupings and windows by these keys, with others or not, need no further exchange, so a task's memory stays the same whatever
-    the size of the table, of its files' splits, or of what Spark puts together after a shuffle. Rows are counted where not given: for tables that are read.
+    Groupings and windows by these keys, with others or not, need no further exchange, so a grouping task's memory stays the same whatever
+    the size of the table, of its files' splits, or of what Spark puts together after a shuffle. (From 201 partitions on, the task that writes rows sorts
+    them first: it holds its split, or spills.) Rows are counted where not given: for tables that are read.
     """
     n = df.count() if rows is None else rows
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // share)), *keys)
