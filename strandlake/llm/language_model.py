@@ -25,11 +25,11 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -50,10 +50,10 @@ RATE = 0.1
 TRAINERS = 32
 #: Where the squares of gradients start: it shortens the first steps of classes that were hardly met.
 CALM = 1e-6
-#: Distinct words a task holds before it hands counts on, and words whose class a worker remembers.
+#: Words whose class a worker remembers.
 HELD = 400_000
-#: Tokens whose runs a task counts at a time.
-WAITING = 2_000_000
+#: Bytes of text whose words a task numbers at a time.
+SHARE = 16 << 20
 #: Runs of three classes are numbers below RUNS, a power of two; an odd factor spreads them evenly over buckets of PLACES runs.
 RUNS, PLACES = CLASSES**3, 1 << 16
 SPREAD = 0x1E3779B1
@@ -79,6 +79,57 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
+def shares(arrays: Iterable[pa.Array], size: int = SHARE) -> Iterator[pa.Array]:
+    """The texts of ``arrays`` in order, in arrays of about ``size`` bytes."""
+    held, total = [], 0
+    for texts in arrays:
+        upto = total + np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        for end in (np.flatnonzero(np.diff(upto // size, prepend=0)) + 1).tolist():
+            yield pa.concat_arrays([*held, texts.slice(start, end - start)])
+            held, start = [], end
+        if start < len(texts):
+            held.append(texts.slice(start))
+        total = int(upto[-1]) % size if len(upto) else total
+    if held:
+        yield pa.concat_arrays(held)
+
+
+def numbered(texts: pa.Array, before: int = 0) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(ids, sizes, words): the tokens of all texts one after the other as places in ``words``, and how many each text has.
+
+    ``words``: what :func:`tokens` gives, each once, the end last. ``before``: ends that also come before each text.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.values.dictionary_encode()
+    kind = pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary()
+    words = pa.concat_arrays([coded.dictionary.cast(kind), pa.array([END], kind)])
+    ids, end = coded.indices.to_numpy(), len(words) - 1
+    # White space at a text's ends leaves empty strings there, as does a text without words; every list has a string.
+    kept = ids != words.index(pa.scalar(b"", kind)).as_py()
+    sizes = np.add.reduceat(kept, lists.offsets.to_numpy()[:-1], dtype=np.int64) + (before + 1) if len(texts) else np.zeros(0, np.int64)
+    ends = np.cumsum(sizes)
+    word = np.ones(ends[-1] if len(ends) else 0, bool)
+    word[ends - 1] = False
+    for i in range(before):
+        word[ends - sizes + i] = False
+    out = np.full(len(word), end, np.int32)
+    out[word] = ids[kept]
+    return out, sizes, words
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """:func:`word_hash` of each word."""
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(words))
+    return (h ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def word_endings(words: pa.Array) -> np.ndarray:
+    """:func:`ending` of each word."""
+    last = pc.binary_slice(words, -3).dictionary_encode()
+    return np.array([ending(w) for w in last.dictionary.to_pylist()], np.int64)[last.indices.to_numpy()]
+
+
 class BilinearModel:
     """P(class | the class two before, the class before)."""
 
@@ -134,9 +185,12 @@ class BilinearModel:
 
     def _class_sums(self, classes: np.ndarray, gradients: np.ndarray) -> np.ndarray:
         """The sum of the rows of each class."""
-        n, width = self.context.shape
-        cells = (classes * width)[:, None] + np.arange(width)
-        return np.bincount(cells.ravel(), gradients.ravel(), n * width).reshape(n, width).astype(np.float32)
+        order = np.argsort(classes.astype(np.uint16), kind="stable")  # a radix sort
+        sorted_ = classes[order]
+        first = np.flatnonzero(np.diff(sorted_, prepend=-1))
+        sums = np.zeros_like(self.context)
+        sums[sorted_[first]] = np.add.reduceat(gradients.take(order, 0), first, axis=0)
+        return sums
 
     def to_bytes(self) -> bytes:
         return b"".join(p.tobytes() for p in [*self.parameters(), *self.squares])
@@ -194,6 +248,11 @@ class Lexicon:
                 known[w] = FREQUENT + ending(w) % self.endings if c is None else c
             return list(map(known.__getitem__, words))
 
+    def classes_of(self, words: pa.Array) -> np.ndarray:
+        """As :meth:`classes`, of each word of an array."""
+        frequent = self.frequent_class(word_hashes(words))
+        return np.where(frequent >= 0, frequent, FREQUENT + word_endings(words) % self.endings)
+
     def frequent_class(self, hashes: np.ndarray) -> np.ndarray:
         """Class of each hash, -1 for words that are not frequent."""
         if not len(self.hashes):
@@ -212,23 +271,12 @@ def train(docs: DataFrame, keep: Column, text: str = "text") -> LanguageModel:
     ship(docs.sparkSession)
     texts = docs.where(keep).select(F.col(f"`{text}`").alias("text"))
 
-    def rows(counter: Counter) -> pa.RecordBatch:
-        words = list(counter)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.fromiter(map(word_hash, words), np.int64, len(words))), pa.array(np.fromiter(map(ending, words), np.int32, len(words))), pa.array(np.fromiter(counter.values(), np.int64, len(words)))],
-            names=["h", "ending", "n"],
-        )
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                held.update(tokens(value))
-                if len(held) >= HELD:
-                    yield rows(held)
-                    held = Counter()
-        if held:
-            yield rows(held)
+        for share in shares(b.column(0) for b in batches):
+            ids, _, words = numbered(share)
+            n = np.bincount(ids, minlength=len(words))
+            met = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(words)[met]), pa.array(word_endings(words)[met], pa.int32()), pa.array(n[met])], names=["h", "ending", "n"])
 
     found = texts.mapInArrow(count, "h long, ending int, n long")
     counts = materialize(found.groupBy("h").agg(F.sum("n").alias("c"), F.first("ending").alias("ending")), "counts")
@@ -272,19 +320,9 @@ def packed_runs(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        ends = lex.classes([END, END])
-        waiting: list[int] = []
-        starts: list[int] = []
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                starts.append(len(waiting))
-                waiting += ends
-                waiting += lex.classes(tokens(value))
-                if len(waiting) > WAITING:
-                    yield _runs(waiting, starts)
-                    waiting, starts = [], []
-        if waiting:
-            yield _runs(waiting, starts)
+        for share in shares(b.column(0) for b in batches):
+            ids, sizes, words = numbered(share, before=2)
+            yield _runs(lex.classes_of(words)[ids], np.cumsum(sizes) - sizes)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, rows = _BucketSums(), []
@@ -365,9 +403,8 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield code * GATHER % RUNS, n[at[i] : at[j]]
 
 
-def _runs(sequence: list[int], starts: list[int]) -> pa.RecordBatch:
-    """Counts by bucket of runs of three in texts that begin, with two ends, at ``starts``; no run ends at those."""
-    c, at = np.array(sequence, np.int64), np.array(starts, np.int64)
+def _runs(c: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Counts by bucket of runs of three of classes ``c`` in texts that begin, with two ends, at ``at``; no run ends at those."""
     inside = np.ones(len(c), bool)
     inside[at] = inside[at + 1] = False
     run = ((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])[inside[2:]]
@@ -420,10 +457,7 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id: str
     shared = spark.sparkContext.broadcast(model.lexicon)
 
     def distinct(table: pa.Table) -> pa.Table:
-        words: set[bytes] = set()
-        for value in table.column(f"c{at}").to_pylist():
-            words.update(tokens(value))
-        h = np.fromiter(map(word_hash, words), np.int64, len(words))
+        h = np.unique(np.concatenate([word_hashes(numbered(share)[2]) for share in shares(table.column(f"c{at}").chunks)]))
         return pa.table({"block": pa.array(np.full(len(h), table.column("block")[0].as_py(), np.int32)), "h": pa.array(h)})
 
     fields = [(RESULT[0], T.LongType()), (RESULT[1], T.LongType()), (RESULT[2], T.LongType()), (RESULT[3], T.DoubleType()), (RESULT[4], T.DoubleType())]
@@ -434,9 +468,7 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id: str
         h = counts.column("h").to_numpy() if counts.num_rows else np.zeros(0, np.int64)
         order = np.argsort(h)
         h, c = h[order], (counts.column("c").to_numpy()[order] if counts.num_rows else h)
-        parts = []
-        for i in range(0, table.num_rows, 400):
-            parts.append(_score_texts(table.column(f"c{at}").slice(i, 400).to_pylist(), lex, h, c))
+        parts = [_score_texts(share, lex, h, c) for share in shares(table.column(f"c{at}").chunks)]
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
         n = table.num_rows
         return pa.table([*(table.column(f"c{i}") for i in range(len(names))), pa.array(columns[0]), pa.array(columns[1]), pa.array(np.full(n, lex.n, np.int64)), pa.array(columns[2]), pa.array(columns[3])], names=schema.names)
@@ -447,25 +479,17 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text", doc_id: str
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *RESULT)
 
 
-def _score_texts(texts: list[str | None], lex: Lexicon, known: np.ndarray, counts: np.ndarray) -> tuple:
+def _score_texts(texts: pa.Array | list[str | None], lex: Lexicon, known: np.ndarray, counts: np.ndarray) -> tuple:
     """Tokens, known tokens, base score and score of each text, given sorted hashes and their counts."""
-    all_tokens: list[bytes] = []
-    sizes = np.zeros(len(texts), np.int64)
-    for i, value in enumerate(texts):
-        t = tokens(value)
-        sizes[i] = len(t)
-        all_tokens.extend(t)
-    local = dict.fromkeys(all_tokens)
-    words = list(local)
-    local = dict(zip(words, range(len(words)), strict=True))
-    ids = np.fromiter(map(local.__getitem__, all_tokens), np.int64, len(all_tokens))
-    h = np.fromiter(map(word_hash, words), np.int64, len(words))
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    ids, sizes, words = numbered(texts)
+    h = word_hashes(words)
     c = np.zeros(len(words), np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         c = np.where(known[at] == h, counts[at], 0)
     frequent = lex.frequent_class(h)
-    last = np.fromiter(map(ending, words), np.int64, len(words)) % lex.endings
+    last = word_endings(words) % lex.endings
     cls = np.where(frequent >= 0, frequent, FREQUENT + last)
     within = np.where(frequent >= 0, 0.0, np.log(c + 1.0) - lex.rest[last])
     base = np.log(c + 1.0) - np.log(lex.n + (lex.v + 1.0))
@@ -473,8 +497,8 @@ def _score_texts(texts: list[str | None], lex: Lexicon, known: np.ndarray, count
     seq = cls[ids]
     near, far = np.empty_like(seq), np.empty_like(seq)
     starts = np.cumsum(sizes) - sizes
-    near[1:], near[starts] = seq[:-1], cls[local[END]]
-    far[1:], far[starts] = near[:-1], cls[local[END]]
+    near[1:], near[starts] = seq[:-1], cls[-1]
+    far[1:], far[starts] = near[:-1], cls[-1]
     s = lex.log_p(far, near, seq) + within[ids]
     total = lambda x: np.bincount(owner, x, len(texts))
     return sizes, total((c > 0)[ids].astype(np.float64)).astype(np.int64), total(base[ids]) / np.log(10), total(s) / np.log(10)

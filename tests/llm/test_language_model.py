@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandlake.llm import language_model as lm
@@ -123,3 +124,31 @@ def test_empty_tables(docs, empty):
     assert lm.score(empty, model).count() == 0
     r = lm.score(docs.where("doc_id = 1"), model).first()
     assert r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0.0
+
+
+def test_numbered_words_are_the_tokens_and_shares_keep_the_order():
+    texts = ["", None, " Ab  c\x0b\x0cAB ", "\t\n", "x", "\u00e9 \u00c9\u00a0Z q\x1cw\x85k zz", "a b\n" * 50, "long" * 30]
+    whole = [list(map(lm.tokens, texts)), [t for x in texts for t in lm.tokens(x)]]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["cut", *texts], kind).slice(1)
+        for before in (0, 2):
+            ids, sizes, words = lm.numbered(column, before)
+            cuts = np.cumsum(sizes)[:-1]
+            got = [[words[i].as_py() for i in part] for part in np.split(ids, cuts)]
+            assert got == [[lm.END] * before + t for t in whole[0]]
+        assert lm.word_hashes(words).tolist() == [lm.word_hash(w) for w in words.to_pylist()]
+        assert lm.word_endings(words).tolist() == [lm.ending(w) for w in words.to_pylist()]
+        for size in (1, 7, 40, 1 << 20):
+            parts = list(lm.shares([column.slice(0, 3), column.slice(3, 0), column.slice(3)], size))
+            assert [t for p in parts for t in p.to_pylist()] == texts and all(len(p) for p in parts)
+            assert max(sum(len((t or "").encode()) for t in p.to_pylist()[:-1]) for p in parts) <= size
+    assert list(lm.shares([pa.array([], pa.string())])) == [] and len(lm.numbered(pa.array([], pa.string()))[0]) == 0
+
+
+def test_gradients_add_up_by_class():
+    r = np.random.default_rng(3)
+    model = lm.BilinearModel(np.full(50, 0.02), dimensions=4)
+    classes, rows = r.integers(3, 40, 300), r.normal(size=(300, 4)).astype(np.float32)
+    want = np.zeros((50, 4))
+    np.add.at(want, classes, rows)
+    assert np.abs(model._class_sums(classes, rows) - want).max() < 1e-4
