@@ -53,7 +53,7 @@ CALM = 1e-6
 #: Words whose class a worker remembers.
 HELD = 400_000
 #: Bytes of text whose words a task numbers at a time.
-SHARE = 16 << 20
+SHARE = 8 << 20
 #: Runs of three classes are numbers below RUNS, a power of two; an odd factor spreads them evenly over buckets of PLACES runs.
 RUNS, PLACES = CLASSES**3, 1 << 16
 SPREAD = 0x1E3779B1
